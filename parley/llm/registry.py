@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import language
+from . import jaccard, language
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (language,):
+for _m in (language, jaccard):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
