@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, language
+from . import decontaminate, jaccard, language, mixing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (language, jaccard):
+for _m in (mixing, language, jaccard, decontaminate):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
