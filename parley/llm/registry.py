@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing
+from . import decontaminate, jaccard, language, mixing, shards
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (mixing, language, jaccard, decontaminate):
+for _m in (mixing, shards, language, jaccard, decontaminate):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
