@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, shards
+from . import decontaminate, jaccard, language, mixing, shards, substrings, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (mixing, shards, language, jaccard, decontaminate):
+for _m in (substrings, mixing, shards, warc, language, jaccard, decontaminate):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
