@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, shards, substrings, toxicity, warc
+from . import decontaminate, jaccard, language, licences, mixing, neighbours, shards, substrings, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (substrings, mixing, shards, toxicity, warc, language, jaccard, decontaminate):
+for _m in (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
