@@ -42,11 +42,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a durable lineage cut."""
+    """Write ``df`` as Parquet in the shared folder and read it back: a durable lineage cut.
+
+    Shuffle files of what was written are of no more use; Spark deletes them once the
+    driver's JVM has found that nothing refers to them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._parley_path = path  # type: ignore[attr-defined]
     return out

@@ -14,7 +14,8 @@ word shingles. All work is on distinct sets, so copies cost nothing after the fi
    In lists of up to ``SMALL`` members all pairs count; in longer ones each member meets the
    list's leaders of about its size, those whose prefixes are shared most. Pairs must be of
    fitting size and of near parity sketches (the Hamming distance of two sketches never
-   exceeds the size of the sets' symmetric difference, so no link is lost there).
+   exceeds the size of the sets' symmetric difference, so no link is lost there). Pairs of
+   large sets, where parities tell little, are also held against counts of hash cells.
 4. Whole sets of the pairs are compared and links joined into components. Then whatever a
    long list still holds in two components is compared in full, in rounds, until every pair
    that shares a prefix shingle is linked, refuted or in one component: the components are
@@ -46,6 +47,7 @@ CHUNK = 3_000_000  # shingles that a task counts at once
 SMALL = 16  # groups in a list of which all pairs are taken
 LEADERS = 2
 LANES = 8  # 64-bit lanes of a parity sketch
+LARGE, CELLS = 1000, 2048  # sets above LARGE shingles also have counts of CELLS hash cells
 
 
 def sets_of(text: str | None, cache: WordHash, n: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def common_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return found
 
 
-_DOC = f"id long, th long, n int, sid long, pg long, prefix array<long>, {', '.join(f'k{i} long' for i in range(LANES))}"
+_DOC = f"id long, th long, n int, sid long, pg long, prefix array<long>, cells binary, {', '.join(f'k{i} long' for i in range(LANES))}"
 
 
 def _describe(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, common) -> DataFrame:
@@ -111,12 +113,12 @@ def _describe(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, com
         cache, last = WordHash(), held.value
         for b in batches:
             for part, texts in _texts(b, "text"):
-                ns, sids, pgs, prefixes, lanes = [], [], [], [], []
+                ns, sids, pgs, prefixes, cells, lanes = [], [], [], [], [], []
                 for t in texts:
                     x = sets_of(t, cache, n)
                     size = len(x)
                     if not size:
-                        ns.append(0), sids.append(None), pgs.append(None), prefixes.append([]), lanes.append(np.zeros(LANES, np.uint64))
+                        ns.append(0), sids.append(None), pgs.append(None), prefixes.append([]), cells.append(None), lanes.append(np.zeros(LANES, np.uint64))
                         continue
                     p = size - (percent * size + 99) // 100 + 1
                     at = np.searchsorted(last, x) if len(last) else np.zeros(size, np.int64)
@@ -126,11 +128,12 @@ def _describe(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, com
                     sids.append(_digest(x))
                     pgs.append(_digest(order, size))
                     prefixes.append(order.view(np.int64))
+                    cells.append((np.bincount((x >> np.uint64(53)).astype(np.int64), minlength=CELLS) & 255).astype(np.uint8).tobytes() if size > LARGE else None)
                     odd = (np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=64 * LANES) & 1).astype(np.uint8)
                     lanes.append(np.packbits(odd).view(np.uint64))
                 lane = np.array(lanes, np.uint64).reshape(-1, LANES).view(np.int64)
-                cols = [*(part.column(part.schema.get_field_index(c)) for c in ("id", "th")), pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(pgs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(lane[:, i])) for i in range(LANES))], names=["id", "th", "n", "sid", "pg", "prefix", *(f"k{i}" for i in range(LANES))])
+                cols = [*(part.column(part.schema.get_field_index(c)) for c in ("id", "th")), pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(pgs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(lane[:, i])) for i in range(LANES))], names=["id", "th", "n", "sid", "pg", "prefix", "cells", *(f"k{i}" for i in range(LANES))])
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, _DOC)
 
@@ -166,6 +169,22 @@ def _near(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _sieved(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs of large sets but for those whose cells' counts differ by more than a link allows."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            d = np.abs(x - y)
+            apart = np.minimum(d, 256 - d).sum(1, dtype=np.int64)
+            size = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            yield b.filter(pa.array(apart * (100 + percent) <= size * (100 - percent))).select(["a", "b", "na", "nb"])
+
+    left = pairs.join(cells.select(F.col("sid").alias("a"), F.col("cells").alias("x")), "a")
+    both = left.join(cells.select(F.col("sid").alias("b"), F.col("cells").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of the pairs whose whole sets link."""
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
@@ -183,17 +202,20 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5
     held = store(_describe(docs, doc_id, text, words, percent, common_shingles(docs, text, words)), "described")
     full = held.filter("n > 0")
     sets = store(full.groupBy("sid", "n", "pg", *lanes).agg(F.min("id").alias("rep")), "sets")
-    groups = sets.groupBy("pg", "n").agg(F.count("*").alias("members"))
+    groups = sets.groupBy("pg").agg(F.count("*").alias("members"))
 
-    # inverted index of groups; lists that one set alone is in drop out
-    index = full.select("pg", "n", "prefix").dropDuplicates(["pg", "n"]).select("pg", "n", F.explode("prefix").alias("key"))
+    # inverted index of groups; lists that one group alone is in drop out
+    prefixes = store(full.groupBy("pg").agg(F.first("prefix").alias("prefix")), "prefixes")
+    index = prefixes.select("pg", F.explode("prefix").alias("key"))
     df = store(index.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "df")
-    token = index.join(df.select("key"), "key")
-    hits = token.groupBy("pg", "n").agg(F.count("*").alias("hits"))
-    own = groups.filter("members > 1").select("pg", "n", F.col("pg").alias("key"))
-    lists = token.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)))
-    lists = lists.join(hits, ["pg", "n"], "left").join(sets.drop("rep"), ["pg", "n"])  # members, expanded
+    token = store(index.join(df.select("key"), "key"), "index")
+    drop_stored(prefixes, df)
+    hits = token.groupBy("pg").agg(F.count("*").alias("hits"))
+    own = groups.filter("members > 1").select("pg", F.col("pg").alias("key"))
+    lists = token.select("pg", "key", F.lit(0).alias("kind")).unionByName(own.withColumn("kind", F.lit(1)))
+    lists = lists.join(hits, "pg", "left").join(sets.drop("rep"), "pg")  # members, expanded
     lists = store(lists.select("kind", "key", "sid", "n", F.coalesce("hits", F.lit(0)).alias("hits"), *lanes), "lists")
+    drop_stored(token)
     sizes = store(lists.groupBy("kind", "key").agg(F.count("*").alias("w")), "sizes")
 
     def pairs(a: DataFrame, b: DataFrame, on: list[str], more) -> DataFrame:
@@ -201,8 +223,14 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5
         cond = more & _near(percent)
         for c in on:
             cond &= F.col(f"a.{c}") == F.col(f"b.{c}")
-        return a.join(b, cond).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
-
+        return a.join(b, cond).select(
+            F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"),
+            F.when(F.col("a.sid") < F.col("b.sid"), F.col("a.n")).otherwise(F.col("b.n")).alias("na"),
+            F.when(F.col("a.sid") < F.col("b.sid"), F.col("b.n")).otherwise(F.col("a.n")).alias("nb"),
+        )
+
+    cells = store(full.filter(F.col("n") > LARGE).groupBy("sid").agg(F.first("cells").alias("cells")), "cells")
+    large = F.least("na", "nb") > LARGE
     short = lists.join(sizes.filter(F.col("w") <= SMALL).select("kind", "key"), ["kind", "key"])
     long = lists.join(sizes.filter(F.col("w") > SMALL).select("kind", "key"), ["kind", "key"])
     band = F.floor(F.log("n") / F.lit(0.25)).cast("int")
@@ -222,6 +250,7 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5
     )
 
     def verify(cand: DataFrame) -> DataFrame:
+        cand = store(cand.filter(~large).select("a", "b").unionByName(_sieved(cand.filter(large), cells, percent).select("a", "b")), "sieved")
         nodes = cand.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         whole = store(_whole_sets(docs, doc_id, text, words, sets.join(nodes, "sid").select("sid", "rep")), "whole")
         out = store(_verified(cand, whole, percent), "links")
