@@ -159,10 +159,17 @@ def tokens(text) -> Column:
 
 
 def bigrams(text) -> Column:
-    t = F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), java(r"\s+"), "")
-    n = F.length(t)
-    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, 2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(some)
+    """Distinct pairs of characters without white space; a single character stands alone.
+
+    The levelled text is bound once: inside a lambda it would be made anew for each pair.
+    """
+    bare = F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), java(r"\s+"), "")
+
+    def pairs(t):
+        some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, 2)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(some)
+
+    return F.transform(F.array(bare), pairs)[0]
 
 
 def overlap_similarity(q, c) -> Column:

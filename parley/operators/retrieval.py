@@ -24,7 +24,7 @@ def fresh(items: DataFrame, as_of) -> DataFrame:
 
 def _features(rows: DataFrame, id_: str, text: str, kind: str) -> DataFrame:
     make = tx.tokens if kind == "t" else tx.bigrams
-    return rows.select(F.col(id_), F.explode(make(text)).alias("f"), F.size(make(text)).alias("n"))
+    return rows.select(F.col(id_), make(text).alias("a")).select(id_, F.explode("a").alias("f"), F.size("a").alias("n"))
 
 
 def overlap_search(queries: DataFrame, items: DataFrame, *, qid="query_id", query="query", iid="item_id", text="content", k=5) -> DataFrame:
@@ -44,8 +44,7 @@ def overlap_search(queries: DataFrame, items: DataFrame, *, qid="query_id", quer
 
 def jaccard_search(queries: DataFrame, items: DataFrame, *, qid="query_id", query="query", iid="item_id", text="content", k=5, bonus=None) -> DataFrame:
     """(qid, iid, score, rank) by Jaccard similarity of bigrams; ``bonus``: (column, points) for equal values."""
-    make = lambda d, i, t: d.select(F.col(i), F.explode(tx.bigrams(t)).alias("f"), F.size(tx.bigrams(t)).alias("n"))
-    q, c = make(queries, qid, query), make(items, iid, text).withColumnRenamed("n", "m")
+    q, c = _features(queries, qid, query, "b"), _features(items, iid, text, "b").withColumnRenamed("n", "m")
     pair = q.join(c, "f").groupBy(qid, iid).agg(F.count("*").alias("both"), F.max("n").alias("n"), F.max("m").alias("m"))
     rows = pair.select(qid, iid, (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("score"))
     if bonus:
