@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, ship, store
 
 SAMPLE = 6_000
 STEMS = 4_000
@@ -148,22 +148,34 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) ->
     return b[:k], float(b[k])
 
 
-def fit(labelled: DataFrame, *, text="text", label="toxic") -> Grammar:
-    """Grammar from rows with a text and a label of 0 or 1."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
-    have = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(have) < 2:
+def draw(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic") -> DataFrame:
+    """(text, y): about SAMPLE distinct texts of each label.
+
+    Ids and hashes of texts choose the sample; only the chosen texts are moved. The list of
+    ids is cut at four times SAMPLE, which bounds the broadcast.
+    """
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text"))
+    y = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
+    known = store(own.select("id", "h").join(y, "id").groupBy("h", "y").agg(F.min("id").alias("id")), "labelled")
+    have = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("y") == 1, min(1.0, SAMPLE / have.get(1, 1))).otherwise(min(1.0, SAMPLE / have.get(0, 1)))
+    pick = known.filter(u < share).orderBy("h", "y").limit(4 * SAMPLE)
+    return store(own.join(F.broadcast(pick), ["id", "h"]).dropDuplicates(["h", "y"]).select("text", "y"), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, **names) -> Grammar:
+    """Grammar from documents and labels of 0 or 1."""
+    rows = sample = draw(docs, labels, **names)
+    drawn = {r["y"]: float(r["n"]) for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(drawn) < 2:
         return Grammar({})
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("y") == 1, min(1.0, SAMPLE / have[1])).otherwise(min(1.0, SAMPLE / have[0]))
-    sample = rows.filter(u < share).dropDuplicates(["text", "y"])
+    n1, n0 = drawn[1], drawn[0]
     # words by label, in tasks; then their beginnings, from the far fewer distinct words
     words = sample.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).filter("w <> ''")
     words = words.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     parts = F.concat(F.array(F.concat("w", F.lit("$"))), F.array_compact(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEM))))
     stems = words.select(F.explode(parts).alias("s"), "bad", "good").groupBy("s").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    drawn = {r["y"]: float(r["n"]) for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = drawn.get(1, 1.0), drawn.get(0, 1.0)
     odds = F.log((F.col("bad") + 0.05) / n1) - F.log((F.col("good") + 0.5) / n0)
     # a stem must be met in several toxic documents and hardly elsewhere: in so many that of
     # CHANCES stems with no meaning less than one has all its documents among the toxic ones
@@ -213,7 +225,7 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out)
-    grammar = fit(docs.join(labels, "doc_id"))
+    grammar = fit(docs, labels)
     return score(docs.select("doc_id", held_out.alias("held_out"), "text"), grammar).select("doc_id", "held_out", "score", "predicted")
 
 
