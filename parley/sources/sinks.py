@@ -27,8 +27,8 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     spark = df.sparkSession
     version = f"{root}/{name}/run_id={uuid.uuid4().hex}"
     df.write.parquet(version)
-    fs, pointer = _fs(spark, f"{root}/{name}/_CURRENT")
-    fs, fresh = _fs(spark, f"{root}/{name}/_CURRENT.{uuid.uuid4().hex}")
+    fs, pointer = _fs(spark, f"{root}/{name}/CURRENT")
+    fs, fresh = _fs(spark, f"{root}/{name}/CURRENT.{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -40,10 +40,10 @@ def publish(df: DataFrame, root: str, name: str) -> str:
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """The published version, or None."""
-    fs, pointer = _fs(spark, f"{root}/{name}/_CURRENT")
+    fs, pointer = _fs(spark, f"{root}/{name}/CURRENT")
     if not fs.exists(pointer):
         return None
-    return spark.read.parquet(spark.read.text(f"{root}/{name}/_CURRENT").first()[0])
+    return spark.read.parquet(spark.read.text(f"{root}/{name}/CURRENT").first()[0])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = ()) -> DataFrame:
