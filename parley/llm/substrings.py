@@ -78,7 +78,7 @@ def without_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) ->
     spot = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))
     edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spot, lambda g: F.array(g.start, F.least(g.stop + 1, F.length(text))))), F.array(F.length(text)))
     pairs = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size(edges) / 2 - 1), lambda i: F.struct(F.get(edges, (i * 2).cast("int")).alias("start"), F.get(edges, (i * 2 + 1).cast("int")).alias("stop"))),
+        F.transform(F.sequence(F.lit(0), (F.size(edges) / 2 - 1).cast("int")), lambda i: F.struct(F.get(edges, (i * 2).cast("int")).alias("start"), F.get(edges, (i * 2 + 1).cast("int")).alias("stop"))),
         lambda s: s.stop > s.start,
     )
     kept = rows.withColumn("kept_spans", F.when(F.col(text).isNotNull(), pairs))

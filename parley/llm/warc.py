@@ -108,6 +108,12 @@ class _Stream:
         self.source, self.z, self.raw, self.held = source, None, b"", b""
 
     def more(self) -> bool:
+        if not self.raw and self.z and (rest := self.z.decompress(b"", CHUNK)):  # output held back so far
+            self.held += rest
+            self.raw = self.z.unconsumed_tail
+            if self.z.eof:
+                self.raw, self.z = self.z.unused_data + self.raw, None
+            return True
         if not self.raw:
             self.raw = self.source.read(STEP)
             if not self.raw:
