@@ -107,22 +107,24 @@ class _Stream:
     def __init__(self, source):
         self.source, self.z, self.raw, self.held = source, None, b"", b""
 
+    def _feed(self, data: bytes) -> bool:
+        self.z = self.z or zlib.decompressobj(31)
+        out = self.z.decompress(data, CHUNK)
+        self.held += out
+        # at the end of a member unconsumed_tail may repeat what unused_data holds
+        self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        if self.z.eof:
+            self.z = None
+        return bool(out)
+
     def more(self) -> bool:
-        if not self.raw and self.z and (rest := self.z.decompress(b"", CHUNK)):  # output held back so far
-            self.held += rest
-            self.raw = self.z.unconsumed_tail
-            if self.z.eof:
-                self.raw, self.z = self.z.unused_data + self.raw, None
+        if not self.raw and self.z and self._feed(b""):  # output held back so far
             return True
         if not self.raw:
             self.raw = self.source.read(STEP)
             if not self.raw:
                 return False
-        self.z = self.z or zlib.decompressobj(31)
-        self.held += self.z.decompress(self.raw, CHUNK)
-        self.raw = self.z.unconsumed_tail
-        if self.z.eof:
-            self.raw, self.z = self.z.unused_data + self.raw, None
+        self._feed(self.raw)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -166,6 +168,8 @@ def chunks_of(source, chunk: int = CHUNK) -> Iterator[tuple]:
             if last:
                 break
         s.take(4)
+    if s.held or s.z:
+        raise ValueError("archive is cut off within a record's head or trailer")
 
 
 def read_archives(archives: DataFrame, files: int) -> DataFrame:
