@@ -2,7 +2,7 @@
 
 Schemas are explicit and all text: missing, null and empty values are equal. Bad rows are
 told apart by a reason instead of failing the job, unless the format is fail-fast by
-definition. Line numbers are part of keys, so files with ordinals are split by position.
+definition. Line numbers are part of keys: they are counted by split and added up.
 """
 
 from __future__ import annotations
@@ -19,18 +19,27 @@ MESSAGE = "conversation_id string, conversation_type string, message_id string,
 INDEX = "conversation_id string, conversation_type string, display_name string, remark string, nick_name string"
 EVENT = "event_id string, account_profile string, message_timestamp string, message_time string, conversation_id string, conversation_name string, chat_type string, sender string, message_type string, text string"
 ORDER = "record_id string, phone string, tracking_no string, platform string, customer_name string, address string, customer_info string, pay_date string, revenue string, refund_type string, refund_reason string, refund_amount string, refund_date string, return_status string"
+SPLITS = 100_000  # counts of file splits up to which they are broadcast
 BINDING = ("账号", "客户手机号", "微信原始ID", "绑定置信度")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, ordinal from 1, line) of one or more text files.
+    """(source_file, ordinal from 1, line) of one or more text files, read in splits.
 
-    Each file is one row first: ordinals are positions in a file, and a file is the unit that
-    the format's writer bounds.
+    Rows of a split are counted by the reading task; the lines of the splits before it in
+    its file are added. Only the counts of splits are shuffled, and they are broadcast up to
+    ``SPLITS`` of them (about 100 bytes each).
     """
-    whole = spark.read.text(path, wholetext=True).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    split = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
-    return whole.select("source_file", F.posexplode(split).alias("p", "line")).select("source_file", (F.col("p") + 1).cast("long").alias("ordinal"), "line")
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__m"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    splits = raw.groupBy("__file", "__start").agg(F.min("__m").alias("__least"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("__file", "__start", "__least", F.coalesce(before, F.lit(0)).alias("__before"))
+    if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= SPLITS:
+        splits = F.broadcast(splits)
+    rows = raw.join(splits, ["__file", "__start"])
+    return rows.select(F.element_at(F.split("__file", "/"), -1).alias("source_file"), (F.col("__m") - F.col("__least") + F.col("__before") + 1).cast("long").alias("ordinal"), "line")
 
 
 def friend_index(index: DataFrame) -> DataFrame:

@@ -120,3 +120,21 @@ def test_serving(spark, tmp_path):
     assert sinks.current(spark, root, "t").count() == 10
     new = spark.createDataFrame([(1, 99), (50, 5)], "k int, v int")
     assert sinks.upsert(df, new, ["k"]).count() == 11 and sinks.insert_or_ignore(df, new, ["k"]).count() == 11
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from parley.sources.readers import numbered_lines
+
+    want = {}
+    for name, n in (("a.jsonl", 4000), ("b.jsonl", 3), ("c.jsonl", 0)):
+        lines = [f"{name} {i} " + "x" * (i % 37) if i % 11 else "" for i in range(n)]
+        (tmp_path / name).write_bytes("\r\n".join(lines).encode() + b"\r\n" * (n > 0))
+        want |= {(name, i + 1): x for i, x in enumerate(lines)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = numbered_lines(spark, f"file://{tmp_path}")
+        assert rows.rdd.getNumPartitions() > 4
+        got = {(r["source_file"], r["ordinal"]): r["line"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
