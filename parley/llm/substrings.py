@@ -1,10 +1,18 @@
-"""Substring dedup by hashing of lines.
+"""Substring dedup: repeated lines by digest, and repeated passages by exact word windows.
 
 Lines are normalised (A-Z lower-cased, ASCII white space collapsed) and known by a 128-bit
 digest. Of all lines with one digest that with the lowest rank (id, text hash, line number)
 stays; all others go. Lines of fewer than ``min_words`` words are left alone: short
 formulas repeat in unrelated texts. What stays keeps its place in the original text.
 
+Every run of ``WINDOW`` words or more that an earlier place has too goes as well, wherever
+lines begin or end; an earlier place in the same document counts if the two don't overlap.
+Rows by window would be one per word, so this takes two steps. Of each window the least
+hash of its ``SHINGLE``-word shingles is its mark: equal windows have equal marks, and few
+shingles are marks. Only windows whose mark two texts share, or one text repeats, get rows
+(a 64-bit hash with its rank), of which all but the earliest go. Whole copies of a text are
+known by the text's hash and get no rows by window.
+
 Hot lines are no trouble: the first occurrence is an aggregate with partial sums in each
 task, and repeated lines find it by a join that Spark splits where a key is hot.
 
@@ -14,15 +22,21 @@ are one document and get equal results; a null id ranks last; other columns are
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, store
+from .common import WordHash, mix, ship, store, words_of
 
 MIN_WORDS = 15
+WINDOW, SHINGLE = 50, 25  # words
+LAST = (1 << 63) - 1  # rank of a null id
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LINES = "doc_id long, th long, unit int, start int, stop int, h1 long, h2 long"
 
 
@@ -69,10 +83,146 @@ def repeated_lines(docs: DataFrame, **kind) -> DataFrame:
     )
 
 
+def rolling(w: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each run of n of the word hashes."""
+    if len(w) < n:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(len(w), _BASE, np.uint64))
+        down = np.cumprod(np.full(len(w) - n + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up, dtype=np.uint64)])
+        return mix((sums[n:] - sums[:-n]) * down)
+
+
+def marks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of WINDOW words: the place and the hash of its mark."""
+    v = rolling(w, SHINGLE)
+    span = WINDOW - SHINGLE + 1
+    if len(v) < span:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    view = np.lib.stride_tricks.sliding_window_view(v, span)
+    at = np.arange(len(view)) + view.argmin(1)
+    return at, v[at]
+
+
+def _hashed(text: str, cache: WordHash) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, th, h, start, stop, unit, head): windows that may be repeated.
+
+    For a whole copy of a text of WINDOW words or more: one row for all of it, where h is null and
+    head the rank of the smallest id with that text.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("text is not null")
+
+    def mark(batches):
+        cache = WordHash()
+        for b in batches:
+            ths, found, many = [], [], []
+            for th, t in zip(*(c.to_pylist() for c in b.columns)):
+                at, v = marks(_hashed(t, cache))
+                _, first = np.unique(at, return_index=True)
+                x, n = np.unique(v[first], return_counts=True)
+                ths.append(np.full(len(x), th, np.int64)), found.append(x.view(np.int64)), many.append(n > 1)
+            if ths:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ths, found, many)], names=["th", "mark", "many"])
+
+    by_text = store(rows.select("th", "text").mapInArrow(mark, "th long, mark long, many boolean"), "marks")
+    shared = by_text.groupBy("mark").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("many").alias("many")).filter("lo <> hi or many").select("mark")
+    of = by_text.select("th", "mark").join(shared, "mark").groupBy("th").agg(F.collect_set("mark").alias("marks"))
+    heads = rows.groupBy("th").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other"))
+    wanted = heads.join(of, "th", "left").filter("head <> other or marks is not null").select("th", "head", "marks")
+
+    def run(batches):
+        cache = WordHash()
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                out = [[] for _ in range(7)]
+                for i, th, t, head, own in zip(*(c.to_pylist() for c in b.slice(at, 200).columns)):
+                    if i == head and not own:
+                        continue
+                    spans = np.array([m.span() for m in _WORD.finditer(t)], np.int32).reshape(-1, 2)
+                    if len(spans) < WINDOW:
+                        continue
+                    if i != head:
+                        first, last, h = spans[:1, 0], spans[-1:, 1], [None]
+                    else:
+                        w = _hashed(t, cache)
+                        k = np.flatnonzero(np.isin(marks(w)[1].view(np.int64), np.array(own, np.int64)))
+                        first, last, h = spans[k, 0], spans[k + WINDOW - 1, 1], rolling(w, WINDOW)[k].view(np.int64).tolist()
+                    ends = np.array([m.start() for m in re.finditer("\n", t)], np.int64)
+                    n = len(first)
+                    for x, y in zip(out, ([i] * n, [th] * n, h, first.tolist(), last.tolist(), np.searchsorted(ends, first).tolist(), [head if i != head else None] * n)):
+                        x.extend(y)
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "th", "h", "start", "stop", "unit", "head"])
+
+    return rows.join(wanted, "th").select("doc_id", "th", "text", "head", "marks").mapInArrow(run, "doc_id long, th long, h long, start int, stop int, unit int, head long")
+
+
+def repeated_passages(docs: DataFrame, **kind) -> DataFrame:
+    """(doc_id, th, unit, start, stop, first_doc_id, first_unit): runs of WINDOW words or more that an earlier place has.
+
+    unit is the line in which the run begins; first_ says where the first window of the run stays.
+    """
+    found = store(windows(docs, **kind), "windows")
+    rank = F.struct("doc_id", "th", "start", "stop", "unit")
+    each = found.filter("h is not null")
+    first = each.groupBy("h").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
+    first = store(first, "first-windows")
+    elsewhere = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.th") != F.col("th"))
+    gone = each.join(first, "h").filter(elsewhere | (F.col("first.stop") <= F.col("start")))
+    gone = gone.select("doc_id", "th", "start", "stop", "unit", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"))
+    by_doc = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "unit", "first_doc_id", "first_unit"))).alias("gone"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, th, spans in zip(*(c.to_pylist() for c in b.columns)):
+                for s in spans:
+                    if out and out[-1][:2] == [i, th] and s["start"] <= out[-1][4]:
+                        out[-1][4] = max(out[-1][4], s["stop"])
+                    else:
+                        out.append([i, th, s["unit"], s["start"], s["stop"], s["first_doc_id"], s["first_unit"]])
+            cols = list(zip(*out)) if out else [()] * 7
+            names = ["doc_id", "th", "unit", "start", "stop", "first_doc_id", "first_unit"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (0, 1, 5) else pa.int32()) for k, c in enumerate(cols)], names=names)
+
+    runs = by_doc.mapInArrow(run, "doc_id long, th long, unit int, start int, stop int, first_doc_id long, first_unit int")
+    copies = found.filter("h is null").distinct().select("doc_id", "th", "unit", "start", "stop", F.col("head").alias("first_doc_id"), F.col("unit").alias("first_unit"))
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
+    return runs.unionByName(copies).select(known("doc_id"), "th", "unit", "start", "stop", known("first_doc_id"), "first_unit")
+
+
+def repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) -> DataFrame:
+    """Repeated lines, and repeated passages; where both hold, places overlap."""
+    return repeated_lines(docs, doc_id=doc_id, text=text, **kind).unionByName(repeated_passages(docs, doc_id=doc_id, text=text))
+
+
+def _disjoint(batches):
+    """(__id, __th, __gone) with overlapping places joined."""
+    for b in batches:
+        joined = []
+        for spans in b.column(2).to_pylist():
+            out = []
+            for s in spans:
+                if out and s["start"] <= out[-1]["stop"]:
+                    out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
+                else:
+                    out.append(dict(s))
+            joined.append(out)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(joined, b.column(2).type)], names=["__id", "__th", "__gone"])
+
+
 def without_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) -> DataFrame:
-    """``docs`` with repeated lines cut from the text, and ``kept_spans``: (start, stop) of what stays."""
-    gone = repeated_lines(docs, doc_id=doc_id, text=text, **kind)
+    """``docs`` with repeated lines and passages cut from the text, and ``kept_spans``: (start, stop) of what stays."""
+    gone = repeats(docs, doc_id=doc_id, text=text, **kind)
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__gone"))
+    gone = gone.mapInArrow(_disjoint, gone.schema)
     base = docs.drop(*[c for c in docs.columns if c.lower() == "kept_spans"]).withColumn("__own", F.xxhash64(text))
     rows = base.join(gone, base[doc_id].cast("long").eqNullSafe(gone["__id"]) & (base["__own"] == gone["__th"]), "left")
     spot = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))
@@ -87,9 +237,9 @@ def without_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) ->
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Lines of 15 words or more that an earlier document or line has already, with their places."""
+    """Lines of 15 words or more, and passages of 50, that an earlier place has already, with their places."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return repeated_lines(docs).drop("th")
+    return repeats(docs).drop("th")
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}

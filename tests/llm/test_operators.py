@@ -38,6 +38,34 @@ def test_lines_keep_the_earliest(docs, empty):
     assert cut == {(1, LONG + "\nend"), (2, "x\n"), (10, "end")}
 
 
+def test_passages_are_exact(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    a, b = word(50), word(120)
+    texts = [
+        word(30) + a + word(9) + b, word(7) + a + word(20), b[10:59], word(5) + b[3:80] + word(5) + b[:60],
+        ["same"] * 170, word(70), b + a, word(60) + a[:49] + word(3),
+    ]
+    texts.append(texts[5])
+    breaks = [" ", " ", "\n", " ", " ", " ", " \n\t", " ", " "]
+    rows = [(None if i == 7 else i, "".join(w + (sep if k % 11 == 0 else " ") for k, w in enumerate(t))) for i, (t, sep) in enumerate(zip(texts, breaks))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, gone = {}, {}
+    for i, (d, _) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0])):
+        for k in range(len(texts[i]) - 49):
+            j, at = seen.setdefault(tuple(texts[i][k : k + 50]), (i, k))
+            if j != i or at + 50 <= k:
+                gone.setdefault(d, set()).update(range(k, k + 50))
+    got = {}
+    for r in substrings.repeated_passages(df).collect():
+        text = dict(rows)[r["doc_id"]]
+        at = len(text[: r["start"]].split())
+        got.setdefault(r["doc_id"], set()).update(range(at, at + len(text[r["start"] : r["stop"]].split())))
+    assert got == gone and set(gone) == {1, 3, 4, 6, 8}
+    left = {r["doc_id"]: r["text"].split() for r in substrings.without_repeats(df).collect()}
+    assert left == {d: [w for k, w in enumerate(texts[i]) if k not in gone.get(d, ())] for i, (d, _) in enumerate(rows)}
+
+
 def brute_components(rows, words, percent):
     sets = []
     for i, t, *_ in rows:
