@@ -20,6 +20,8 @@ word shingles. All work is on distinct sets, so copies cost nothing after the fi
    long list still holds in two components is compared in full, in rounds, until every pair
    that shares a prefix shingle is linked, refuted or in one component: the components are
    exact.
+5. :func:`jaccard_links` then compares what the long lists still hold within one component, too:
+   all pairs that link are found and counted.
 
 Defined results: null and empty texts, or texts without words, have n_shingles 0 and are
 linked with nothing; fewer words than a shingle has make one shingle of the whole sequence;
@@ -193,11 +195,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, percent=80) -> DataFrame:
-    """(id, th, n_shingles, component_id, sid) per row of ``docs``; th is the text's xxhash64.
-
-    See the module's head for the method and the cases.
-    """
+def _linked(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, th, n_shingles, component_id, sid) per row, and the (a, b) of linked sets, all of them if ``every``."""
     lanes = [f"k{i}" for i in range(LANES)]
     held = store(_describe(docs, doc_id, text, words, percent, common_shingles(docs, text, words)), "described")
     full = held.filter("n > 0")
@@ -274,11 +273,38 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5
         links = store(links.unionByName(fresh), "links")
         label = components(links)
 
+    if every:  # pairs within one component that no leader was in
+        rest = pairs(long, long, ["kind", "key"], F.col("a.sid") < F.col("b.sid")).distinct()
+        links = store(links.unionByName(verify(store(rest.join(tried, ["a", "b"], "left_anti"), "rest"))), "links")
+
     of = sets.select("sid", "rep").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = of.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_set = of.select("sid", "label").join(least, "label").select("sid", "component_id")
     out = full.select("id", "th", "n", "sid").join(by_set, "sid").unionByName(held.filter("n = 0").select("id", "th", "n", "sid", F.col("id").alias("component_id")))
-    return out.select("id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "sid")
+    return out.select("id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "sid"), links
+
+
+def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, percent=80) -> DataFrame:
+    """(id, th, n_shingles, component_id, sid) per row of ``docs``; th is the text's xxhash64.
+
+    See the module's head for the method and the cases.
+    """
+    return _linked(docs, doc_id, text, words, percent, False)[0]
+
+
+def jaccard_links(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, percent=80) -> tuple[DataFrame, DataFrame]:
+    """:func:`jaccard_components` with n_links, the other rows that a row is linked with; and all linked pairs (a, b) of distinct sets.
+
+    Work and result grow with the pairs that share a prefix shingle, so with the square of a
+    group of variants; rows with equal sets are counted, not paired.
+    """
+    rows, links = _linked(docs, doc_id, text, words, percent, True)
+    rows = store(rows, "linked")
+    copies = rows.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    ways = links.select(F.col("a").alias("sid"), F.col("b").alias("far")).unionByName(links.select(F.col("b").alias("sid"), F.col("a").alias("far")))
+    far = ways.join(copies.select(F.col("sid").alias("far"), "copies"), "far").groupBy("sid").agg(F.sum("copies").alias("others"))
+    counts = copies.join(far, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counts, "sid", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0)).alias("n_links")), links
 
 
 def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, percent=80) -> DataFrame:

@@ -102,6 +102,25 @@ def test_components_are_exact(spark, docs, empty, monkeypatch, small):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_all_links_are_counted(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(45):  # one group with lists far over SMALL
+        w = list(base)
+        for at in rng.integers(0, 100, 3):
+            w[at] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[0][1]), (51, ""), (52, None), (53, "alone here")]
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set() for _, t in rows]
+    link = lambda a, b: bool(a & b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: sum(link(x, y) for k, y in enumerate(sets) if k != j) for j, ((i, _), x) in enumerate(zip(rows, sets))}
+    got, pairs = jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=4, percent=85)
+    assert {r["id"]: r["n_links"] for r in got.collect()} == want
+    one = list({frozenset(s) for s in sets if s})
+    assert pairs.count() == sum(link(x, y) for k, x in enumerate(one) for y in one[:k])
+
+
 def test_one_of_each(docs):
     left = sorted((str(r["doc_id"]) for r in jaccard.one_of_each(docs, words=5, percent=80).collect()))
     assert left == sorted(["1", "4", "5", "6", "7", "8", "9"])
