@@ -196,7 +196,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, th, n_shingles, component_id, sid) per row, and the (a, b) of linked sets, all of them if ``every``."""
+    """(id, th, n_shingles, component_id, sid, label) per row, and the (a, b) of linked sets, all of them if ``every``."""
     lanes = [f"k{i}" for i in range(LANES)]
     held = store(_describe(docs, doc_id, text, words, percent, common_shingles(docs, text, words)), "described")
     full = held.filter("n > 0")
@@ -279,13 +279,16 @@ def _linked(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, e
 
     of = sets.select("sid", "rep").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = of.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_set = of.select("sid", "label").join(least, "label").select("sid", "component_id")
-    out = full.select("id", "th", "n", "sid").join(by_set, "sid").unionByName(held.filter("n = 0").select("id", "th", "n", "sid", F.col("id").alias("component_id")))
-    return out.select("id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "sid"), links
+    by_set = of.select("sid", "label").join(least, "label").select("sid", "component_id", "label")
+    out = full.select("id", "th", "n", "sid").join(by_set, "sid").unionByName(held.filter("n = 0").select("id", "th", "n", "sid", F.col("id").alias("component_id"), F.col("sid").alias("label")))
+    return out.select("id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "sid", "label"), links
 
 
 def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, percent=80) -> DataFrame:
-    """(id, th, n_shingles, component_id, sid) per row of ``docs``; th is the text's xxhash64.
+    """(id, th, n_shingles, component_id, sid, label) per row of ``docs``.
+
+    th is the text's xxhash64; label, the component's smallest sid, tells components with
+    equal or null ids apart.
 
     See the module's head for the method and the cases.
     """
@@ -310,19 +313,19 @@ def jaccard_links(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, per
 def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", words=5, percent=80) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id.
 
-    Documents without words all stay. Of rows that repeat an id and text one stays, and of
-    a component without any id one.
+    Documents without words all stay. Of rows that repeat an id and text one stays, of a
+    component without any id one, and of different texts of the smallest id that with the least hash.
     """
     found = jaccard_components(docs, doc_id=doc_id, text=text, words=words, percent=percent)
     found = store(found, "components")
-    keep = found.filter("n_shingles > 0 and (id = component_id or component_id is null)")
-    keep = keep.groupBy("id", "component_id", F.when(F.col("component_id").isNull(), F.col("sid")).alias("alone")).agg(F.min("th").alias("th"), F.count("*").alias("rows"))
-    keep = keep.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "rows")
+    each = found.filter("n_shingles > 0").groupBy("label", "id", "th").agg(F.count("*").alias("rows"))
+    keep = each.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th", "rows")).alias("k"))
+    keep = keep.select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.rows").alias("__rows"))
     rows = docs.withColumn("__th", F.xxhash64(text))
     on = F.col(doc_id).cast("long").eqNullSafe(keep["__id"]) & (rows["__th"] == keep["__th"])
     kept = rows.join(keep, on).drop(keep["__th"]).drop("__id")
-    once = kept.filter("rows = 1").drop("rows", "__th")
-    again = kept.filter("rows > 1").dropDuplicates([doc_id, "__th"]).drop("rows", "__th")
+    once = kept.filter("__rows = 1").drop("__rows", "__th")
+    again = kept.filter("__rows > 1").dropDuplicates([doc_id, "__th"]).drop("__rows", "__th")
     bare = docs.filter(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     return once.unionByName(again).unionByName(bare)
 

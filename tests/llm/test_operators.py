@@ -126,6 +126,14 @@ def test_one_of_each(docs):
     assert left == sorted(["1", "4", "5", "6", "7", "8", "9"])
 
 
+def test_one_of_each_component(spark):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("a")), (None, text("c")), (None, text("c", 41)), (None, text("d")), (5, text("d", 41)), (6, text("e")), (6, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"][0]) for r in jaccard.one_of_each(df, words=5, percent=80).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (5, "d"), (6, "e")], key=str)
+
+
 def test_decontamination_against_brute_force(spark, docs, empty):
     bench = spark.createDataFrame([(1, LONG), (2, None), (3, ""), (4, "12 34"), (5, "a b c d e f g h i j k l m n o p")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
@@ -285,6 +293,19 @@ def test_neighbours(spark):
     assert neighbours.neighbours(df.limit(0), q.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_just_these_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("c")), (4, "12 34"), (5, text("d"))]
+    held = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, text("c"))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        held = common.store(stage(spark, held, d), name)
+    assert sorted((r["doc_id"], r["text"]) for r in held.collect()) == [(1, text("a")), (1, text("b")), (5, text("d"))]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
