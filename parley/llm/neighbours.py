@@ -6,7 +6,9 @@ tables hashes by ``BITS`` Gaussian projections, floor((a.v + b)/WIDTH). A query
 own bucket and then perturbed ones in estimated order of success (query-directed probing with
 the precomputed sequence of perturbation sets). How many it visits is fitted on a bounded
 sample of ``SAMPLE`` queries, whose exact neighbours are found by a scan, so that at least
-``RECALL`` of these lie in visited buckets; every row is indexed.
+``RECALL`` of these lie in visited buckets; every row is indexed. Where ``PROBES`` probes do
+not reach that, all rows of the blocks are scored; so they are for each query that found
+fewer than k rows, or than all there are.
 
 Equal vectors are indexed once and expanded at the end. Vectors are dealt out in blocks of
 ``BLOCK`` by a hash, queries in blocks too; each pair of blocks is a task of fixed memory that
@@ -162,17 +164,21 @@ def fit(hashes: Hashes, groups: DataFrame, queries: DataFrame, k: int) -> tuple[
     visited = hashes.probes(q, sets)
     first = []
     for i, vs in near.items():
-        own = hashes.of(np.array(vs, np.float64))
+        other = np.array(vs, np.float64)
+        other = other[(other != q[i]).any(1)][:k]  # its own vector is found always
+        own = hashes.of(other) if len(other) else []
         for row in own:
             hit = (visited[i] == row[:, None]).any(0)
             first.append(int(hit.argmax()) if hit.any() else len(sets))
+    if not first:
+        return sets[:1], 1.0
     need = int(np.quantile(np.array(first), RECALL, method="higher")) + 1
     need = min(len(sets), need)
     return sets[:need], float((np.array(first) < need).mean())
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, *, k=20, vec_id="vec_id", vector="embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of each query that were found."""
+    """(query_id, rank, vec_id, score): the k nearest rows of each query that were found, k if there are as many."""
     spark = rows.sparkSession
     ship(spark)
     ok, dim, largest = clean(rows, vec_id, vector)
@@ -189,9 +195,26 @@ def neighbours(rows: DataFrame, queries: DataFrame, *, k=20, vec_id="vec_id", ve
     asked = store(asked.dropDuplicates(["vec_id"]), "queries")
     hashes = Hashes(dim, float(largest))
     sets, recall = fit(hashes, groups, asked, k)
+    if recall < RECALL:
+        return _search(groups, members, asked, None, k)
+    out = store(_search(groups, members, asked, (hashes, sets), k), "found")
+    total = ok.count()
+    rest = ok.groupBy("vec_id").agg((total - F.count("*")).alias("others"))
+    got = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got"))
+    few = asked.join(rest, "vec_id", "left").join(got, "vec_id", "left")
+    few = few.filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.coalesce("others", F.lit(total)))).select("vec_id", "v")
+    few = store(few, "short-queries")
+    if not few.limit(1).count():
+        return out
+    whole = out.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return whole.unionByName(_search(groups, members, few, None, k))
+
+
+def _search(groups: DataFrame, members: DataFrame, asked: DataFrame, way: tuple[Hashes, np.ndarray] | None, k: int) -> DataFrame:
+    """The k nearest rows of each query by hashes and perturbation sets, or of all rows if there are none."""
     n, m = groups.count(), asked.count()
     blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    held = spark.sparkContext.broadcast((hashes, sets))
+    held = groups.sparkSession.sparkContext.broadcast(way)
     far, near = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(q_blocks - 1))
     data = groups.select("gid", "least", "v", F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int").alias("db"), F.explode(near).alias("qb"))
     wanted = asked.select("vec_id", "v", F.explode(far).alias("db"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"))
@@ -199,12 +222,15 @@ def neighbours(rows: DataFrame, queries: DataFrame, *, k=20, vec_id="vec_id", ve
     def block(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"query_id": [], "gid": [], "least": [], "score": []})
-        h, order = held.value
         q, d = q.sort_values("vec_id"), d.sort_values(["least", "gid"])
         qm, dm = _matrix(q["v"]), _matrix(d["v"])
-        seen = np.full((len(q), len(d)), -np.inf)
-        own_keys, ask = h.of(dm), h.probes(qm, order)
-        for t in range(TABLES):
+        if held.value is None:
+            seen = qm @ dm.T
+        else:
+            h, order = held.value
+            seen = np.full((len(q), len(d)), -np.inf)
+            own_keys, ask = h.of(dm), h.probes(qm, order)
+        for t in range(TABLES if held.value else 0):
             by = np.argsort(own_keys[:, t], kind="stable")
             buckets, starts = np.unique(own_keys[by, t], return_index=True)
             stops = np.append(starts[1:], len(by))

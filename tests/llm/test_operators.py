@@ -293,6 +293,22 @@ def test_neighbours(spark):
     assert neighbours.neighbours(df.limit(0), q.limit(0)).count() == 0
 
 
+def test_neighbours_where_probes_fail(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    few = rng.normal(size=(20, 64))
+    few[0] *= 1000  # the largest norm presses all others into a few cells
+    for v, step in ((x, 50), (few, 1)):
+        df = spark.createDataFrame([(i, [float(a) for a in w]) for i, w in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours.neighbours(df, df.filter(f"vec_id % {step} = 0"), k=20).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        s = v @ v.T
+        want = {i: set([j for j in np.argsort(-s[i], kind="stable").tolist() if j != i][:20]) for i in range(0, len(v), step)}
+        assert set(got) == set(want) and all(len(got[i]) == len(want[i]) for i in want)
+        assert sum(len(got[i] & want[i]) for i in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_pipeline_keeps_just_these_rows(spark, tmp_path):
     import corpus_pipeline
 
