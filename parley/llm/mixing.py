@@ -2,9 +2,10 @@
 
 A source with ``n`` characters (one more per document, so none is empty) gets the share
 ``n**alpha / sum(n**alpha)`` of an output of ``scale`` times the input, or its share of given
-weights; its mean repetition rate is that share's size over its own, ``max_rate`` at most.
+weights; its mean repetition rate is that share's size over its own.
 Each document is repeated k times, k being the inverse Poisson distribution of that mean at
-a uniform number hashed from seed and id. Copies are dealt out by a hash and sorted by it:
+a uniform number hashed from seed and id; a mean over ``MAX_RATE`` is drawn as the sum of
+as many draws of an equal part, each at a number of its own. Copies are dealt out by a hash and sorted by it:
 a global shuffle that any later run repeats exactly.
 
 Defined results: a null source is a source of its own; sources without a given weight get
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 20
-MAX_RATE = 16.0
+MAX_RATE = 16.0  # mean of one draw at most
 TERMS = 90  # of the distribution: beyond it at mean 16 lies less than 1e-30
 MANY = 10_000  # sources up to which rates are broadcast (each about 1 kB)
 SALTS = 32
@@ -30,7 +31,7 @@ def _unit(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, *, text="text", source="source", alpha=0.5, scale=1.0, weights: dict[str, float] | None = None) -> DataFrame:
-    """(source, mean, cdf) of each source."""
+    """(source, mean, cdf, draws) of each source: a document gets the sum of ``draws`` numbers of that mean."""
     n = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + 1).cast("double").alias("n"))
     if weights is None:
         share = n.withColumn("w", F.pow("n", F.lit(float(alpha))))
@@ -40,7 +41,8 @@ def rates(docs: DataFrame, *, text="text", source="source", alpha=0.5, scale=1.0
             w = F.when(F.col("source") == k, F.lit(float(v))).otherwise(w)
         share = n.withColumn("w", w)
     total = share.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    mean = F.least(F.lit(MAX_RATE), F.coalesce(F.lit(float(scale)) * F.col("all_n") * F.col("w") / F.nullif(F.col("all_w"), F.lit(0.0)) / F.col("n"), F.lit(0.0)))
+    whole = F.coalesce(F.lit(float(scale)) * F.col("all_n") * F.col("w") / F.nullif(F.col("all_w"), F.lit(0.0)) / F.col("n"), F.lit(0.0))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("whole") / MAX_RATE)).cast("int")
     cdf = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
         F.struct(F.array(F.exp(-F.col("mean"))).alias("c"), F.exp(-F.col("mean")).alias("p"), F.exp(-F.col("mean")).alias("s")),
@@ -48,13 +50,13 @@ def rates(docs: DataFrame, *, text="text", source="source", alpha=0.5, scale=1.0
             F.array_append(a.c, a.s + a.p * F.col("mean") / k).alias("c"), (a.p * F.col("mean") / k).alias("p"), (a.s + a.p * F.col("mean") / k).alias("s")
         ),
     ).c
-    return share.join(F.broadcast(total)).withColumn("mean", mean).withColumn("cdf", cdf).select("source", "mean", "cdf")
+    return share.join(F.broadcast(total)).withColumn("whole", whole).withColumn("draws", draws).withColumn("mean", F.col("whole") / F.col("draws")).withColumn("cdf", cdf).select("source", "mean", "cdf", "draws")
 
 
 def replicate(docs: DataFrame, rate: DataFrame, *, doc_id="doc_id", text="text", source="source") -> DataFrame:
     """Rows of ``docs`` once per copy with __copy, __copies and __at, dealt out and sorted by __at."""
     key = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rate = rate.select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    rate = rate.select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"), F.col("draws").alias("__draws"))
     rows = docs.withColumns({"__key": key, "__u": _unit(key)})
     if rate.limit(MANY + 1).count() <= MANY:
         joined = rows.join(F.broadcast(rate), rows[source].eqNullSafe(rate["__source"]))
@@ -62,10 +64,13 @@ def replicate(docs: DataFrame, rate: DataFrame, *, doc_id="doc_id", text="text",
         rate = rate.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
         joined = rows.join(rate, rows[source].eqNullSafe(rate["__source"]) & (rows["__part"] == rate["__salt"])).drop("__part", "__salt")
-    copies = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.col("__draws") - 1), F.lit(0), lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= _unit(F.col("__key"), j.cast("string"))))
+    )
+    copies = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))) + F.when(F.col("__draws") > 1, more).otherwise(0)
     many = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("at"), F.lit(str(SEED)), "__key", F.col("__copy").cast("string"))), 1, 13), 16, 10).cast("long")
-    dealt = many.withColumn("__at", at).drop("__key", "__u", "__cdf", "__source")
+    dealt = many.withColumn("__at", at).drop("__key", "__u", "__cdf", "__draws", "__source")
     return dealt.repartition("__at").sortWithinPartitions("__at")
 
 

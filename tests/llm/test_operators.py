@@ -171,6 +171,14 @@ def test_poisson_mean(spark):
     assert abs(n["x"] - 3000) < 200 and abs(n["y"] - 1000) < 120
 
 
+def test_rare_source_reaches_its_weight(spark):
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 100 == 0, "x").otherwise("y").alias("source"))
+    n = {r["source"]: r["n"] for r in mixing.mix(df, weights={"x": 1.0, "y": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(n["x"] - 5000) < 350 and abs(n["y"] - 5000) < 350
+    many = [r["k"] for r in mixing.mix(df, weights={"x": 1.0, "y": 1.0}).filter("source = 'x'").groupBy("doc_id").agg(F.count("*").alias("k")).collect()]
+    assert len(many) == 100 and 25 < np.var(many) < 90
+
+
 def test_shards(spark, docs, empty):
     rows = [(i, "t" * (1 + i % 90) if i % 5 else "same text", "en", "s", 1) for i in range(600)] + ROWS
     out = shards.shard(spark.createDataFrame(rows, SCHEMA).withColumn("slot", F.lit("mine"))).collect()
