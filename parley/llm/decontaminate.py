@@ -1,14 +1,12 @@
-"""Benchmark decontamination by SimHash windows and multi-index Hamming search.
-
-An item of L shingles (five words each) is looked for in all windows of L shingles. Items
-and windows get a 64-bit SimHash of their weighted shingles; four tables of 16-bit blocks
-hold every value within ``radius // 4`` bits of an item's block, so that each fingerprint
-within ``radius`` of an item shares a table entry with it (of four blocks one differs in
-no more than a fourth of the bits). Candidates within the radius are held against the item
-by the exact weighted Jaccard similarity of the two multisets of shingles. A shingle's
-weight is 16 ln(1 + N/df), rounded, over the N items; shingles of no item have df 1.
-Only windows that hold a shingle of an item of their size get a fingerprint: all others
-have similarity 0 to it.
+"""Benchmark decontamination by windows of shingles, bounds of shared weight and exact similarity.
+
+An item of L shingles (five words each) is looked for in all windows of L shingles by the
+weighted Jaccard similarity of the two multisets of shingles. A shingle's weight is
+16 ln(1 + N/df), rounded, over the N items; shingles of no item have df 1. Windows that
+share a shingle with the item are listed from the item's shingles in the document; the
+weight of those in a window bounds what both share, and each window whose bound permits the
+similarity asked for is compared exactly, so none is missed. The Hamming distance of the
+64-bit SimHashes of item and window is reported, and decides nothing.
 
 Items are broadcast in blocks of at most ``ITEMS`` items and ``ITEM_WORDS`` words; each
 block is a pass over the documents, so that a benchmark of any size can be used.
@@ -24,26 +22,24 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, gram_hashes, ship, words_of
+from .common import WordHash, drop_stored, gram_hashes, ship, store, words_of
 
 ITEMS, ITEM_WORDS = 1000, 200_000
-BLOCKS, BITS = 4, 16
 SPAN = 4096  # windows fingerprinted at once
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
 class Index:
-    """Items of one block: shingles with weights, and the tables of fingerprint blocks."""
+    """Items of one block: shingles with weights, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, str]], total: int, df: Counter, words: int, radius: int, similarity: float):
-        self.words, self.radius, self.similarity = words, radius, similarity
+    def __init__(self, items: list[tuple[int, str]], total: int, df: dict[int, int], words: int, similarity: float):
+        self.words, self.similarity = words, similarity
         cache = WordHash()
         self.rest = max(1, round(16 * math.log(1 + total)))  # weight of a shingle of no item
         self.ids = [i for i, _ in items]
@@ -54,29 +50,11 @@ class Index:
         self.weights = np.array([weight[h] for h in sorted(weight)], np.int64)
         self.sums = [sum(c * weight[h] for h, c in x.items()) for x in self.counts]
         self.size = np.array([len(g) for g in grams], np.int64)
-        self.sizes = np.unique(self.size)
-        holds: dict[int, set[int]] = {}
-        for g in grams:
-            for h in g.tolist():
-                holds.setdefault(h, set()).add(len(g))
-        flat = [(k, n) for k, h in enumerate(self.grams.tolist()) for n in sorted(holds[h])]
-        self.size_of = np.array([n for _, n in flat], np.int64)
-        self.first = np.searchsorted(np.array([k for k, _ in flat], np.int64), np.arange(len(self.grams) + 1))
         self.prints = np.array([self.fingerprints(g, self.weight_of(g), np.zeros(1, np.int64), len(g))[0] for g in grams], np.uint64)
-        near = [0] + [sum(1 << b for b in bits) for k in range(1, radius // BLOCKS + 1) for bits in combinations(range(BITS), k)]
-        near_a = np.array(near, np.uint64)
-        keys, owners = [], []
-        for b in range(BLOCKS):
-            part = (self.prints >> np.uint64(BITS * b)) & np.uint64(0xFFFF)
-            keys.append((self.table(self.size, b)[:, None] | (part[:, None] ^ near_a)).ravel())
-            owners.append(np.repeat(np.arange(len(items), dtype=np.int32), len(near)))
-        keys_a, owners_a = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys_a, kind="stable")
-        self.keys, self.owners = keys_a[order], owners_a[order]
-
-    def table(self, size, block: int):
-        at = np.searchsorted(self.sizes, size).astype(np.uint64)
-        return (at * np.uint64(BLOCKS) + np.uint64(block)) << np.uint64(BITS)
+        pairs = sorted((h, i) for i, c in enumerate(self.counts) for h in c)
+        self.owners = np.array([i for _, i in pairs], np.int64)
+        self.first = np.searchsorted(np.array([h for h, _ in pairs], np.uint64), self.grams, "left")
+        self.last = np.append(self.first[1:], len(pairs))
 
     def places(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
@@ -118,35 +96,39 @@ class Index:
             return []
         w = np.where(known, self.weights[at], self.rest)
         best: dict[int, tuple[float, int, int, int]] = {}
-        ends = self.first[at[hits] + 1] - self.first[at[hits]]
-        sized = np.repeat(hits, ends)
-        sizes = self.size_of[np.concatenate([np.arange(a, b) for a, b in zip(self.first[at[hits]], self.first[at[hits] + 1])])]
-        for size in np.unique(sizes).tolist():
-            own = sized[sizes == size]
-            span = min(size, len(g))
-            edge = np.zeros(len(g) - span + 2, np.int64)
-            np.add.at(edge, np.clip(own - span + 1, 0, len(g) - span), 1)
-            np.add.at(edge, np.minimum(own, len(g) - span) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-            prints = self.fingerprints(g, w, starts, span)
-            found = set()
-            for b in range(BLOCKS):
-                key = self.table(np.array([size]), b) | ((prints >> np.uint64(BITS * b)) & np.uint64(0xFFFF))
-                lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-                for k in np.flatnonzero(hi > lo).tolist():
-                    found.update((k, i) for i in self.owners[lo[k] : hi[k]].tolist())
-            if not found:
-                continue
-            pairs = np.array(sorted(found), np.int64)
-            apart = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]).astype(np.int64)
-            near = apart <= self.radius
-            for d, (k, i) in sorted(zip(apart[near].tolist(), pairs[near].tolist())):
-                if best.get(i, (0.0,))[0] == 1.0:
-                    continue
-                x = int(starts[k])
-                sim = self.alike(g[x : x + span].tolist(), w[x : x + span].tolist(), i)
-                if sim >= self.similarity and (-sim, x) < (-best[i][0], best[i][1]) if i in best else sim >= self.similarity:
-                    best[i] = (sim, x, span, d)
+        lo, n = self.first[at[hits]], self.last[at[hits]] - self.first[at[hits]]
+        who = self.owners[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        where = np.repeat(hits, n)
+        share = np.bincount(who, w[where], len(self.ids))
+        least = self.similarity * np.array(self.sums) - 1e-6  # what both must share
+        may = np.flatnonzero((share > 0) & (share >= least))
+        if not len(may):
+            return []
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(w)])
+        order = np.argsort(who, kind="stable")
+        who, where = who[order], where[order]
+        for i in may.tolist():
+            own = where[np.searchsorted(who, i, "left") : np.searchsorted(who, i, "right")]
+            span = min(int(self.size[i]), len(g))
+            starts = np.unique(np.concatenate([np.clip(own - span + 1, 0, len(g) - span), own.clip(max=len(g) - span)]))
+            held = np.zeros(len(g) + 1, np.int64)
+            held[own + 1] = w[own]
+            held = np.cumsum(held)
+            # all windows between those edges, as far as the bound lets them through
+            x = np.arange(starts[0], starts[-1] + 1)
+            bound = held[x + span] - held[x]
+            x = x[(bound > 0) & (bound >= least[i]) & (bound >= self.similarity * (total[x + span] - total[x]) - 1e-6)]
+            top = (0.0, 0)
+            for k in x.tolist():
+                sim = self.alike(g[k : k + span].tolist(), w[k : k + span].tolist(), i)
+                if sim >= self.similarity and sim > top[0]:
+                    top = (sim, k)
+                    if sim == 1.0:
+                        break
+            if top[0] > 0:
+                k = top[1]
+                print_ = self.fingerprints(g[k : k + span], w[k : k + span], np.zeros(1, np.int64), span)[0]
+                best[i] = (top[0], k, span, int(np.bitwise_count(print_ ^ self.prints[i])))
         return [(i, x, min(span + self.words - 1, len(named)), d, sim) for i, (sim, x, span, d) in sorted(best.items())]
 
     def alike(self, grams: list[int], weights: list[int], item: int) -> float:
@@ -157,27 +139,47 @@ class Index:
         return both / (own + self.sums[item] - both)
 
 
-def indexes(benchmark: DataFrame, *, item_id="item_id", text="text", words=5, radius=14, similarity=0.8) -> Iterator[Index]:
+def _df(rows: DataFrame, words: int) -> DataFrame:
+    """(h, n): items that hold each shingle."""
+
+    def count(batches):
+        cache = WordHash()
+        for b in batches:
+            found = [np.unique(gram_hashes(words_of(t), cache, words)) for t in b.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    ship(rows.sparkSession)
+    return store(rows.select("t").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")), "item-shingles")
+
+
+def indexes(benchmark: DataFrame, *, item_id="item_id", text="text", words=5, similarity=0.8) -> Iterator[Index]:
     """Indexes of the items, block by block."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
-    total, df, cache = 0, Counter(), WordHash()
-    ordered = rows.orderBy("i", "t")
-    for r in ordered.toLocalIterator():
-        total += 1
-        if len(df) < 50 * ITEM_WORDS:  # beyond, shingles not met so far count as rare
-            df.update(set(gram_hashes(words_of(r["t"]), cache, words).tolist()))
-        else:
-            df.update(h for h in set(gram_hashes(words_of(r["t"]), cache, words).tolist()) if h in df)
+    total = rows.count()
+    if not total:
+        return
+    df = _df(rows, words)
+
+    def index(block: list[tuple[int, str]]) -> Index:
+        cache = WordHash()
+        own = np.unique(np.concatenate([gram_hashes(words_of(t), cache, words) for _, t in block]))
+        wanted = rows.sparkSession.createDataFrame(pa.table({"h": own.view(np.int64)}))
+        got = df.join(wanted, "h").toArrow()
+        counts = dict(zip(got.column("h").to_numpy().view(np.uint64).tolist(), got.column("n").to_pylist()))
+        return Index(block, total, counts, words, similarity)
+
     block, size = [], 0
-    for r in ordered.toLocalIterator():
+    for r in rows.orderBy("i", "t").toLocalIterator():
         n = len(words_of(r["t"]))
         if block and (len(block) >= ITEMS or size + n > ITEM_WORDS):
-            yield Index(block, total, df, words, radius, similarity)
+            yield index(block)
             block, size = [], 0
         block.append((r["i"], r["t"]))
         size += n
     if block:
-        yield Index(block, total, df, words, radius, similarity)
+        yield index(block)
+    drop_stored(df)
 
 
 _FOUND = "item_id long, first_word int, n_words int, hamming int, similarity double"

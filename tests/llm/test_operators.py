@@ -147,6 +147,45 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     assert [m[1] for m in one.matches("zero " * 40 + edited, common.WordHash())] == [39]
 
 
+def test_edited_items_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 900, n)]
+    items = [word(n) for n in (13, 31, 40, 50, 104) * 4]
+    items[7][5:15] = items[2][5:15]
+    docs = []
+    for i in range(240):
+        w = list(items[i % 20])
+        for _ in range(i % 3 if len(w) < 90 else i % 5):  # edits that leave about 0.8
+            at = int(rng.integers(0, len(w)))
+            w[at : at + 1] = word(int(rng.integers(0, 3)))
+        docs.append(word(int(rng.integers(0, 30))) + w + word(int(rng.integers(0, 30))) + (items[(i + 3) % 20] if i % 7 == 0 else []))
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    df = Counter(g for x in items for g in set(grams(x)))
+    weight = lambda g: max(1, round(16 * math.log(1 + len(items) / df.get(g, 1))))
+    want = {}
+    for d, text in enumerate(docs):
+        all_g = grams(text)
+        for i, x in enumerate(items):
+            mine = Counter(grams(x))
+            span, top = min(len(grams(x)), len(all_g)), 0.0
+            if not mine.keys() & set(all_g):
+                continue
+            for k in range(len(all_g) - span + 1):
+                other = Counter(all_g[k : k + span])
+                both = sum(c * weight(g) for g, c in (mine & other).items())
+                top = max(top, both / (sum(c * weight(g) for g, c in (mine | other).items())))
+            if top >= 0.8:
+                want[d, i] = round(top, 9)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    held = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    got = decontaminate.contaminated(held, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == want
+    assert any(r["hamming"] > 14 for r in got)  # such windows were lost
+
+
 def test_fingerprints_within_the_radius_meet():
     rng = np.random.default_rng(3)
     for _ in range(200):
