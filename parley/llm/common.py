@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,9 +16,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session whose tasks all run in the driver's process (``local[...]``)
+    gets a temporary one; on a cluster that is an error, for executors don't share local folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "parley-checkpoints")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(path)
@@ -41,17 +48,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a durable lineage cut.
 
-    Shuffle files of what was written are of no more use; Spark deletes them once the
-    driver's JVM has found that nothing refers to them.
+    Spark is told to delete the shuffle files of this write once it has ended: nothing reads
+    them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    spark._jvm.System.gc()
+    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._parley_path = path  # type: ignore[attr-defined]
     return out
@@ -67,8 +80,18 @@ def drop_stored(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def packed(docs: DataFrame, **keys: str) -> DataFrame:
+    """All columns of ``docs`` in one column ``row``, and its columns named in ``keys`` beside it.
+
+    Whatever a user's columns are called, they can't clash with an operator's own.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(whole, *(F.col(f"`{c}`").alias(k) for k, c in keys.items()))
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns of these names, in whatever case."""
+    return docs.drop(*(c for c in docs.columns if c.lower() in names))
 
 
 def crc_mod(doc_id, m: int):

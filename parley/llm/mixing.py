@@ -4,13 +4,15 @@ A source with ``n`` characters (one more per document, so none is empty) gets th
 ``n**alpha / sum(n**alpha)`` of an output of ``scale`` times the input, or its share of given
 weights; its mean repetition rate is that share's size over its own.
 Each document is repeated k times, k being the inverse Poisson distribution of that mean at
-a uniform number hashed from seed and id; a mean over ``MAX_RATE`` is drawn as the sum of
-as many draws of an equal part, each at a number of its own. Copies are dealt out by a hash and sorted by it:
-a global shuffle that any later run repeats exactly.
+a uniform number hashed from seed and id. No mean is cut: one over ``MAX_RATE`` is drawn as
+the sum of as many draws of an equal part, each at a number of its own. Copies are dealt out
+by a hash and sorted by it: a global shuffle that any later run repeats exactly.
 
 Defined results: a null source is a source of its own; sources without a given weight get
-none; a null id draws by its text; rows with equal ids draw alike; null texts count as
-empty; an empty table gives an empty table; other columns are kept as they are.
+none; a null id draws by its text; rows with equal ids draw alike and repeated rows each for
+themselves; copies of one hash (rows with equal ids) stand side by side in any order; null
+texts count as empty, long ones by their length; an empty table gives an empty table; other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 SEED = 20
-MAX_RATE = 16.0  # mean of one draw at most
+MAX_RATE = 16.0  # mean of one draw; larger means are sums of draws
 TERMS = 90  # of the distribution: beyond it at mean 16 lies less than 1e-30
 MANY = 10_000  # sources up to which rates are broadcast (each about 1 kB)
 SALTS = 32
@@ -54,36 +58,38 @@ def rates(docs: DataFrame, *, text="text", source="source", alpha=0.5, scale=1.0
 
 
 def replicate(docs: DataFrame, rate: DataFrame, *, doc_id="doc_id", text="text", source="source") -> DataFrame:
-    """Rows of ``docs`` once per copy with __copy, __copies and __at, dealt out and sorted by __at."""
-    key = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rate = rate.select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"), F.col("draws").alias("__draws"))
-    rows = docs.withColumns({"__key": key, "__u": _unit(key)})
+    """(row, copy, copies, at) of each copy, ``row`` having all columns, dealt out and sorted by ``at``."""
+    rows = packed(docs, id=doc_id, text=text, source=source)
+    rows = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).withColumn("u", _unit("key")).drop("id", "text")
+    rows, rate = rows.alias("r"), rate.alias("t")
+    same = F.col("r.source").eqNullSafe(F.col("t.source"))
     if rate.limit(MANY + 1).count() <= MANY:
-        joined = rows.join(F.broadcast(rate), rows[source].eqNullSafe(rate["__source"]))
-    else:
-        rate = rate.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
-        joined = rows.join(rate, rows[source].eqNullSafe(rate["__source"]) & (rows["__part"] == rate["__salt"])).drop("__part", "__salt")
-    more = F.aggregate(
-        F.sequence(F.lit(1), F.col("__draws") - 1), F.lit(0), lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= _unit(F.col("__key"), j.cast("string"))))
-    )
-    copies = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))) + F.when(F.col("__draws") > 1, more).otherwise(0)
-    many = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("at"), F.lit(str(SEED)), "__key", F.col("__copy").cast("string"))), 1, 13), 16, 10).cast("long")
-    dealt = many.withColumn("__at", at).drop("__key", "__u", "__cdf", "__draws", "__source")
-    return dealt.repartition("__at").sortWithinPartitions("__at")
-
-
-def mix(docs: DataFrame, **kind) -> DataFrame:
+        joined = rows.join(F.broadcast(rate), same)
+    else:  # each source's rate once for each part of its rows
+        parts = rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("t")
+        own = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).alias("r")
+        joined = own.join(parts, same & (F.col("r.part") == F.col("t.salt")))
+    drawn = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), F.lit(0), lambda a, j: a + drawn(_unit(F.col("key"), j.cast("string"))))
+    copies = drawn(F.col("u")) + F.when(F.col("draws") > 1, more).otherwise(0)
+    many = joined.select("row", "key", copies.alias("copies")).filter("copies > 0")
+    many = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    at = F.md5(F.concat_ws("|", F.lit("at"), F.lit(str(SEED)), "key", F.col("copy").cast("string")))
+    dealt = many.select("row", "copy", "copies", F.conv(F.substring(at, 1, 13), 16, 10).cast("long").alias("at"))
+    return dealt.repartition("at").sortWithinPartitions("at")
+
+
+def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", **kind) -> DataFrame:
     """``docs`` replicated and shuffled; the columns of ``docs``."""
-    return replicate(docs, rates(docs, **kind)).drop("__copy", "__copies", "__at")
+    return replicate(docs, rates(docs, text=text, source=source, **kind), doc_id=doc_id, text=text, source=source).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    """Copies of every document, sources weighted by the square root of their size."""
+    """Copies of every document, shuffled whole, sources weighted by the square root of their size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     rows = replicate(docs, rates(docs))
-    return rows.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__copies").alias("copies"), F.col("__at").alias("shuffle_key"))
+    size = F.coalesce(F.length("row.text"), F.lit(0)).alias("chars")
+    return rows.select("row.doc_id", "row.source", "copy", "copies", F.col("at").alias("shuffle_key"), size)
 
 
 QUERIES = {"op2_mixing": op2_mixing}
@@ -92,21 +98,28 @@ ORACLE = {
 with recursive n as (
   select source, cast(sum(coalesce(length(text), 0) + 1) as double) as n from documents group by source
 ), m as (
-  select source, least({MAX_RATE}, 1.0 * (select sum(n) from n) * pow(n, 0.5) / (select sum(pow(n, 0.5)) from n) / n) as mean from n
+  select source, 1.0 * (select sum(n) from n) * pow(n, 0.5) / (select sum(pow(n, 0.5)) from n) / n as whole from n
+), q as (
+  select source, greatest(1, ceil(whole / {MAX_RATE})) as draws, whole / greatest(1, ceil(whole / {MAX_RATE})) as mean from m
 ), c as (
-  select source, mean, 0 as k, exp(-mean) as p, exp(-mean) as s from m
+  select source, mean, 0 as k, exp(-mean) as p, exp(-mean) as s from q
   union all
   select source, mean, k + 1, p * mean / (k + 1), s + p * mean / (k + 1) from c where k < {TERMS}
 ), d as (
-  select doc_id, source, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as key from documents
+  select doc_id, documents.source, coalesce(length(text), 0) as chars, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as key,
+         unnest(range(cast(draws as bigint))) as draw
+  from documents join q on documents.source is not distinct from q.source
 ), u as (
-  select doc_id, source, key, cast(cast('0x' || substr(md5('{SEED}|' || key), 1, 13) as bigint) as double) / 4503599627370496.0 as u from d
+  select doc_id, source, chars, key, draw,
+         cast(cast('0x' || substr(md5('{SEED}|' || key || case when draw = 0 then '' else '|' || draw end), 1, 13) as bigint) as double) / 4503599627370496.0 as u
+  from d
 ), e as (
-  select u.doc_id, u.source, u.key, cast(count(*) as int) as copies from u join c on u.source is not distinct from c.source and c.s <= u.u group by all
+  select u.doc_id, u.source, u.chars, u.key, cast(count(*) as int) as copies
+  from u join c on u.source is not distinct from c.source and c.s <= u.u group by all
 ), x as (
-  select doc_id, source, key, copies, unnest(range(copies)) as copy from e
+  select doc_id, source, chars, key, copies, unnest(range(copies)) as copy from e
 )
-select doc_id, source, cast(copy as int) as copy, copies,
+select doc_id, source, cast(copy as int) as copy, copies, cast(chars as int) as chars,
        cast('0x' || substr(md5('at|{SEED}|' || key || '|' || copy), 1, 13) as bigint) as shuffle_key
 from x
 """

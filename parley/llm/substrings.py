@@ -2,8 +2,9 @@
 
 Lines are normalised (A-Z lower-cased, ASCII white space collapsed) and known by a 128-bit
 digest. Of all lines with one digest that with the lowest rank (id, text hash, line number)
-stays; all others go. Lines of fewer than ``min_words`` words are left alone: short
-formulas repeat in unrelated texts. What stays keeps its place in the original text.
+stays. The others go where they stand in a run of such lines, blank ones aside, that has
+``min_words`` words or more in all: a long line alone, short ones together. A short formula
+between lines of its own text stays.
 
 Every run of ``WINDOW`` words or more that an earlier place has too goes as well, wherever
 lines begin or end; an earlier place in the same document counts if the two don't overlap.
@@ -17,7 +18,9 @@ Hot lines are no trouble: the first occurrence is an aggregate with partial sums
 task, and repeated lines find it by a join that Spark splits where a key is hot.
 
 Defined results: null and empty texts have no lines to remove; rows equal in id and text
-are one document and get equal results; a null id ranks last; other columns are kept.
+are one document with one result; equal lines rank by id, then by the text's hash, then by
+place; a null id ranks last; texts of any length are taken whole, one at a time; other
+columns are kept, and none can clash but ``kept_spans``, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,60 +30,66 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, ship, store, words_of
+from .common import WordHash, mix, packed, ship, store, without, words_of
 
-MIN_WORDS = 15
+MIN_WORDS = 15  # of a run of repeated lines
 WINDOW, SHINGLE = 50, 25  # words
 LAST = (1 << 63) - 1  # rank of a null id
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LINES = "doc_id long, th long, unit int, start int, stop int, h1 long, h2 long"
+_LINES = "doc_id long, th long, unit int, place int, words int, start int, stop int, h1 long, h2 long"
 
 
-def lines(docs: DataFrame, *, doc_id="doc_id", text="text", min_words=MIN_WORDS) -> DataFrame:
-    """(doc_id, th, unit, start, stop, h1, h2) of each line with min_words words or more.
+def lines(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, th, unit, place, words, start, stop, h1, h2) of each line that has a word.
 
-    start and stop count characters of the original text.
+    unit numbers all lines, place those with a word; start and stop count characters of the
+    original text.
     """
     ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            ids, ths, unit, start, stop, digests = [], [], [], [], [], []
+            rows, digests = [], []
             for i, th, t in zip(*(c.to_pylist() for c in b.columns)):
-                at = 0
+                at = place = 0
                 for k, line in enumerate(t.split("\n")):
-                    words = line.encode("utf-8", "surrogatepass").lower().split()
-                    if len(words) >= min_words:
-                        ids.append(i), ths.append(th), unit.append(k), start.append(at), stop.append(at + len(line))
+                    if words := words_of(line):
+                        rows.append((i, th, k, place, len(words), at, at + len(line)))
                         digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                        place += 1
                     at += len(line) + 1
+            cols = list(zip(*rows)) if rows else [()] * 7
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), *(pa.array(x, pa.int32()) for x in (unit, start, stop)), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))],
-                names=["doc_id", "th", "unit", "start", "stop", "h1", "h2"],
+                [*(pa.array(c, k) for c, k in zip(cols, kinds)), *(pa.array(np.ascontiguousarray(h[:, k])) for k in (0, 1))],
+                names=["doc_id", "th", "unit", "place", "words", "start", "stop", "h1", "h2"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     return rows.filter("text is not null").mapInArrow(run, _LINES)
 
 
-def repeated_lines(docs: DataFrame, **kind) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words=MIN_WORDS, **names) -> DataFrame:
     """(doc_id, th, unit, start, stop, first_doc_id, first_unit): lines that go, and which stays for them."""
-    found = store(lines(docs, **kind), "lines")
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("th"), F.col("unit"))
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = store(first, "first")
-    own = found.withColumn("rank", rank)
-    rest = own.join(first, ["h1", "h2"]).filter(F.col("rank") != F.col("first"))
-    last = F.lit((1 << 63) - 1)
-    return rest.select(
-        "doc_id", "th", "unit", "start", "stop",
-        F.when(F.col("first.id") != last, F.col("first.id")).alias("first_doc_id"), F.col("first.unit").alias("first_unit"),
-    )
+    found = store(lines(docs, **names), "lines")
+    rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("th"), F.col("unit"))
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    first = store(first.filter("first <> last").drop("last"), "first")
+    rest = found.withColumn("rank", rank).join(first, ["h1", "h2"]).filter(F.col("rank") != F.col("first"))
+    rest = rest.select(
+        "doc_id", "th", "unit", "place", "words", "start", "stop",
+        F.when(F.col("first.id") != LAST, F.col("first.id")).alias("first_doc_id"), F.col("first.unit").alias("first_unit"),
+    ).distinct()
+    # runs of neighbours: places less their number in order are equal
+    own = Window.partitionBy("doc_id", "th")
+    rest = rest.withColumn("run", F.col("place") - F.row_number().over(own.orderBy("place")))
+    rest = rest.withColumn("in_run", F.sum("words").over(Window.partitionBy("doc_id", "th", "run")))
+    return rest.filter(F.col("in_run") >= min_words).drop("place", "words", "run", "in_run")
 
 
 def rolling(w: np.ndarray, n: int) -> np.ndarray:
@@ -204,7 +213,7 @@ def repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) -> DataFra
 
 
 def _disjoint(batches):
-    """(__id, __th, __gone) with overlapping places joined."""
+    """(id, th, gone) with overlapping places joined."""
     for b in batches:
         joined = []
         for spans in b.column(2).to_pylist():
@@ -215,38 +224,41 @@ def _disjoint(batches):
                 else:
                     out.append(dict(s))
             joined.append(out)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(joined, b.column(2).type)], names=["__id", "__th", "__gone"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(joined, b.column(2).type)], names=["id", "th", "gone"])
 
 
 def without_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) -> DataFrame:
     """``docs`` with repeated lines and passages cut from the text, and ``kept_spans``: (start, stop) of what stays."""
     gone = repeats(docs, doc_id=doc_id, text=text, **kind)
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__gone"))
-    gone = gone.mapInArrow(_disjoint, gone.schema)
-    base = docs.drop(*[c for c in docs.columns if c.lower() == "kept_spans"]).withColumn("__own", F.xxhash64(text))
-    rows = base.join(gone, base[doc_id].cast("long").eqNullSafe(gone["__id"]) & (base["__own"] == gone["__th"]), "left")
-    spot = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spot, lambda g: F.array(g.start, F.least(g.stop + 1, F.length(text))))), F.array(F.length(text)))
-    pairs = F.filter(
-        F.transform(F.sequence(F.lit(0), (F.size(edges) / 2 - 1).cast("int")), lambda i: F.struct(F.get(edges, (i * 2).cast("int")).alias("start"), F.get(edges, (i * 2 + 1).cast("int")).alias("stop"))),
-        lambda s: s.stop > s.start,
-    )
-    kept = rows.withColumn("kept_spans", F.when(F.col(text).isNotNull(), pairs))
-    cut = F.array_join(F.transform("kept_spans", lambda s: F.substring(F.col(text), s.start + 1, s.stop - s.start)), "")
-    return kept.withColumn(text, F.when(F.col("__gone").isNotNull(), cut).otherwise(F.col(text))).drop("__own", "__id", "__th", "__gone")
+    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("th")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("gone"))
+    gone = gone.mapInArrow(_disjoint, gone.schema).alias("g")
+    docs = without(docs, "kept_spans")
+    rows = packed(docs, id=doc_id, text=text).withColumn("th", F.xxhash64("text")).alias("r")
+    on = F.col("r.id").cast("long").eqNullSafe(F.col("g.id")) & (F.col("r.th") == F.col("g.th"))
+    rows = rows.join(gone, on, "left").select("row", "text", F.coalesce("gone", F.array().cast("array<struct<start:int,stop:int>>")).alias("gone"))
+    # a place that goes takes the line's end with it
+    inner = F.flatten(F.transform("gone", lambda g: F.array(g.start, F.least(g.stop + 1, F.length("text")))))
+    edges = F.concat(F.array(F.lit(0)), inner, F.array(F.length("text")))
+    at = lambda i: F.get(edges, i.cast("int"))
+    spans = F.transform(F.sequence(F.lit(0), (F.size(edges) / 2 - 1).cast("int")), lambda i: F.struct(at(i * 2).alias("start"), at(i * 2 + 1).alias("stop")))
+    rows = rows.withColumn("kept_spans", F.when(F.col("text").isNotNull(), F.filter(spans, lambda s: s.stop > s.start)))
+    cut = F.array_join(F.transform("kept_spans", lambda s: F.substring("text", s.start + 1, s.stop - s.start)), "")
+    rows = rows.withColumn("text", F.when(F.size("gone") > 0, cut).otherwise(F.col("text")))
+    return rows.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns), "kept_spans")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Lines of 15 words or more, and passages of 50, that an earlier place has already, with their places."""
+    """Repeated lines, and passages of 50 words or more, that an earlier place has already, with their places."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeats(docs).drop("th")
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+# ids of documents are unique in the tables, so ranks need no hash of the text here
 ORACLE = {
     "op1_substring_dedup": rf"""
 with t as (
-  select doc_id, string_split(text, chr(10)) as ls from documents where text is not null
+  select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null
 ), l as (
   select doc_id, ls, unnest(range(len(ls))) as unit from t
 ), u as (
@@ -256,12 +268,55 @@ with t as (
          list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from u
 ), f as (
-  select *, array_to_string(ws, ' ') as norm from w where len(ws) >= {MIN_WORDS}
+  select *, array_to_string(ws, ' ') as norm, row_number() over (partition by doc_id order by unit) as place from w where len(ws) > 0
 ), r as (
   select *, first_value(doc_id) over o as first_doc_id, first_value(unit) over o as first_unit, row_number() over o as k
   from f window o as (partition by norm order by doc_id, unit)
+), g as (
+  select *, place - row_number() over (partition by doc_id order by place) as run from r where k > 1
+), repeated_lines as (
+  select * from (select *, sum(len(ws)) over (partition by doc_id, run) as in_run from g) where in_run >= {MIN_WORDS}
+), x as (
+  select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as raw from t
+), y as (
+  select doc_id, text, raw, list_transform(raw, lambda v: translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ws,
+         regexp_extract_all(text, '[\x20\x09-\x0D]+') as gaps, not regexp_matches(text, '^[\x20\x09-\x0D]') as bare,
+         min(doc_id) over (partition by text) as head
+  from x where len(raw) >= {WINDOW}
+), heads as (
+  select * from y where doc_id = head
+), words as (
+  select doc_id, unnest(range(1, len(raw) + 1)) as i, unnest(raw) as v, unnest(list_concat(case when bare then [''] else [] end, gaps)[1:len(raw)]) as gap from heads
+), placed as (
+  select doc_id, i, sum(length(gap) + length(v)) over o as stop, sum(length(gap) + length(v)) over o - length(v) as start,
+         sum(length(gap) - length(replace(gap, chr(10), ''))) over o as line
+  from words window o as (partition by doc_id order by i)
+), windows as (
+  select h.doc_id, h.k, md5(array_to_string(h.ws[h.k:h.k + {WINDOW - 1}], ' ')) as norm, a.start, z.stop, a.line
+  from (select doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as k from heads) h
+  join placed a on a.doc_id = h.doc_id and a.i = h.k join placed z on z.doc_id = h.doc_id and z.i = h.k + {WINDOW - 1}
+), seen as (
+  select *, first_value(doc_id) over o as first_doc_id, first_value(start) over o as first_start, first_value(stop) over o as first_stop, first_value(line) over o as first_line
+  from windows window o as (partition by norm order by doc_id, start)
+), gone as (
+  select *, max(stop) over (partition by doc_id order by start rows between unbounded preceding and 1 preceding) as before
+  from seen where first_doc_id <> doc_id or first_stop <= start
+), runs as (
+  select *, sum(case when start <= before then 0 else 1 end) over (partition by doc_id order by start) as run from gone
+), passages as (
+  select doc_id, min(line) as unit, min(start) as start, max(stop) as stop, arg_min(first_doc_id, start) as first_doc_id, arg_min(first_line, start) as first_unit
+  from runs group by doc_id, run
+), copies as (
+  select doc_id, text, head, length(regexp_extract(text, '^[\x20\x09-\x0D]*')) as start, length(text) - length(regexp_extract(text, '[\x20\x09-\x0D]*$')) as stop
+  from y where doc_id <> head
+), whole as (
+  select doc_id, length(text[1:start]) - length(replace(text[1:start], chr(10), '')) as unit, start, stop, head as first_doc_id from copies
 )
 select doc_id, cast(unit as int) as unit, cast(start as int) as start, cast(stop as int) as stop, first_doc_id, cast(first_unit as int) as first_unit
-from r where k > 1
+from (
+  select doc_id, unit, start, stop, first_doc_id, first_unit from repeated_lines
+  union all select doc_id, unit, start, stop, first_doc_id, first_unit from passages
+  union all select doc_id, unit, start, stop, first_doc_id, unit from whole
+)
 """
 }
