@@ -5,38 +5,52 @@ parsed greedily into the longest pieces that occur in a language's sample; the n
 pieces, times the logarithm of the sample's size and over the text's length, estimates
 the cross entropy, and the language with the least wins.
 
+Every language has an alphabet of its own: all letters of its sample. Its automaton is a
+dense table where that is small and a sorted list of edges where it is not (scripts with
+thousands of letters); both give the same parse.
+
+The whole text is parsed as one. To do so for many texts at once, each is cut into segments
+of ``SEGMENT`` characters that are parsed side by side, as if a piece began at each start.
+Then the parse of each segment's end is carried on into the next one until a piece begins
+where the next segment's own parse begins one, too: from there on both are equal.
+
 Bounds (documented parameters): at most ``chars_per_lang`` characters of sample per
 language and ``total_chars`` over all of them, so the model's size doesn't grow with the
-corpus. The whole text is parsed, in segments of ``SEGMENT`` characters; a parse starts
-anew at each segment, which adds at most one piece per segment to every language alike.
+corpus.
 
-Defined results: a null text, or one with no letter, gets ``und`` and score 0; ties go to
-the language first in order; without any labelled text every document gets ``und``;
-repeated rows get equal results; other columns are not looked at.
+Defined results: a null text, or one with no letter (of any plane), gets ``und`` and score
+0; ties go to the language first in order; letters that no sample of a language has are
+pieces of their own there; without any labelled text every document gets ``und``; texts
+that repeat count once when the sample is drawn; repeated rows get equal results; other
+columns are kept, but for lang_pred, score and bits, which are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, ship, without
 
 SEGMENT = 512
-ALPHABET = 63  # most frequent letters kept; class 0 is whatever is no letter
-POINTS = 0x10000
+POINTS = 0x110000
+DENSE = 16_000_000  # entries of a transition table up to which it is dense
+BATCH = 4_000_000  # characters parsed at once
 
 
 def letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; those beyond the basic plane become U+FFFF."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(points, POINTS - 1)
+    """Code points of the lower-cased text."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letter_table() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(POINTS)), bool, POINTS)
 
 
 def squeeze(classes: np.ndarray) -> np.ndarray:
@@ -48,64 +62,97 @@ def squeeze(classes: np.ndarray) -> np.ndarray:
     return classes[keep]
 
 
-def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
-    """Dense transitions [state, class] -> state (-1: none) of all substrings of ``seq``."""
-    size = max(2, 2 * len(seq))
-    move = array("i", [-1]) * (size * width)
-    link, length = array("i", [-1]) * size, array("i", [0]) * size
-    last, count = 0, 1
+def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
+    """Edges by state, of the automaton of all substrings of ``seq``; state 0 is the start."""
+    edges: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in seq:
-        cur, count = count, count + 1
-        length[cur] = length[last] + 1
+        cur = len(edges)
+        edges.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and move[p * width + c] < 0:
-            move[p * width + c] = cur
+        while p >= 0 and c not in edges[p]:
+            edges[p][c] = cur
             p = link[p]
-        if p < 0:
-            link[cur] = 0
-        else:
-            q = move[p * width + c]
+        if p >= 0:
+            q = edges[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                twin, count = count, count + 1
-                length[twin], link[twin] = length[p] + 1, link[q]
-                move[twin * width : (twin + 1) * width] = move[q * width : (q + 1) * width]
-                while p >= 0 and move[p * width + c] == q:
-                    move[p * width + c] = twin
+                twin = len(edges)
+                edges.append(dict(edges[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and edges[p].get(c) == q:
+                    edges[p][c] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return np.frombuffer(move, np.int32)[: count * width].reshape(count, width).copy()
+    return edges
+
+
+class Automaton:
+    """Steps of many states at once. Classes: 0 no letter, 1 to ``width - 2`` letters, the last any other letter."""
+
+    def __init__(self, edges: list[dict[int, int]], width: int):
+        self.width, self.dead = width, len(edges)
+        if (self.dead + 1) * width <= DENSE:
+            self.table = np.full((self.dead + 1) * width, -1, np.int32)
+            for s, out in enumerate(edges):
+                for c, t in out.items():
+                    self.table[s * width + c] = t
+        else:
+            self.table = None
+            pairs = sorted((s * width + c, t) for s, out in enumerate(edges) for c, t in out.items())
+            self.keys = np.array([k for k, _ in pairs], np.int64)
+            self.to = np.array([t for _, t in pairs], np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states; -1 where there is none. The state ``dead`` has none at all."""
+        key = state.astype(np.int64) * self.width + c
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def walk(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether a piece begins with this letter."""
+        out = self.step(state, c)
+        new = out < 0
+        at = np.flatnonzero(new)
+        if len(at):
+            first = self.step(np.zeros(len(at), np.int32), c[at])
+            out[at] = np.where(first < 0, self.dead, first)  # a letter the language lacks is a piece alone
+        return out, new
 
 
 class Model:
-    """Alphabet, letter test and an automaton per language."""
+    """Letter test, alphabets and an automaton per language."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        tally = np.zeros(POINTS, np.int64)
-        self.is_letter = np.fromiter((chr(i).isalpha() for i in range(POINTS)), bool, POINTS)
-        self.is_letter[POINTS - 1] = True  # any letter beyond the basic plane
+        self.is_letter = letter_table()
         seqs = {x: [letters(t) for t in samples[x]] for x in self.langs}
-        for parts in seqs.values():
-            for p in parts:
-                tally += np.bincount(p, minlength=POINTS)
-        tally[~self.is_letter] = 0
-        order = [i for i in np.argsort(-tally, kind="stable")[:ALPHABET].tolist() if tally[i] > 0]
-        self.width = len(order) + 2
-        other = self.width - 1  # letters that no sample has
-        self.cls = np.where(self.is_letter, other, 0).astype(np.int32)
-        for k, i in enumerate(order, 1):
-            self.cls[i] = k
-        self.moves, self.bits = [], []
+        own = {x: (a := np.unique(np.concatenate(s)))[self.is_letter[a]] for x, s in seqs.items()}
+        every = np.unique(np.concatenate([*own.values(), np.empty(0, np.uint32)])).astype(np.int64)
+        # class of a code point among all letters met, then of such a class in one language
+        self.known = np.where(self.is_letter, len(every) + 1, 0).astype(np.int32)
+        self.known[every] = np.arange(1, len(every) + 1)
+        self.parts, self.automata, self.bits = [], [], []
         for x in self.langs:
-            seq = np.concatenate([np.zeros(1, np.int32), *(np.append(squeeze(self.cls[p]), 0) for p in seqs[x])])
-            self.moves.append(suffix_automaton([c for c in squeeze(seq).tolist() if c != other], self.width).ravel())
+            to = np.full(len(every) + 2, len(own[x]) + 1, np.int32)
+            to[0] = 0
+            to[self.known[own[x].astype(np.int64)]] = np.arange(1, len(own[x]) + 1)
+            seq = np.concatenate([np.zeros(1, np.int32), *(np.append(squeeze(to[self.known[p]]), 0) for p in seqs[x])])
+            seq = squeeze(seq)
+            self.parts.append(to)
+            self.automata.append(Automaton(suffix_automaton(seq.tolist()), len(own[x]) + 2))
             self.bits.append(math.log2(max(2, len(seq))))
 
     def pieces(self, texts: list[np.ndarray]) -> np.ndarray:
-        """[text, language] -> pieces of the greedy parse."""
+        """[text, language] -> pieces of the greedy parse. Texts: classes among all letters, squeezed."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         segs = -(-sizes // SEGMENT)
@@ -116,38 +163,62 @@ class Model:
         at = 0
         for t, k in zip(texts, segs.tolist()):
             if k:
-                flat = grid[at : at + k].reshape(-1)
-                flat[: len(t)] = t
+                grid[at : at + k].reshape(-1)[: len(t)] = t
                 at += k
-        fill = (grid >= 0).sum(1)
-        order = np.argsort(-fill, kind="stable")  # live segments stay in front
-        cols, fill, owner = np.ascontiguousarray(grid[order].T), fill[order], owner[order]
-        del grid
-        for j, move in enumerate(self.moves):
-            state = np.zeros(len(owner), np.int32)
-            count = np.zeros(len(owner), np.int32)
-            for i in range(int(fill[0])):
-                live = int(np.searchsorted(-fill, -i, "left"))
-                c, s = cols[i, :live], state[:live]
-                nxt = move[s * self.width + c]
-                stuck = np.flatnonzero(nxt < 0)
-                if len(stuck):
-                    count[stuck] += s[stuck] > 0  # a piece ends; the next starts here
-                    again = move[c[stuck]]
-                    count[stuck] += again < 0  # a letter the language lacks is a piece alone
-                    nxt[stuck] = np.maximum(again, 0)
-                state[:live] = nxt
-            count += state > 0
+        size = (grid >= 0).sum(1)
+        order = np.argsort(-size, kind="stable")  # live segments stay in front
+        cols, fill = np.ascontiguousarray(grid[order].T), size[order]
+        live = [int(np.searchsorted(-fill, -i, "left")) for i in range(int(fill[0]))]
+        follows = np.zeros(len(owner), bool)  # not the first of its text
+        follows[1:] = owner[1:] == owner[:-1]
+        for j, (to, a) in enumerate(zip(self.parts, self.automata)):
+            starts = np.zeros((SEGMENT, len(owner)), bool)  # where pieces begin, by sorted segment
+            state = np.full(len(owner), a.dead, np.int32)
+            for i, n in enumerate(live):
+                state[:n], starts[i, :n] = a.walk(state[:n], to[cols[i, :n]])
+            count, end = np.empty(len(owner), np.int64), np.empty(len(owner), np.int32)
+            count[order], end[order] = starts.sum(0), state
+            place = np.empty(len(owner), np.int64)
+            place[order] = np.arange(len(owner))
+            self._carry(a, to, grid, size, follows, starts, place, count, end)
             out[:, j] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out
 
+    @staticmethod
+    def _carry(a: Automaton, to, grid, size, follows, starts, place, count, end) -> None:
+        """Make ``count`` and ``end`` those of parses that go on over segments' starts."""
+        own_end, summed = end.copy(), np.cumsum(starts, axis=0, dtype=np.int32)
+        go = np.flatnonzero(follows)
+        while len(go):
+            state, more = end[go - 1].copy(), np.zeros(len(go), np.int64)
+            met = np.full(len(go), -1, np.int64)
+            todo = np.arange(len(go))
+            for i in range(int(size[go].max())):
+                todo = todo[(met[todo] < 0) & (size[go[todo]] > i)]
+                if not len(todo):
+                    break
+                nxt, new = a.walk(state[todo], to[grid[go[todo], i]])
+                same = new & starts[i, place[go[todo]]]
+                met[todo[same]] = i
+                more[todo] += new & ~same
+                state[todo] = nxt
+            hit, at = met >= 0, place[go]
+            # pieces of the segment's own parse from where both meet
+            count[go] = more + np.where(hit, summed[-1, at] - summed[met, at] + 1, 0)
+            now = np.where(hit, own_end[go], state)
+            changed = go[now != end[go]]  # the segment after it has to be carried on from another state
+            end[go] = now
+            go = changed + 1
+            go = go[go < len(follows)]
+            go = go[follows[go]]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, confidence and bits per character of each text."""
         seqs, ok = [], []
         for t in texts:
             points = letters(t) if t else np.empty(0, np.uint32)
             ok.append(bool(self.langs) and bool(self.is_letter[points].any()))
-            seqs.append(squeeze(self.cls[points]) if ok[-1] else np.empty(0, np.int32))
+            seqs.append(squeeze(self.known[points]) if ok[-1] else np.empty(0, np.int32))
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         n = np.maximum(1, np.fromiter(map(len, seqs), np.int64, len(seqs)))
@@ -162,51 +233,67 @@ class Model:
         )
 
 
-def fit(train: DataFrame, *, text="text", lang="lang", chars_per_lang=40_000, total_chars=400_000) -> Model:
-    """Model from a bounded sample of rows with a language.
+def sample(train: DataFrame, *, text="text", lang="lang", chars_per_lang=40_000, total_chars=400_000) -> list:
+    """(lang, text, u) of a bounded sample; each language has one text at least.
 
-    Characters per language are counted over all rows; a hash threshold then lets through
-    about four times what is needed, of which whole texts are taken in hash order until the
-    bound is reached. Texts longer than a fourth of the bound are no sample texts unless a
-    language has no other.
+    Distinct texts are known by a hash, so copies weigh nothing. A threshold on that hash lets
+    through about four times what is needed, in texts of a fourth of the bound at most where
+    a language has such; its least text always passes. Of these each language's first are
+    taken, in order of hash, until the bound is reached.
     """
-    rows = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sized = rows.withColumn("n", F.length("text")).filter("n > 0")
-    have = {r["lang"]: r for r in sized.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") <= chars_per_lang // 4, F.col("n"))).alias("fit")).collect()}
+    rows = train.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    distinct = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
+    short = F.col("n") <= chars_per_lang // 4
+    # texts of a fourth of the bound at most come first; the order within is that of the hash
+    unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    sizes = distinct.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.when(short, F.col("n"))).alias("fit"), F.min(F.struct(~short, unit, "h")).alias("least"))
+    have = {r["lang"]: r for r in sizes.collect()}
     if not have:
-        return Model({})
+        return []
     each = max(2_000, min(chars_per_lang, total_chars // len(have)))
     keep = F.lit(False)
     for x, r in have.items():
         share = min(1.0, 4 * each / max(1, r["fit"] or r["all"]))
-        small = F.col("n") <= (chars_per_lang // 4 if r["fit"] else 1 << 30)
-        keep |= (F.col("lang") == x) & small & (F.col("u") < share)
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    got = sized.withColumn("u", unit).filter(keep).select("lang", "text", "u").collect()
+        small = F.length("text") <= (chars_per_lang // 4 if r["fit"] else 1 << 30)
+        keep |= (F.col("lang") == x) & ((small & (unit < share)) | (F.col("h") == r["least"]["h"]))
+    got = rows.filter(keep).dropDuplicates(["lang", "text"]).select("lang", F.substring("text", 1, each).alias("text"), unit.alias("u"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("u", "text").rowsBetween(Window.unboundedPreceding, -1))
+    return got.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < each).select("lang", "text", "u").collect()
+
+
+def fit(train: DataFrame, **kind) -> Model:
+    """Model from a bounded sample of rows with a language."""
     samples: dict[str, list[str]] = {}
-    used: dict[str, int] = {}
-    for r in sorted(got, key=lambda r: (r["u"], r["text"])):
-        if used.get(r["lang"], 0) < each and (t := r["text"]) not in samples.get(r["lang"], [])[-1:]:
-            t = t[: max(each, chars_per_lang) - used.get(r["lang"], 0)]
-            samples.setdefault(r["lang"], []).append(t)
-            used[r["lang"]] = used.get(r["lang"], 0) + len(t)
+    for r in sorted(sample(train, **kind), key=lambda r: (r["u"], r["text"])):
+        samples.setdefault(r["lang"], []).append(r["text"])
     return Model(samples)
 
 
+def _batches(b: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of about BATCH characters, 1000 rows at most and one at least, with their texts."""
+    column = b.column(b.schema.get_field_index(text))
+    at = size = 0
+    for k, n in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), 1):
+        size += n
+        if size >= BATCH or k - at >= 1000 or k == b.num_rows:
+            yield b.slice(at, k - at), column.slice(at, k - at).to_pylist()
+            at, size = k, 0
+
+
 def identify(docs: DataFrame, model: Model, *, text="text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and bits (cross entropy per character)."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ("lang_pred", "score", "bits")
-    base = docs.drop(*[c for c in docs.columns if c.lower() in names])
+    base = without(docs, *names)
     schema = base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                got = m.predict(b.column(b.schema.get_field_index(text)).to_pylist())
+            for b, texts in _batches(whole, text):
+                got = m.predict(texts)
                 cols = [*b.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names])
 
