@@ -19,8 +19,8 @@ language and ``total_chars`` over all of them, so the model's size doesn't grow
 corpus.
 
 Defined results: a null text, or one with no letter (of any plane), gets ``und`` and score
-0; ties go to the language first in order; letters that no sample of a language has are
-pieces of their own there; without any labelled text every document gets ``und``; texts
+0; ties go to the language first in order; a letter that a language's sample lacks is a
+piece alone there, of ``NEW`` bits more; without any labelled text every document gets ``und``; texts
 that repeat count once when the sample is drawn; repeated rows get equal results; other
 columns are kept, but for lang_pred, score and bits, which are replaced.
 """
@@ -42,6 +42,7 @@ SEGMENT = 512
 POINTS = 0x110000
 DENSE = 16_000_000  # entries of a transition table up to which it is dense
 BATCH = 4_000_000  # characters parsed at once
+NEW = 20  # bits of a letter that a language's sample lacks, beside those of its piece
 
 
 def letters(text: str) -> np.ndarray:
@@ -212,6 +213,12 @@ class Model:
             go = go[go < len(follows)]
             go = go[follows[go]]
 
+    def missing(self, texts: list[np.ndarray]) -> np.ndarray:
+        """[text, language] -> letters that the language's sample lacks."""
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        flat = np.concatenate(texts) if texts else np.empty(0, np.int32)
+        return np.stack([np.bincount(owner, to[flat] == a.width - 1, len(texts)) for to, a in zip(self.parts, self.automata)], 1)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, confidence and bits per character of each text."""
         seqs, ok = [], []
@@ -222,7 +229,7 @@ class Model:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         n = np.maximum(1, np.fromiter(map(len, seqs), np.int64, len(seqs)))
-        bits = self.pieces(seqs) * np.array(self.bits) / n[:, None]
+        bits = (self.pieces(seqs) * np.array(self.bits) + NEW * self.missing(seqs)) / n[:, None]
         best = bits.argmin(1)
         least = bits[np.arange(len(texts)), best]
         sure = 1.0 / np.exp(-8.0 * (bits - least[:, None])).sum(1)
