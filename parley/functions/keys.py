@@ -32,10 +32,29 @@ def content_digest(text) -> Column:
     return F.substring(F.sha2(_col(text).cast("binary"), 256), 1, 24)
 
 
+#: Hundredths below which a key belongs to a split.
+SPLIT_EDGES = {"train": 70, "validation": 85, "test": 100}
+
+
+def split_bucket(digest: str) -> int:
+    """0 to 99 by the first 32 bits of a hex digest."""
+    return int(digest[:8], 16) % 100
+
+
+def split_of(bucket: int) -> str:
+    return next(name for name, edge in SPLIT_EDGES.items() if bucket < edge)
+
+
 def stable_split(secret: str, key) -> Column:
     """train (70), validation (15) or test (15): a key never changes its split."""
     bucket = F.conv(F.substring(hmac_sha256(secret, _col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % 100
-    return F.when(bucket < 70, "train").when(bucket < 85, "validation").otherwise("test")
+    return F.when(bucket < SPLIT_EDGES["train"], "train").when(bucket < SPLIT_EDGES["validation"], "validation").otherwise("test")
+
+
+def phone_hmac(secret: str, phone, account=None) -> Column:
+    """Digest of a phone: global, or within one account; the two never meet. Null phones have none."""
+    scope = [F.lit("global")] if account is None else [F.lit("account"), _col(account)]
+    return F.when(_col(phone).isNotNull(), hmac_id(secret, "phone", *scope, phone))
 
 
 def key_fingerprint(secret: str, label: str = "parley-key-fingerprint-v1") -> str:

@@ -26,6 +26,13 @@ def synced_at(text) -> Column:
     return F.when(t.rlike(_OFFSET), F.try_to_timestamp(F.replace(t, F.lit("T"), F.lit(" "))))
 
 
+def instant_or_seconds(text, zone: str = ZONE) -> Column:
+    """ISO text as an instant; else its first 19 characters as ``yyyy-MM-dd HH:mm:ss``; local time without an offset."""
+    whole = instant(text, zone)
+    head = F.try_to_timestamp(F.substring(F.trim(_col(text).cast("string")), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(whole, F.to_utc_timestamp(head, zone))
+
+
 def epoch_local(seconds, zone: str = ZONE) -> Column:
     """ISO text with offset +08:00 of epoch seconds."""
     at = F.from_utc_timestamp(F.timestamp_seconds(_col(seconds)), zone)

@@ -91,45 +91,71 @@ def tracking_numbers(text) -> Column:
     return F.array_sort(F.filter(found, lambda x: ~F.exists(found, lambda y: (y != x) & F.contains(y, x))))
 
 
-_STEPS = [(label, re.compile(p)) for label, p in lx.REDACTIONS]
-_LOOSE = re.compile(lx.LOOSE_ADDRESS)
+#: What a text must hold for a pattern to have any match, by a part of the pattern that tells it from others.
+_DIGIT = r"\d"
+GATES = {
+    "address": ("详细地址|收货地址|所在地区", "[省市州县区]"),
+    "phone": ("手机号码|联系电话", _DIGIT, _DIGIT),
+    "person_name": ("联系人|收件人|姓名", "联系人|收件人|姓名", "先生|女士|老师|老板"),
+    "id_card": (_DIGIT,), "email": ("@",), "url": ("://",), "wechat_id": ("(?i)微信|wx|wechat",), "money": (_DIGIT,), "date": (_DIGIT,),
+    "tracking_or_order_id": (_DIGIT,), "inventory_state": ("有现货|现货充足|有货|没货|无货|缺货|补货",), "logistics_state": ("发货|揽收|派送|签收|退回|拦截",),
+    "refund_decision": ("退款|退钱|退货",), "delivery_promise": ("保证|肯定|一定",),
+}
+_PLACE = "省市区县镇街道路号小区楼室"
+#: A text without any of these is only stripped, squeezed and cut.
+TOUCHED = rf"[\d@省市区县镇路号楼室州乡街道]|://|(?i:wx|wechat)|微信|详细地址|收货地址|所在地区|小区|手机号码|联系电话|联系人|收件人|姓名|先生|女士|老师|老板|有现货|现货充足|有货|没货|无货|缺货|补货|发货|揽收|派送|签收|退回|拦截|退款|退钱|退货|保证|肯定|一定"
+
+
+class Redactor:
+    """The fixed patterns, each behind its gate, and the rule for loose addresses."""
+
+    def __init__(self):
+        gates = {k: iter(v) for k, v in GATES.items()}
+        self.steps = [(label, re.compile(next(gates[label])).search, re.compile(p).sub, lx.LABELS[label]) for label, p in lx.REDACTIONS]
+        self.loose, self.place = re.compile(lx.LOOSE_ADDRESS), re.compile(f"[{_PLACE}]")
+        self.spaces, self.breaks = re.compile(r"[ \t]+"), re.compile(r"\n{3,}")
+
+    def __call__(self, text: str | None) -> tuple[str, list[str]]:
+        """Text and sorted flags. A label may be part of a later match, so two runs differ from one."""
+        now, met = (text or "").replace("\x00", "").strip(), set()
+        for label, gate, replace, into in self.steps:
+            if gate(now) and (after := replace(into, now)) != now:
+                now = after
+                met.add(label)
+        if self.place.search(now):
+            whole = lx.LABELS["address"]
+            after = self.loose.sub(lambda m: whole if any(map(str.isdecimal, m[0])) else m[0], now)
+            if after != now:
+                now = after
+                met.add("address")
+        return self.breaks.sub("\n\n", self.spaces.sub(" ", now))[:4000], sorted(met)
+
+
+_REDACTOR = Redactor()
 
 
 def redacted(text: str | None) -> tuple[str, list[str]]:
-    """Fixed patterns in order, then loose addresses that hold a digit; text and sorted flags.
-
-    A label can itself be part of a later match: that is as it should be, and running it twice
-    is not the same as running it once.
-    """
-    out, flags = (text or "").replace("\x00", "").strip(), set()
-    for label, pattern in _STEPS:
-        out, n = pattern.subn(lx.LABELS[label], out)
-        if n:
-            flags.add(label)
-
-    def loose(m: re.Match) -> str:
-        if not any(c.isdecimal() for c in m[0]):
-            return m[0]
-        flags.add("address")
-        return lx.LABELS["address"]
-
-    out = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", _LOOSE.sub(loose, out)))
-    return out[:4000], sorted(flags)
+    return _REDACTOR(text)
 
 
 def redact(text) -> Column:
     """struct(text, flags); the workers need this package (see :func:`parley.session.ship`).
 
     As a chain of built-ins each step would stand in two of the next (text and flag), so that
-    merged projections double with every pattern; one batch function over Arrow does not.
+    merged projections double with every pattern; one batch function over Arrow does not. Only
+    texts that hold something of ``TOUCHED`` go there; the rest is levelled by built-ins.
     """
 
     @F.pandas_udf("text string, flags array<string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        done = [redacted(t) for t in s]
+        done = [(None, None) if t is None else redacted(t) for t in s]
         return pd.DataFrame({"text": [t for t, _ in done], "flags": [f for _, f in done]})
 
-    return run(_col(text))
+    t = _col(text)
+    through = run(F.when(t.rlike(java(TOUCHED)), t))
+    level = F.regexp_replace(F.regexp_replace(strip(t), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(through["text"], F.substring(level, 1, 4000)).alias("text"), F.coalesce(through["flags"], none).alias("flags"))
 
 
 def with_redaction(df, text: str, to: str = "redacted"):
@@ -215,3 +241,50 @@ def intent(text, lexicon: lx.Lexicon = lx.Lexicon()) -> Column:
 def masked_phone(phone) -> Column:
     p = _col(phone)
     return F.concat(F.substring(p, 1, 1), F.lit("******"), F.right(p, F.lit(4)))
+
+
+# ----- names ------------------------------------------------------------------
+
+NAME_FIELDS = ("remark", "display_name", "nick_name")
+# What stands for identifiers in a label, in order.
+NAME_LABELS = ((lx.MOBILE, "[手机号]"), (r"(?<!\d)\d{6,}(?!\d)", "[编号]"), (dict(lx.REDACTIONS)["email"], "[邮箱]"), (r"(?i)https?://\S+", "[链接]"))
+
+
+def _printable(field) -> Column:
+    return F.regexp_replace(F.coalesce(_col(field), F.lit("")), r"[\x00-\x1f\x7f]", "")
+
+
+def display_name(key, fields=NAME_FIELDS) -> Column:
+    """The first field that is more than an identifier, cleaned, in 80 characters; else the key's end."""
+    shown = []
+    for f in fields:
+        t = _printable(f)
+        for pattern, label in NAME_LABELS:
+            t = F.regexp_replace(t, java(pattern), label)
+        t = F.regexp_replace(F.regexp_replace(t, java(r"\s+"), " "), r"^[ \t\r\n,，;；]+|[ \t\r\n,，;；]+$", "")
+        shown.append(F.when((t != "") & ~t.isin("[手机号]", "[邮箱]", "[链接]"), F.substring(t, 1, 80)))
+    return F.coalesce(*shown, F.concat(F.lit("客户-"), F.right(_col(key), F.lit(8))))
+
+
+def known_names(fields=NAME_FIELDS) -> Column:
+    """Distinct names of 2 to 40 characters that aren't numbers; :func:`scrub_tokens` takes the longest first."""
+    bare = [strip(_printable(f)) for f in fields]
+    return F.array_distinct(F.array_compact(F.array(*(F.when(F.length(t).between(2, 40) & ~t.rlike(java(r"^\d+$")), t) for t in bare))))
+
+
+def scrub_identifiers(text, conversation_id, senders: Column) -> Column:
+    """The conversation's id and every configured sender, longest first, become a label."""
+    return scrub_tokens(scrub_tokens(text, F.array(F.coalesce(_col(conversation_id), F.lit(""))), "[微信号]"), senders, "[微信号]")
+
+
+def source_file(path) -> Column:
+    """A relative path as it is; of an absolute one the name alone; else the message file."""
+    p = F.coalesce(_col(path), F.lit(""))
+    return F.when(p.startswith("/"), F.concat(F.lit("conversations/"), F.element_at(F.split(p, "/"), -1))).when(p == "", "messages.jsonl").otherwise(p)
+
+
+def checked_identifier(value: str, name: str = "identifier") -> str:
+    """``value`` if it can be an identifier; else an error."""
+    if not re.fullmatch(r"[A-Za-z0-9_.:-]{1,160}", value or ""):
+        raise ValueError(f"{name} is no identifier")
+    return value

@@ -24,7 +24,10 @@ def normalize(rows: DataFrame, *, today: str, secret: str | None = None, namespa
     Paid only with a valid date that isn't in the future and revenue above zero; what one side
     alone gives is flagged. Future refund dates are flagged and stay.
     """
-    rows = rows.withColumns({"paid": parse.source_date("pay_date"), "rev": parse.money_minor("revenue"), "rdate": parse.source_date("refund_date"), "rmoney": parse.money_minor("refund_amount"), "rtype": parse.refund_type("refund_type")})
+    made = {"paid": parse.source_date("pay_date"), "rev": parse.money_minor("revenue"), "rdate": parse.source_date("refund_date"), "rmoney": parse.money_minor("refund_amount")}
+    # an explode of one element keeps the parsed values from being written out again in each flag
+    parsed = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items()))))
+    rows = rows.withColumn("__parsed", parsed).select(*(F.col(f"`{c}`") for c in rows.columns), "__parsed.*").withColumn("rtype", parse.refund_type("refund_type"))
     day = F.col(today)
     future = F.col("paid.value") > day
     p_ok, r_pos = F.col("paid.value").isNotNull() & ~F.coalesce(future, F.lit(False)), F.coalesce(F.col("rev.value") > 0, F.lit(False))
@@ -62,10 +65,15 @@ def _scrubbed(rows: DataFrame):
 
 def quality_summary(lines: DataFrame) -> DataFrame:
     """(kind, name, rows): flags, refund types and totals in long form."""
-    flags = lines.select(F.lit("flag").alias("kind"), F.explode("quality_flags").alias("name"))
-    types = lines.filter("refund_type is not null").select(F.lit("refund_type").alias("kind"), F.col("refund_type").alias("name"))
-    totals = lines.select(F.explode(F.array_compact(F.array(F.lit("lines"), F.when(F.col("paid_on").isNotNull(), "paid"), F.when(F.col("refund_on").isNotNull(), "refunded")))).alias("name")).select(F.lit("total").alias("kind"), "name")
-    return flags.unionByName(types).unionByName(totals).groupBy("kind", "name").agg(F.count("*").alias("rows"))
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    flags = F.transform("quality_flags", lambda f: entry("flag", f))
+    own = F.array_compact(F.array(
+        F.when(F.col("refund_type").isNotNull(), entry("refund_type", F.col("refund_type"))), entry("total", F.lit("lines")),
+        F.when(F.col("paid_on").isNotNull(), entry("total", F.lit("paid"))), F.when(F.col("refund_on").isNotNull(), entry("total", F.lit("refunded"))),
+    ))
+    # one pass: a line's few entries are counted within its task before anything is shuffled
+    each = lines.select(F.explode(F.concat(own, flags)).alias("e")).select("e.*")
+    return each.groupBy("kind", "name").agg(F.count("*").alias("rows"))
 
 
 def snapshot_id(secret: str, namespace: str, source_hash: str, synced_at: str, rule_version: str):

@@ -10,8 +10,8 @@ from ..functions import text as tx
 
 
 def source_status(sources: DataFrame, as_of) -> DataFrame:
-    """State of each source: (id, enabled, configured, modified, max_age_seconds)."""
-    stale = F.unix_seconds(as_of) - F.unix_seconds("modified") > F.col("max_age_seconds")
+    """State of each source: (id, enabled, configured, modified, max_age_seconds); an age of 0 never gets stale."""
+    stale = (F.col("max_age_seconds") > 0) & (F.unix_seconds(as_of) - F.unix_seconds("modified") > F.col("max_age_seconds"))
     state = F.when(~F.col("enabled"), "disabled").when(~F.col("configured"), "unconfigured").when(F.col("modified").isNull(), "missing_cache").when(stale, "stale").otherwise("ready")
     return sources.withColumn("status", state)
 

@@ -40,10 +40,10 @@ def decided(rows: DataFrame, log: DataFrame, *, key: str, column: str, at="decid
 
 
 def approve_binding(bindings: DataFrame, binding_id: str, *, key="customer_key") -> DataFrame:
-    """One binding approved and its siblings rejected."""
+    """One binding approved and its siblings rejected, but for those that name no phone (``missing``)."""
     own = bindings.filter(F.col("binding_id") == binding_id).select(F.col(key).alias("__k"))
     rows = bindings.join(own, F.col(key) == F.col("__k"), "left")
-    state = F.when(F.col("binding_id") == binding_id, "approved").when(F.col("__k").isNotNull(), "rejected").otherwise(F.col("state"))
+    state = F.when(F.col("binding_id") == binding_id, "approved").when(F.col("__k").isNotNull() & (F.col("state") != "missing"), "rejected").otherwise(F.col("state"))
     return rows.withColumn("state", state).drop("__k")
 
 

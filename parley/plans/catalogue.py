@@ -319,9 +319,10 @@ def _evidence(spark, sf):
 @query(f"""with {_EVID}, ph as (select distinct phone from o), tp as (select tracking, list_sort(list_distinct(list(phone))) as ps from o group by tracking),
 d as (select k, list_sort(list_distinct(list(x.p))) as known from (select k, unnest(direct) as p from c) x join ph on ph.phone = x.p group by k),
 t as (select k, list_sort(list_distinct(flatten(list(tp.ps)))) as via, bool_or(len(tp.ps) <> 1) as amb from (select k, unnest(trackings) as t from c) x join tp on tp.tracking = x.t group by k),
-j as (select c.k, coalesce(known, []) as known, coalesce(via, []) as via, coalesce(amb, false) as amb from c left join d on c.k = d.k left join t on c.k = t.k),
-r as (select *, case when len(known) > 1 then 'customer_phone_order_conflict' when len(known) = 1 and (amb or (len(via) > 0 and via <> known)) then 'customer_evidence_conflict'
-  when len(known) = 1 then 'customer_phone_order_exact' when amb or len(via) > 1 then 'customer_tracking_order_conflict' when len(via) = 1 then 'customer_tracking_order_exact' end as rule from j)
+j as (select c.k, list_sort(list_distinct(direct)) as dir, coalesce(known, []) as known, coalesce(via, []) as via, coalesce(amb, false) as amb from c left join d on c.k = d.k left join t on c.k = t.k),
+r as (select *, case when len(dir) > 1 then 'customer_phone_order_conflict' when len(known) = 1 and (amb or (len(via) > 0 and via <> dir)) then 'customer_evidence_conflict'
+  when len(known) = 1 then 'customer_phone_order_exact' when len(dir) > 0 and len(via) > 0 and via <> dir then 'customer_evidence_conflict'
+  when len(dir) = 0 and not amb and len(via) = 1 then 'customer_tracking_order_exact' when amb or len(via) > 1 then 'customer_tracking_order_conflict' end as rule from j)
 select k as key, case when rule like '%_exact' then 'approved' when rule is not null then 'conflict' end as state, rule, case when rule like '%_exact' then coalesce(known[1], via[1]) end as phone,
   cast(case when rule = 'customer_phone_order_exact' then 1.0 when rule = 'customer_tracking_order_exact' then 0.98 when rule is not null then 0.0 end as double) as confidence from r""")
 def evidence_ladder(spark, sf):

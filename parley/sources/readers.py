@@ -8,12 +8,14 @@ definition. Line numbers are part of keys: they are counted by split and added u
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as tx
-from ..functions.keys import hmac_id
+from ..functions.keys import content_digest, hmac_id
+from ..session import ship
 
 MESSAGE = "conversation_id string, conversation_type string, message_id string, timestamp string, message_type string, text string, raw_payload struct<status:int>"
 INDEX = "conversation_id string, conversation_type string, display_name string, remark string, nick_name string"
@@ -50,8 +52,48 @@ def friend_index(index: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{INDEX.replace(' string', ':string')}>>")).alias("position", "e"))
-    return friend_index(rows.select("position", "e.*"))
+    """Friend conversations of a JSON array, read element by element; of an id's entries the last counts."""
+    rows = spark.read.schema(INDEX).json(path, multiLine=True)
+    return friend_index(rows.withColumn("position", F.monotonically_increasing_id()))
+
+
+def read_window(spark: SparkSession, folder: str, first: Column, last: Column) -> tuple[Column, Column]:
+    """(first, last) instant of an export: those of its summary if both can be read, else the given ones."""
+    try:
+        got = spark.read.schema("first_timestamp string, last_timestamp string").json(f"{folder}/summary.json", multiLine=True).first()
+    except AnalysisException:
+        got = None
+    told = [parse.instant(F.lit(x)) for x in (got or (None, None))]
+    both = told[0].isNotNull() & told[1].isNotNull()
+    return F.when(both, told[0]).otherwise(first), F.when(both, told[1]).otherwise(last)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(calibration_id, reviewer_role) of a review list; fails on a missing column or another role."""
+    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
+    rows = rows.toDF(*(c.lstrip("\ufeff").strip() for c in rows.columns))
+    if missing := {"calibration_id", "reviewer_role"} - set(rows.columns):
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    role = F.trim(F.coalesce("reviewer_role", F.lit("")))
+    return rows.select("calibration_id", parse.refuse_unless(role.isin("studio", "customer"), role, "reviewer_role must be studio or customer").alias("reviewer_role"))
+
+
+_ACCOUNT = "struct<canonical_account_id:string,self_sender:string,binding_account_alias:string,state:string>"
+_STATE = "struct<initialized:boolean,last_poll_at:string,last_error:string>"
+
+
+def read_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """(account_profile, account_id, self_sender, binding_account_alias, state) of an account file."""
+    rows = spark.read.schema(f"version int, accounts map<string, {_ACCOUNT}>").json(path, multiLine=True)
+    each = rows.select(F.explode("accounts").alias("account_profile", "a"))
+    flat = lambda c: F.coalesce(F.trim(f"a.{c}"), F.lit(""))
+    return each.select("account_profile", flat("canonical_account_id").alias("account_id"), *(flat(c).alias(c) for c in ("self_sender", "binding_account_alias", "state")))
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """(account_profile, initialized, last_poll_at, last_error, last_success_at) of a state file."""
+    rows = spark.read.schema(f"status string, last_success_at string, accounts map<string, {_STATE}>").json(path, multiLine=True)
+    return rows.select("last_success_at", F.explode("accounts").alias("account_profile", "s")).select("account_profile", "s.*", "last_success_at")
 
 
 def eligible(rows: DataFrame, conv: DataFrame | None = None) -> DataFrame:
@@ -105,13 +147,15 @@ def ladder(*steps: tuple[str, Column]) -> Column:
     return out
 
 
-def live_events(lines: DataFrame, accounts: DataFrame, secret: str, *, skew_seconds=60) -> DataFrame:
+def live_events(lines: DataFrame, accounts: DataFrame, secret: str, *, skew_seconds=60, text_type="文本") -> DataFrame:
     """Every line with reject_reason (null: accepted) and, where accepted, its message columns.
 
     lines: (source_file, ordinal, line). accounts: (account_profile, account_id, self_sender).
     Repeats are found among all lines with an event id, so that one first met on a rejected
-    line is a repeat later on.
+    line is a repeat later on. Texts are redacted, identifiers of the conversation and of all
+    accounts before anything else.
     """
+    ship(lines.sparkSession)
     flat = lambda c: F.coalesce(F.trim(c), F.lit(""))
     rows = lines.withColumn("sig", canonical_json("line")).withColumn("e", F.from_json("line", EVENT))
     obj = F.col("sig").startswith("{")
@@ -126,16 +170,20 @@ def live_events(lines: DataFrame, accounts: DataFrame, secret: str, *, skew_seco
     reason = ladder(
         ("blank_line", F.trim("line") == ""), ("invalid_json", F.col("sig").isNull()), ("invalid_record", ~obj), ("missing_event_id", F.col("event_id") == ""),
         ("duplicate_exact", (F.col("nth") > 1) & F.col("sig").eqNullSafe(F.col("first_sig"))), ("duplicate_conflict", F.col("nth") > 1), ("unknown_profile", F.col("p").isNull()),
-        ("non_private", F.col("chat_type") != "private"), ("non_text", F.col("message_type") != "text"), ("empty_text", F.col("text") == ""),
+        ("non_private", F.col("chat_type") != "private"), ("non_text", F.col("message_type") != text_type), ("empty_text", F.col("text") == ""),
         ("unknown_sender", ~F.col("sender").isin("") & (F.col("sender") != F.col("self_sender"))), ("invalid_timestamp", epoch.isNull() | shown.isNull()),
         ("timestamp_mismatch", F.abs(F.unix_seconds(shown) - epoch) > skew_seconds), ("invalid_conversation_id", (raw_id == "") | raw_id.rlike(r"\p{Cntrl}")),
     )
     rows = rows.withColumn("reject_reason", reason)
-    out = rows.withColumns({
+    senders = F.broadcast(accounts.agg(F.collect_set(F.coalesce("self_sender", F.lit(""))).alias("senders")))
+    out = rows.crossJoin(senders).withColumns({
         "role": F.when(F.col("sender") == "", "customer").otherwise("studio"), "raw_id": raw_id, "ts": F.timestamp_seconds(epoch), "timestamp": parse.epoch_local(epoch),
-        "customer_key": hmac_id(secret, "customer", "account_id", raw_id), "message_key": hmac_id(secret, "message", "account_id", "event_id"),
+        "customer_key": hmac_id(secret, "customer", "account_id", raw_id), "raw_hash": hmac_id(secret, "raw-wechat-id", "account_id", raw_id),
+        "message_key": hmac_id(secret, "message", "event_id", parse.epoch_local(epoch), content_digest("text")),
+        "evidence": F.when(F.col("sender") == "", "empty_sender").otherwise("configured_self_sender"),
     })
-    return out.select("source_file", "ordinal", "reject_reason", "account_profile", "account_id", "conversation_name", "sender", "raw_id", "event_id", "role", "timestamp", "ts", "customer_key", "message_key", "text")
+    out = out.withColumn("text", F.when(F.col("reject_reason").isNull(), tx.redact(tx.scrub_identifiers("text", "raw_id", F.col("senders")))["text"]))
+    return out.select("source_file", "ordinal", "reject_reason", "account_profile", "account_id", "conversation_name", "sender", "raw_id", "raw_hash", "event_id", "role", "evidence", "timestamp", "ts", "customer_key", "message_key", "text")
 
 
 def accounting(rows: DataFrame, reason="reject_reason") -> DataFrame:
@@ -174,9 +222,9 @@ def read_bindings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_orders(spark: SparkSession, *paths: str) -> DataFrame:
     """(source_file, synced_at, total_records, position, record) of order envelopes."""
-    whole = spark.read.text(list(paths), wholetext=True).withColumn("source_file", F.input_file_name())
-    env = F.from_json("value", "synced_at string, total_records int, records array<string>")
-    rows = whole.withColumn("env", env).select("source_file", F.col("env.synced_at").alias("synced_at"), F.col("env.total_records").alias("total_records"), F.posexplode_outer("env.records").alias("position", "raw"))
+    # the parser streams a file; its records are what one row holds
+    whole = spark.read.schema("synced_at string, total_records int, records array<string>").json(list(paths), multiLine=True)
+    rows = whole.select(F.col("_metadata.file_path").alias("source_file"), "synced_at", "total_records", F.posexplode_outer("records").alias("position", "raw"))
     rec = F.from_json("raw", ORDER)
     return rows.withColumn("record", F.when(F.col("raw").startswith("{"), rec))
 
@@ -186,13 +234,18 @@ def flatten_items(raw: DataFrame, text="value") -> DataFrame:
 
     Text items are content. Columns: title, content, source_ref, expires_at.
     """
-    item = "title string, content string, text string, summary string, source_ref string, expires_at string"
+    item = "title string, name string, content string, text string, policy string, answer string, fields map<string,string>, source_ref string, url string, expires_at string, effective_until string"
     lists = [F.get_json_object(text, f"$.{k}") for k in ("records", "chunks", "items", "data")]
     is_list = lambda c: F.when(F.ltrim(c).startswith("["), c)
     arr = F.coalesce(is_list(F.col(text)), *(is_list(c) for c in lists), F.concat(F.lit("["), F.col(text), F.lit("]")))
     rows = raw.withColumn("raw", F.explode_outer(F.from_json(arr, "array<string>"))).withColumn("i", F.when(F.col("raw").startswith("{"), F.from_json("raw", item)))
-    content = F.coalesce(F.nullif(F.col("i.content"), F.lit("")), F.nullif(F.col("i.text"), F.lit("")), F.nullif(F.col("i.summary"), F.lit("")), F.when(F.col("i").isNull(), F.col("raw")))
-    return rows.select(*(c for c in raw.columns if c != text), F.coalesce("i.title", F.lit("")).alias("title"), content.alias("content"), "i.source_ref", "i.expires_at").filter("content is not null and content <> ''")
+    some = lambda *names: F.coalesce(*(F.nullif(F.trim(f"i.{c}"), F.lit("")) for c in names))
+    fields = F.array_join(F.transform(F.map_entries("i.fields"), lambda e: F.concat(e.key, F.lit(": "), e.value)), " ")
+    content = F.coalesce(some("content", "text", "policy", "answer"), F.nullif(fields, F.lit("")), F.when(F.col("i").isNull(), F.trim("raw")))
+    return rows.select(
+        *(c for c in raw.columns if c != text), F.coalesce(some("title", "name"), F.lit("")).alias("title"), content.alias("content"), some("source_ref", "url").alias("source_ref"),
+        some("expires_at", "effective_until").alias("expires_at"),
+    ).filter("content is not null and content <> ''")
 
 
 def read_source(spark: SparkSession, path: str, fmt: str = "auto", **kind) -> DataFrame:

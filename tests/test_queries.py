@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from parley.plans import catalogue
+from parley.plans import catalogue, service  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer orders events documents pages benchmark labels conversations".split()
+TABLES = "customer orders events documents pages benchmark labels conversations supplier".split()
 
 
 @pytest.fixture(scope="module")

@@ -57,7 +57,7 @@ def test_turn_gap_is_inclusive_and_roles_break(spark):
 
 
 def event(i, **kw):
-    base = {"event_id": f"e{i}", "account_profile": "p", "message_timestamp": 1782871200, "message_time": "2026-07-01T10:00:00+08:00", "conversation_id": "w", "conversation_name": "n", "chat_type": "private", "sender": "", "message_type": "text", "text": "你好"}
+    base = {"event_id": f"e{i}", "account_profile": "p", "message_timestamp": 1782871200, "message_time": "2026-07-01T10:00:00+08:00", "conversation_id": "w", "conversation_name": "n", "chat_type": "private", "sender": "", "message_type": "文本", "text": "你好"}
     return json.dumps(base | kw, ensure_ascii=False)
 
 
