@@ -1,24 +1,30 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: *insult* and *threat* stems, *target* (second person and like
-pronouns), *negation* and *reported speech* markers, or other. Insult stems are learned:
-whole words and word beginnings of ``STEM`` letters that labelled documents show with far
-greater odds in toxic ones; the closed classes are fixed lists in four languages. A clause
-ends at punctuation, a line break or ``CLAUSE`` words. Five transducers run over its symbols
-in one pass and are composed in their product: each keeps a small state and writes to the
-features of the clause, so what counts is the clause an insult or threat stands in (aimed at
-somebody, denied, reported), not the word alone.
-
-A document's features are its counts of clauses by pattern, as log2(1 + n). Their weights
-and an intercept are fitted by logistic regression with the labelled sample; the score is
-its probability, so texts without any match get the low score of the intercept.
+A lexicon turns words into symbols: *insult* and *threat* stems with a weight, *target* (second
+person and like pronouns), *negation* and *reported speech* markers, or other. Insult stems are
+learned: whole words and word beginnings of ``STEM`` letters that labelled documents show with far
+greater odds in toxic ones, weighted by the logarithm of these odds; the closed classes are fixed
+lists in four languages. A clause ends at punctuation, a line break or ``CLAUSE`` words.
+
+Five transducers read a clause's symbols, each the output of the one before: negation rewrites
+what it denies, reported speech what somebody is said to have said, target what is aimed at
+somebody (before or after the word), insult and threat turn what is left into weights of
+patterns. They are tables of arcs and are composed into one automaton (:func:`compose`), over
+which a clause runs once. So what counts is the clause that an insult or threat stands in, not
+the word alone.
+
+A document's features are the weights of its clauses by pattern, as log2(1 + sum). Their own
+weights and an intercept are fitted by logistic regression with the labelled sample; the score
+is its probability, so texts without any match get the low score of the intercept.
 
 Bounds: the sample has about ``SAMPLE`` documents of each label (all, if fewer), drawn by a
 hash of the text; at most ``STEMS`` stems are kept.
 
-Defined results: null and empty texts have no clause and get the intercept's score; without
-labels of both kinds nothing is learned and every score is 0; equal texts get equal scores;
-other columns are kept as they are.
+Defined results: null and empty texts have no clause and get the intercept's score; long texts
+are read whole; a word of several classes has the first of insult, threat, target, negation and
+reported speech; stems of equal odds go by support, then by name; without labels of both kinds
+nothing is learned and every score is 0; equal texts get equal scores; other columns are kept as
+they are, but for score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, store
+from .common import crc_mod, ship, store, without
 
 SAMPLE = 6_000
 STEMS = 4_000
@@ -40,27 +46,163 @@ SUPPORT, RATIO = 0.01, 0.002  # least part of toxic texts with a stem; clean rat
 CHANCES = 50_000
 CLAUSE = 24
 WINDOW = 4  # words over which negation and aim reach
-# Closed word classes by language.
-TARGET = {"you", "your", "yours", "he", "she", "they", "them", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros"}
-NEGATION = {"not", "never", "no", "isn't", "aren't", "nicht", "nie", "kein", "keine", "pas", "jamais", "ne", "nunca", "jamás", "ni"}
-REPORTED = {"said", "says", "told", "called", "wrote", "claims", "sagte", "sagt", "nannte", "schrieb", "dit", "disait", "appelle", "écrit", "dijo", "dice", "llamó", "escribió"}
-THREAT = {"kill", "hurt", "destroy", "beat", "töten", "schlagen", "tuer", "frapper", "matar", "golpear"}
-FEATURES = ("insult", "aimed", "repeated", "denied", "reported", "threat", "threat_aimed")
+# Closed word classes in English, German, French and Spanish.
+TARGET = {
+    "you", "your", "yours", "yourself", "u", "he", "she", "they", "them", "him", "her",
+    "du", "dich", "dir", "dein", "deine", "deiner", "ihr", "euch", "euer", "eure", "sie", "er",
+    "tu", "toi", "te", "ton", "ta", "tes", "vous", "votre", "vos", "il", "elle",
+    "tú", "ti", "tu", "tus", "usted", "ustedes", "vosotros", "vosotras", "él", "ella",
+}
+NEGATION = {
+    "not", "never", "no", "isn't", "aren't", "wasn't", "don't", "doesn't", "won't", "cannot", "can't", "without",
+    "nicht", "nie", "niemals", "kein", "keine", "keiner", "ohne", "pas", "jamais", "ne", "aucun", "sans", "nunca", "jamás", "ni", "sin",
+}
+REPORTED = {
+    "said", "says", "told", "called", "calls", "wrote", "writes", "claims", "claimed", "quoted", "allegedly",
+    "sagte", "sagt", "nannte", "nennt", "schrieb", "behauptet", "angeblich", "dit", "disait", "appelle", "appelait", "écrit", "prétend",
+    "dijo", "dice", "llamó", "llama", "escribió", "afirma",
+}
+THREAT = {
+    "kill", "hurt", "destroy", "beat", "murder", "burn", "stab", "töten", "schlagen", "umbringen", "vernichten", "verprügeln",
+    "tuer", "frapper", "détruire", "brûler", "matar", "golpear", "destruir", "quemar",
+}
+FEATURES = ("insult", "aimed", "repeated", "denied", "reported", "threat", "threat_aimed", "threat_unmeant")
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,\n()\"]")
 _ENDS = frozenset(".!?;:,\n()\"")
 
 
+# ----- transducers -------------------------------------------------------------
+
+SYMBOLS = "oitgnr"  # other, insult, threat, target, negation, reported speech
+
+
+class Transducer:
+    """Arcs (state, symbol) -> (state, symbol, weights by feature). A symbol without an arc passes as it is."""
+
+    def __init__(self, start, arc):
+        self.start, self.arc = start, arc
+
+    def step(self, state, symbol: str):
+        return self.arc(state, symbol) or (state, symbol, {})
+
+    def run(self, symbols: str) -> tuple[str, dict[str, float]]:
+        """Output and summed weights of one clause."""
+        state, out, total = self.start, [], {}
+        for x in symbols:
+            state, y, w = self.step(state, x)
+            out.append(y)
+            for k, v in w.items():
+                total[k] = total.get(k, 0.0) + v
+        return "".join(out), total
+
+
+def negation(reach: int = WINDOW) -> Transducer:
+    """Insults and threats within ``reach`` words after a negation: i -> d, t -> u."""
+
+    def arc(left, x):
+        if x == "n":
+            return reach, x, {}
+        return max(0, left - 1), {"i": "d", "t": "u"}.get(x, x) if left else x, {}
+
+    return Transducer(0, arc)
+
+
+def reported_speech() -> Transducer:
+    """Whatever follows a verb of saying in its clause: i -> q, t -> v."""
+    return Transducer(False, lambda on, x: (on or x == "r", {"i": "q", "t": "v"}.get(x, x) if on else x, {}))
+
+
+def target(reach: int = WINDOW) -> Transducer:
+    """Within ``reach`` words after a target: i -> I, t -> T. A target after an insult or threat that has none: g -> J, K."""
+
+    def arc(state, x):
+        left, waiting = state
+        if x == "g":
+            return (reach, ""), {"i": "J", "t": "K"}.get(waiting, x), {}
+        after = max(0, left - 1)
+        if x in "it" and left:
+            return (after, ""), x.upper(), {}
+        return (after, x if x in "it" else waiting), x, {}
+
+    return Transducer((0, ""), arc)
+
+
+def insult() -> Transducer:
+    """Weights of insults; the second of a clause counts as repeated."""
+    gives = {"i": {}, "I": {"aimed": 1.0}, "d": {"denied": 1.0}, "q": {"reported": 1.0}}
+
+    def arc(met, x):
+        if x == "J":
+            return met, "o", {"aimed": 1.0}
+        if x in gives:
+            more = {"repeated": 1.0} if met == 1 else {}
+            return min(2, met + 1), "o", {"insult": 1.0} | gives[x] | more
+        return None
+
+    return Transducer(0, arc)
+
+
+def threat() -> Transducer:
+    """Weights of threats: plain, aimed, or denied or reported."""
+    gives = {"t": "threat", "T": "threat_aimed", "K": "threat_aimed", "u": "threat_unmeant", "v": "threat_unmeant"}
+    return Transducer(0, lambda s, x: (s, "o", {gives[x]: 1.0}) if x in gives else None)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One transducer that does what ``second`` does to the output of ``first``."""
+
+    def arc(state, x):
+        a, y, w = first.step(state[0], x)
+        b, z, v = second.step(state[1], y)
+        return (a, b), z, {k: w.get(k, 0.0) + v.get(k, 0.0) for k in {*w, *v}}
+
+    return Transducer((first.start, second.start), arc)
+
+
+PARTS = (negation, reported_speech, target, insult, threat)
+
+
+class Table:
+    """A transducer's arcs, of the states that clauses can reach, by number."""
+
+    def __init__(self, t: Transducer):
+        number, todo = {t.start: 0}, [t.start]
+        self.next: list[list[int]] = []
+        self.weights: list[list[tuple[tuple[int, float], ...]]] = []
+        while todo:
+            state = todo.pop(0)
+            row, gains = [], []
+            for x in SYMBOLS:
+                to, _, w = t.step(state, x)
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                row.append(number[to])
+                gains.append(tuple((FEATURES.index(k), v) for k, v in sorted(w.items())))
+            self.next.append(row)
+            self.weights.append(gains)
+
+
+def grammar_table() -> Table:
+    whole = PARTS[0]()
+    for part in PARTS[1:]:
+        whole = compose(whole, part())
+    return Table(whole)
+
+
 def stems_of(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in STEM if len(word) >= n)]
 
 
 class Grammar:
-    """Lexicon of stems and the weights of the patterns."""
+    """Lexicon of stems, the composed automaton and the weights of the patterns."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.sizes = sorted({len(s) for s in stems if not s.endswith("$")})
         self.heads = frozenset(s.removesuffix("$")[:3] for s in stems)
+        self.usual = sum(stems.values()) / len(stems) if stems else 1.0
+        self.table = grammar_table()
         self.weights, self.bias = np.zeros(len(FEATURES)), -20.0
 
     def strength(self, word: str) -> float:
@@ -74,59 +216,43 @@ class Grammar:
             got = max(got, self.stems.get(word[:n], 0.0))
         return got
 
+    def symbol(self, word: str) -> tuple[int, float]:
+        """Number of the word's symbol, and its weight: 1 for an insult of usual odds and for a threat."""
+        if (s := self.strength(word)) > 0:
+            return 1, s / self.usual
+        for k, words in ((2, THREAT), (3, TARGET), (4, NEGATION), (5, REPORTED)):
+            if word in words:
+                return k, 1.0
+        return 0, 1.0
+
     def features(self, text: str | None) -> np.ndarray:
-        out = dict.fromkeys(FEATURES, 0.0)
+        out = [0.0] * len(FEATURES)
         if text:
             tokens = TOKEN.findall(text.lower())
-            hot = {w for w in set(tokens) if w[:3] in self.heads and self.strength(w) > 0 or w in THREAT}
+            symbols = {w: self.symbol(w) for w in set(tokens)}
+            hot = {w for w, (k, _) in symbols.items() if k in (1, 2)}
             if hot:
                 clause: list[str] = []
                 for w in tokens:
                     if w in _ENDS or len(clause) >= CLAUSE:
                         if not hot.isdisjoint(clause):
-                            self.clause(clause, hot, out)
+                            self.clause([symbols[x] for x in clause], out)
                         clause = []
                     if w not in _ENDS:
                         clause.append(w)
                 if not hot.isdisjoint(clause):
-                    self.clause(clause, hot, out)
-        return np.log2(1.0 + np.array([out[f] for f in FEATURES]))
-
-    def clause(self, words: list[str], hot: set[str], out: dict[str, float]) -> None:
-        """The product of the transducers over one clause.
-
-        State: words left of a negation's and of a target's reach, whether speech is
-        reported, and how many insults there were.
-        """
-        negated = aimed = insults = 0
-        reported = pending = threat = False
-        for w in words:
-            negated, aimed = max(0, negated - 1), max(0, aimed - 1)
-            if w in NEGATION:
-                negated = WINDOW
-            elif w in REPORTED:
-                reported = True
-            elif w in TARGET:
-                aimed = WINDOW
-                if pending:  # an insult or threat before its target
-                    out["threat_aimed" if threat else "aimed"] += 1
-                    pending = False
-            if w in hot:
-                threat = w in THREAT and self.strength(w) == 0
-                if threat:
-                    out["threat_aimed" if aimed else "threat"] += 1
-                else:
-                    insults += 1
-                    out["insult"] += 1
-                    if insults == 2:
-                        out["repeated"] += 1
-                    if aimed:
-                        out["aimed"] += 1
-                    if negated:
-                        out["denied"] += 1
-                    if reported:
-                        out["reported"] += 1
-                pending = not aimed
+                    self.clause([symbols[x] for x in clause], out)
+        return np.log2(1.0 + np.array(out))
+
+    def clause(self, symbols: list[tuple[int, float]], out: list[float]) -> None:
+        """One run over the composed automaton; a pattern weighs as much as the word it is about."""
+        state, last = 0, 1.0
+        for k, weight in symbols:
+            if k in (1, 2):
+                last = weight
+            for f, v in self.table.weights[state][k]:
+                out[f] += v * last
+            state = self.table.next[state][k]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ self.weights + self.bias, -40, 40)))
@@ -203,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> Grammar:
 
 def score(docs: DataFrame, grammar: Grammar, *, text="text", threshold=0.7) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (score >= threshold)."""
-    base = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
+    base = without(docs, "score", "predicted")
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(grammar)
     schema = base.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema

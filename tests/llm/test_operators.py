@@ -380,8 +380,44 @@ def test_toxicity(spark, docs, empty):
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 5.0})
     f = lambda t: dict(zip(toxicity.FEATURES, g.features(t)))
-    assert f("you are an idiot.")["aimed"] == 1 and f("you. an idiot")["aimed"] == 0
+    assert f("you are an idiot.")["aimed"] == 1 and f("you. an idiot")["aimed"] == 0 and f("an idiot you are")["aimed"] == 1
     assert f("not an idiot")["denied"] == 1 and f("he said idiot")["reported"] == 1 and f("i kill you")["threat_aimed"] == 1
+    assert f("never kill you")["threat_unmeant"] == 1 and f("never kill you")["threat_aimed"] == 0 and f("idiot, idiot")["repeated"] == 0 and f("idiot idiot idiot")["repeated"] == 1
+    two = toxicity.Grammar({"idiot": 6.0, "fool": 2.0})
+    assert two.features("idiot")[0] > two.features("fool")[0] > 0  # the lexicon's weight counts
+
+
+def test_composed_transducers_equal_their_parts():
+    import random
+
+    rng, table = random.Random(2), toxicity.grammar_table()
+    parts = [p() for p in toxicity.PARTS]
+    assert 50 < len(table.next) <= 5 * 2 * 15 * 3
+    for _ in range(3000):
+        clause = "".join(rng.choice(toxicity.SYMBOLS) for _ in range(rng.randint(0, 14)))
+        text, want = clause, dict.fromkeys(toxicity.FEATURES, 0.0)
+        for part in parts:  # one after the other, each over the whole output of the one before
+            text, w = part.run(text)
+            for k, v in w.items():
+                want[k] += v
+        state, got = 0, [0.0] * len(toxicity.FEATURES)
+        for x in clause:
+            k = toxicity.SYMBOLS.index(x)
+            for f, v in table.weights[state][k]:
+                got[f] += v
+            state = table.next[state][k]
+        assert got == [want[f] for f in toxicity.FEATURES]
+
+
+def test_toxicity_cases(spark):
+    """Repeated rows, ties, long texts, nulls and clashing columns."""
+    rows = [(i, f"you are {'such an idiot' if i % 3 == 0 else 'a tree'} w{i}", 0.5) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    g = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    more = spark.createDataFrame([(1, "you are such an idiot", 0.1), (1, "you are such an idiot", 0.1), (None, "a tree " * 20_000, 0.2), (2, None, 0.3), (3, "", 0.4), (4, "a tree " * 20_000 + ". you are such an idiot", 0.4)], df.schema)
+    got = sorted((str(r["doc_id"]), r["predicted"], round(r["score"], 9)) for r in toxicity.score(more.withColumn("predicted", F.lit("mine")), g).collect())
+    by = {k: (p, s) for k, p, s in got}
+    assert len(got) == 6 and by["1"][0] == 1 and by["4"][0] == 1 and by["None"] == by["2"] == by["3"] and by["2"][0] == 0
 
 
 def test_licences(spark, empty):
