@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from . import decontaminate, jaccard, language, licences, mixing, neighbours, shards, substrings, toxicity, warc
 
+_MODULES = (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate)
 QUERIES: dict = {}
-ORACLE: dict = {}
-for _m in (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate):
+for _m in _MODULES:
     QUERIES |= _m.QUERIES
-    ORACLE |= _m.ORACLE
+
+
+def oracles() -> dict[str, str]:
+    """SQL by query. A module may make its own when asked: some of it holds a trained model."""
+    found: dict[str, str] = {}
+    for m in _MODULES:
+        found |= m.oracle() if hasattr(m, "oracle") else m.ORACLE
+    return found

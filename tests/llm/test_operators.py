@@ -421,12 +421,36 @@ def test_toxicity_cases(spark):
 
 
 def test_licences(spark, empty):
-    df = spark.createDataFrame([(1, "text\nReleased under the MIT License.\nmore"), (2, "He lost his driving license in town."), (None, "All rights reserved."), (4, None), (5, "")], "doc_id long, text string")
-    got = {(r["doc_id"], r["line"], r["family"], r["confirmed"]) for r in licences.scan(df).collect()}
-    assert got == {(1, 1, "MIT", True), (2, 0, "unknown", False), (None, 0, "proprietary", True)}
+    wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the\nSoftware), to deal in the Software without restriction.\nOther text."
+    rows = [
+        (1, "text\nReleased under the MIT License.\nmore"), (2, "He lost his driving license in town."), (None, "All rights reserved."), (4, None), (5, ""), (6, "Distributed under the GNU GPL v3"), (7, "Lizenz: MIT"),
+        (8, "Available under CC0 1.0"), (9, "x " * 60_000 + "\nReleased under CC BY-SA 4.0"), (10, "Licensed under the Gruntho License"), (11, wrapped), (1, "text\nReleased under the MIT License.\nmore"), (12, "GPLv3"), (13, "er kommt mit dem hund"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"paragraph": F.lit("mine"), "family": F.lit(1), "w": F.lit(2)})
+    got = sorted((str(r["doc_id"]), r["paragraph"], r["family"], r["confirmed"]) for r in licences.scan(df).collect())
+    want = [(1, 1, "MIT", True)] * 2 + [(None, 0, "proprietary", True), (6, 0, "GPL", True), (7, 0, "MIT", True), (8, 0, "public-domain", True), (9, 0, "CC-BY-SA", True), (10, 0, "unknown", False), (11, 0, "MIT", True), (12, 0, "GPL", True)]
+    assert got == sorted((str(i), *x) for i, *x in want)
     assert licences.scan(empty).count() == 0
 
 
+def test_licence_model_is_calibrated():
+    """On paragraphs generated with another seed: most are right, and probabilities mean what they say."""
+    classes, micro, biases, hooks = licences.train()
+    pattern, rows = __import__("re").compile(licences.anchor_pattern(hooks)), licences.generated(99)
+    right, sure = [], []
+    for text, kind in rows:
+        known = [g for g in licences.grams(text) if g in micro]
+        z = (np.array(biases) + sum((np.array(micro[g]) for g in known), np.zeros(len(classes)))) / 1e6
+        p = np.exp(z - z.max())
+        right.append(classes[int(p.argmax())] == kind)
+        sure.append(p.max() / p.sum())
+        assert not known or pattern.search(text.lower())  # no paragraph with a known n-gram is passed over
+    right, sure = np.array(right), np.array(sure)
+    assert right.mean() > 0.88
+    cells = [(sure >= a) & (sure < a + 0.1) for a in np.arange(0, 1, 0.1)]
+    assert sum(abs(sure[c].mean() - right[c].mean()) * c.mean() for c in cells if c.any()) < 0.08
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16))
