@@ -85,8 +85,8 @@ def brute_components(rows, words, percent):
     return sorted((str(i), len(s), str(least.get(find(k)))) for k, ((i, *_), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_components_are_exact(spark, docs, empty, monkeypatch, small):
+@pytest.mark.parametrize("small,bits", [(16, 64), (2, 64), (2, 4)])
+def test_components_are_exact(spark, docs, empty, monkeypatch, small, bits):
     monkeypatch.setattr(jaccard, "SMALL", small)
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(400)]
@@ -97,7 +97,7 @@ def test_components_are_exact(spark, docs, empty, monkeypatch, small):
             w[at] = str(rng.choice(vocab))
         rows.append((100 + i, " ".join(map(str, w)), "en", "a", 1))
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_components(df, words=4, percent=85).collect())
+    got = sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_components(df, words=4, percent=85, id_bits=bits).collect())
     assert got == brute_components(rows, 4, 85)
     assert jaccard.jaccard_components(empty).count() == 0
 
