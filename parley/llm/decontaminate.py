@@ -11,7 +11,8 @@ similarity asked for is compared exactly, so none is missed. The Hamming distanc
 Items are broadcast in blocks of at most ``ITEMS`` items and ``ITEM_WORDS`` words; each
 block is a pass over the documents, so that a benchmark of any size can be used.
 
-Defined results: null and empty texts match nothing; a document with fewer shingles than
+Defined results: null and empty texts match nothing; long texts are searched whole; of an item's
+equally similar windows the first in the text is reported; a document with fewer shingles than
 an item is one window as a whole; texts with fewer than five words have one shingle, the
 whole sequence, and so match items of just these words; null or empty items match nothing;
 equal items are all reported; equal rows get equal results; other columns are kept as they are.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_stored, gram_hashes, ship, store, words_of
+from .common import WordHash, drop_stored, gram_hashes, packed, ship, store, words_of
 
 ITEMS, ITEM_WORDS = 1000, 200_000
 SPAN = 4096  # windows fingerprinted at once
@@ -221,10 +222,11 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, text="text", **k
             for whole in batches:
                 for at in range(0, whole.num_rows, 1000):
                     b = whole.slice(at, 1000)
-                    texts = b.column(b.schema.get_field_index(text)).to_pylist()
-                    yield b.filter(pa.array([not ix.matches(t, cache) for t in texts], pa.bool_()))
+                    texts = b.column(b.schema.get_field_index("text")).to_pylist()
+                    yield b.filter(pa.array([not ix.matches(t, cache) for t in texts], pa.bool_())).select(["row"])
 
-        docs = docs.mapInArrow(run, docs.schema)
+        rows = packed(docs, text=text)
+        docs = rows.mapInArrow(run, rows.select("row").schema).select("row.*")
     return docs
 
 

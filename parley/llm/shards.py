@@ -9,14 +9,17 @@ A round sums each group's bytes by shard, lets every node ask for the shard wher
 its group is (ties: by hash), and grants moves under quotas: between two shards as many
 bytes as ask in the other direction, and beyond that what linked nodes may still fill of
 the target. Requests are granted by ``STEPS`` hash steps for each pair of shards, whose
-bytes are the only thing the driver reads. After the rounds nodes without links, and others
+bytes are the only thing the driver reads. Rounds end when less than ``STILL`` of the bytes
+ask or nothing is granted, at the latest after ``ROUNDS``. Then nodes without links, and others
 only where these don't suffice, move from shards above the mean to those below it until
-sizes are even, planned in the same way on a histogram.
+sizes are even, planned in the same way on a histogram. :func:`cut_edges` counts what is left
+apart.
 
 Defined results: a null text has size 1 and is linked with nothing (each such row is alone
-by its id); an empty text has size 1; a null id is hashed as such; rows equal in id and
-text go to one shard, in adjacent slots; an empty table gives an empty table; other columns
-are kept as they are.
+by its id); an empty text has size 1; texts of any length are hashed and sized whole; a null id
+is hashed as such; rows equal in id and text go to one shard, in adjacent slots; an empty
+table gives an empty table; other columns are kept as they are, but for size, text_crc32,
+law, shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,29 +29,32 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store
+from .common import drop_stored, packed, store, without
 
 GRAIN = 256
 STEPS = 256
 FINE = 4096
-ROUNDS = 8
+ROUNDS, STILL = 16, 0.0002
 FILL = 0.98  # part of a shard that linked nodes may fill while labels move
 SLOT_ROWS = 20_000  # rows numbered by one task at once
+MOST_BUCKETS = 10_000  # counts of buckets (40 bytes for each shard) up to which they are broadcast
 
 
 def _node_columns(docs: DataFrame, doc_id: str, text: str, shards: int) -> DataFrame:
-    """``docs`` with __size, __group (equal texts) and __start (first shard)."""
-    own = F.concat(F.lit("null:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    group = F.when(F.col(text).isNull(), F.md5(own)).otherwise(F.md5(F.col(text)))
-    return docs.withColumns(
-        {"__size": F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + 1, "__group": group}
-    ).withColumn("__hash", F.xxhash64(F.col(doc_id).cast("string"), F.col("__group"))).withColumn("__start", F.pmod("__hash", F.lit(shards)).cast("int"))
+    """(row, id, size, group, hash, start): all columns in ``row``; group tells equal texts, start is the first shard."""
+    rows = packed(docs, id=doc_id, text=text)
+    own = F.concat(F.lit("null:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    rows = rows.withColumns({
+        "size": F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")) + 1, "crc": F.crc32(F.col("text").cast("binary")),
+        "group": F.when(F.col("text").isNull(), F.md5(own)).otherwise(F.md5("text")),
+    }).drop("text")
+    return rows.withColumn("hash", F.xxhash64(F.col("id").cast("string"), F.col("group"))).withColumn("start", F.pmod("hash", F.lit(shards)).cast("int"))
 
 
 def _piece(total: int, shards: int):
     """Part of its group's rows of one starting shard that a document belongs to."""
-    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("__held") * shards * GRAIN / F.lit(max(1, total))))
-    return F.when(parts > 1, F.pmod(F.shiftright("__hash", 20), parts)).otherwise(F.lit(0).cast("long"))
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("held") * shards * GRAIN / F.lit(max(1, total))))
+    return F.when(parts > 1, F.pmod(F.shiftright("hash", 20), parts)).otherwise(F.lit(0).cast("long"))
 
 
 def _grant(asked: dict[tuple[int, int], list[tuple[int, int]]], load: list[int], cap: float) -> list[tuple[int, int, int]]:
@@ -90,23 +96,28 @@ def _level(cells: dict[int, list[tuple[int, int, int]]], load: list[int]) -> dic
     return moves
 
 
-def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text") -> DataFrame:
-    """``docs`` with __size, __hash and shard (0 to shards-1)."""
+def place_keys(docs: DataFrame, **kind) -> DataFrame:
+    """:func:`place` without ``row``."""
+    return place(docs, keep=False, **kind)
+
+
+def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text", keep=True) -> DataFrame:
+    """(row, id, size, crc, group, hash, shard) of each document, stored; shard from 0."""
     rows = _node_columns(docs, doc_id, text, shards)
-    held = rows.groupBy("__group", "__start").agg(F.sum("__size").alias("__held"), F.count("*").alias("__rows"))
-    held = store(held, "held")
-    total = held.agg(F.sum("__held")).collect()[0][0] or 0
+    if not keep:  # what is left of a document is a few numbers: hashed once
+        rows = store(rows.drop("row"), "sizes")
+    key = ["group", "start"]
+    held = store(rows.groupBy(*key).agg(F.sum("size").alias("held"), F.count("*").alias("rows")), "held")
+    total = held.agg(F.sum("held")).collect()[0][0] or 0
     # only cells of large groups are cut; they are few: less than shards * GRAIN * 2
-    large = held.filter(F.col("__held") * shards * GRAIN > total).select("__group", "__start", "__held")
-    big = F.broadcast(large)
-    cut = rows.join(big, ["__group", "__start"], "left").withColumn("__held", F.coalesce("__held", F.lit(0).cast("long"))).withColumn("__piece", _piece(total, shards)).drop("__held")
-    pieces = cut.join(F.broadcast(large.select("__group").distinct()), "__group", "left_semi").groupBy("__group", "__start", "__piece").agg(F.sum("__size").alias("bytes"), F.count("*").alias("rows"))
-    whole = held.join(big.select("__group", "__start"), ["__group", "__start"], "left_anti").select("__group", "__start", F.lit(0).cast("long").alias("__piece"), F.col("__held").alias("bytes"), F.col("__rows").alias("rows"))
-    pieces = pieces.join(F.broadcast(large.select("__group", "__start")), ["__group", "__start"], "left_semi")
+    large = F.broadcast(held.filter(F.col("held") * shards * GRAIN > total).select(*key, "held"))
+    cut = rows.join(large, key, "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long"))).withColumn("piece", _piece(total, shards)).drop("held")
+    pieces = cut.filter(F.col("piece") >= 0).join(large.select(*key), key, "left_semi").groupBy(*key, "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    whole = held.join(large.select(*key), key, "left_anti").select(*key, F.lit(0).cast("long").alias("piece"), F.col("held").alias("bytes"), "rows")
     nodes = whole.unionByName(pieces)
-    sizes = nodes.groupBy("__group").agg(F.sum("rows").alias("all"))
-    nodes = nodes.join(sizes, "__group").select("__group", "__start", "__piece", "bytes", (F.col("all") > 1).cast("int").alias("linked"), F.col("__start").alias("shard"))
-    nodes = store(nodes.withColumn("h", F.xxhash64("__group", "__start", "__piece")), "nodes")
+    sizes = nodes.groupBy("group").agg(F.sum("rows").alias("all"))
+    nodes = nodes.join(sizes, "group").select(*key, "piece", "bytes", "rows", (F.col("all") > 1).cast("int").alias("linked"), F.col("start").alias("shard"))
+    nodes = store(nodes.withColumn("h", F.xxhash64(*key, "piece")), "nodes")
 
     def loads(t: DataFrame) -> list[int]:
         got = {r["shard"]: r["b"] for r in t.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
@@ -120,10 +131,10 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text") -> DataFra
     columns = nodes.columns
     load = loads(nodes.filter("linked = 1"))
     for _ in range(ROUNDS):
-        here = nodes.filter("linked = 1").groupBy("__group", "shard").agg(F.sum("bytes").alias("b"))
-        best = here.groupBy("__group").agg(F.max(F.struct("b", F.xxhash64("__group", "shard").alias("x"), F.col("shard").alias("to"))).alias("m"), F.count("*").alias("n")).filter("n > 1").select("__group", F.col("m.to").alias("to"))
+        here = nodes.filter("linked = 1").groupBy("group", "shard").agg(F.sum("bytes").alias("b"))
+        best = here.groupBy("group").agg(F.max(F.struct("b", F.xxhash64("group", "shard").alias("x"), F.col("shard").alias("to"))).alias("m"), F.count("*").alias("n")).filter("n > 1").select("group", F.col("m.to").alias("to"))
         step = F.pmod("h", F.lit(STEPS)).cast("int")
-        asks = store(nodes.join(best, "__group", "left").withColumn("to", F.coalesce("to", "shard")).withColumn("step", step), "asks")
+        asks = store(nodes.join(best, "group", "left").withColumn("to", F.coalesce("to", "shard")).withColumn("step", step), "asks")
         asked: dict = defaultdict(list)
         for r in asks.filter("shard <> to").groupBy("shard", "to", "step").agg(F.sum("bytes").alias("b")).collect():
             asked[(r["shard"], r["to"])].append((r["step"], r["b"]))
@@ -135,7 +146,7 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text") -> DataFra
         drop_stored(asks, nodes)
         nodes = moved
         load = loads(nodes.filter("linked = 1"))
-        if sum(b for v in asked.values() for _, b in v) < 0.0002 * total:
+        if sum(b for v in asked.values() for _, b in v) < STILL * total:
             break
     load = loads(nodes)
     # even sizes, in two passes: a second one deals with what the first one's steps left
@@ -152,42 +163,46 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text") -> DataFra
         drop_stored(nodes)
         nodes = moved
         load = loads(nodes)
-    at = nodes.select("__group", "__start", "__piece", "shard")
-    return cut.join(at, ["__group", "__start", "__piece"]).drop("__group", "__start", "__piece")
+    at = nodes.select(*key, "piece", "shard")
+    return store(cut.join(at, [*key, "piece"]).drop("start", "piece"), "placed")
+
+
+def cut_edges(placed: DataFrame) -> DataFrame:
+    """(edges, cut): pairs of documents with equal texts, and those of them in different shards; placed: see :func:`place`."""
+    pairs = lambda n: n * (n - 1) / 2
+    here = placed.groupBy("group", "shard").agg(F.count("*").cast("double").alias("n"))
+    by = here.groupBy("group").agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("kept"))
+    return by.agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(pairs(F.col("n")) - F.col("kept")), F.lit(0.0)).alias("cut"))
 
 
 def number(rows: DataFrame, order: list) -> DataFrame:
-    """``rows`` with slot, gapless from 0 in each shard.
+    """``rows`` (of :func:`place`) with slot, gapless from 0 in each shard.
 
     Rows are numbered in buckets of a hash, each of about SLOT_ROWS rows, after the rows of
     the buckets before; only the buckets' counts are summed up, by a window over them.
     """
-    n = rows.count()
-    buckets = max(16, n // SLOT_ROWS)
-    rows = rows.withColumn("__bucket", F.pmod(F.shiftright("__hash", 8), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("__from", F.coalesce(before, F.lit(0))).drop("__n")
-    at = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy(*order)) - 1
-    return rows.join(counts, ["shard", "__bucket"]).withColumn("slot", (F.col("__from") + at).cast("long")).drop("__from", "__bucket")
+    buckets = max(16, rows.count() // SLOT_ROWS)
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("hash", 8), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("from", F.coalesce(before, F.lit(0))).drop("n")
+    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*order)) - 1
+    return rows.join(F.broadcast(counts) if buckets <= MOST_BUCKETS else counts, ["shard", "bucket"]).withColumn("slot", (F.col("from") + at).cast("long")).drop("from", "bucket")
 
 
 def shard(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text") -> DataFrame:
     """``docs`` with size, text_crc32, law, shard and slot."""
-    taken = {"size", "text_crc32", "law", "shard", "slot"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
-    rows = place(docs, shards=shards, doc_id=doc_id, text=text)
-    out = number(rows, ["__hash", F.col(doc_id), F.col("__size")])
-    return out.drop("__hash").withColumnRenamed("__size", "size").withColumns({"text_crc32": F.crc32(F.col(text).cast("binary")), "law": F.lit("bytes")})
+    docs = without(docs, "size", "text_crc32", "law", "shard", "slot")
+    out = number(place(docs, shards=shards, doc_id=doc_id, text=text), ["hash", "id", "size"])
+    return out.select("row.*", "size", "shard", "slot", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"))
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, by bytes; groups are equal texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = place(docs.select("doc_id", "text"), shards=8)
-    rows = rows.select("doc_id", F.col("__size").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "shard", "__hash")
-    out = number(rows, ["__hash", "doc_id", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = place_keys(docs, shards=8)
+    out = number(rows, ["hash", "id", "size"])
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op3_sharding": op3_sharding}

@@ -508,3 +508,111 @@ def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     got = corpus_pipeline.run(spark, d)
     assert {"doc_id", "shard", "slot"} <= set(got.columns) and {r["doc_id"] for r in got.collect()} <= {1, 6, 7}
+
+
+# ----- clashing columns, repeats, ties and long texts ---------------------------
+
+CLASH = ["row", "rows", "score", "bits", "lang_pred", "predicted", "__copy", "__key", "__at", "copy", "copies", "at", "key", "u", "cdf", "id", "th", "label", "sid", "n", "size", "group", "hash", "start", "bucket", "gone", "kept", "repeats", "__th", "__rows"]
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(f"mine {i}") for i, c in enumerate(CLASH)})
+
+
+def test_no_operator_touches_a_user_s_columns(spark, docs):
+    mine = clashing(docs)
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string").withColumns({"row": F.lit(1), "df": F.lit(2)})
+    made = {
+        "mixing": mixing.mix(mine), "jaccard": jaccard.one_of_each(mine), "decontamination": decontaminate.without_benchmark(mine, bench),
+        "sharding": shards.shard(mine), "substrings": substrings.without_repeats(mine),
+    }
+    for name, out in made.items():
+        kept = [c for c in CLASH if not (name == "sharding" and c in ("size",))]
+        rows = out.select(*kept).distinct().collect()
+        assert rows == [tuple(f"mine {CLASH.index(c)}" for c in kept)], name
+    assert made["mixing"].columns == made["jaccard"].columns == made["decontamination"].columns == mine.columns
+
+
+def test_pipeline_keeps_a_user_s_columns(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    held = clashing(docs)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        held = common.store(stage(spark, held, d), name)
+        assert held.columns == docs.columns + CLASH
+    assert held.select(*CLASH).distinct().collect() == [tuple(f"mine {i}" for i in range(len(CLASH)))]
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, d)
+        assert nothing.count() == 0, name
+
+
+def test_mixing_of_repeats_and_long_texts(spark):
+    rows = [(7, "same", "a"), (7, "same", "a"), (8, "long " * 50_000, "a"), (None, None, "b"), (None, None, "b"), (None, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    w = {"a": 3.0, "b": 1.0}
+    one, two = (sorted((str(r["doc_id"]), r["text"] or "", str(r["source"])) for r in mixing.mix(x, weights=w, scale=3.0).collect()) for x in (df.repartition(5), df.coalesce(1)))
+    assert one == two  # no partitioning changes the draw
+    n = [one.count(k) for k in {r for r in one if r[0] == "7"}]
+    assert all(x % 2 == 0 for x in n)  # rows with one id draw alike
+
+
+def test_cut_edges_fall(spark):
+    """Propagation brings copies together; before it they are spread by hash."""
+    rows = [(i, f"text {i % 60} " * 20) for i in range(900)] + [(1000 + i, f"alone {i} " * 15) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = shards.place(df)
+    edges, cut = shards.cut_edges(placed).first()
+    first = shards.cut_edges(placed.withColumn("shard", F.pmod("hash", F.lit(8)).cast("int"))).first()
+    assert edges == first["edges"] == 60 * 15 * 14 / 2 and cut < 0.2 * first["cut"]
+    load = [r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(load) < 1.25 * min(load)
+
+
+def test_repeated_short_lines(spark):
+    short = [f"item number {i}" for i in range(6)]  # 18 words in all
+    texts = ["\n".join(["head one", *short, "tail one"]), "\n".join(["head two", *short, "", "tail two"]), "\n".join(["other", short[0], "more", short[1]]), "\n\n".join([short[0], *short])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in substrings.repeated_lines(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["unit"])
+    assert got == {1: set(range(1, 7)), 3: set(range(0, 13, 2))}  # blank lines don't end a run; two short lines alone stay
+    twice = spark.createDataFrame([(5, texts[0]), (5, texts[0]), (9, texts[0])], "doc_id long, text string")
+    assert {r["doc_id"] for r in substrings.repeated_lines(twice).collect()} == {9}
+
+
+def test_decontamination_ties_and_long_texts(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(1, f"{item} and {item}"), (2, "word " * 100_000 + item), (3, item[:40]), (1, f"{item} and {item}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("mine"), "similarity": F.lit("mine")})
+    got = sorted((r["doc_id"], r["first_word"], r["similarity"]) for r in decontaminate.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    assert got == [(1, 0, 1.0), (1, 0, 1.0), (2, 100_000, 1.0)]
+
+
+def test_neighbours_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)).tolist()
+    rows = [(i, v) for i, v in enumerate(x)] + [(None, x[3]), (5, x[7]), (5, x[5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit("mine"), "rank": F.lit(1), "g1": F.lit(2)})
+    got = {}
+    for r in neighbours.neighbours(df, df.filter("vec_id in (3, 5) or vec_id is null"), k=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {3, 5} and 5 not in got[5] and len(got[3]) == 62 and got[3].count(5) == 3 - 1 + 1 and None in got[3]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    assert common.shared_dir(spark).startswith("file:")
+
+    class Conf:
+        @staticmethod
+        def get(*_):
+            return None
+
+    class Far:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Far())
