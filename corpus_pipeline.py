@@ -10,24 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, jaccard, language, mixing, shards
-from parley.llm.common import crc_mod, store
+from parley.llm.common import crc_mod, packed, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter go.
 
     The language of documents that have none is filled in; given ones stay. The model learns
-    from documents whose crc32 of the id mod 4 is not 2, as the query does.
+    from documents whose crc32 of the id mod 4 is not 2, as the query does. All columns are
+    kept, whatever their names.
     """
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = language.fit(docs.filter(~held_out))
-    found = language.identify(docs, model).filter("lang_pred <> 'und'" if model.langs else "true")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.identify(packed(docs, text="text"), model)
+    if model.langs:
+        found = found.filter("lang_pred <> 'und'")
+    filled = F.coalesce("row.lang", "lang_pred").alias("lang")
+    return found.select(*(filled if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8 or more."""
-    return jaccard.one_of_each(docs, words=5, percent=80).select(*docs.columns)
+    return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +41,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources weigh the square root of their size."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard (0 to 7) and slot, copies together and sizes even."""
+    """Documents with shard (0 to 7) and slot, copies together and sizes even; columns of these names are replaced."""
     return shards.shard(docs, shards=8)
 
 
