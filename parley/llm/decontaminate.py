@@ -8,8 +8,10 @@ weight of those in a window bounds what both share, and each window whose bound
 similarity asked for is compared exactly, so none is missed. The Hamming distance of the
 64-bit SimHashes of item and window is reported, and decides nothing.
 
-Items are broadcast in blocks of at most ``ITEMS`` items and ``ITEM_WORDS`` words; each
-block is a pass over the documents, so that a benchmark of any size can be used.
+Items are broadcast in blocks of at most ``ITEMS`` items and ``ITEM_WORDS`` words. Where there
+are more, a first pass over all documents keeps those that hold a shingle of any item, by a
+Bloom filter of ``BLOOM_BITS`` bits for each shingle (at most ``BLOOM_MB``); only these are stored and
+passed once for each block, so that a benchmark of any size can be used.
 
 Defined results: null and empty texts match nothing; long texts are searched whole; of an item's
 equally similar windows the first in the text is reported; a document with fewer shingles than
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from .common import WordHash, drop_stored, gram_hashes, packed, ship, store, wor
 
 ITEMS, ITEM_WORDS = 1000, 200_000
 SPAN = 4096  # windows fingerprinted at once
+BLOOM_BITS, BLOOM_MB = 12, 256
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -183,6 +187,53 @@ def indexes(benchmark: DataFrame, *, item_id="item_id", text="text", words=5, si
     drop_stored(df)
 
 
+class Bloom:
+    """Which 64-bit hashes may be in a set; all that are, are found."""
+
+    def __init__(self, hashes: Iterator[np.ndarray], n: int):
+        self.bits = max(64, min(BLOOM_MB << 23, n * BLOOM_BITS))
+        self.held = np.zeros(self.bits // 8 + 1, np.uint8)
+        for h in hashes:
+            for at in self._places(h):
+                np.bitwise_or.at(self.held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def _places(self, h: np.ndarray) -> list[np.ndarray]:
+        size = np.uint64(self.bits)
+        return [((h >> np.uint64(s)) ^ (h << np.uint64(17 * k + 1))) % size for k, s in enumerate((0, 11, 23))]
+
+    def any_of(self, h: np.ndarray) -> bool:
+        at = [p.astype(np.int64) for p in self._places(h)]
+        return bool(np.logical_and.reduce([(self.held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in at]).any()) if len(h) else False
+
+
+def _shortened(rows: DataFrame, benchmark: DataFrame, *, text="text", words=5, **_) -> DataFrame:
+    """``rows`` (with ``text``) as they are for a benchmark of one block; else those with a shingle of any item, stored."""
+    items = benchmark.select(F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    size = items.agg(F.count("*").alias("n"), F.sum(F.size(F.split("t", r"[\x20\x09-\x0D]+"))).alias("w")).first()
+    if size["n"] <= ITEMS and (size["w"] or 0) <= ITEM_WORDS:
+        return rows
+    df = _df(items, words)
+    n = df.count()
+    blocks = (np.array([r["h"] for r in part], np.int64).view(np.uint64) for part in _chunks(df.select("h").toLocalIterator(), 100_000))
+    held = rows.sparkSession.sparkContext.broadcast(Bloom(blocks, n))
+    drop_stored(df)
+
+    def run(batches):
+        bloom, cache = held.value, WordHash()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                texts = b.column(b.schema.get_field_index("text")).to_pylist()
+                yield b.filter(pa.array([bool(t) and bloom.any_of(gram_hashes(words_of(t), cache, words)) for t in texts], pa.bool_()))
+
+    return store(rows.mapInArrow(run, rows.schema), "suspects")
+
+
+def _chunks(rows: Iterator, n: int) -> Iterator[list]:
+    while part := list(islice(rows, n)):
+        yield part
+
+
 _FOUND = "item_id long, first_word int, n_words int, hamming int, similarity double"
 
 
@@ -191,6 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text
     ship(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], f"doc_id long, {_FOUND}")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
+    rows = _shortened(rows, benchmark, **kind)
     for index in indexes(benchmark, **kind):
         held = docs.sparkSession.sparkContext.broadcast(index)
 

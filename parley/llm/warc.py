@@ -5,12 +5,14 @@ a response and the others revisit it. Each task writes its pages to one gzipped
 member by member, in the shared folder; it writes under a name of its own attempt and
 renames at the end, so that a repeated attempt replaces the file. Archives are read as
 streams: a record becomes rows (record id, chunk number) of ``CHUNK`` bytes at most, each
-with the SHA-256 of the payload so far, so that no record is ever held as a whole.
+with the SHA-256 of the payload so far. Reading holds no record as a whole; writing has a
+page's text once, as the row that Spark hands over, and takes it in steps of ``STEP`` bytes.
+Archives stay in the folder, for the chunk table reads them when it is asked for.
 
 Defined results: a null payload counts as empty; rows that repeat the smallest id of a
 payload are responses too; pages without an id rank last and name no page in refers_to;
 a null url is written as an empty one, line breaks in it as spaces; an empty table gives no
-archive; other columns are not written.
+archive; payloads equal in length and SHA-256 are equal; other columns are not written.
 """
 
 from __future__ import annotations
@@ -48,19 +50,21 @@ def roles(pages: DataFrame, *, page_id="page_id", payload="html", url="url") ->
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """File system and path of a URI; Hadoop's name for S3 is known, too."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def _name(page: int | None, digest: str) -> str:
     return f"<urn:page:{'none' if page is None else page}:{digest[:32]}>"
 
 
-def _record(page, url, payload: bytes, digest: str, refers_to) -> Iterator[bytes]:
-    """A gzip member in pieces."""
+def _record(page, url, payload, digest: str, refers_to) -> Iterator[bytes]:
+    """A gzip member in pieces; of the payload (any buffer) one step at a time is copied."""
+    payload = memoryview(payload)
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = payload if refers_to is None else b""
+    body = payload if refers_to is None else memoryview(b"")
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page, digest)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url)}", "Content-Type: application/http;msgtype=response",
@@ -90,7 +94,8 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for page, url, payload, _, digest, refers_to in zip(*(c for c in b.columns)):
                 out = out or fs.open_output_stream(own, compression=None)
-                for piece in _record(page.as_py(), url.as_py(), payload.as_py().encode("utf-8", "surrogatepass"), digest.as_py(), refers_to.as_py()):
+                # the batch's own buffer: neither decoded nor encoded again
+                for piece in _record(page.as_py(), url.as_py(), payload.as_buffer(), digest.as_py(), refers_to.as_py()):
                     out.write(piece)
                 n += 1
         if out:

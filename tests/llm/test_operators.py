@@ -616,3 +616,21 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Far())
+
+
+def test_benchmarks_of_many_blocks(spark, monkeypatch):
+    """More items than a block has: the same matches, from the documents that may have any."""
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 4000, n))
+    items = [(i, word(int(rng.integers(8, 30)))) for i in range(60)]
+    docs = [(i, word(40) + (" " + items[i % 60][1] + " " + word(9) if i % 4 == 0 else "")) for i in range(240)] + [(999, None), (998, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.contaminated(df, bench).collect()))
+    left = sorted(r["doc_id"] for r in decontaminate.without_benchmark(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    assert sorted(map(str, decontaminate.contaminated(df, bench).collect())) == want and len(want) == 60
+    assert sorted(r["doc_id"] for r in decontaminate.without_benchmark(df, bench).collect()) == left and len(left) == 182
+    h = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    bloom = decontaminate.Bloom(iter([h]), len(h))
+    assert all(bloom.any_of(h[i : i + 1]) for i in range(5000))
+    assert sum(bloom.any_of(x[None]) for x in rng.integers(0, 1 << 62, 5000).astype(np.uint64)) < 400
