@@ -634,3 +634,99 @@ def test_benchmarks_of_many_blocks(spark, monkeypatch):
     bloom = decontaminate.Bloom(iter([h]), len(h))
     assert all(bloom.any_of(h[i : i + 1]) for i in range(5000))
     assert sum(bloom.any_of(x[None]) for x in rng.integers(0, 1 << 62, 5000).astype(np.uint64)) < 400
+
+
+def plain_mix(rows, alpha=0.5):
+    """Copies of (id, text, source) rows with unique ids, by the definition."""
+    import math
+
+    size = {}
+    for _, t, src in rows:
+        size[src] = size.get(src, 0) + len(t or "") + 1
+    all_n, all_w = sum(size.values()), sum(n**alpha for n in size.values())
+    unit = lambda *x: int(hashlib.md5("|".join([str(mixing.SEED), *x]).encode()).hexdigest()[:13], 16) / (1 << 52)
+    out = {}
+    for i, _, src in rows:
+        whole = all_n * size[src] ** alpha / all_w / size[src]
+        draws = max(1, math.ceil(whole / mixing.MAX_RATE))
+        mean, n = whole / draws, 0
+        for j in range(draws):
+            u, k, p = unit(str(i), *([str(j)] if j else [])), 0, math.exp(-mean)
+            s = p
+            while u >= s and k < mixing.TERMS:
+                k += 1
+                p *= mean / k
+                s += p
+            n += k
+        out[i] = n
+    return out
+
+
+def test_pipeline_against_plain_code(spark, tmp_path):
+    """The whole pipeline on a small table: the rows that stay, their copies, their shards' slots."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    base, items = [word(60) for _ in range(12)], [word(24) for _ in range(5)]
+    rows = []
+    for i in range(160):
+        w = list(base[i % 12]) if i < 60 else word(int(rng.integers(20, 90)))
+        if i < 60:
+            for at in rng.integers(0, 60, int(rng.integers(0, 3))):
+                w[at] = word(1)[0]
+        elif i % 9 == 0:
+            w += items[i % 5] + word(5)
+        rows.append((i, " ".join(w), "en" if i % 3 else None, f"s{i % 4 if i % 7 else 0}", 1))
+    rows += [(900, "12 34 56", "en", "s1", 1), (901, None, "en", "s1", 1), (902, "", None, "s1", 1), (903, "😀", None, None, 1)]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+
+    left = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    group = {i: c for i, _, c in brute_components(left, 5, 80)}
+    left = [r for r in left if group[str(r[0])] == str(r[0])]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    left = [r for r in left if not any(grams(w) <= grams(r[1].split()) for w in items)]  # items stand whole or not at all
+    copies = plain_mix([(r[0], r[1], r[3]) for r in left])
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, n in copies.items() for _ in range(n)) and len(got) > 60
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(8))
+    assert {r["lang"] for r in got} == {"en"}
+
+
+def test_decontamination_query_against_plain_code(spark, tmp_path):
+    """The query on a small table of edited items, against a comparison of all windows."""
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(31)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 700, n)]
+    items = [word(n) for n in (9, 17, 26, 35)]
+    docs = []
+    for i in range(80):
+        w = list(items[i % 4])
+        for _ in range(i % 3):
+            w[int(rng.integers(0, len(w)))] = word(1)[0]
+        docs.append((i, " ".join(word(int(rng.integers(0, 20))) + w + word(int(rng.integers(0, 20))))))
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(docs + [(90, None), (91, "")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    df = Counter(g for x in items for g in set(grams(x)))
+    weight = lambda g: max(1, round(16 * math.log(1 + len(items) / df.get(g, 1))))
+    want = set()
+    for i, t in docs:
+        all_g = grams(t.split())
+        for j, x in enumerate(items):
+            mine = Counter(grams(x))
+            span = min(len(grams(x)), len(all_g))
+            for k in range(len(all_g) - span + 1):
+                other = Counter(all_g[k : k + span])
+                both, either = (sum(c * weight(g) for g, c in m.items()) for m in (mine & other, mine | other))
+                if both >= 0.8 * either:
+                    want.add((i, j))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.op10_decontamination(spark, d).collect()} == want and 20 < len(want) < 80
