@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import pathlib
+import re
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,6 +26,20 @@ def session(name: str = "parley", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: computed once, and not again if an executor is lost.
+
+    Where no folder is set, a session whose tasks all run in the driver's process gets a
+    temporary one; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parley-checkpoints-"))
+    return df.checkpoint()
+
+
 _shipped: set[tuple[str, str]] = set()
 
 
