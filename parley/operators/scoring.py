@@ -22,21 +22,48 @@ def priority_step(state: Column, closes: Column, rank: Column, key: Column) -> C
     return F.when(is_open & closes, none).when(takes, F.struct(rank.alias("rank"), key.alias("key"))).otherwise(state)
 
 
-def fold_priority(items: Column) -> Column:
-    """Last open incident of an ordered array of struct(closes, rank, key)."""
-    start = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
+def fold_priority(items: Column, start: Column | None = None) -> Column:
+    """Last open incident of an ordered array of struct(closes, rank, key); null: nothing was open before."""
+    if start is None:
+        start = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
     return F.aggregate(items, start, lambda s, m: priority_step(s, m["closes"], m["rank"], m["key"]))
 
 
+_KEPT = "\x00"  # stands for the incident that was open before
+RANKS = (0, 1, 2, 9)
+
+
+def fold_part(items: Column) -> Column:
+    """What a part of a customer's messages does to each rank that may be open before it."""
+    return F.array(*(fold_priority(items, F.struct(F.lit(r).alias("rank"), F.lit(_KEPT if r < 9 else None).cast("string").alias("key"))) for r in RANKS))
+
+
+def fold_parts(parts: Column) -> Column:
+    """:func:`fold_priority` of all messages, from an ordered array of struct(part, does)."""
+    start = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
+
+    def step(s, p):
+        out = F.get(p["does"], F.when(s["rank"] == 9, len(RANKS) - 1).otherwise(s["rank"]))
+        return F.struct(out["rank"].alias("rank"), F.when(out["key"] == _KEPT, s["key"]).otherwise(out["key"]).alias("key"))
+
+    return F.aggregate(parts, start, step)
+
+
 def incident_rank(text, lexicon: lx.Lexicon) -> Column:
     return F.when(tx.contains_any(text, lexicon.p0), 0).when(tx.contains_any(text, lexicon.p1), 1).when(tx.contains_any(text, lexicon.p2), 2).otherwise(9)
 
 
-def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text", message_key="message_key", asker="customer", answerer="studio", lexicon: lx.Lexicon = lx.Lexicon()) -> DataFrame:
+LAST = 8  # hits of a kind that anything shown goes back to
+COUNTED = ("purchase", "urgency", "repeat", "rejection")
+
+
+def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text", message_key="message_key", asker="customer", answerer="studio", lexicon: lx.Lexicon = lx.Lexicon(), part=1000) -> DataFrame:
     """One row per customer: score, level, points, priority, queue, reasons, memory, evidence.
 
-    Two shuffles by customer: ranks within the role, then one aggregation. snapshot_at is a
-    column or literal timestamp.
+    Two shuffles by customer: ranks within the role, then the aggregation. It goes by parts of
+    ``part`` messages, each of which leaves counts, its last few hits and what it does to an
+    open incident, so that no history is ever held as a whole. snapshot_at is a column or
+    literal timestamp.
     """
     snap = snapshot_at if isinstance(snapshot_at, Column) else F.lit(snapshot_at).cast("timestamp")
     base = messages.select(F.col(key).alias("k"), F.col(role).alias("role"), F.col(stamp).alias("stamp"), F.col(at).alias("at"), F.col(ordinal).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(message_key).cast("string").alias("key"))
@@ -47,30 +74,38 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
     cust, studio = F.col("role") == asker, F.col("role") == answerer
     any_of = lambda words: tx.contains_any("text", words)
     entry = F.struct("stamp", "o", "key", F.col("red.text").alias("text"), "role")
-    put = lambda cond: F.array_sort(F.collect_list(F.when(cond, entry)))
+    put = lambda cond: _tail(F.array_sort(F.collect_list(F.when(cond, entry))), LAST)
     ranked = F.struct("stamp", "o", any_of(lexicon.closure).alias("closes"), incident_rank("text", lexicon).alias("rank"), "key")
-    rows = base.groupBy("k").agg(
-        put(cust & any_of(lexicon.purchase)).alias("purchase"), put(cust & any_of(lexicon.urgency)).alias("urgency"), put(cust & any_of(lexicon.repeat)).alias("repeat"),
-        put(cust & (F.col("from_end") <= 10) & any_of(lexicon.rejection)).alias("rejection"), put(cust & (F.col("from_end") <= 20) & any_of(lexicon.objection)).alias("objections"),
-        put(cust & (F.col("from_end") <= 20) & any_of(lexicon.preference)).alias("preferences"), put(studio & (F.col("from_end") <= 20) & any_of(lexicon.commitment)).alias("commitments"),
-        put(cust & (F.col("from_end") <= 3)).alias("last_cust"), put(F.col("from_end") <= 8).alias("recent"),
-        F.count_if(cust).alias("n_cust"), (F.max("turn_no") + 1).alias("n_turns"),
-        F.max(F.struct("stamp", "o", "at", "role")).alias("last"), F.min(F.struct("stamp", "o", "at")).alias("first"),
-        F.max(F.when(cust, F.struct("stamp", "o", any_of(lexicon.open_question).alias("q")))).alias("last_q"),
-        F.array_sort(F.collect_list(F.when(cust, ranked))).alias("incidents"),
+    hits = {
+        "purchase": cust & any_of(lexicon.purchase), "urgency": cust & any_of(lexicon.urgency), "repeat": cust & any_of(lexicon.repeat),
+        "rejection": cust & (F.col("from_end") <= 10) & any_of(lexicon.rejection), "objections": cust & (F.col("from_end") <= 20) & any_of(lexicon.objection),
+        "preferences": cust & (F.col("from_end") <= 20) & any_of(lexicon.preference), "commitments": studio & (F.col("from_end") <= 20) & any_of(lexicon.commitment),
+        "last_cust": cust & (F.col("from_end") <= 3), "recent": F.col("from_end") <= 8,
+    }
+    forth = Window.partitionBy("k").orderBy("stamp", "o")
+    base = base.withColumn("part", F.floor((F.row_number().over(forth) - 1) / part))
+    parts = base.groupBy("k", "part").agg(
+        *(put(c).alias(name) for name, c in hits.items()), *(F.count_if(hits[c]).alias(f"n_{c}") for c in COUNTED),
+        F.count_if(cust).alias("n_cust"), F.max("turn_no").alias("turn"), F.max(F.struct("stamp", "o", "at", "role")).alias("last"), F.min(F.struct("stamp", "o", "at")).alias("first"),
+        F.max(F.when(cust, F.struct("stamp", "o", any_of(lexicon.open_question).alias("q")))).alias("last_q"), fold_part(F.array_sort(F.collect_list(F.when(cust, ranked)))).alias("does"),
+    )
+    rows = parts.groupBy("k").agg(
+        *(_tail(F.array_sort(F.flatten(F.collect_list(name))), LAST).alias(name) for name in hits), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in COUNTED),
+        F.sum("n_cust").alias("n_cust"), (F.max("turn") + 1).alias("n_turns"), F.max("last").alias("last"), F.min("first").alias("first"), F.max("last_q").alias("last_q"),
+        fold_parts(F.array_sort(F.collect_list(F.struct("part", "does")))).alias("state"),
     )
     days = lambda a, b: F.greatest(F.lit(0), F.floor((F.unix_seconds(a) - F.unix_seconds(b)) / 86400)).cast("long")
-    n = lambda c: F.size(c)
+    n = F.col
     last_cust = F.col("last.role") == asker
-    rows = rows.withColumns({"recency": days(snap, F.col("last.at")), "span": days(F.col("last.at"), F.col("first.at")), "state": fold_priority(F.col("incidents"))})
-    urgent = F.least(F.lit(20), n("urgency") * 10)
+    rows = rows.withColumns({"recency": days(snap, F.col("last.at")), "span": days(F.col("last.at"), F.col("first.at"))})
+    urgent = F.least(F.lit(20), n("n_urgency") * 10)
     rows = rows.withColumns({
-        "purchase_points": F.least(F.lit(35), n("purchase") * 9),
+        "purchase_points": F.least(F.lit(35), n("n_purchase") * 9),
         "urgency_points": F.when(F.col("recency") <= 3, F.least(F.lit(20), urgent + 8)).when(F.col("recency") <= 14, F.least(F.lit(20), urgent + 4)).otherwise(urgent),
         "interaction_points": F.least(F.lit(15), (F.floor(F.col("n_cust") / 3) + F.least(F.lit(8), F.floor(F.col("n_turns") / 4)))).cast("int"),
-        "followup_points": F.least(F.lit(15), F.when(last_cust, 8).otherwise(0) + F.when((n("purchase") > 0) & (last_cust | F.coalesce(F.col("last_q.q"), F.lit(False))), 7).otherwise(0)),
-        "recurrence_points": F.least(F.lit(15), n("repeat") * 7 + F.when(F.col("span") >= 30, 4).otherwise(0)),
-        "rejection_penalty": F.when(n("rejection") > 0, 30).otherwise(0),
+        "followup_points": F.least(F.lit(15), F.when(last_cust, 8).otherwise(0) + F.when((n("n_purchase") > 0) & (last_cust | F.coalesce(F.col("last_q.q"), F.lit(False))), 7).otherwise(0)),
+        "recurrence_points": F.least(F.lit(15), n("n_repeat") * 7 + F.when(F.col("span") >= 30, 4).otherwise(0)),
+        "rejection_penalty": F.when(n("n_rejection") > 0, 30).otherwise(0),
     })
     raw = F.col("purchase_points") + F.col("urgency_points") + F.col("interaction_points") + F.col("followup_points") + F.col("recurrence_points") - F.col("rejection_penalty")
     rows = rows.withColumn("opportunity_score", F.greatest(F.lit(0), F.least(F.lit(100), raw)))
@@ -91,7 +126,7 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
     told = lambda c, k=3: F.transform(_tail(c, k), lambda m: F.struct(m["key"].alias("message_key"), m["text"].alias("text"), m["stamp"].alias("timestamp")))
     context = F.transform(_tail(F.col("recent"), 8), lambda m: F.struct(m["key"].alias("message_key"), m["role"].alias("role"), m["stamp"].alias("timestamp"), m["text"].alias("text")))
     memory = F.struct(
-        told(F.when(n("purchase") > 0, F.col("purchase")).otherwise(F.col("last_cust"))).alias("current_needs"), told(F.col("objections")).alias("objections"), told(F.col("preferences")).alias("preferences"),
+        told(F.when(n("n_purchase") > 0, F.col("purchase")).otherwise(F.col("last_cust"))).alias("current_needs"), told(F.col("objections")).alias("objections"), told(F.col("preferences")).alias("preferences"),
         F.when(last_cust, told(F.col("last_cust"), 1)).otherwise(F.array()).alias("pending_followups"), told(F.col("commitments")).alias("studio_commitments"), context.alias("recent_context"),
     )
     points = ["purchase_points", "urgency_points", "interaction_points", "followup_points", "recurrence_points", "rejection_penalty"]

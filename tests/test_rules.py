@@ -99,6 +99,36 @@ def test_after_sales_closure(spark):
     assert got["aftersales_priority"] == "P2" and got["reasons"][-1]["evidence"] == ["m4"]
 
 
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_scores_do_not_depend_on_parts(spark, part):
+    import random
+
+    rng = random.Random(8)
+    words = ["想要下单", "多少钱", "尽快", "解决了", "退款", "破损", "快递到哪", "再来一个", "不需要", "太贵", "喜欢这个", "我帮你查", "好的", "可以了", "售后", "在吗？"]
+    rows = [(f"c{i % 3}", rng.choice(["customer", "studio"]), f"2026-07-{1 + i // 40:02d} {10 + i % 12}:00:00", i, rng.choice(words) + rng.choice(words), f"m{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "customer_key string, role string, timestamp string, source_ordinal int, text string, message_key string").withColumn("ts", F.col("timestamp").cast("timestamp"))
+    got = {r["customer_key"]: r for r in scoring.analyze(df, "2026-07-09 00:00:00", part=part).collect()}
+    for c in ("c0", "c1", "c2"):
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[3]))
+        said, state = [r for r in mine if r[1] == "customer"], None
+        hits = lambda group, rs: [r[5] for r in rs if any(w in r[4] for w in group)]
+        x = scoring.lx.Lexicon()
+        for r in said:
+            if state and hits(x.closure, [r]):
+                state = None
+                continue
+            rank = next((k for k, g in enumerate((x.p0, x.p1, x.p2)) if hits(g, [r])), None)
+            if rank is not None and (state is None or rank <= state[0]):
+                state = (rank, r[5])
+        assert got[c]["aftersales_priority"] == (f"P{state[0]}" if state else None)
+        assert got[c]["purchase_points"] == min(35, 9 * len(hits(x.purchase, said))) and got[c]["rejection_penalty"] == (30 if hits(x.rejection, said[-10:]) else 0)
+        by = {r["code"]: r["evidence"] for r in got[c]["reasons"]}
+        assert by["purchase_intent"] == hits(x.purchase, said)[-5:] and by["interaction"] == [r[5] for r in said][-3:] and by["recurrence"] == hits(x.repeat, said)[-5:]
+        if state:
+            assert by[f"unresolved_aftersales_p{state[0]}"] == [state[1]]
+        assert [m["message_key"] for m in got[c]["memory"]["objections"]] == hits(x.objection, said[-20:])[-3:]
+
+
 def test_splits_do_not_leak(spark):
     pairs = [(f"c{i}", f"问题{i % 7}怎么办", f"回复内容{'甲乙丙丁'[i % 4]}", 8 + i % 4, f"2026-07-01T{i:02d}") for i in range(24)]
     df = spark.createDataFrame(pairs, "customer_key string, trigger_text string, reply_text string, quality_score int, timestamp string")
