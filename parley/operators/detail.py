@@ -65,6 +65,13 @@ def grounding_refs(rows: DataFrame, *lists: str, key="customer_key", most=20) ->
     return rows.select(key, F.slice(F.filter(items, lambda r: F.coalesce(r["id"], F.lit("")) != ""), 1, most).alias("refs"))
 
 
+def draft_grounding(requests: DataFrame, refs: DataFrame, *, qid="request_id", text="request_text") -> DataFrame:
+    """(qid, grounding_missing): requests for changing facts without a reference; others need none."""
+    have = refs.select(qid, F.lit(True).alias("__has")).distinct()
+    missing = tx.asks_for_facts(text) & F.col("__has").isNull()
+    return requests.join(have, qid, "left").select(qid, missing.alias("grounding_missing"))
+
+
 def normalized_drafts(drafts: DataFrame) -> DataFrame:
     """Drafts as they are kept: clipped, flagged where nothing grounds them, with known references alone.
 

@@ -37,9 +37,9 @@ def classify_eligibility(name):
 def binding_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows of a binding list with reject_reason; registry: (alias, account_id)."""
     conf = F.col("confidence").try_cast("decimal(5,4)")
-    rows = rows.join(F.broadcast(registry), F.col("account") == F.col("alias"), "left").withColumns({"conf": conf, "id": F.trim(tx.nfkc("raw_id")), "mobile": tx.normalize_phone("phone")})
+    rows = rows.join(F.broadcast(registry), F.col("account") == F.col("alias"), "left").withColumns({"conf": conf, "id": tx.raw_identifier("raw_id"), "mobile": tx.normalize_phone("phone")})
     reason = ladder(
-        ("unknown_accounts", F.col("account_id").isNull()), ("missing_raw_id", F.col("raw_id") == ""), ("invalid_raw_id", (F.col("id") == "") | F.col("id").rlike(r"\p{Cntrl}")),
+        ("unknown_accounts", F.col("account_id").isNull()), ("missing_raw_id", F.col("raw_id") == ""), ("invalid_raw_id", F.col("id").isNull()),
         ("invalid_phones", F.col("mobile").isNull()), ("invalid_confidence", F.col("conf").isNull() | (F.col("conf") < 0) | (F.col("conf") > 1)),
     )
     return rows.withColumn("reject_reason", reason)
@@ -160,9 +160,9 @@ def identity_events(events: DataFrame, accounts: DataFrame, *, text_type="文本
     first = ok.groupBy("event_id").agg(F.min_by(F.struct(*ok.columns), "ordinal").alias("r")).select("r.*")
     known = accounts.select(F.col("account_profile"), "account_id", "self_sender")
     rows = first.withColumn("account_profile", flat("account_profile")).join(F.broadcast(known), "account_profile")
-    sender, raw = F.coalesce("sender", F.lit("")), F.trim(tx.nfkc("conversation_id"))
+    sender, raw = F.coalesce("sender", F.lit("")), tx.raw_identifier("conversation_id")
     mine = (F.col("chat_type") == "private") & (F.col("message_type") == text_type) & ((sender == "") | (sender == F.col("self_sender")))
-    return rows.withColumns({"sender": sender, "raw_id": raw}).filter(mine & (raw != "") & ~raw.rlike(r"\p{Cntrl}"))
+    return rows.withColumns({"sender": sender, "raw_id": raw}).filter(mine & F.col("raw_id").isNotNull())
 
 
 def evidence_links(events: DataFrame, refs: DataFrame, orders: DataFrame, secret: str, *, target: str, version: str = "evidence-v1") -> tuple[DataFrame, DataFrame]:

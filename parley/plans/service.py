@@ -366,3 +366,8 @@ def template_form(spark, sf):
     level = F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]+", "#"), "[^0-9a-z#]+", "")
     same = tx.template_key("text") == tx.template_key_plain("text")
     return d.select("doc_id", (F.regexp_replace(F.lower("text"), "[0-9]+", "#") != F.lower("text")).alias("has_digits"), F.when(same, F.length(level)).alias("n"))
+
+
+@query("""select doc_id, regexp_matches(lower(text), 'price|stock|refund|shipping|价格|库存|退款|发货') as dynamic from documents where text is not null""")
+def dynamic_questions(spark, sf):
+    return _t(spark, sf, "documents").filter("text is not null").select("doc_id", tx.asks_for_facts("text").alias("dynamic"))

@@ -166,13 +166,13 @@ def live_events(lines: DataFrame, accounts: DataFrame, secret: str, *, skew_seco
     rows = rows.join(F.broadcast(accounts.select(F.col("account_profile").alias("p"), "account_id", "self_sender")), F.col("account_profile") == F.col("p"), "left")
     epoch = F.col("message_timestamp").try_cast("bigint")
     shown = parse.instant(F.col("message_time"), parse.ZONE)
-    raw_id = F.trim(tx.nfkc("conversation_id"))
+    raw_id = tx.raw_identifier("conversation_id")
     reason = ladder(
         ("blank_line", F.trim("line") == ""), ("invalid_json", F.col("sig").isNull()), ("invalid_record", ~obj), ("missing_event_id", F.col("event_id") == ""),
         ("duplicate_exact", (F.col("nth") > 1) & F.col("sig").eqNullSafe(F.col("first_sig"))), ("duplicate_conflict", F.col("nth") > 1), ("unknown_profile", F.col("p").isNull()),
         ("non_private", F.col("chat_type") != "private"), ("non_text", F.col("message_type") != text_type), ("empty_text", F.col("text") == ""),
         ("unknown_sender", ~F.col("sender").isin("") & (F.col("sender") != F.col("self_sender"))), ("invalid_timestamp", epoch.isNull() | shown.isNull()),
-        ("timestamp_mismatch", F.abs(F.unix_seconds(shown) - epoch) > skew_seconds), ("invalid_conversation_id", (raw_id == "") | raw_id.rlike(r"\p{Cntrl}")),
+        ("timestamp_mismatch", F.abs(F.unix_seconds(shown) - epoch) > skew_seconds), ("invalid_conversation_id", raw_id.isNull()),
     )
     rows = rows.withColumn("reject_reason", reason)
     senders = F.broadcast(accounts.agg(F.collect_set(F.coalesce("self_sender", F.lit(""))).alias("senders")))

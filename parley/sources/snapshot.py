@@ -23,6 +23,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
+def recorded_copy(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """:func:`stable_copy`, and the copy's :func:`file_digests`: what a run says it has read."""
+    return file_digests(spark, stable_copy(spark, path, to))
+
+
 def stable_copy(spark: SparkSession, path: str, to: str, tries: int = 2) -> str:
     """Copy ``path`` to ``to`` such that it didn't change meanwhile; else an error."""
     fu = spark._jvm.org.apache.hadoop.fs.FileUtil

@@ -423,3 +423,24 @@ def test_reviews_are_kept_by_guards(spark):
     fresh = spark.createDataFrame([("l1", "r", "p", "s", "review"), ("l2", "r", "p2", "s", "review"), ("l3", "r", None, "s", "review")], "link_id string, raw_hash string, phone_hmac string, source_hash string, state string")
     old = spark.createDataFrame([("l1", "r", "p", "s", "rejected"), ("l2", "r", "other", "s", "rejected"), ("l3", "r", None, "s", "approved_human")], fresh.schema)
     assert {r["link_id"]: r["state"] for r in identity.keep_reviews(fresh, old).collect()} == {"l1": "rejected", "l2": "review", "l3": "approved_human"}
+
+
+def test_hidden_keys_and_changing_facts(spark):
+    from parley.session import ship
+
+    ship(spark)
+    one = json.dumps({"a": 1, "Phone": "13800138000", "list": [{"WeChatId": 1, "b": "电话13800138000"}], "deep": {"headimgurl": 1, "x": {"user_name": 1, "username": 2}}}, ensure_ascii=False)
+    df = spark.createDataFrame([(one,), ("{",), (None,)], "j string")
+    got = [tuple(r) for r in df.select(tx.public_json("j"), tx.public_json("j", True)).collect()]
+    assert json.loads(got[0][0]) == {"a": 1, "list": [{"b": "电话13800138000"}], "deep": {"x": {"user_name": 1}}} and got[1:] == [(None, None)] * 2
+    assert json.loads(got[0][1])["list"] == [{"b": "电话[手机号]"}]
+    asked = spark.createDataFrame([(1, "什么时候发货"), (2, "Refund please"), (3, "你好"), (4, "多少钱")], "request_id int, request_text string")
+    refs = spark.createDataFrame([(4, "r")], "request_id int, id string")
+    assert {r[0]: r[1] for r in detail.draft_grounding(asked, refs).collect()} == {1: True, 2: True, 3: False, 4: False}
+    ids = spark.createDataFrame([("\u3000ｗｘ１ ",), ("a\tb",), (" ",), (None,)], "t string")
+    assert [r[0] for r in ids.select(tx.raw_identifier("t")).collect()] == ["wx1", None, None, None]
+
+
+def test_recorded_copy(spark, tmp_path):
+    src = put(tmp_path, "in.json", {"a": 1})
+    assert [r["length"] for r in snapshot.recorded_copy(spark, src, f"file://{tmp_path}/held.json").collect()] == [len('{"a": 1}')]
