@@ -72,7 +72,10 @@ ALPHANUM_TRACKING = r"(?<![A-Za-z0-9])[A-Za-z]{1,5}\d{7,24}(?![A-Za-z0-9])"
 TOKEN = r"[A-Za-z0-9_\-]+|[一-鿿]"
 # Keys of JSON objects that are never shown; words of questions that only current facts can answer.
 SENSITIVE_KEY = r"(?i)(?:phone|mobile|wxid|wechat(?:_?id)?|conversation_username|username|avatar|headimg|source_file)"
-DYNAMIC_FACT = ("价格", "价钱", "多少钱", "库存", "现货", "缺货", "到货", "发货", "物流", "快递", "运单", "退款", "退货", "补发", "赔付", "赔偿", "优惠", "折扣", "price", "stock", "refund", "shipping")
+DYNAMIC_FACT = (
+    "价格", "价钱", "多少钱", "库存", "现货", "缺货", "到货", "发货", "物流", "快递", "运单", "退款", "退货", "补发", "赔付", "赔偿", "优惠", "折扣", "price", "stock", "refund",
+    "shipping"
+)
 OPEN_RETURN = ("处理中", "待处理", "未完成", "进行中", "open", "pending")
 REFUND_TYPES = {"取消": "cancel", "退": "return", "退芋圆": "return_taro", "换": "exchange", "补": "compensation"}
 

@@ -44,7 +44,10 @@ def source_date(text) -> Column:
     t = F.replace(F.trim(F.coalesce(_col(text).cast("string"), F.lit(""))), F.lit("/"), F.lit("-"))
     whole = F.try_to_timestamp(F.replace(t, F.lit("T"), F.lit(" ")))
     local = F.when(t.rlike(r"[0-9]:[0-9]{2}.*" + _OFFSET), F.from_utc_timestamp(whole, ZONE)).otherwise(whole)
-    day = F.coalesce(F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.to_date(local)), F.when(F.substring(t, 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.to_date(F.try_to_timestamp(F.substring(t, 1, 10)))))
+    day = F.coalesce(
+        F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.to_date(local)),
+        F.when(F.substring(t, 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.to_date(F.try_to_timestamp(F.substring(t, 1, 10))))
+    )
     error = F.when(t == "", None).when(day.isNull(), "invalid").when(F.year(day) <= 1970, "epoch_placeholder")
     return F.struct(F.when(error.isNull() & (t != ""), day).alias("value"), error.alias("error"))
 

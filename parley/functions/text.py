@@ -221,7 +221,9 @@ def jaccard_similarity(a: Column, b: Column) -> Column:
 
 def scrub_tokens(text, names: Column, label: str) -> Column:
     """Every one of the array's names replaced, longest first."""
-    ordered = F.array_sort(names, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    ordered = F.array_sort(
+        names, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    )
     return F.aggregate(ordered, _col(text), lambda acc, n: F.when(F.length(n) > 0, F.replace(acc, n, F.lit(label))).otherwise(acc))
 
 
@@ -242,7 +244,9 @@ def risk_level(flags: Column) -> Column:
 
 
 def intent(text, lexicon: lx.Lexicon = lx.Lexicon()) -> Column:
-    return F.when(contains_any(text, lexicon.p0 + lexicon.p1 + lexicon.p2), "aftersales").when(contains_any(text, lexicon.presales), "presales").otherwise("general")
+    return F.when(
+        contains_any(text, lexicon.p0 + lexicon.p1 + lexicon.p2), "aftersales"
+    ).when(contains_any(text, lexicon.presales), "presales").otherwise("general")
 
 
 def masked_phone(phone) -> Column:
@@ -287,7 +291,9 @@ def scrub_identifiers(text, conversation_id, senders: Column) -> Column:
 def source_file(path) -> Column:
     """A relative path as it is; of an absolute one the name alone; else the message file."""
     p = F.coalesce(_col(path), F.lit(""))
-    return F.when(p.startswith("/"), F.concat(F.lit("conversations/"), F.element_at(F.split(p, "/"), -1))).when(p == "", "messages.jsonl").otherwise(p)
+    return F.when(
+        p.startswith("/"), F.concat(F.lit("conversations/"), F.element_at(F.split(p, "/"), -1))
+    ).when(p == "", "messages.jsonl").otherwise(p)
 
 
 def checked_identifier(value: str, name: str = "identifier") -> str:

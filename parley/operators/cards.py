@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import hmac_id
 
 
-def action_state(turns: DataFrame, *, key: str, asker: str, observed_until: Column, role="role", start="start_ts", end="end_ts", order="turn_no") -> DataFrame:
+def action_state(
+    turns: DataFrame, *, key: str, asker: str, observed_until: Column, role="role", start="start_ts", end="end_ts", order="turn_no"
+) -> DataFrame:
     """``turns`` with action: what followed a turn of the asker, as far as it was observed."""
     w = Window.partitionBy(key).orderBy(order)
     nxt_role, nxt_at = F.lead(role).over(w), F.lead(start).over(w)
@@ -36,10 +38,16 @@ def tri_state(rows: DataFrame, facts: DataFrame, *, key: str, at: str, fact_at:
     A row's facts are found by the key; the window is a condition of the aggregate, so a row
     has one pass over its key's facts whatever the number of windows. Equal rows become one.
     """
-    j = rows.join(facts.select(F.col(key).alias("__k"), F.col(fact_at).alias("__f")), (F.col(key) == F.col("__k")) & (F.col("__f") > F.col(at)) & (F.col("__f") <= F.col(at) + F.make_interval(days=F.lit(max(days.values())))), "left")
+    j = rows.join(
+        facts.select(F.col(key).alias("__k"), F.col(fact_at).alias("__f")),
+        (F.col(key) == F.col("__k")) & (F.col("__f") > F.col(at)) & (F.col("__f") <= F.col(at) + F.make_interval(days=F.lit(max(days.values())))),
+        "left"
+    )
     until = lambda n: F.col(at) + F.make_interval(days=F.lit(n))
     g = j.groupBy(*rows.columns).agg(*(F.max(F.coalesce(F.col("__f") <= until(n), F.lit(False))).alias(f"__{name}") for name, n in days.items()))
-    return g.select(*rows.columns, *(F.when(F.col(f"__{name}"), True).when(observed_until >= until(n), False).alias(name) for name, n in days.items()))
+    return g.select(
+        *rows.columns, *(F.when(F.col(f"__{name}"), True).when(observed_until >= until(n), False).alias(name) for name, n in days.items())
+    )
 
 
 def attribution(flags: dict[str, Column], order: list[str]) -> tuple[Column, Column]:

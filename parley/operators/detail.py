@@ -87,12 +87,16 @@ def normalized_drafts(drafts: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(F.col(c), F.lit(False)) | missing
     kept = drafts.filter(text != "")
     return kept.select(
-        "draft_id", F.substring(text, 1, 12000).alias("draft_text"), F.substring(F.coalesce(F.nullif(F.col("intent"), F.lit("")), F.lit("unknown")), 1, 120).alias("intent"),
-        yes("needs_clarification").alias("needs_clarification"), yes("needs_human").alias("needs_human"), F.slice(risks, 1, 20).alias("risk_flags"), refs.alias("grounding_refs"),
+        "draft_id", F.substring(text, 1, 12000).alias("draft_text"),
+        F.substring(F.coalesce(F.nullif(F.col("intent"), F.lit("")), F.lit("unknown")), 1, 120).alias("intent"),
+        yes("needs_clarification").alias("needs_clarification"), yes("needs_human").alias("needs_human"), F.slice(risks, 1, 20).alias("risk_flags"),
+        refs.alias("grounding_refs"),
     )
 
 
-def style_examples(requests: DataFrame, pairs: DataFrame, *, qid="request_id", text="request_text", key="customer_key", newest_pairs=200, k=5, bonus=0.08) -> DataFrame:
+def style_examples(
+    requests: DataFrame, pairs: DataFrame, *, qid="request_id", text="request_text", key="customer_key", newest_pairs=200, k=5, bonus=0.08
+) -> DataFrame:
     """(qid, pair_id, score, rank): the k pairs most like each request.
 
     Of approved pairs the newest are candidates, and of these the ones of low risk; a pair
@@ -100,7 +104,9 @@ def style_examples(requests: DataFrame, pairs: DataFrame, *, qid="request_id", t
     pairs first.
     """
     some = pairs.filter("review_status = 'approved'").orderBy(F.desc("created_at"), "pair_id").limit(newest_pairs).filter("risk_level = 'low'")
-    held = F.broadcast(some.select("pair_id", "created_at", F.col(key).alias("__k"), tx.bigrams("trigger_text").alias("__b")))  # newest_pairs rows at most
+    held = F.broadcast(
+        some.select("pair_id", "created_at", F.col(key).alias("__k"), tx.bigrams("trigger_text").alias("__b"))
+    )  # newest_pairs rows at most
     asked = requests.select(qid, F.col(key).alias("__q"), tx.bigrams(text).alias("__a"))
     score = tx.jaccard_similarity(F.col("__a"), F.col("__b")) + F.when(F.col("__q") == F.col("__k"), bonus).otherwise(0.0)
     rows = asked.crossJoin(held).select(qid, "pair_id", "created_at", score.alias("score"))
@@ -109,7 +115,9 @@ def style_examples(requests: DataFrame, pairs: DataFrame, *, qid="request_id", t
     return ranked.select(qid, "pair_id", F.round("score", 6).alias("score"), "rank")
 
 
-def knowledge_search(queries: DataFrame, items: DataFrame, sources: DataFrame, as_of: Column, *, qid="query_id", query="query", k=8) -> tuple[DataFrame, DataFrame]:
+def knowledge_search(
+    queries: DataFrame, items: DataFrame, sources: DataFrame, as_of: Column, *, qid="query_id", query="query", k=8
+) -> tuple[DataFrame, DataFrame]:
     """Hits of each query among items of ready sources that haven't expired; and (qid, grounding_missing).
 
     items: (item_id, source_id, title, content, expires_at); sources: see
@@ -133,7 +141,9 @@ def calibration_list(rows: DataFrame, customers: DataFrame, messages: DataFrame,
     """Calibration rows with what a reviewer needs, by time and id; ``pending``: those without a review."""
     if pending:
         rows = rows.filter("reviewer_role is null")
-    shown = rows.join(customers.select("customer_key", "display_name"), "customer_key").join(messages.select("message_key", "timestamp", "text"), "message_key")
+    shown = rows.join(customers.select("customer_key", "display_name"), "customer_key").join(
+        messages.select("message_key", "timestamp", "text"), "message_key"
+    )
     shown = tx.with_redaction(shown, "text", "__red").withColumn("text", F.col("__red.text")).drop("__red")
     return shown.orderBy("timestamp", "calibration_id")
 
@@ -143,7 +153,12 @@ def apply_labels(rows: DataFrame, labels: DataFrame, at: Column) -> DataFrame:
     named = labels.withColumn("__n", F.monotonically_increasing_id())
     last = named.groupBy("calibration_id").agg(F.max_by("reviewer_role", "__n").alias("__role"))
     met = rows.join(last, "calibration_id", "left")
-    return met.withColumns({"reviewer_role": F.coalesce("__role", "reviewer_role"), "reviewed_at": F.when(F.col("__role").isNotNull(), at).otherwise(F.col("reviewed_at"))}).drop("__role")
+    return met.withColumns(
+        {
+            "reviewer_role": F.coalesce("__role", "reviewer_role"),
+            "reviewed_at": F.when(F.col("__role").isNotNull(), at).otherwise(F.col("reviewed_at"))
+        }
+    ).drop("__role")
 
 
 def calibration_sample(messages: DataFrame, *, limit=200) -> DataFrame:
@@ -169,11 +184,14 @@ def health(counts: DataFrame, calibration: DataFrame, snapshot_at: Column, now:
     row = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rows")))).alias("counts")).crossJoin(calibration)
     row = row.withColumns({"snapshot_age_days": F.when(snapshot_at.isNotNull(), age), "snapshot_stale": stale})
     warn = F.array_compact(F.array(
-        F.when(F.lit(default_secret), "default_hmac_secret"), F.when(F.lit(weak_secret), "weak_hmac_secret"), F.when(F.col("snapshot_stale"), "snapshot_stale"),
+        F.when(F.lit(default_secret), "default_hmac_secret"), F.when(F.lit(weak_secret), "weak_hmac_secret"),
+        F.when(F.col("snapshot_stale"), "snapshot_stale"),
         F.when(~F.col("gate_open"), "role_calibration_required"),
     ))
     out = row.withColumn("warnings", warn)
-    return out.select(F.when(F.size("warnings") > 0, "degraded").otherwise("ok").alias("status"), "snapshot_age_days", "snapshot_stale", "counts", "warnings")
+    return out.select(
+        F.when(F.size("warnings") > 0, "degraded").otherwise("ok").alias("status"), "snapshot_age_days", "snapshot_stale", "counts", "warnings"
+    )
 
 
 def missing_gates(runs: DataFrame) -> list[str]:
@@ -204,7 +222,10 @@ def macro_scores(confusion: DataFrame, rows: DataFrame, *, predicted: str, human
     """One row: macro-averaged precision, recall and F1 of :func:`~.serving.confusion`, and agreement."""
     macro = confusion.agg(*(F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
     both = F.col(human).isNotNull() & F.col(predicted).isNotNull()
-    agree = rows.agg(F.count_if(both).alias("compared"), F.round(F.count_if(F.col(human) == F.col(predicted)) / F.nullif(F.count_if(both), F.lit(0)), 6).alias("agreement"))
+    agree = rows.agg(
+        F.count_if(both).alias("compared"),
+        F.round(F.count_if(F.col(human) == F.col(predicted)) / F.nullif(F.count_if(both), F.lit(0)), 6).alias("agreement")
+    )
     return macro.crossJoin(agree)
 
 
@@ -213,7 +234,10 @@ def outcome_ratios(lines: DataFrame, *, key: str, paid="revenue_minor", refunded
     is_paid = F.col(paid) > 0
     kept = is_paid & (F.col(kind).isNull() | ~F.col(kind).isin("return", "return_taro", "cancel"))
     loss = F.sum(F.when(is_paid, F.least(F.coalesce(F.col(refunded), F.lit(0)), F.col(paid))))
-    g = lines.groupBy(key).agg(F.count_if(is_paid).alias("paid"), F.count_if(kept).alias("retained"), F.sum(F.when(is_paid, F.col(paid))).alias("__all"), loss.alias("__loss"))
+    g = lines.groupBy(key).agg(
+        F.count_if(is_paid).alias("paid"), F.count_if(kept).alias("retained"), F.sum(F.when(is_paid, F.col(paid))).alias("__all"),
+        loss.alias("__loss")
+    )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
     return g.select(key, "paid", "retained", ratio("retained", "paid").alias("retained_ratio"), ratio("__loss", "__all").alias("refund_loss_ratio"))
 

@@ -12,7 +12,9 @@ from ..functions import text as tx
 def source_status(sources: DataFrame, as_of) -> DataFrame:
     """State of each source: (id, enabled, configured, modified, max_age_seconds); an age of 0 never gets stale."""
     stale = (F.col("max_age_seconds") > 0) & (F.unix_seconds(as_of) - F.unix_seconds("modified") > F.col("max_age_seconds"))
-    state = F.when(~F.col("enabled"), "disabled").when(~F.col("configured"), "unconfigured").when(F.col("modified").isNull(), "missing_cache").when(stale, "stale").otherwise("ready")
+    state = F.when(~F.col("enabled"), "disabled").when(~F.col("configured"), "unconfigured").when(
+        F.col("modified").isNull(), "missing_cache"
+    ).when(stale, "stale").otherwise("ready")
     return sources.withColumn("status", state)
 
 
@@ -42,7 +44,9 @@ def overlap_search(queries: DataFrame, items: DataFrame, *, qid="query_id", quer
     return ranked(score, qid, iid, k)
 
 
-def jaccard_search(queries: DataFrame, items: DataFrame, *, qid="query_id", query="query", iid="item_id", text="content", k=5, bonus=None) -> DataFrame:
+def jaccard_search(
+    queries: DataFrame, items: DataFrame, *, qid="query_id", query="query", iid="item_id", text="content", k=5, bonus=None
+) -> DataFrame:
     """(qid, iid, score, rank) by Jaccard similarity of bigrams; ``bonus``: (column, points) for equal values."""
     q, c = _features(queries, qid, query, "b"), _features(items, iid, text, "b").withColumnRenamed("n", "m")
     pair = q.join(c, "f").groupBy(qid, iid).agg(F.count("*").alias("both"), F.max("n").alias("n"), F.max("m").alias("m"))
@@ -61,4 +65,6 @@ def ranked(rows: DataFrame, qid: str, iid: str, k: int) -> DataFrame:
 
 def grounding_missing(queries: DataFrame, hits: DataFrame, *, qid="query_id") -> DataFrame:
     """(qid, grounding_missing): queries without any hit."""
-    return queries.select(qid).join(hits.select(qid, F.lit(True).alias("h")).distinct(), qid, "left").select(qid, F.col("h").isNull().alias("grounding_missing"))
+    return queries.select(qid).join(
+        hits.select(qid, F.lit(True).alias("h")).distinct(), qid, "left"
+    ).select(qid, F.col("h").isNull().alias("grounding_missing"))

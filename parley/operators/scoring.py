@@ -35,7 +35,9 @@ RANKS = (0, 1, 2, 9)
 
 def fold_part(items: Column) -> Column:
     """What a part of a customer's messages does to each rank that may be open before it."""
-    return F.array(*(fold_priority(items, F.struct(F.lit(r).alias("rank"), F.lit(_KEPT if r < 9 else None).cast("string").alias("key"))) for r in RANKS))
+    return F.array(
+        *(fold_priority(items, F.struct(F.lit(r).alias("rank"), F.lit(_KEPT if r < 9 else None).cast("string").alias("key"))) for r in RANKS)
+    )
 
 
 def fold_parts(parts: Column) -> Column:
@@ -50,14 +52,19 @@ def fold_parts(parts: Column) -> Column:
 
 
 def incident_rank(text, lexicon: lx.Lexicon) -> Column:
-    return F.when(tx.contains_any(text, lexicon.p0), 0).when(tx.contains_any(text, lexicon.p1), 1).when(tx.contains_any(text, lexicon.p2), 2).otherwise(9)
+    return F.when(
+        tx.contains_any(text, lexicon.p0), 0
+    ).when(tx.contains_any(text, lexicon.p1), 1).when(tx.contains_any(text, lexicon.p2), 2).otherwise(9)
 
 
 LAST = 8  # hits of a kind that anything shown goes back to
 COUNTED = ("purchase", "urgency", "repeat", "rejection")
 
 
-def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text", message_key="message_key", asker="customer", answerer="studio", lexicon: lx.Lexicon = lx.Lexicon(), part=1000) -> DataFrame:
+def analyze(
+    messages: DataFrame, snapshot_at, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text",
+    message_key="message_key", asker="customer", answerer="studio", lexicon: lx.Lexicon = lx.Lexicon(), part=1000
+) -> DataFrame:
     """One row per customer: score, level, points, priority, queue, reasons, memory, evidence.
 
     Two shuffles by customer: ranks within the role, then the aggregation. It goes by parts of
@@ -66,7 +73,10 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
     literal timestamp.
     """
     snap = snapshot_at if isinstance(snapshot_at, Column) else F.lit(snapshot_at).cast("timestamp")
-    base = messages.select(F.col(key).alias("k"), F.col(role).alias("role"), F.col(stamp).alias("stamp"), F.col(at).alias("at"), F.col(ordinal).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(message_key).cast("string").alias("key"))
+    base = messages.select(
+        F.col(key).alias("k"), F.col(role).alias("role"), F.col(stamp).alias("stamp"), F.col(at).alias("at"), F.col(ordinal).alias("o"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(message_key).cast("string").alias("key")
+    )
     base = tn.sessions(base, key="k", order=["stamp", "o"], at="at", gap_seconds=15 * 60, same="role")
     back = Window.partitionBy("k", "role").orderBy(F.desc("stamp"), F.desc("o"))
     base = base.withColumn("from_end", F.row_number().over(back))
@@ -78,20 +88,26 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
     ranked = F.struct("stamp", "o", any_of(lexicon.closure).alias("closes"), incident_rank("text", lexicon).alias("rank"), "key")
     hits = {
         "purchase": cust & any_of(lexicon.purchase), "urgency": cust & any_of(lexicon.urgency), "repeat": cust & any_of(lexicon.repeat),
-        "rejection": cust & (F.col("from_end") <= 10) & any_of(lexicon.rejection), "objections": cust & (F.col("from_end") <= 20) & any_of(lexicon.objection),
-        "preferences": cust & (F.col("from_end") <= 20) & any_of(lexicon.preference), "commitments": studio & (F.col("from_end") <= 20) & any_of(lexicon.commitment),
+        "rejection": cust & (F.col("from_end") <= 10) & any_of(lexicon.rejection),
+        "objections": cust & (F.col("from_end") <= 20) & any_of(lexicon.objection),
+        "preferences": cust & (F.col("from_end") <= 20) & any_of(lexicon.preference),
+        "commitments": studio & (F.col("from_end") <= 20) & any_of(lexicon.commitment),
         "last_cust": cust & (F.col("from_end") <= 3), "recent": F.col("from_end") <= 8,
     }
     forth = Window.partitionBy("k").orderBy("stamp", "o")
     base = base.withColumn("part", F.floor((F.row_number().over(forth) - 1) / part))
     parts = base.groupBy("k", "part").agg(
         *(put(c).alias(name) for name, c in hits.items()), *(F.count_if(hits[c]).alias(f"n_{c}") for c in COUNTED),
-        F.count_if(cust).alias("n_cust"), F.max("turn_no").alias("turn"), F.max(F.struct("stamp", "o", "at", "role")).alias("last"), F.min(F.struct("stamp", "o", "at")).alias("first"),
-        F.max(F.when(cust, F.struct("stamp", "o", any_of(lexicon.open_question).alias("q")))).alias("last_q"), fold_part(F.array_sort(F.collect_list(F.when(cust, ranked)))).alias("does"),
+        F.count_if(cust).alias("n_cust"), F.max("turn_no").alias("turn"), F.max(F.struct("stamp", "o", "at", "role")).alias("last"),
+        F.min(F.struct("stamp", "o", "at")).alias("first"),
+        F.max(F.when(cust, F.struct("stamp", "o", any_of(lexicon.open_question).alias("q")))).alias("last_q"),
+        fold_part(F.array_sort(F.collect_list(F.when(cust, ranked)))).alias("does"),
     )
     rows = parts.groupBy("k").agg(
-        *(_tail(F.array_sort(F.flatten(F.collect_list(name))), LAST).alias(name) for name in hits), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in COUNTED),
-        F.sum("n_cust").alias("n_cust"), (F.max("turn") + 1).alias("n_turns"), F.max("last").alias("last"), F.min("first").alias("first"), F.max("last_q").alias("last_q"),
+        *(_tail(F.array_sort(F.flatten(F.collect_list(name))), LAST).alias(name) for name in hits),
+        *(F.sum(f"n_{c}").alias(f"n_{c}") for c in COUNTED),
+        F.sum("n_cust").alias("n_cust"), (F.max("turn") + 1).alias("n_turns"), F.max("last").alias("last"), F.min("first").alias("first"),
+        F.max("last_q").alias("last_q"),
         fold_parts(F.array_sort(F.collect_list(F.struct("part", "does")))).alias("state"),
     )
     days = lambda a, b: F.greatest(F.lit(0), F.floor((F.unix_seconds(a) - F.unix_seconds(b)) / 86400)).cast("long")
@@ -101,13 +117,22 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
     urgent = F.least(F.lit(20), n("n_urgency") * 10)
     rows = rows.withColumns({
         "purchase_points": F.least(F.lit(35), n("n_purchase") * 9),
-        "urgency_points": F.when(F.col("recency") <= 3, F.least(F.lit(20), urgent + 8)).when(F.col("recency") <= 14, F.least(F.lit(20), urgent + 4)).otherwise(urgent),
+        "urgency_points": F.when(F.col("recency") <= 3, F.least(F.lit(20), urgent + 8)).when(
+            F.col("recency") <= 14, F.least(F.lit(20), urgent + 4)
+        ).otherwise(urgent),
         "interaction_points": F.least(F.lit(15), (F.floor(F.col("n_cust") / 3) + F.least(F.lit(8), F.floor(F.col("n_turns") / 4)))).cast("int"),
-        "followup_points": F.least(F.lit(15), F.when(last_cust, 8).otherwise(0) + F.when((n("n_purchase") > 0) & (last_cust | F.coalesce(F.col("last_q.q"), F.lit(False))), 7).otherwise(0)),
+        "followup_points": F.least(
+            F.lit(15),
+            F.when(last_cust, 8).otherwise(0) + F.when(
+                (n("n_purchase") > 0) & (last_cust | F.coalesce(F.col("last_q.q"), F.lit(False))), 7
+            ).otherwise(0)
+        ),
         "recurrence_points": F.least(F.lit(15), n("n_repeat") * 7 + F.when(F.col("span") >= 30, 4).otherwise(0)),
         "rejection_penalty": F.when(n("n_rejection") > 0, 30).otherwise(0),
     })
-    raw = F.col("purchase_points") + F.col("urgency_points") + F.col("interaction_points") + F.col("followup_points") + F.col("recurrence_points") - F.col("rejection_penalty")
+    raw = F.col("purchase_points") + F.col("urgency_points") + F.col(
+        "interaction_points"
+    ) + F.col("followup_points") + F.col("recurrence_points") - F.col("rejection_penalty")
     rows = rows.withColumn("opportunity_score", F.greatest(F.lit(0), F.least(F.lit(100), raw)))
     level = F.when(F.col("opportunity_score") >= 60, "high").when(F.col("opportunity_score") >= 35, "medium").otherwise("low")
     rank = F.col("state.rank")
@@ -115,7 +140,9 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
     keys = lambda c, k=5: F.transform(_tail(F.col(c), k), lambda m: m["key"])
     none = F.array().cast("array<string>")
     newest = F.when(last_cust, F.transform(_tail(F.col("last_cust"), 1), lambda m: m["key"])).otherwise(none)
-    reason = lambda code, points, ev: F.struct(F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"), points.cast("int").alias("points"), ev.alias("evidence"))
+    reason = lambda code, points, ev: F.struct(
+        F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"), points.cast("int").alias("points"), ev.alias("evidence")
+    )
     reasons = F.array_compact(F.array(
         reason("purchase_intent", F.col("purchase_points"), keys("purchase")), reason("time_urgency", F.col("urgency_points"), keys("urgency")),
         reason("interaction", F.col("interaction_points"), keys("last_cust", 3)), reason("open_followup", F.col("followup_points"), newest),
@@ -123,16 +150,29 @@ def analyze(messages: DataFrame, snapshot_at, *, key="customer_key", role="role"
         F.when(F.col("rejection_penalty") > 0, reason("explicit_rejection", -F.col("rejection_penalty"), keys("rejection"))),
         F.when(rank < 9, reason(F.concat(F.lit("unresolved_aftersales_p"), rank.cast("string")), F.lit(0), F.array("state.key"))),
     ))
-    told = lambda c, k=3: F.transform(_tail(c, k), lambda m: F.struct(m["key"].alias("message_key"), m["text"].alias("text"), m["stamp"].alias("timestamp")))
-    context = F.transform(_tail(F.col("recent"), 8), lambda m: F.struct(m["key"].alias("message_key"), m["role"].alias("role"), m["stamp"].alias("timestamp"), m["text"].alias("text")))
+    told = lambda c, k=3: F.transform(
+        _tail(c, k), lambda m: F.struct(m["key"].alias("message_key"), m["text"].alias("text"), m["stamp"].alias("timestamp"))
+    )
+    context = F.transform(
+        _tail(F.col("recent"), 8),
+        lambda m: F.struct(m["key"].alias("message_key"), m["role"].alias("role"), m["stamp"].alias("timestamp"), m["text"].alias("text"))
+    )
     memory = F.struct(
-        told(F.when(n("n_purchase") > 0, F.col("purchase")).otherwise(F.col("last_cust"))).alias("current_needs"), told(F.col("objections")).alias("objections"), told(F.col("preferences")).alias("preferences"),
-        F.when(last_cust, told(F.col("last_cust"), 1)).otherwise(F.array()).alias("pending_followups"), told(F.col("commitments")).alias("studio_commitments"), context.alias("recent_context"),
+        told(F.when(n("n_purchase") > 0, F.col("purchase")).otherwise(F.col("last_cust"))).alias("current_needs"),
+        told(F.col("objections")).alias("objections"), told(F.col("preferences")).alias("preferences"),
+        F.when(last_cust, told(F.col("last_cust"), 1)).otherwise(F.array()).alias("pending_followups"),
+        told(F.col("commitments")).alias("studio_commitments"), context.alias("recent_context"),
     )
     points = ["purchase_points", "urgency_points", "interaction_points", "followup_points", "recurrence_points", "rejection_penalty"]
-    out = rows.select(F.col("k").alias(key), F.col("last.stamp").alias("last_active_at"), "opportunity_score", level.alias("opportunity_level"), priority.alias("aftersales_priority"), reasons.alias("reasons"), memory.alias("memory"), *points)
+    out = rows.select(
+        F.col("k").alias(key), F.col("last.stamp").alias("last_active_at"), "opportunity_score", level.alias("opportunity_level"),
+        priority.alias("aftersales_priority"), reasons.alias("reasons"), memory.alias("memory"), *points
+    )
     queue = F.when(F.col("aftersales_priority").isNotNull(), "aftersales").otherwise("presales")
-    summary = F.concat(F.when(F.col("aftersales_priority").isNotNull(), F.concat(F.lit("售后"), F.col("aftersales_priority"))).otherwise("售前"), F.lit("；"), F.col("opportunity_level"), F.lit("机会"))
+    summary = F.concat(
+        F.when(F.col("aftersales_priority").isNotNull(), F.concat(F.lit("售后"), F.col("aftersales_priority"))).otherwise("售前"), F.lit("；"),
+        F.col("opportunity_level"), F.lit("机会")
+    )
     evidence = F.array_sort(F.array_distinct(F.flatten(F.transform("reasons", lambda r: r["evidence"]))))
     return out.withColumns({"queue": queue, "summary": summary, "evidence_message_keys": evidence})
 

@@ -43,7 +43,9 @@ def approve_binding(bindings: DataFrame, binding_id: str, *, key="customer_key")
     """One binding approved and its siblings rejected, but for those that name no phone (``missing``)."""
     own = bindings.filter(F.col("binding_id") == binding_id).select(F.col(key).alias("__k"))
     rows = bindings.join(own, F.col(key) == F.col("__k"), "left")
-    state = F.when(F.col("binding_id") == binding_id, "approved").when(F.col("__k").isNotNull() & (F.col("state") != "missing"), "rejected").otherwise(F.col("state"))
+    state = F.when(F.col("binding_id") == binding_id, "approved").when(
+        F.col("__k").isNotNull() & (F.col("state") != "missing"), "rejected"
+    ).otherwise(F.col("state"))
     return rows.withColumn("state", state).drop("__k")
 
 
@@ -58,11 +60,20 @@ def calibration(rows: DataFrame, *, predicted: str, human: str, least=200, accur
 def confusion(rows: DataFrame, *, predicted: str, human: str) -> DataFrame:
     """(label, tp, fp, fn, precision, recall, f1)."""
     both = rows.filter(F.col(human).isNotNull() & F.col(predicted).isNotNull())
-    one = both.select(F.explode(F.array_distinct(F.array(F.col(human).cast("string"), F.col(predicted).cast("string")))).alias("label"), F.col(human).cast("string").alias("h"), F.col(predicted).cast("string").alias("p"))
-    n = one.groupBy("label").agg(F.count_if((F.col("h") == F.col("label")) & (F.col("p") == F.col("label"))).alias("tp"), F.count_if((F.col("h") != F.col("label")) & (F.col("p") == F.col("label"))).alias("fp"), F.count_if((F.col("h") == F.col("label")) & (F.col("p") != F.col("label"))).alias("fn"))
+    one = both.select(
+        F.explode(F.array_distinct(F.array(F.col(human).cast("string"), F.col(predicted).cast("string")))).alias("label"),
+        F.col(human).cast("string").alias("h"), F.col(predicted).cast("string").alias("p")
+    )
+    n = one.groupBy("label").agg(
+        F.count_if((F.col("h") == F.col("label")) & (F.col("p") == F.col("label"))).alias("tp"),
+        F.count_if((F.col("h") != F.col("label")) & (F.col("p") == F.col("label"))).alias("fp"),
+        F.count_if((F.col("h") == F.col("label")) & (F.col("p") != F.col("label"))).alias("fn")
+    )
     safe = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return n.select("label", "tp", "fp", "fn", safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return n.select(
+        "label", "tp", "fp", "fn", safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1")
+    )
 
 
 def wilson(hits: Column, n: Column, z=1.96) -> Column:
@@ -77,7 +88,10 @@ def skill_rates(rows: DataFrame, *, skill: str, customer: str, hit: str, least=3
     per = rows.groupBy(skill, customer).agg(F.max(F.col(hit).cast("int")).alias("h"))
     n = per.groupBy(skill).agg(F.count("*").alias("customers"), F.sum("h").alias("hits"))
     ci = wilson(F.col("hits"), F.col("customers"))
-    return n.select(skill, "customers", "hits", F.round(F.col("hits") / F.col("customers"), 6).alias("rate"), ci["low"].alias("low"), ci["high"].alias("high"), (F.col("customers") >= least).alias("enough"))
+    return n.select(
+        skill, "customers", "hits", F.round(F.col("hits") / F.col("customers"), 6).alias("rate"), ci["low"].alias("low"), ci["high"].alias("high"),
+        (F.col("customers") >= least).alias("enough")
+    )
 
 
 def gates(**results: DataFrame) -> DataFrame:

@@ -28,7 +28,10 @@ def sessions(rows: DataFrame, *, key: str, order: list[str], at: str | None, gap
     return marked.withColumn("turn_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long") - 1).drop("__new")
 
 
-def merge_turns(messages: DataFrame, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text", message_key="message_key", minutes: int | None = 15) -> DataFrame:
+def merge_turns(
+    messages: DataFrame, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text",
+    message_key="message_key", minutes: int | None = 15
+) -> DataFrame:
     """(key, turn_no, role, started_at, ended_at, start_ts, end_ts, text, message_keys)."""
     order = [stamp, ordinal]
     marked = sessions(messages, key=key, order=order, at=at, gap_seconds=None if minutes is None else minutes * 60, same=role)
@@ -36,7 +39,8 @@ def merge_turns(messages: DataFrame, *, key="customer_key", role="role", stamp="
     turns = marked.groupBy(key, "turn_no").agg(F.first(role).alias("role"), F.array_sort(F.collect_list(row)).alias("m"))
     last = F.element_at("m", -1)
     return turns.select(
-        key, "turn_no", "role", F.col("m")[0]["s"].alias("started_at"), last["s"].alias("ended_at"), F.col("m")[0]["at"].alias("start_ts"), last["at"].alias("end_ts"),
+        key, "turn_no", "role", F.col("m")[0]["s"].alias("started_at"), last["s"].alias("ended_at"), F.col("m")[0]["at"].alias("start_ts"),
+        last["at"].alias("end_ts"),
         F.array_join(F.transform("m", lambda m: m.t), "\n").alias("text"), F.transform("m", lambda m: m.k).alias("message_keys"),
     )
 
@@ -53,7 +57,10 @@ def pair_quality(trigger, reply, lexicon: lx.Lexicon = lx.Lexicon()):
     )
 
 
-def pair_turns(turns: DataFrame, *, key="customer_key", asker="customer", answerer="studio", minutes: int | None = 30, least=8, context=2, redacted=True, lexicon: lx.Lexicon = lx.Lexicon()) -> DataFrame:
+def pair_turns(
+    turns: DataFrame, *, key="customer_key", asker="customer", answerer="studio", minutes: int | None = 30, least=8, context=2, redacted=True,
+    lexicon: lx.Lexicon = lx.Lexicon()
+) -> DataFrame:
     """An asker's turn and the answerer's turn right after it, with the turns before as context.
 
     Pairs below the quality bar go; of pairs that read alike in one key the first stays.
@@ -63,7 +70,11 @@ def pair_turns(turns: DataFrame, *, key="customer_key", asker="customer", answer
     else:
         turns = turns.withColumn("red", F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("flags")))
     w = Window.partitionBy(key).orderBy("turn_no")
-    before = [F.lag(F.struct(F.col("role"), F.col("red.text").alias("text"), F.col("ended_at").alias("timestamp")), k).over(w) for k in range(context, 0, -1)]
+    before = [
+        F.lag(
+            F.struct(F.col("role"), F.col("red.text").alias("text"), F.col("ended_at").alias("timestamp")), k
+        ).over(w) for k in range(context, 0, -1)
+    ]
     cols = ["role", "text", "red", "message_keys", "start_ts", "ended_at"]
     nxt = F.lead(F.struct(*cols)).over(w)
     rows = turns.withColumn("reply", nxt).withColumn("context", F.array_compact(F.array(*before)))
@@ -77,9 +88,12 @@ def pair_turns(turns: DataFrame, *, key="customer_key", asker="customer", answer
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(key, "dup_key").orderBy("turn_no"))).filter("n = 1")
     both = F.concat_ws("\n", "text", "reply.text")
     flags = tx.risk_flags(both, F.array_union("red.flags", "reply.red.flags"), lexicon.risk)
-    marked = F.when(F.size(F.array_union("red.flags", "reply.red.flags")) > 0, F.array_sort(F.array_union(flags, F.array(F.lit("redacted_value"))))).otherwise(flags)
+    marked = F.when(
+        F.size(F.array_union("red.flags", "reply.red.flags")) > 0, F.array_sort(F.array_union(flags, F.array(F.lit("redacted_value"))))
+    ).otherwise(flags)
     return rows.select(
-        key, "turn_no", F.col("red.text").alias("trigger_text"), F.col("reply.red.text").alias("reply_text"), "context", F.col("message_keys").alias("trigger_keys"),
+        key, "turn_no", F.col("red.text").alias("trigger_text"), F.col("reply.red.text").alias("reply_text"), "context",
+        F.col("message_keys").alias("trigger_keys"),
         F.col("reply.message_keys").alias("reply_keys"), F.col("reply.ended_at").alias("timestamp"), tx.intent("text", lexicon).alias("intent_stage"),
         marked.alias("risk_flags"), tx.risk_level(flags).alias("risk_level"), "quality_score",
     )

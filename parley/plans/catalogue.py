@@ -17,9 +17,14 @@ from ..sources import readers
 
 SECRET = "test-secret"
 LEXICON = lexicons.Lexicon(
-    purchase=("purchase",), urgency=("click",), repeat=("signup",), rejection=("error",), objection=("error",), preference=("view",), commitment=("view",),
-    question=("?", "que", "the"), open_question=("view",), low_value=("ok",), p0=("error",), p1=("signup",), p2=("click",), closure=("purchase",), presales=("view",),
-    risk=(("price", ("tion", "ción")), ("refund", ("worthless", "stupid")), ("complaint", ("idiot", "trash")), ("quality", ("ung ", "ment ")), ("compensation", ("loser",))),
+    purchase=("purchase",), urgency=("click",), repeat=("signup",), rejection=("error",), objection=("error",), preference=("view",),
+    commitment=("view",),
+    question=("?", "que", "the"), open_question=("view",), low_value=("ok",), p0=("error",), p1=("signup",), p2=("click",), closure=("purchase",),
+    presales=("view",),
+    risk=(
+        ("price", ("tion", "ción")), ("refund", ("worthless", "stupid")), ("complaint", ("idiot", "trash")), ("quality", ("ung ", "ment ")),
+        ("compensation", ("loser",))
+    ),
 )
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -52,7 +57,9 @@ with m as (
 
 
 def _event_turns(spark, sf):
-    return tn.merge_turns(_t(spark, sf, "events"), key="user_id", role="event_type", stamp="ts", at="ts", ordinal="event_id", text="event_type", message_key="event_id")
+    return tn.merge_turns(
+        _t(spark, sf, "events"), key="user_id", role="event_type", stamp="ts", at="ts", ordinal="event_id", text="event_type", message_key="event_id"
+    )
 
 
 @query(_TURNS + """
@@ -60,7 +67,10 @@ select user_id, cast(turn_no as bigint) as turn_no, any_value(event_type) as rol
 from t group by user_id, turn_no""")
 def turns_by_gap(spark, sf):
     t = _event_turns(spark, sf)
-    return t.select("user_id", "turn_no", "role", F.size("message_keys").cast("long").alias("messages"), F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
+    return t.select(
+        "user_id", "turn_no", "role", F.size("message_keys").cast("long").alias("messages"), F.unix_micros("start_ts").alias("start_us"),
+        F.unix_micros("end_ts").alias("end_us")
+    )
 
 
 def _role_turns(spark, sf):
@@ -80,7 +90,9 @@ with m as (
 
 @query(_ROLE_TURNS + " select conv_id, turn_no, role, n as messages, started_at, ended_at, md5(text) as text_md5 from t")
 def turns_by_role(spark, sf):
-    return _role_turns(spark, sf).select("conv_id", "turn_no", "role", F.size("message_keys").cast("long").alias("messages"), "started_at", "ended_at", F.md5("text").alias("text_md5"))
+    return _role_turns(spark, sf).select(
+        "conv_id", "turn_no", "role", F.size("message_keys").cast("long").alias("messages"), "started_at", "ended_at", F.md5("text").alias("text_md5")
+    )
 
 
 def _pairs(spark, sf):
@@ -98,14 +110,24 @@ _PAIRS = _ROLE_TURNS + f""", p as (
 d as (select *, row_number() over (partition by conv_id, lower(a || b) order by turn_no) as k from s where quality >= 8)"""
 
 
-@query(_PAIRS + " select conv_id, turn_no, cast(quality as int) as quality_score, md5(text) as trigger_md5, md5(r_text) as reply_md5, r_end as at from d where k = 1")
+@query(
+    _PAIRS + " select conv_id, turn_no, cast(quality as int) as quality_score, md5(text) as trigger_md5, md5(r_text) as reply_md5, r_end as at from d where k = 1"
+)
 def reply_pairs(spark, sf):
-    return _pairs(spark, sf).select("conv_id", "turn_no", "quality_score", F.md5("trigger_text").alias("trigger_md5"), F.md5("reply_text").alias("reply_md5"), F.col("timestamp").alias("at"))
+    return _pairs(spark, sf).select(
+        "conv_id", "turn_no", "quality_score", F.md5("trigger_text").alias("trigger_md5"), F.md5("reply_text").alias("reply_md5"),
+        F.col("timestamp").alias("at")
+    )
 
 
-@query(_PAIRS + " select conv_id, turn_no, md5(concat_ws('|', c2, c1)) as context_md5, cast((c1 is not null)::int + (c2 is not null)::int as int) as turns_before from d where k = 1")
+@query(
+    _PAIRS + " select conv_id, turn_no, md5(concat_ws('|', c2, c1)) as context_md5, cast((c1 is not null)::int + (c2 is not null)::int as int) as turns_before from d where k = 1"
+)
 def pair_context2(spark, sf):
-    return _pairs(spark, sf).select("conv_id", "turn_no", F.md5(F.concat_ws("|", F.transform("context", lambda c: c["text"]))).alias("context_md5"), F.size("context").alias("turns_before"))
+    return _pairs(spark, sf).select(
+        "conv_id", "turn_no", F.md5(F.concat_ws("|", F.transform("context", lambda c: c["text"]))).alias("context_md5"),
+        F.size("context").alias("turns_before")
+    )
 
 
 @query(_PAIRS + " select cast(quality as int) as quality_score, count(*) as pairs from s group by 1")
@@ -113,13 +135,17 @@ def pair_quality(spark, sf):
     t = _role_turns(spark, sf)
     w = Window.partitionBy("conv_id").orderBy("turn_no")
     t = t.withColumn("r", F.lead(F.struct("role", "text")).over(w)).filter("role = 'user' and r.role = 'assistant'")
-    return t.select(tn.pair_quality(F.col("text"), F.col("r.text"), LEXICON).alias("quality_score")).groupBy("quality_score").agg(F.count("*").alias("pairs"))
+    return t.select(
+        tn.pair_quality(F.col("text"), F.col("r.text"), LEXICON).alias("quality_score")
+    ).groupBy("quality_score").agg(F.count("*").alias("pairs"))
 
 
 @query("select conv_id, turn, role from conversations where role in ('user', 'assistant') and trim(replace(coalesce(text, ''), chr(0), '')) <> ''")
 def eligible_messages(spark, sf):
     c = _t(spark, sf, "conversations")
-    return c.withColumn("text", tx.strip("text")).filter(F.col("role").isin("user", "assistant") & (F.col("text") != "")).select("conv_id", "turn", "role")
+    return c.withColumn("text", tx.strip("text")).filter(
+        F.col("role").isin("user", "assistant") & (F.col("text") != "")
+    ).select("conv_id", "turn", "role")
 
 
 _LADDER = """case when user_id % 10 = 3 then 'unknown_profile' when event_type = 'error' then 'non_text' when value < 2 then 'empty_text'
@@ -130,7 +156,10 @@ _LADDER = """case when user_id % 10 = 3 then 'unknown_profile' when event_type =
 def reject_accounting(spark, sf):
     e = _t(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    reason = readers.ladder(("unknown_profile", F.col("user_id") % 10 == 3), ("non_text", F.col("event_type") == "error"), ("empty_text", F.col("value") < 2), ("invalid_timestamp", k > 90))
+    reason = readers.ladder(
+        ("unknown_profile", F.col("user_id") % 10 == 3), ("non_text", F.col("event_type") == "error"), ("empty_text", F.col("value") < 2),
+        ("invalid_timestamp", k > 90)
+    )
     return readers.accounting(e.withColumn("reject_reason", reason))
 
 
@@ -140,7 +169,9 @@ def _hmac_sql(message: str, secret: str = SECRET) -> str:
     return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({message}))))"
 
 
-@query(f"select c_custkey, 'customer_' || substr({_hmac_sql('concat_ws(chr(31), ' + chr(39) + 'customer' + chr(39) + ', c_name, c_custkey)')}, 1, 24) as customer_key from customer")
+@query(
+    f"select c_custkey, 'customer_' || substr({_hmac_sql('concat_ws(chr(31), ' + chr(39) + 'customer' + chr(39) + ', c_name, c_custkey)')}, 1, 24) as customer_key from customer"
+)
 def hmac_customer_key(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", keys.hmac_id(SECRET, "customer", "c_name", "c_custkey").alias("customer_key"))
 
@@ -171,7 +202,9 @@ def risk_profile(spark, sf):
     return d.select("doc_id", F.array_join("f", ",").alias("flags"), tx.risk_level(F.col("f")).alias("level"))
 
 
-@query("select event_id, case when event_type in ('error', 'signup', 'click') then 'aftersales' when event_type = 'view' then 'presales' else 'general' end as intent from events")
+@query(
+    "select event_id, case when event_type in ('error', 'signup', 'click') then 'aftersales' when event_type = 'view' then 'presales' else 'general' end as intent from events"
+)
 def intent_class(spark, sf):
     return _t(spark, sf, "events").select("event_id", tx.intent("event_type", LEXICON).alias("intent"))
 
@@ -214,11 +247,17 @@ _SCORE = f"""with {_MESSAGES}, w as (
   cast(greatest(0, least(100, purchase_points + urgency_points + interaction_points + followup_points + recurrence_points - rejection_penalty)) as int) as opportunity_score from q""")
 def opportunity_score(spark, sf):
     a = _analyzed(spark, sf)
-    return a.select("user_id", "purchase_points", "urgency_points", "interaction_points", "followup_points", "recurrence_points", "rejection_penalty", "opportunity_score")
+    return a.select(
+        "user_id", "purchase_points", "urgency_points", "interaction_points", "followup_points", "recurrence_points", "rejection_penalty",
+        "opportunity_score"
+    )
 
 
 def _analyzed(spark, sf):
-    return scoring.analyze(_messages(spark, sf), "2024-02-01 00:00:00", key="user_id", stamp="ts", at="ts", ordinal="event_id", text="text", message_key="event_id", lexicon=LEXICON)
+    return scoring.analyze(
+        _messages(spark, sf), "2024-02-01 00:00:00", key="user_id", stamp="ts", at="ts", ordinal="event_id", text="text", message_key="event_id",
+        lexicon=LEXICON
+    )
 
 
 @query(f"""with {_MESSAGES}, l as (
@@ -235,21 +274,31 @@ def priority_fold(spark, sf):
 @query(f"""with {_MESSAGES}, r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from m where role = 'customer')
 select user_id, count(*) filter (text = 'error') as hits from r where k <= 10 group by user_id""")
 def last_n_keyword(spark, sf):
-    return scoring.last_n_hits(_messages(spark, sf), key="user_id", order=["ts", "event_id"], n=10, hit=F.col("text") == "error", where=F.col("role") == "customer")
+    return scoring.last_n_hits(
+        _messages(spark, sf), key="user_id", order=["ts", "event_id"], n=10, hit=F.col("text") == "error", where=F.col("role") == "customer"
+    )
 
 
 _EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 _RUNS = "list_sort(list_distinct(list_filter(regexp_extract_all({0}, '[0-9]+'), lambda x: length(x) between 10 and 24)))"
 
 
-@query(f"with e as (select doc_id, list_sort(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) as e from documents) select doc_id, array_to_string(e, ',') as emails from e where len(e) > 0")
+@query(
+    f"with e as (select doc_id, list_sort(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) as e from documents) select doc_id, array_to_string(e, ',') as emails from e where len(e) > 0"
+)
 def email_extract(spark, sf):
-    return _t(spark, sf, "documents").withColumn("e", tx.emails("text")).filter(F.size("e") > 0).select("doc_id", F.array_join("e", ",").alias("emails"))
+    return _t(spark, sf, "documents").withColumn("e", tx.emails("text")).filter(F.size("e") > 0).select(
+        "doc_id", F.array_join("e", ",").alias("emails")
+    )
 
 
-@query(f"with e as (select doc_id, {_RUNS.format('text')} as e from documents) select doc_id, array_to_string(e, ',') as tokens from e where len(e) > 0")
+@query(
+    f"with e as (select doc_id, {_RUNS.format('text')} as e from documents) select doc_id, array_to_string(e, ',') as tokens from e where len(e) > 0"
+)
 def digit_token_extract(spark, sf):
-    return _t(spark, sf, "documents").withColumn("e", tx.digit_tokens("text")).filter(F.size("e") > 0).select("doc_id", F.array_join("e", ",").alias("tokens"))
+    return _t(spark, sf, "documents").withColumn("e", tx.digit_tokens("text")).filter(F.size("e") > 0).select(
+        "doc_id", F.array_join("e", ",").alias("tokens")
+    )
 
 
 _STATES = f"""with e as (select source, unnest(regexp_extract_all(text, '{_EMAIL}')) as id from documents),
@@ -278,7 +327,9 @@ def binding_summary(spark, sf):
 
 @query()
 def redact_text(spark, sf):
-    d = _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(_t(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("text")))
+    d = _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(
+        _t(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("text"))
+    )
     r = tx.with_redaction(d, "text", "r")
     return r.select("id", F.md5("r.text").alias("text_md5"), F.length("r.text").alias("n"), F.array_join("r.flags", ",").alias("flags"))
 
@@ -292,7 +343,9 @@ def redact_text(spark, sf):
 )
 select doc_id, array_to_string(r, ',') as trackings from k where len(r) > 0""")
 def tracking_tokens(spark, sf):
-    return _t(spark, sf, "documents").withColumn("t", tx.tracking_numbers("text")).filter(F.size("t") > 0).select("doc_id", F.array_join("t", ",").alias("trackings"))
+    return _t(spark, sf, "documents").withColumn("t", tx.tracking_numbers("text")).filter(F.size("t") > 0).select(
+        "doc_id", F.array_join("t", ",").alias("trackings")
+    )
 
 
 def _phone(n):
@@ -309,9 +362,14 @@ c as (
 
 def _evidence(spark, sf):
     k = F.col("c_custkey")
-    direct = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 11 == 0, F.array(_phone(k % 700), _phone((k + 1) % 700))).otherwise(F.array(_phone(k % 1400)))
+    direct = F.when(k % 3 == 0, F.array().cast("array<string>")).when(
+        k % 11 == 0, F.array(_phone(k % 700), _phone((k + 1) % 700))
+    ).otherwise(F.array(_phone(k % 1400)))
     sf_no = lambda n: F.concat(F.lit("SF"), F.lpad(n.cast("string"), 10, "0"))
-    conv = _t(spark, sf, "customer").select(k.alias("key"), direct.alias("direct"), F.when(k % 2 == 0, F.array(sf_no(k % 1800))).otherwise(F.array().cast("array<string>")).alias("trackings"))
+    conv = _t(spark, sf, "customer").select(
+        k.alias("key"), direct.alias("direct"),
+        F.when(k % 2 == 0, F.array(sf_no(k % 1800))).otherwise(F.array().cast("array<string>")).alias("trackings")
+    )
     lines = _t(spark, sf, "orders").select(_phone(F.col("o_custkey") % 700).alias("phone"), sf_no(F.col("o_orderkey") % 900).alias("tracking_no"))
     return identity.evidence_ladder(conv, lines)
 
@@ -333,10 +391,15 @@ def _lines(spark, sf):
     k = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     o = _t(spark, sf, "orders").select(
-        k.cast("string").alias("record_id"), F.when(k % 13 == 0, "1970-01-01").when(k % 17 == 0, "soon").when(k % 5 == 0, F.replace(day, F.lit("-"), F.lit("/"))).otherwise(day).alias("pay_date"),
+        k.cast("string").alias("record_id"),
+        F.when(k % 13 == 0, "1970-01-01").when(k % 17 == 0, "soon").when(
+            k % 5 == 0, F.replace(day, F.lit("-"), F.lit("/"))
+        ).otherwise(day).alias("pay_date"),
         F.when(k % 19 == 0, "n/a").when(k % 7 == 0, None).otherwise(F.format_string("%.2f", "o_totalprice")).alias("revenue"),
-        F.when(k % 4 == 0, "退").when(k % 9 == 0, "换").when(k % 10 == 0, "其他").otherwise("").alias("refund_type"), F.when(k % 8 == 0, day).alias("refund_date"),
-        F.when(k % 12 == 0, "999999.99").when(k % 8 == 0, "10.005").when(k % 23 == 0, "-1").alias("refund_amount"), F.when(k % 6 == 0, "pending").otherwise("").alias("return_status"), F.lit(None).cast("string").alias("phone"),
+        F.when(k % 4 == 0, "退").when(k % 9 == 0, "换").when(k % 10 == 0, "其他").otherwise("").alias("refund_type"),
+        F.when(k % 8 == 0, day).alias("refund_date"),
+        F.when(k % 12 == 0, "999999.99").when(k % 8 == 0, "10.005").when(k % 23 == 0, "-1").alias("refund_amount"),
+        F.when(k % 6 == 0, "pending").otherwise("").alias("return_status"), F.lit(None).cast("string").alias("phone"),
     )
     return orders.normalize(o.withColumn("today", F.lit("2000-06-01").cast("date")), today="today", scrub=False)
 
@@ -363,9 +426,14 @@ _LINES = """with s as (
 )"""
 
 
-@query(_LINES + " select record_id, strftime(paid_on, '%Y-%m-%d') as paid_on, revenue_minor, refund_type, refund_amount_minor, strftime(refund_on, '%Y-%m-%d') as refund_on, array_to_string(flags, ',') as flags from f")
+@query(
+    _LINES + " select record_id, strftime(paid_on, '%Y-%m-%d') as paid_on, revenue_minor, refund_type, refund_amount_minor, strftime(refund_on, '%Y-%m-%d') as refund_on, array_to_string(flags, ',') as flags from f"
+)
 def order_normalize(spark, sf):
-    return _lines(spark, sf).select("record_id", F.date_format("paid_on", "yyyy-MM-dd").alias("paid_on"), "revenue_minor", "refund_type", "refund_amount_minor", F.date_format("refund_on", "yyyy-MM-dd").alias("refund_on"), F.array_join("quality_flags", ",").alias("flags"))
+    return _lines(spark, sf).select(
+        "record_id", F.date_format("paid_on", "yyyy-MM-dd").alias("paid_on"), "revenue_minor", "refund_type", "refund_amount_minor",
+        F.date_format("refund_on", "yyyy-MM-dd").alias("refund_on"), F.array_join("quality_flags", ",").alias("flags")
+    )
 
 
 @query(_LINES + """, x as (select 'flag' as kind, unnest(flags) as name from f union all select 'refund_type', refund_type from f where refund_type is not null union all select 'total', 'lines' from f
@@ -374,7 +442,9 @@ def order_quality_summary(spark, sf):
     return orders.quality_summary(_lines(spark, sf))
 
 
-@query("""select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1""")
+@query(
+    """select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1"""
+)
 def snapshot_dedup_latest(spark, sf):
     return sampling.latest_by(_t(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
@@ -391,7 +461,9 @@ b as (select *, row_number() over (partition by month, event_type order by a, us
 select month, event_type, user_id, event_id from b order by b, month, event_type limit 200""")
 def stratified_sample(spark, sf):
     e = _t(spark, sf, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return sampling.stratified(e, strata=["month", "event_type"], member="user_id", order=["ts", "event_id"], limit=200).select("month", "event_type", "user_id", "event_id")
+    return sampling.stratified(
+        e, strata=["month", "event_type"], member="user_id", order=["ts", "event_id"], limit=200
+    ).select("month", "event_type", "user_id", "event_id")
 
 
 @query()
@@ -403,7 +475,10 @@ def template_select(spark, sf):
 @query("""with r as (select *, row_number() over (partition by regexp_replace(name, '[0-9]', '#', 'g') order by q desc, ts, k) as n from (
   select event_id, 'u' || user_id as k, event_type as name, cast(value as bigint) as q, ts from events where value is not null)) select event_id from r where n <= 3""")
 def template_cap(spark, sf):
-    e = _t(spark, sf, "events").filter("value is not null").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("k"), tx.template_key_plain("event_type").alias("t"), F.round("value").cast("long").alias("q"), "ts")
+    e = _t(spark, sf, "events").filter("value is not null").select(
+        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("k"), tx.template_key_plain("event_type").alias("t"),
+        F.round("value").cast("long").alias("q"), "ts"
+    )
     w = Window.partitionBy("t").orderBy(F.desc("q"), "ts", "k")
     return e.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("event_id")
 
@@ -422,16 +497,23 @@ def confusion_summary(spark, sf):
     return serving.confusion(_t(spark, sf, "labels").withColumn("human", 1 - F.col("toxic")), predicted="quality", human="human")
 
 
-@query("""select c_custkey, c_name, c_acctbal from customer order by case c_mktsegment when 'BUILDING' then 0 when 'MACHINERY' then 1 else 2 end, c_acctbal desc, c_custkey limit 50 offset 100""")
+@query(
+    """select c_custkey, c_name, c_acctbal from customer order by case c_mktsegment when 'BUILDING' then 0 when 'MACHINERY' then 1 else 2 end, c_acctbal desc, c_custkey limit 50 offset 100"""
+)
 def customer_page(spark, sf):
     c = _t(spark, sf, "customer")
     first = F.when(F.col("c_mktsegment") == "BUILDING", 0).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(2)
     return serving.page(c, [first, F.desc("c_acctbal"), F.col("c_custkey")], limit=50, offset=100).select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("""select 'customers' as name, count(*) as rows from customer union all select 'orders', count(*) from orders union all select 'events', count(*) from events union all select 'documents', count(*) from documents union all select 'conversations', count(*) from conversations""")
+@query(
+    """select 'customers' as name, count(*) as rows from customer union all select 'orders', count(*) from orders union all select 'events', count(*) from events union all select 'documents', count(*) from documents union all select 'conversations', count(*) from conversations"""
+)
 def health_rollup(spark, sf):
-    return serving.health(customers=_t(spark, sf, "customer"), orders=_t(spark, sf, "orders"), events=_t(spark, sf, "events"), documents=_t(spark, sf, "documents"), conversations=_t(spark, sf, "conversations"))
+    return serving.health(
+        customers=_t(spark, sf, "customer"), orders=_t(spark, sf, "orders"), events=_t(spark, sf, "events"), documents=_t(spark, sf, "documents"),
+        conversations=_t(spark, sf, "conversations")
+    )
 
 
 _TOK = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_\\-]+'), lambda x: lower(x)))"
@@ -447,7 +529,9 @@ _CONV = "regexp_replace(lower(text), '\\s+', '', 'g')"
 select item_id, msg_id, round(s, 6) as score, cast(k as int) as rank from r where k <= 5""")
 def overlap_search(spark, sf):
     q = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
-    d = _t(spark, sf, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("text").alias("content"))
+    d = _t(spark, sf, "conversations").filter("role = 'assistant'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("text").alias("content")
+    )
     return retrieval.overlap_search(q, d, qid="item_id", iid="msg_id", k=5)
 
 
@@ -457,7 +541,9 @@ r as (select *, row_number() over (partition by item_id order by round(s, 9) des
 select item_id, msg_id, round(s, 6) as score, cast(k as int) as rank from r where k <= 5""")
 def topk_jaccard(spark, sf):
     q = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
-    d = _t(spark, sf, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("text").alias("content"))
+    d = _t(spark, sf, "conversations").filter("role = 'assistant'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("text").alias("content")
+    )
     return retrieval.jaccard_search(q, d, qid="item_id", iid="msg_id", k=5)
 
 
@@ -476,7 +562,10 @@ def chatml_export(spark, sf):
     out = serving.chatml(p, "style", names=(("user", "U: "), ("assistant", "A: ")))
     m = F.from_json("line", "messages array<struct<content:string,role:string>>")["messages"]
     id_ = F.split("pair_id", ":")
-    return out.select(id_[0].cast("long").alias("conv_id"), id_[1].cast("long").alias("turn_no"), F.md5(m[1]["content"]).alias("user_md5"), F.md5(m[2]["content"]).alias("reply_md5"))
+    return out.select(
+        id_[0].cast("long").alias("conv_id"), id_[1].cast("long").alias("turn_no"), F.md5(m[1]["content"]).alias("user_md5"),
+        F.md5(m[2]["content"]).alias("reply_md5")
+    )
 
 
 @query("""with c as (select user_id, event_id, ts from events where event_type = 'signup'), f as (select user_id, ts as f from events where event_type = 'purchase'),
@@ -496,7 +585,9 @@ def tri_state_outcome(spark, sf):
 t as (select *, sum(fresh) over (partition by user_id order by ts, event_id) - 1 as episode_no from m)
 select user_id, cast(episode_no as bigint) as episode_no, count(*) as events from t group by all""")
 def episodes(spark, sf):
-    return tn.episodes(_t(spark, sf, "events"), key="user_id", order=["ts", "event_id"], at="ts").groupBy("user_id", "episode_no").agg(F.count("*").alias("events"))
+    return tn.episodes(
+        _t(spark, sf, "events"), key="user_id", order=["ts", "event_id"], at="ts"
+    ).groupBy("user_id", "episode_no").agg(F.count("*").alias("events"))
 
 
 @query(_TURNS + """, g as (select user_id, turn_no, any_value(event_type) as role, min(ts) as s, max(ts) as e from t group by user_id, turn_no),
@@ -505,7 +596,9 @@ a as (select *, epoch_us(ns) // 1000000 - epoch_us(e) // 1000000 as gap from n)
 select user_id, cast(turn_no as bigint) as turn_no, case when role <> 'view' then case when pr = role then 'proactive_followup' end when nr <> 'view' and gap between 0 and 1800 then 'immediate'
  when nr <> 'view' and gap between 0 and 86400 then 'delayed' when epoch_us(timestamp '2024-01-28 00:00:00') // 1000000 >= epoch_us(e) // 1000000 + 86400 then 'no_reply' else 'unobserved' end as action from a""")
 def action_state(spark, sf):
-    return cards.action_state(_event_turns(spark, sf), key="user_id", asker="view", observed_until=F.lit("2024-01-28 00:00:00").cast("timestamp")).select("user_id", "turn_no", "action")
+    return cards.action_state(
+        _event_turns(spark, sf), key="user_id", asker="view", observed_until=F.lit("2024-01-28 00:00:00").cast("timestamp")
+    ).select("user_id", "turn_no", "action")
 
 
 @query("""with p as (select event_type, user_id, max((value > 30)::int) as h from events group by all), n as (select event_type, count(*) as c, sum(h) as s from p group by all),
@@ -518,18 +611,25 @@ def skill_rates(spark, sf):
 @query("""with l as (select user_id, case when event_type = 'signup' then 'accepted' else event_type end as outcome, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
 select user_id as draft_id, outcome from l where k = 1""")
 def feedback_latest(spark, sf):
-    log = _t(spark, sf, "events").select(F.col("user_id").alias("draft_id"), F.when(F.col("event_type") == "signup", "adopted").otherwise(F.col("event_type")).alias("outcome"), F.struct("ts", "event_id").alias("at"))
+    log = _t(spark, sf, "events").select(
+        F.col("user_id").alias("draft_id"), F.when(F.col("event_type") == "signup", "adopted").otherwise(F.col("event_type")).alias("outcome"),
+        F.struct("ts", "event_id").alias("at")
+    )
     return serving.feedback(log)
 
 
 @query("""select customer.c_custkey as c_custkey, coalesce(l.state, 'pending') as state from customer left join (
   select o_custkey as c_custkey, arg_max(o_orderstatus, o_orderkey) as state from orders group by 1) l on customer.c_custkey = l.c_custkey""")
 def decision_latest(spark, sf):
-    log = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("decided_at"))
+    log = _t(spark, sf, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("decided_at")
+    )
     return serving.decided(_t(spark, sf, "customer").select("c_custkey", F.lit("pending").alias("state")), log, key="c_custkey", column="state")
 
 
-@query("""with c as (select cast(o_orderkey as varchar) as k, printf('%.3f', o_totalprice) as m from orders) select k, cast(round(cast(m as decimal(20, 3)) * 100) as bigint) as minor from c""")
+@query(
+    """with c as (select cast(o_orderkey as varchar) as k, printf('%.3f', o_totalprice) as m from orders) select k, cast(round(cast(m as decimal(20, 3)) * 100) as bigint) as minor from c"""
+)
 def money_minor(spark, sf):
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.format_string("%.3f", "o_totalprice").alias("m"))
     return o.select("k", parse.money_minor("m")["value"].alias("minor"))

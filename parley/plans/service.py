@@ -29,15 +29,21 @@ def newest_messages(spark, sf):
 def public_customers(spark, sf):
     k = F.col("c_custkey")
     c = _t(spark, sf, "customer").select(
-        k.alias("customer_key"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("display_name"), F.when(k % 5 != 0, F.col("c_mktsegment")).alias("opportunity_level"),
+        k.alias("customer_key"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("display_name"),
+        F.when(k % 5 != 0, F.col("c_mktsegment")).alias("opportunity_level"),
         F.when(k % 3 != 0, F.col("c_nationkey")).alias("opportunity_score"), F.col("c_name").alias("conversation_username"),
     )
     return detail.public_customers(c)
 
 
-@query("""select conv_id * 1000 + turn as pair_id, '' as trigger_text, text as reply_text, 'unknown' as intent_stage, 'pending' as review_status, 'unassigned' as split from conversations""")
+@query(
+    """select conv_id * 1000 + turn as pair_id, '' as trigger_text, text as reply_text, 'unknown' as intent_stage, 'pending' as review_status, 'unassigned' as split from conversations"""
+)
 def public_pairs(spark, sf):
-    c = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("reply_text"), F.lit("").alias("split"), F.col("role").alias("raw_sender"))
+    c = _t(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("reply_text"), F.lit("").alias("split"),
+        F.col("role").alias("raw_sender")
+    )
     return detail.public_pairs(c)
 
 
@@ -45,7 +51,10 @@ def public_pairs(spark, sf):
  else substr(trim(regexp_replace(regexp_replace(c_name || ' ' || c_mktsegment, '[0-9]{6,}', '[编号]', 'g'), '\\s+', ' ', 'g')), 1, 80) end as label from customer""")
 def display_names(spark, sf):
     k = F.col("c_custkey")
-    c = _t(spark, sf, "customer").select(k.alias("k"), F.concat(F.lit("customer_"), F.lpad(k.cast("string"), 12, "0")).alias("key"), F.when(k % 3 == 0, " ，").otherwise(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("remark"))
+    c = _t(spark, sf, "customer").select(
+        k.alias("k"), F.concat(F.lit("customer_"), F.lpad(k.cast("string"), 12, "0")).alias("key"),
+        F.when(k % 3 == 0, " ，").otherwise(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("remark")
+    )
     return c.select("k", tx.display_name("key", ["remark"]).alias("label"))
 
 
@@ -53,30 +62,45 @@ def display_names(spark, sf):
  case when length(c_name) >= length(c_mktsegment) then c_mktsegment else c_name end, '[姓名]') as said from customer""")
 def name_scrub(spark, sf):
     said = F.concat(F.lit("an "), "c_name", F.lit(" von "), "c_mktsegment", F.lit("."))
-    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), tx.scrub_tokens(said, tx.known_names(["c_name", "c_mktsegment"]), "[姓名]").alias("said"))
+    return _t(spark, sf, "customer").select(
+        F.col("c_custkey").alias("k"), tx.scrub_tokens(said, tx.known_names(["c_name", "c_mktsegment"]), "[姓名]").alias("said")
+    )
 
 
-@query("""select c_custkey as k, '1' || '******' || right('138' || lpad(cast(c_custkey as varchar), 8, '0'), 4) as hint, case when c_custkey % 4 = 0 then null else '138' || lpad(cast(c_custkey as varchar), 8, '0') end as phone from customer""")
+@query(
+    """select c_custkey as k, '1' || '******' || right('138' || lpad(cast(c_custkey as varchar), 8, '0'), 4) as hint, case when c_custkey % 4 = 0 then null else '138' || lpad(cast(c_custkey as varchar), 8, '0') end as phone from customer"""
+)
 def phone_forms(spark, sf):
     k = F.col("c_custkey")
     digits = F.concat(F.lit("138"), F.lpad(k.cast("string"), 8, "0"))
-    written = F.when(k % 4 == 0, F.substring(digits, 1, 10)).when(k % 4 == 1, F.concat(F.lit("+86 "), digits)).when(k % 4 == 2, F.concat(F.lit("（"), F.substring(digits, 1, 3), F.lit("）"), F.substring(digits, 4, 4), F.lit("-"), F.substring(digits, 8, 4))).otherwise(digits)
+    written = F.when(k % 4 == 0, F.substring(digits, 1, 10)).when(k % 4 == 1, F.concat(F.lit("+86 "), digits)).when(
+        k % 4 == 2, F.concat(F.lit("（"), F.substring(digits, 1, 3), F.lit("）"), F.substring(digits, 4, 4), F.lit("-"), F.substring(digits, 8, 4))
+    ).otherwise(digits)
     return _t(spark, sf, "customer").select(k.alias("k"), tx.masked_phone(digits).alias("hint"), tx.normalize_phone(written).alias("phone"))
 
 
-@query("""select event_id, case when event_id % 4 = 3 then null else epoch_us(ts) // 1000000 - case when event_id % 4 = 0 then 0 else 28800 end end as s from events""")
+@query(
+    """select event_id, case when event_id % 4 = 3 then null else epoch_us(ts) // 1000000 - case when event_id % 4 = 0 then 0 else 28800 end end as s from events"""
+)
 def api_times(spark, sf):
     k, ts = F.col("event_id"), F.col("ts")
-    written = F.when(k % 4 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k % 4 == 2, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" (local)"))).otherwise(F.lit("soon"))
+    written = F.when(k % 4 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(
+        k % 4 == 2, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" (local)"))
+    ).otherwise(F.lit("soon"))
     return _t(spark, sf, "events").select(k, F.unix_seconds(parse.instant_or_seconds(written)).alias("s"))
 
 
-@query("""select event_id, strftime(ts + interval 8 hour, '%Y-%m-%dT%H:%M:%S') || '+08:00' as local, epoch_us(ts) // 1000000 as utc, case when event_id % 2 = 0 then epoch_us(ts) // 1000000 - 28800 end as synced from events""")
+@query(
+    """select event_id, strftime(ts + interval 8 hour, '%Y-%m-%dT%H:%M:%S') || '+08:00' as local, epoch_us(ts) // 1000000 as utc, case when event_id % 2 = 0 then epoch_us(ts) // 1000000 - 28800 end as synced from events"""
+)
 def local_times(spark, sf):
     e = _t(spark, sf, "events")
     naive = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     told = F.when(F.col("event_id") % 2 == 0, F.concat(naive, F.lit("+08:00"))).otherwise(naive)
-    return e.select("event_id", parse.epoch_local(F.unix_seconds("ts")).alias("local"), F.unix_seconds(parse.instant(naive)).alias("utc"), F.unix_seconds(parse.synced_at(told)).alias("synced"))
+    return e.select(
+        "event_id", parse.epoch_local(F.unix_seconds("ts")).alias("local"), F.unix_seconds(parse.instant(naive)).alias("utc"),
+        F.unix_seconds(parse.synced_at(told)).alias("synced")
+    )
 
 
 _STYLES = f"""with p as (
@@ -92,8 +116,10 @@ select item_id, pair_id, round(s, 6) as score, cast(k as int) as rank from r whe
 def style_examples(spark, sf):
     conv, turn = F.col("conv_id"), F.col("turn")
     p = _t(spark, sf, "conversations").filter("role = 'user'").select(
-        (conv * 1000 + turn).alias("pair_id"), (conv % 50).alias("customer_key"), F.col("text").alias("trigger_text"), (turn * 100000 + conv).alias("created_at"),
-        F.when(conv % 3 == 0, "pending").otherwise("approved").alias("review_status"), F.when(turn % 4 == 0, "high").otherwise("low").alias("risk_level"),
+        (conv * 1000 + turn).alias("pair_id"), (conv % 50).alias("customer_key"), F.col("text").alias("trigger_text"),
+        (turn * 100000 + conv).alias("created_at"),
+        F.when(conv % 3 == 0, "pending").otherwise("approved").alias("review_status"),
+        F.when(turn % 4 == 0, "high").otherwise("low").alias("risk_level"),
     )
     q = _t(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 50).alias("customer_key"), F.col("text").alias("request_text"))
     return detail.style_examples(q, p, qid="item_id")
@@ -109,7 +135,10 @@ _SOURCES = """so as (
 def _sources(spark, sf):
     k = F.col("s_suppkey")
     at = F.lit("2024-01-27 00:00:00").cast("timestamp") - F.make_interval(days=(k % 4).cast("int"))
-    return _t(spark, sf, "supplier").select(k.cast("string").alias("id"), F.col("s_name").alias("title"), (k % 5 != 0).alias("enabled"), (k % 7 != 0).alias("configured"), F.when(k % 11 != 0, at).alias("modified"), F.when(k % 3 == 0, 0).otherwise(172800).alias("max_age_seconds"))
+    return _t(spark, sf, "supplier").select(
+        k.cast("string").alias("id"), F.col("s_name").alias("title"), (k % 5 != 0).alias("enabled"), (k % 7 != 0).alias("configured"),
+        F.when(k % 11 != 0, at).alias("modified"), F.when(k % 3 == 0, 0).otherwise(172800).alias("max_age_seconds")
+    )
 
 
 @query(f"with {_SOURCES} select id, status from st")
@@ -131,25 +160,40 @@ select query_id, item_id, round(s, 6) as score, cast(k as int) as rank, 'knowled
 def knowledge_search(spark, sf):
     n = _t(spark, sf, "supplier").count()
     k = F.col("item_id")
-    raw = _t(spark, sf, "benchmark").select("item_id", (1 + k % n).cast("string").alias("source_id"), F.to_json(F.array(F.struct(F.col("text").alias("answer"), F.when(k % 6 == 0, "2024-01-20").alias("effective_until")))).alias("value"))
+    raw = _t(spark, sf, "benchmark").select(
+        "item_id", (1 + k % n).cast("string").alias("source_id"),
+        F.to_json(F.array(F.struct(F.col("text").alias("answer"), F.when(k % 6 == 0, "2024-01-20").alias("effective_until")))).alias("value")
+    )
     items = readers.flatten_items(raw)
-    q = _t(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    q = _t(spark, sf, "conversations").filter("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query")
+    )
     hits, _ = detail.knowledge_search(q, items, _sources(spark, sf), _as_of())
     return hits.select("query_id", "item_id", "score", "rank", detail.reference_id("source_id", "title", "content").alias("ref"))
 
 
-@query("""select quality as label, doc_id from labels join documents using (doc_id) where toxic is null or toxic = 1 order by quality, doc_id limit 200""")
+@query(
+    """select quality as label, doc_id from labels join documents using (doc_id) where toxic is null or toxic = 1 order by quality, doc_id limit 200"""
+)
 def calibration_list(spark, sf):
-    rows = _t(spark, sf, "labels").select(F.col("doc_id").alias("calibration_id"), F.col("doc_id").alias("message_key"), F.lit(1).alias("customer_key"), F.when(F.col("toxic") == 0, "studio").alias("reviewer_role"), "quality")
+    rows = _t(spark, sf, "labels").select(
+        F.col("doc_id").alias("calibration_id"), F.col("doc_id").alias("message_key"), F.lit(1).alias("customer_key"),
+        F.when(F.col("toxic") == 0, "studio").alias("reviewer_role"), "quality"
+    )
     people = spark.createDataFrame([(1, "x")], "customer_key int, display_name string")
     said = _t(spark, sf, "documents").select(F.col("doc_id").alias("message_key"), F.lit("").alias("timestamp"), "text")
     shown = detail.calibration_list(rows, people, said, pending=True)
-    return serving.page(shown, ["quality", "calibration_id"], limit=200).select(F.col("quality").alias("label"), F.col("calibration_id").alias("doc_id"))
+    return serving.page(shown, ["quality", "calibration_id"], limit=200).select(
+        F.col("quality").alias("label"), F.col("calibration_id").alias("doc_id")
+    )
 
 
 @query("""select doc_id, case when toxic = 1 then 'customer' when quality = 1 then 'studio' end as reviewer_role, toxic = 1 as now from labels""")
 def label_updates(spark, sf):
-    rows = _t(spark, sf, "labels").select(F.col("doc_id").alias("calibration_id"), F.when(F.col("quality") == 1, "studio").alias("reviewer_role"), F.lit(None).cast("timestamp").alias("reviewed_at"))
+    rows = _t(spark, sf, "labels").select(
+        F.col("doc_id").alias("calibration_id"), F.when(F.col("quality") == 1, "studio").alias("reviewer_role"),
+        F.lit(None).cast("timestamp").alias("reviewed_at")
+    )
     new = _t(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("calibration_id"), F.lit("customer").alias("reviewer_role"))
     out = detail.apply_labels(rows, new, _as_of())
     return out.select(F.col("calibration_id").alias("doc_id"), "reviewer_role", F.col("reviewed_at").isNotNull().alias("now"))
@@ -158,8 +202,10 @@ def label_updates(spark, sf):
 def _scored(spark, sf):
     k = F.col("c_custkey")
     return _t(spark, sf, "customer").select(
-        k.alias("customer_key"), F.when(k % 4 == 0, None).otherwise(F.concat(F.lit("P"), (k % 3).cast("string"))).alias("aftersales_priority"), (k % 101).alias("opportunity_score"),
-        F.when(k % 101 >= 60, "high").when(k % 101 >= 35, "medium").otherwise("low").alias("opportunity_level"), F.lpad((k % 97).cast("string"), 3, "0").alias("last_active_at"),
+        k.alias("customer_key"), F.when(k % 4 == 0, None).otherwise(F.concat(F.lit("P"), (k % 3).cast("string"))).alias("aftersales_priority"),
+        (k % 101).alias("opportunity_score"),
+        F.when(k % 101 >= 60, "high").when(k % 101 >= 35, "medium").otherwise("low").alias("opportunity_level"),
+        F.lpad((k % 97).cast("string"), 3, "0").alias("last_active_at"),
     )
 
 
@@ -167,20 +213,34 @@ _SCORED = """with s as (select c_custkey as customer_key, case when c_custkey %
  case when c_custkey % 101 >= 60 then 'high' when c_custkey % 101 >= 35 then 'medium' else 'low' end as opportunity_level, lpad(cast(c_custkey % 97 as varchar), 3, '0') as last_active_at from customer)"""
 
 
-@query(_SCORED + " select customer_key, aftersales_priority from s where aftersales_priority is not null order by aftersales_priority, opportunity_score desc, customer_key limit 1000")
+@query(
+    _SCORED + " select customer_key, aftersales_priority from s where aftersales_priority is not null order by aftersales_priority, opportunity_score desc, customer_key limit 1000"
+)
 def aftersales_order(spark, sf):
     return detail.aftersales_order(_scored(spark, sf)).select("customer_key", "aftersales_priority")
 
 
-@query(_SCORED + " select customer_key, opportunity_score from s where opportunity_level = 'medium' and aftersales_priority is not null order by opportunity_score desc, last_active_at desc, customer_key limit 100 offset 20")
+@query(
+    _SCORED + " select customer_key, opportunity_score from s where opportunity_level = 'medium' and aftersales_priority is not null order by opportunity_score desc, last_active_at desc, customer_key limit 100 offset 20"
+)
 def customer_filters(spark, sf):
-    return serving.customer_list(_scored(spark, sf), level="medium", aftersales=True, limit=100, offset=20).select("customer_key", "opportunity_score")
+    return serving.customer_list(
+        _scored(spark, sf), level="medium", aftersales=True, limit=100, offset=20
+    ).select("customer_key", "opportunity_score")
 
 
-@query("select o_orderkey as pair_id, o_orderstatus as review_status from orders order by case o_orderstatus when 'O' then 0 else 1 end, o_orderdate desc, o_orderkey limit 200 offset 0")
+@query(
+    "select o_orderkey as pair_id, o_orderstatus as review_status from orders order by case o_orderstatus when 'O' then 0 else 1 end, o_orderdate desc, o_orderkey limit 200 offset 0"
+)
 def style_list(spark, sf):
-    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("pair_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise(F.col("o_orderstatus")).alias("review_status"), F.col("o_orderdate").alias("created_at"))
-    return serving.style_list(o, limit=200).select("pair_id", F.when(F.col("review_status") == "pending", "O").otherwise(F.col("review_status")).alias("review_status"))
+    o = _t(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("pair_id"),
+        F.when(F.col("o_orderstatus") == "O", "pending").otherwise(F.col("o_orderstatus")).alias("review_status"),
+        F.col("o_orderdate").alias("created_at")
+    )
+    return serving.style_list(o, limit=200).select(
+        "pair_id", F.when(F.col("review_status") == "pending", "O").otherwise(F.col("review_status")).alias("review_status")
+    )
 
 
 @query("""select 'degraded' as status, 3 as snapshot_age_days, false as snapshot_stale, (select count(*) from customer) as customers, (select count(*) from events) as events,
@@ -189,7 +249,10 @@ def health_warnings(spark, sf):
     counts = serving.health(customers=_t(spark, sf, "customer"), events=_t(spark, sf, "events"))
     cal = serving.calibration(_t(spark, sf, "labels").withColumn("human", 1 - F.col("toxic")), predicted="quality", human="human")
     h = detail.health(counts, cal, F.lit("2024-01-24 10:00:00").cast("timestamp"), _as_of(), default_secret=False, weak_secret=True)
-    return h.select("status", "snapshot_age_days", "snapshot_stale", F.col("counts")["customers"].alias("customers"), F.col("counts")["events"].alias("events"), F.array_join("warnings", ",").alias("warnings"))
+    return h.select(
+        "status", "snapshot_age_days", "snapshot_stale", F.col("counts")["customers"].alias("customers"), F.col("counts")["events"].alias("events"),
+        F.array_join("warnings", ",").alias("warnings")
+    )
 
 
 _CONFUSION = """with b as (select cast(1 - toxic as varchar) as h, cast(quality as varchar) as p from labels where toxic is not null and quality is not null), l as (select h as label from b union select p from b),
@@ -225,7 +288,10 @@ def decision_cards(spark, sf):
  array_to_string(list_filter([case when event_type = 'purchase' and value > 50 then 'paid' end, case when event_type = 'error' then 'aftersale' end, case when value > 80 then 'exchange' end], lambda x: x is not null), ',') as flags from events""")
 def attribution(spark, sf):
     e = _t(spark, sf, "events")
-    found = {"paid": (F.col("event_type") == "purchase") & (F.col("value") > 50), "aftersale": F.col("event_type") == "error", "exchange": F.col("value") > 80}
+    found = {
+        "paid": (F.col("event_type") == "purchase") & (F.col("value") > 50), "aftersale": F.col("event_type") == "error",
+        "exchange": F.col("value") > 80
+    }
     state, flags = cards.attribution(found, ["paid", "aftersale", "exchange"])
     return e.select("event_id", state.alias("state"), F.array_join(flags, ",").alias("flags"))
 
@@ -233,29 +299,43 @@ def attribution(spark, sf):
 @query("select item_id from benchmark where item_id % 3 <> 0 or item_id % 2 = 0")
 def unexpired_items(spark, sf):
     k = F.col("item_id")
-    items = _t(spark, sf, "benchmark").withColumn("expires_at", F.when(k % 3 != 0, "").when(k % 2 == 0, "2024-01-28").otherwise("2024-01-27T23:59:59Z"))
+    items = _t(spark, sf, "benchmark").withColumn(
+        "expires_at", F.when(k % 3 != 0, "").when(k % 2 == 0, "2024-01-28").otherwise("2024-01-27T23:59:59Z")
+    )
     return retrieval.fresh(items, _as_of()).select("item_id")
 
 
-@query("""with h as (select distinct item_id from benchmark where item_id % 4 <> 0) select benchmark.item_id, h.item_id is null as grounding_missing from benchmark left join h on benchmark.item_id = h.item_id""")
+@query(
+    """with h as (select distinct item_id from benchmark where item_id % 4 <> 0) select benchmark.item_id, h.item_id is null as grounding_missing from benchmark left join h on benchmark.item_id = h.item_id"""
+)
 def grounding_missing(spark, sf):
     b = _t(spark, sf, "benchmark")
     hits = b.filter("item_id % 4 <> 0").select("item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
     return retrieval.grounding_missing(b, hits, qid="item_id")
 
 
-@query("""select c_custkey as customer_key, list_filter([c_mktsegment, null, c_name], lambda x: x is not null)[1] as first_ref, 2 as n from customer""")
+@query(
+    """select c_custkey as customer_key, list_filter([c_mktsegment, null, c_name], lambda x: x is not null)[1] as first_ref, 2 as n from customer"""
+)
 def grounding_refs(spark, sf):
     ref = lambda c: F.struct(c.alias("id"), F.lit("fact").alias("type"))
-    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("customer_key"), F.array(ref(F.col("c_mktsegment")), ref(F.lit(""))).alias("order_refs"), F.array(ref(F.col("c_name"))).alias("current_facts"))
-    return detail.grounding_refs(c, "order_refs", "current_facts").select("customer_key", F.col("refs")[0]["id"].alias("first_ref"), F.size("refs").alias("n"))
+    c = _t(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer_key"), F.array(ref(F.col("c_mktsegment")), ref(F.lit(""))).alias("order_refs"),
+        F.array(ref(F.col("c_name"))).alias("current_facts")
+    )
+    return detail.grounding_refs(c, "order_refs", "current_facts").select(
+        "customer_key", F.col("refs")[0]["id"].alias("first_ref"), F.size("refs").alias("n")
+    )
 
 
 @query("""with o as (select o_custkey as customer_key, o_orderkey as binding_id, case when o_orderkey % 6 = 0 then 'missing' else 'review' end as state from orders),
 a as (select min(binding_id) as b, arg_min(customer_key, binding_id) as k from o)
 select binding_id, case when binding_id = b then 'approved' when customer_key = k and state <> 'missing' then 'rejected' else state end as state from o, a""")
 def approve_binding(spark, sf):
-    o = _t(spark, sf, "orders").select(F.col("o_custkey").alias("customer_key"), F.col("o_orderkey").alias("binding_id"), F.when(F.col("o_orderkey") % 6 == 0, "missing").otherwise("review").alias("state"))
+    o = _t(spark, sf, "orders").select(
+        F.col("o_custkey").alias("customer_key"), F.col("o_orderkey").alias("binding_id"),
+        F.when(F.col("o_orderkey") % 6 == 0, "missing").otherwise("review").alias("state")
+    )
     first = o.agg(F.min("binding_id")).first()[0]
     return serving.approve_binding(o, first).select("binding_id", "state")
 
@@ -274,8 +354,13 @@ select cast(key as varchar) as account_id, cast(raw as varchar) as id, case when
 def binding_states(spark, sf):
     k = F.col("o_orderkey")
     phone = F.concat(F.lit("1380000000"), F.ascii("o_orderstatus") % 10)
-    rows = _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("account"), phone.alias("phone"), (k % 900).cast("string").alias("raw_id"), F.format_string("%.2f", (k % 100) / 100).alias("confidence"))
-    known = _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("alias"), F.col("o_custkey").cast("string").alias("account_id")).distinct()
+    rows = _t(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("account"), phone.alias("phone"), (k % 900).cast("string").alias("raw_id"),
+        F.format_string("%.2f", (k % 100) / 100).alias("confidence")
+    )
+    known = _t(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("alias"), F.col("o_custkey").cast("string").alias("account_id")
+    ).distinct()
     checked = identity.binding_rows(rows, known)
     links = identity.binding_links(checked, "s")
     names = checked.select("account_id", "id", identity.raw_hash("s").alias("raw_hash")).distinct()
@@ -289,9 +374,14 @@ def conversation_evidence(spark, sf):
     phone = lambda n: F.concat(F.lit("138"), F.lpad(n.cast("string"), 8, "0"))
     said = F.when(k % 3 == 0, "").when(k % 11 == 0, F.concat_ws("，", phone(k % 700), phone((k + 1) % 700))).otherwise(phone(k % 1400))
     number = F.when(k % 2 == 0, F.concat(F.lit(" 单号SF"), F.lpad((k % 1800).cast("string"), 10, "0"))).otherwise("")
-    rows = _t(spark, sf, "customer").select(k.alias("conversation_id"), F.lit("n").alias("conversation_name"), F.lit(1).alias("ordinal"), F.lit("").alias("sender"), F.concat(F.lit("号"), said, number).alias("text"))
+    rows = _t(spark, sf, "customer").select(
+        k.alias("conversation_id"), F.lit("n").alias("conversation_name"), F.lit(1).alias("ordinal"), F.lit("").alias("sender"),
+        F.concat(F.lit("号"), said, number).alias("text")
+    )
     got = identity.conversation_evidence(rows)
-    one = lambda kind, c: got.select("key", F.explode(c).alias("v")).filter(F.lit(kind == "phone") | F.col("v").startswith("SF")).agg(F.count_distinct("v").alias("values_met"), F.count_distinct("key").alias("keys")).select(F.lit(kind).alias("kind"), "values_met", "keys")
+    one = lambda kind, c: got.select("key", F.explode(c).alias("v")).filter(F.lit(kind == "phone") | F.col("v").startswith("SF")).agg(
+        F.count_distinct("v").alias("values_met"), F.count_distinct("key").alias("keys")
+    ).select(F.lit(kind).alias("kind"), "values_met", "keys")
     return one("phone", "direct").unionByName(one("tracking", "trackings"))
 
 
@@ -301,7 +391,9 @@ select case when bad then 'not_object' when blank then 'missing_record_id' when
 def order_quarantine(spark, sf):
     k = F.col("o_orderkey")
     rid = F.when(k % 60 == 7, "").otherwise((F.col("o_custkey") % 50).cast("string"))
-    rows = _t(spark, sf, "orders").select(F.lit("f").alias("source_file"), k.alias("position"), F.when(k % 40 != 0, F.struct(rid.alias("record_id"))).alias("record"))
+    rows = _t(spark, sf, "orders").select(
+        F.lit("f").alias("source_file"), k.alias("position"), F.when(k % 40 != 0, F.struct(rid.alias("record_id"))).alias("record")
+    )
     return readers.accounting(orders.quarantine(rows))
 
 
@@ -317,13 +409,19 @@ def observation_reasons(spark, sf):
     k = F.col("account_profile").cast("long") % 7
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     late = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    polled = F.when(k == 4, "soon").when(k == 5, iso(F.col("last_ts") - F.expr("interval 1 second"))).when(k == 6, "2024-02-20T00:00:00Z").otherwise(iso(F.greatest("last_ts", late)))
-    state = last.filter(k != 1).select("account_profile", (k != 2).alias("initialized"), polled.alias("last_poll_at"), F.when(k == 3, "x").otherwise("").alias("last_error"))
+    polled = F.when(k == 4, "soon").when(
+        k == 5, iso(F.col("last_ts") - F.expr("interval 1 second"))
+    ).when(k == 6, "2024-02-20T00:00:00Z").otherwise(iso(F.greatest("last_ts", late)))
+    state = last.filter(k != 1).select(
+        "account_profile", (k != 2).alias("initialized"), polled.alias("last_poll_at"), F.when(k == 3, "x").otherwise("").alias("last_error")
+    )
     got = readers.observations(last.select("account_profile"), state, last, late)
     return got.select(F.col("account_profile").alias("p"), "reason", F.unix_seconds("observed_until").alias("seen"))
 
 
-@query("select 'src/' || doc_id as path, case when doc_id % 3 = 0 then 'messages.jsonl' when doc_id % 3 = 1 then 'conversations/' || doc_id || '.txt' else 'a/' || doc_id end as file from documents")
+@query(
+    "select 'src/' || doc_id as path, case when doc_id % 3 = 0 then 'messages.jsonl' when doc_id % 3 = 1 then 'conversations/' || doc_id || '.txt' else 'a/' || doc_id end as file from documents"
+)
 def source_files(spark, sf):
     k = F.col("doc_id")
     p = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("/data/in/"), k, F.lit(".txt"))).otherwise(F.concat(F.lit("a/"), k))
@@ -333,7 +431,9 @@ def source_files(spark, sf):
 @query("""with m as (select event_id, user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') as stamp from events), a as (select *, substr(stamp, 1, 7) as month, row_number() over (partition by substr(stamp, 1, 7), event_type, user_id order by stamp, event_id) as a from m),
 b as (select *, row_number() over (partition by month, event_type order by a, user_id) as b from a) select event_id, month from b order by b, month, event_type limit 200""")
 def calibration_sample(spark, sf):
-    m = _t(spark, sf, "events").select(F.col("event_id").alias("message_key"), F.col("user_id").alias("customer_key"), F.col("event_type").alias("role"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    m = _t(spark, sf, "events").select(
+        F.col("event_id").alias("message_key"), F.col("user_id").alias("customer_key"), F.col("event_type").alias("role"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")
+    )
     return detail.calibration_sample(m).select(F.col("message_key").alias("event_id"), "month")
 
 

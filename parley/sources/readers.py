@@ -33,7 +33,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     ``SPLITS`` of them (about 100 bytes each).
     """
     raw = spark.read.text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__m"), F.regexp_replace("value", "\r$", "").alias("line")
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__m"), F.regexp_replace("value", "\r$", "").alias("line")
     )
     splits = raw.groupBy("__file", "__start").agg(F.min("__m").alias("__least"), F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
@@ -41,7 +42,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= SPLITS:
         splits = F.broadcast(splits)
     rows = raw.join(splits, ["__file", "__start"])
-    return rows.select(F.element_at(F.split("__file", "/"), -1).alias("source_file"), (F.col("__m") - F.col("__least") + F.col("__before") + 1).cast("long").alias("ordinal"), "line")
+    return rows.select(
+        F.element_at(F.split("__file", "/"), -1).alias("source_file"),
+        (F.col("__m") - F.col("__least") + F.col("__before") + 1).cast("long").alias("ordinal"), "line"
+    )
 
 
 def friend_index(index: DataFrame) -> DataFrame:
@@ -75,7 +79,10 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     if missing := {"calibration_id", "reviewer_role"} - set(rows.columns):
         raise ValueError(f"columns are missing: {sorted(missing)}")
     role = F.trim(F.coalesce("reviewer_role", F.lit("")))
-    return rows.select("calibration_id", parse.refuse_unless(role.isin("studio", "customer"), role, "reviewer_role must be studio or customer").alias("reviewer_role"))
+    return rows.select(
+        "calibration_id",
+        parse.refuse_unless(role.isin("studio", "customer"), role, "reviewer_role must be studio or customer").alias("reviewer_role")
+    )
 
 
 _ACCOUNT = "struct<canonical_account_id:string,self_sender:string,binding_account_alias:string,state:string>"
@@ -87,7 +94,10 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"version int, accounts map<string, {_ACCOUNT}>").json(path, multiLine=True)
     each = rows.select(F.explode("accounts").alias("account_profile", "a"))
     flat = lambda c: F.coalesce(F.trim(f"a.{c}"), F.lit(""))
-    return each.select("account_profile", flat("canonical_account_id").alias("account_id"), *(flat(c).alias(c) for c in ("self_sender", "binding_account_alias", "state")))
+    return each.select(
+        "account_profile", flat("canonical_account_id").alias("account_id"),
+        *(flat(c).alias(c) for c in ("self_sender", "binding_account_alias", "state"))
+    )
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -99,16 +109,23 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 def eligible(rows: DataFrame, conv: DataFrame | None = None) -> DataFrame:
     """Text messages of friends with a status of 2 (studio) or 3 (customer) and some text."""
     body = tx.strip("text")
-    ok = rows.withColumn("text", body).filter((F.col("conversation_type") == "friend") & (F.col("message_type") == "text") & F.col("raw_payload.status").isin(2, 3) & (F.col("text") != ""))
+    ok = rows.withColumn("text", body).filter(
+        (F.col("conversation_type") == "friend") & (F.col("message_type") == "text") & F.col("raw_payload.status").isin(2, 3) & (F.col("text") != "")
+    )
     if conv is not None:
-        ok = ok.join(F.broadcast(conv.select("conversation_id")) if conv.limit(100_001).count() <= 100_000 else conv.select("conversation_id"), "conversation_id", "left_semi")
+        ok = ok.join(
+            F.broadcast(conv.select("conversation_id")) if conv.limit(100_001).count() <= 100_000 else conv.select("conversation_id"),
+            "conversation_id", "left_semi"
+        )
     return ok.withColumn("role", F.when(F.col("raw_payload.status") == 2, "studio").otherwise("customer"))
 
 
 def read_export(spark: SparkSession, folder: str, secret: str, account: str) -> DataFrame:
     """Messages of an export: fails on a bad line or timestamp; a repeated key's first row counts."""
     lines = numbered_lines(spark, f"{folder}/messages.jsonl").filter("trim(line) <> ''")
-    rows = lines.select("source_file", "ordinal", F.from_json("line", MESSAGE, {"mode": "FAILFAST"}).alias("m")).select("source_file", "ordinal", "m.*")
+    rows = lines.select(
+        "source_file", "ordinal", F.from_json("line", MESSAGE, {"mode": "FAILFAST"}).alias("m")
+    ).select("source_file", "ordinal", "m.*")
     rows = eligible(rows, read_index(spark, f"{folder}/conversation_index.json"))
     at = parse.instant("timestamp")
     rows = rows.withColumn("ts", parse.refuse_unless(at.isNotNull(), at, "a message's timestamp can't be read"))
@@ -159,31 +176,49 @@ def live_events(lines: DataFrame, accounts: DataFrame, secret: str, *, skew_seco
     flat = lambda c: F.coalesce(F.trim(c), F.lit(""))
     rows = lines.withColumn("sig", canonical_json("line")).withColumn("e", F.from_json("line", EVENT))
     obj = F.col("sig").startswith("{")
-    rows = rows.withColumns({c: flat(F.col(f"e.{c}")) for c in ("event_id", "account_profile", "message_timestamp", "message_time", "conversation_id", "conversation_name", "chat_type", "sender", "message_type")}).withColumn("text", tx.strip("e.text"))
+    rows = rows.withColumns(
+        {
+            c: flat(F.col(f"e.{c}")) for c in (
+                "event_id", "account_profile", "message_timestamp", "message_time", "conversation_id", "conversation_name", "chat_type", "sender",
+                "message_type"
+            )
+        }
+    ).withColumn("text", tx.strip("e.text"))
     named = F.when(obj & (F.col("event_id") != ""), F.col("event_id"))
-    w = Window.partitionBy(F.coalesce(named, F.concat(F.lit("\x00"), "source_file", F.lit(":"), F.col("ordinal").cast("string")))).orderBy("source_file", "ordinal")
+    w = Window.partitionBy(
+        F.coalesce(named, F.concat(F.lit("\x00"), "source_file", F.lit(":"), F.col("ordinal").cast("string")))
+    ).orderBy("source_file", "ordinal")
     rows = rows.withColumns({"nth": F.row_number().over(w), "first_sig": F.first("sig").over(w)})
-    rows = rows.join(F.broadcast(accounts.select(F.col("account_profile").alias("p"), "account_id", "self_sender")), F.col("account_profile") == F.col("p"), "left")
+    rows = rows.join(
+        F.broadcast(accounts.select(F.col("account_profile").alias("p"), "account_id", "self_sender")), F.col("account_profile") == F.col("p"), "left"
+    )
     epoch = F.col("message_timestamp").try_cast("bigint")
     shown = parse.instant(F.col("message_time"), parse.ZONE)
     raw_id = tx.raw_identifier("conversation_id")
     reason = ladder(
-        ("blank_line", F.trim("line") == ""), ("invalid_json", F.col("sig").isNull()), ("invalid_record", ~obj), ("missing_event_id", F.col("event_id") == ""),
-        ("duplicate_exact", (F.col("nth") > 1) & F.col("sig").eqNullSafe(F.col("first_sig"))), ("duplicate_conflict", F.col("nth") > 1), ("unknown_profile", F.col("p").isNull()),
+        ("blank_line", F.trim("line") == ""), ("invalid_json", F.col("sig").isNull()), ("invalid_record", ~obj),
+        ("missing_event_id", F.col("event_id") == ""),
+        ("duplicate_exact", (F.col("nth") > 1) & F.col("sig").eqNullSafe(F.col("first_sig"))), ("duplicate_conflict", F.col("nth") > 1),
+        ("unknown_profile", F.col("p").isNull()),
         ("non_private", F.col("chat_type") != "private"), ("non_text", F.col("message_type") != text_type), ("empty_text", F.col("text") == ""),
-        ("unknown_sender", ~F.col("sender").isin("") & (F.col("sender") != F.col("self_sender"))), ("invalid_timestamp", epoch.isNull() | shown.isNull()),
+        ("unknown_sender", ~F.col("sender").isin("") & (F.col("sender") != F.col("self_sender"))),
+        ("invalid_timestamp", epoch.isNull() | shown.isNull()),
         ("timestamp_mismatch", F.abs(F.unix_seconds(shown) - epoch) > skew_seconds), ("invalid_conversation_id", raw_id.isNull()),
     )
     rows = rows.withColumn("reject_reason", reason)
     senders = F.broadcast(accounts.agg(F.collect_set(F.coalesce("self_sender", F.lit(""))).alias("senders")))
     out = rows.crossJoin(senders).withColumns({
-        "role": F.when(F.col("sender") == "", "customer").otherwise("studio"), "raw_id": raw_id, "ts": F.timestamp_seconds(epoch), "timestamp": parse.epoch_local(epoch),
+        "role": F.when(F.col("sender") == "", "customer").otherwise("studio"), "raw_id": raw_id, "ts": F.timestamp_seconds(epoch),
+        "timestamp": parse.epoch_local(epoch),
         "customer_key": hmac_id(secret, "customer", "account_id", raw_id), "raw_hash": hmac_id(secret, "raw-wechat-id", "account_id", raw_id),
         "message_key": hmac_id(secret, "message", "event_id", parse.epoch_local(epoch), content_digest("text")),
         "evidence": F.when(F.col("sender") == "", "empty_sender").otherwise("configured_self_sender"),
     })
     out = out.withColumn("text", F.when(F.col("reject_reason").isNull(), tx.redact(tx.scrub_identifiers("text", "raw_id", F.col("senders")))["text"]))
-    return out.select("source_file", "ordinal", "reject_reason", "account_profile", "account_id", "conversation_name", "sender", "raw_id", "raw_hash", "event_id", "role", "evidence", "timestamp", "ts", "customer_key", "message_key", "text")
+    return out.select(
+        "source_file", "ordinal", "reject_reason", "account_profile", "account_id", "conversation_name", "sender", "raw_id", "raw_hash", "event_id",
+        "role", "evidence", "timestamp", "ts", "customer_key", "message_key", "text"
+    )
 
 
 def accounting(rows: DataFrame, reason="reject_reason") -> DataFrame:
@@ -201,13 +236,19 @@ def observations(accounts: DataFrame, state: DataFrame, last: DataFrame, global_
     at = parse.synced_at("last_poll_at")
     rows = rows.withColumns({"at": at, "g": global_at})
     reason = ladder(
-        ("invalid_global_observation", F.col("g").isNull()), ("missing_profile_observation", F.col("initialized").isNull() & F.col("last_poll_at").isNull()), ("profile_not_initialized", ~F.col("initialized")),
-        ("profile_observation_error", F.coalesce("last_error", F.lit("")) != ""), ("invalid_profile_observation", F.col("at").isNull()), ("profile_observation_before_message", F.col("at") < F.col("last_ts")),
+        ("invalid_global_observation", F.col("g").isNull()),
+        ("missing_profile_observation", F.col("initialized").isNull() & F.col("last_poll_at").isNull()),
+        ("profile_not_initialized", ~F.col("initialized")),
+        ("profile_observation_error", F.coalesce("last_error", F.lit("")) != ""), ("invalid_profile_observation", F.col("at").isNull()),
+        ("profile_observation_before_message", F.col("at") < F.col("last_ts")),
         ("profile_global_observation_skew", F.abs(F.unix_seconds("at") - F.unix_seconds("g")) > 86400),
     )
     rows = rows.withColumn("reason", reason)
     fine = F.col("reason").isNull() | (F.col("reason") == "profile_global_observation_skew")
-    return rows.select("account_profile", F.when(fine, F.col("at")).alias("observed_until"), "reason", F.when(F.col("reason").isNull(), "consistent").otherwise("inconsistent").alias("consistency_state"))
+    return rows.select(
+        "account_profile", F.when(fine, F.col("at")).alias("observed_until"), "reason",
+        F.when(F.col("reason").isNull(), "consistent").otherwise("inconsistent").alias("consistency_state")
+    )
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +265,9 @@ def read_orders(spark: SparkSession, *paths: str) -> DataFrame:
     """(source_file, synced_at, total_records, position, record) of order envelopes."""
     # the parser streams a file; its records are what one row holds
     whole = spark.read.schema("synced_at string, total_records int, records array<string>").json(list(paths), multiLine=True)
-    rows = whole.select(F.col("_metadata.file_path").alias("source_file"), "synced_at", "total_records", F.posexplode_outer("records").alias("position", "raw"))
+    rows = whole.select(
+        F.col("_metadata.file_path").alias("source_file"), "synced_at", "total_records", F.posexplode_outer("records").alias("position", "raw")
+    )
     rec = F.from_json("raw", ORDER)
     return rows.withColumn("record", F.when(F.col("raw").startswith("{"), rec))
 
@@ -238,12 +281,15 @@ def flatten_items(raw: DataFrame, text="value") -> DataFrame:
     lists = [F.get_json_object(text, f"$.{k}") for k in ("records", "chunks", "items", "data")]
     is_list = lambda c: F.when(F.ltrim(c).startswith("["), c)
     arr = F.coalesce(is_list(F.col(text)), *(is_list(c) for c in lists), F.concat(F.lit("["), F.col(text), F.lit("]")))
-    rows = raw.withColumn("raw", F.explode_outer(F.from_json(arr, "array<string>"))).withColumn("i", F.when(F.col("raw").startswith("{"), F.from_json("raw", item)))
+    rows = raw.withColumn("raw", F.explode_outer(F.from_json(arr, "array<string>"))).withColumn(
+        "i", F.when(F.col("raw").startswith("{"), F.from_json("raw", item))
+    )
     some = lambda *names: F.coalesce(*(F.nullif(F.trim(f"i.{c}"), F.lit("")) for c in names))
     fields = F.array_join(F.transform(F.map_entries("i.fields"), lambda e: F.concat(e.key, F.lit(": "), e.value)), " ")
     content = F.coalesce(some("content", "text", "policy", "answer"), F.nullif(fields, F.lit("")), F.when(F.col("i").isNull(), F.trim("raw")))
     return rows.select(
-        *(c for c in raw.columns if c != text), F.coalesce(some("title", "name"), F.lit("")).alias("title"), content.alias("content"), some("source_ref", "url").alias("source_ref"),
+        *(c for c in raw.columns if c != text), F.coalesce(some("title", "name"), F.lit("")).alias("title"), content.alias("content"),
+        some("source_ref", "url").alias("source_ref"),
         some("expires_at", "effective_until").alias("expires_at"),
     ).filter("content is not null and content <> ''")
 

@@ -11,8 +11,12 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config(
+            "spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}"
+        ).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

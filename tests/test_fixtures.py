@@ -28,7 +28,11 @@ def jsonl(rows):
 
 
 def message(conv, minute, status, text, **more):
-    return {"conversation_id": conv, "conversation_type": "friend", "message_id": minute, "timestamp": f"2026-07-0{1 if conv == 'a' else 2}T{10 if conv == 'a' else 9:02d}:{minute:02d}:00", "message_type": "text", "render_type": "x", "text": text, "raw_payload": {"status": status}} | more
+    return {
+        "conversation_id": conv, "conversation_type": "friend", "message_id": minute,
+        "timestamp": f"2026-07-0{1 if conv == 'a' else 2}T{10 if conv == 'a' else 9:02d}:{minute:02d}:00", "message_type": "text",
+        "render_type": "x", "text": text, "raw_payload": {"status": status}
+    } | more
 
 
 EXPORT = [
@@ -37,7 +41,8 @@ EXPORT = [
     message("g", 1, 3, "群里", conversation_type="group"), message("b", 0, 3, "在吗"), message("b", 5, 2, "在的"), message("b", 10, 3, "好"),
 ]
 INDEX = [
-    {"conversation_id": "a", "conversation_type": "friend", "remark": "旧名"}, {"conversation_id": "b", "conversation_type": "friend"}, {"conversation_id": "g", "conversation_type": "group"},
+    {"conversation_id": "a", "conversation_type": "friend", "remark": "旧名"}, {"conversation_id": "b", "conversation_type": "friend"},
+    {"conversation_id": "g", "conversation_type": "group"},
     {"conversation_id": "", "conversation_type": "friend"}, {"conversation_id": "a", "conversation_type": "friend", "remark": "新名"},
 ]
 
@@ -64,7 +69,13 @@ def test_export_fails_on_a_bad_line(spark, tmp_path, bad):
         readers.read_export(spark, f"file://{tmp_path}", SECRET, "acc").collect()
 
 
-@pytest.mark.parametrize("summary,want", [(None, "data"), ({"first_timestamp": "2026-01-01T00:00:00Z", "last_timestamp": "2026-02-01T00:00:00Z"}, "told"), ({"first_timestamp": "2026-01-01T00:00:00Z"}, "data"), ("{", "data")])
+@pytest.mark.parametrize(
+    "summary,want",
+    [
+        (None, "data"), ({"first_timestamp": "2026-01-01T00:00:00Z", "last_timestamp": "2026-02-01T00:00:00Z"}, "told"),
+        ({"first_timestamp": "2026-01-01T00:00:00Z"}, "data"), ("{", "data")
+    ]
+)
 def test_window_of_an_export(spark, tmp_path, summary, want):
     if summary is not None:
         put(tmp_path, "summary.json", summary)
@@ -87,16 +98,34 @@ def event(i, profile="profile-a", at=1783908000, conv="raw-a", sender="", text="
     from datetime import datetime, timedelta, timezone
 
     local = datetime.fromtimestamp(at, timezone(timedelta(hours=8))).strftime("%Y-%m-%d %H:%M:%S")
-    base = {"schema_version": "1", "event_id": f"event-{i}", "account_profile": profile, "message_timestamp": at, "message_time": shown or local, "conversation_id": conv, "conversation_name": "虚构", "chat_type": "private", "sender": sender, "message_type": "文本", "text": text}
+    base = {
+        "schema_version": "1", "event_id": f"event-{i}", "account_profile": profile, "message_timestamp": at, "message_time": shown or local,
+        "conversation_id": conv, "conversation_name": "虚构", "chat_type": "private", "sender": sender, "message_type": "文本", "text": text
+    }
     return base | more
 
 
 LIVE = [
-    event(1, text="想了解，详细地址：某学校"), event(2, at=1783908300, sender="studio-a", text="联系人：某某，studio-a 和 raw-a。"), event(3, "profile-b", 1783911600, "raw-b"), event(4, "profile-b", 1783911900, "raw-b", "studio-b"),
-    event(1, text="想了解，详细地址：某学校"), event(1, text="另一个"), event(5, sender="nobody"), event(6, "profile-x"), event(7, shown="2026-07-13 23:00:00"), event(8, message_type="图片"), event(9, chat_type="group"), event(10, chat_type="group"),
+    event(1, text="想了解，详细地址：某学校"), event(2, at=1783908300, sender="studio-a", text="联系人：某某，studio-a 和 raw-a。"),
+    event(3, "profile-b", 1783911600, "raw-b"), event(4, "profile-b", 1783911900, "raw-b", "studio-b"),
+    event(1, text="想了解，详细地址：某学校"), event(1, text="另一个"), event(5, sender="nobody"), event(6, "profile-x"), event(7, shown="2026-07-13 23:00:00"),
+    event(8, message_type="图片"), event(9, chat_type="group"), event(10, chat_type="group"),
 ]
-ACCOUNTS = {"version": 1, "accounts": {p: {"canonical_account_id": f"acc-{p[-1]}", "self_sender": f"studio-{p[-1]}", "binding_account_alias": f"fixture-{p[-1]}", "state": "approved"} for p in ("profile-a", "profile-b", "profile-d")}}
-STATE = {"status": "stopped", "last_success_at": "2026-07-13T12:00:00+08:00", "accounts": {"profile-a": {"initialized": True, "last_poll_at": "2026-07-13T12:00:00+08:00", "last_error": ""}, "profile-b": {"initialized": True, "last_poll_at": "2026-07-13T12:00:01+08:00", "last_error": ""}}}
+ACCOUNTS = {
+    "version": 1,
+    "accounts": {
+        p: {
+            "canonical_account_id": f"acc-{p[-1]}", "self_sender": f"studio-{p[-1]}", "binding_account_alias": f"fixture-{p[-1]}", "state": "approved"
+        } for p in ("profile-a", "profile-b", "profile-d")
+    }
+}
+STATE = {
+    "status": "stopped", "last_success_at": "2026-07-13T12:00:00+08:00",
+    "accounts": {
+        "profile-a": {"initialized": True, "last_poll_at": "2026-07-13T12:00:00+08:00", "last_error": ""},
+        "profile-b": {"initialized": True, "last_poll_at": "2026-07-13T12:00:01+08:00", "last_error": ""}
+    }
+}
 
 
 @pytest.fixture
@@ -108,7 +137,10 @@ def live(spark, tmp_path):
 
 def test_live_counts(spark, live):
     rows, accounts, folder = live
-    assert {r["reason"]: r["rows"] for r in readers.accounting(rows).collect()} == {"accepted": 4, "duplicate_exact": 1, "duplicate_conflict": 1, "unknown_sender": 1, "unknown_profile": 1, "timestamp_mismatch": 1, "non_text": 1, "non_private": 2}
+    assert {r["reason"]: r["rows"] for r in readers.accounting(rows).collect()} == {
+        "accepted": 4, "duplicate_exact": 1, "duplicate_conflict": 1, "unknown_sender": 1, "unknown_profile": 1, "timestamp_mismatch": 1,
+        "non_text": 1, "non_private": 2
+    }
     ok = rows.filter("reject_reason is null").orderBy("ordinal").collect()
     assert len({r["customer_key"] for r in ok}) == 2 and [r["evidence"] for r in ok] == ["empty_sender", "configured_self_sender"] * 2
     assert ok[0]["timestamp"] == "2026-07-13T10:00:00+08:00"
@@ -117,7 +149,11 @@ def test_live_counts(spark, live):
     assert ok[0]["message_key"] == spark.range(1).select(want.alias("k")).first()["k"]
     last = rows.filter("reject_reason is null").groupBy("account_profile").agg(F.max("ts").alias("last_ts"))
     state = readers.read_state(spark, put(folder, "state.json", STATE))
-    seen = {r["account_profile"]: (r["observed_until"] is not None, r["reason"]) for r in readers.observations(accounts, state, last, F.lit("2026-07-13 04:00:00").cast("timestamp")).collect()}
+    seen = {
+        r["account_profile"]: (r["observed_until"] is not None, r["reason"]) for r in readers.observations(
+            accounts, state, last, F.lit("2026-07-13 04:00:00").cast("timestamp")
+        ).collect()
+    }
     assert seen == {"profile-a": (True, None), "profile-b": (True, None), "profile-d": (False, "missing_profile_observation")}
     again = readers.read_source(spark, f"file://{folder}/events.jsonl", accounts=accounts, secret=SECRET)
     assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
@@ -149,14 +185,22 @@ def test_binding_list(spark, tmp_path, live):
     table = readers.read_bindings(spark, put(tmp_path, "b.csv", "﻿" + CSV))
     assert {r["confidence"]: r["rows"] for r in identity.confidence_histogram(table).collect()} == {"0.82": 1, "0.95": 7}
     checked = identity.binding_rows(table, identity.registry(accounts))
-    assert {r["reason"]: r["rows"] for r in readers.accounting(checked).collect()} == {"accepted": 5, "unknown_accounts": 1, "missing_raw_id": 1, "invalid_phones": 1}
+    assert {r["reason"]: r["rows"] for r in readers.accounting(checked).collect()} == {
+        "accepted": 5, "unknown_accounts": 1, "missing_raw_id": 1, "invalid_phones": 1
+    }
     found = identity.binding_links(checked, SECRET)
     got = found.collect()
     assert sorted(r["state"] for r in got) == ["approved", "approved", "conflict", "review"]
-    assert len({r["phone_hmac"] for r in got if r["state"] == "approved"}) == 1 and [r["phone_hmac"] for r in got if r["state"] == "conflict"] == [None]
-
-    refs = rows.filter("reject_reason is null").select("customer_key", F.col("account_profile").alias("profile_id"), "account_id", "raw_hash").distinct()
-    none = spark.createDataFrame([], "link_id string, raw_hash string, phone_hmac string, state string, source_hash string, version string, reviewed_at string")
+    assert len(
+        {r["phone_hmac"] for r in got if r["state"] == "approved"}
+    ) == 1 and [r["phone_hmac"] for r in got if r["state"] == "conflict"] == [None]
+
+    refs = rows.filter("reject_reason is null").select(
+        "customer_key", F.col("account_profile").alias("profile_id"), "account_id", "raw_hash"
+    ).distinct()
+    none = spark.createDataFrame(
+        [], "link_id string, raw_hash string, phone_hmac string, state string, source_hash string, version string, reviewed_at string"
+    )
     links, counts = identity.import_bindings(found, refs, none, SECRET, "hash-1")
     assert tuple(counts.first()) == (2, 2) and {r["state"] for r in links.collect()} == {"approved"}
     reviewed = links.withColumns({"state": F.lit("rejected"), "reviewed_at": F.lit("2026-07-14")})
@@ -165,14 +209,20 @@ def test_binding_list(spark, tmp_path, live):
 
 
 def test_least_confidence_decides(spark):
-    rows = [("fixture-a", "13800138000", "raw-a", "0.95"), ("fixture-a", "+86 138 0013 8000", "raw-a", "0.82"), ("fixture-a", "13800138000", "raw-b", "0.9500")]
+    rows = [
+        ("fixture-a", "13800138000", "raw-a", "0.95"), ("fixture-a", "+86 138 0013 8000", "raw-a", "0.82"),
+        ("fixture-a", "13800138000", "raw-b", "0.9500")
+    ]
     df = spark.createDataFrame(rows, "account string, phone string, raw_id string, confidence string")
     got = identity.binding_links(identity.binding_rows(df, spark.createDataFrame([("fixture-a", "A")], "alias string, account_id string")), SECRET)
     assert sorted((str(r["confidence"]), r["state"]) for r in got.collect()) == [("0.8200", "review"), ("0.9500", "approved")]
 
 
 def test_registry_refuses_a_repeated_alias(spark):
-    df = spark.createDataFrame([("x", "A", "approved"), ("x", "B", "approved"), ("", "C", "approved"), ("x", "D", "draft")], "binding_account_alias string, account_id string, state string")
+    df = spark.createDataFrame(
+        [("x", "A", "approved"), ("x", "B", "approved"), ("", "C", "approved"), ("x", "D", "draft")],
+        "binding_account_alias string, account_id string, state string"
+    )
     with pytest.raises(Exception, match="unique"):
         identity.registry(df).collect()
     assert identity.registry(df.filter("account_id <> 'B'")).collect() == [("x", "A")]
@@ -195,32 +245,59 @@ def test_missing_columns_are_an_error(spark, tmp_path):
 def test_evidence_links(spark, tmp_path):
     say = lambda i, conv, name, text, **kw: event(i, "aolai", 1783908000 + i, conv, text=text, conversation_name=name, **kw)
     rows = [
-        say(1, "raw-phone", "甲 下单客户", "我的号码是 13800138000"), say(2, "raw-tracking", "乙 相册客户", "发货单号 SF1234567890"), say(3, "raw-none", "普通", "我的号码是 13800138000"),
-        say(4, "raw-conflict", "丙 下单客户", "13900139000，也可能 13700137000"), say(5, "raw-name", "丁 下单客户", "请查订单"), say(6, "raw-phone", "甲 下单客户", "收到", sender="studio-aolai"),
+        say(1, "raw-phone", "甲 下单客户", "我的号码是 13800138000"), say(2, "raw-tracking", "乙 相册客户", "发货单号 SF1234567890"),
+        say(3, "raw-none", "普通", "我的号码是 13800138000"),
+        say(4, "raw-conflict", "丙 下单客户", "13900139000，也可能 13700137000"), say(5, "raw-name", "丁 下单客户", "请查订单"),
+        say(6, "raw-phone", "甲 下单客户", "收到", sender="studio-aolai"),
         say(7, "raw-none", "普通", "", sender="stranger"), say(6, "raw-phone", "重复", "13711111111"),
     ]
-    one, two = ({"synced_at": "2026-07-13T12:00:00+08:00", "total_records": len(r), "records": [{"record_id": str(i), "phone": p, "tracking_no": t} for i, (p, t) in enumerate(r)]} for r in (
-        [("13800138000", "YT9876543210"), ("13900139000", "JD1234567890"), ("13700137000", "ZT1234567890")], [("13600136000", "SF1234567890"), ("13800138000", "YT9876543210")]))
+    one, two = ({
+        "synced_at": "2026-07-13T12:00:00+08:00", "total_records": len(r),
+        "records": [{"record_id": str(i), "phone": p, "tracking_no": t} for i, (p, t) in enumerate(r)]
+    } for r in (
+        [("13800138000", "YT9876543210"), ("13900139000", "JD1234567890"), ("13700137000", "ZT1234567890")],
+        [("13600136000", "SF1234567890"), ("13800138000", "YT9876543210")]))
     env = readers.read_orders(spark, put(tmp_path, "one.json", one), put(tmp_path, "two.json", two))
     lines = env.select("record.phone", "record.tracking_no")
     assert lines.count() == 5
-    events = readers.numbered_lines(spark, put(tmp_path, "e.jsonl", jsonl(rows))).select("ordinal", F.from_json("line", readers.EVENT).alias("e")).select("ordinal", "e.*")
+    events = readers.numbered_lines(spark, put(tmp_path, "e.jsonl", jsonl(rows))).select(
+        "ordinal", F.from_json("line", readers.EVENT).alias("e")
+    ).select("ordinal", "e.*")
     acc = spark.createDataFrame([("aolai", "A", "studio-aolai")], "account_profile string, account_id string, self_sender string")
     seen = identity.identity_events(events, acc)
     assert sorted(r["ordinal"] for r in seen.collect()) == [1, 2, 3, 4, 5, 6]
-    refs = seen.select(F.concat(F.lit("c-"), "raw_id").alias("customer_key"), F.col("account_profile").alias("profile_id"), identity.raw_hash(SECRET, raw_id="raw_id").alias("raw_hash")).distinct()
+    refs = seen.select(
+        F.concat(F.lit("c-"), "raw_id").alias("customer_key"), F.col("account_profile").alias("profile_id"),
+        identity.raw_hash(SECRET, raw_id="raw_id").alias("raw_hash")
+    ).distinct()
     eligibility, links = identity.evidence_links(seen, refs, lines, SECRET, target="aolai")
     n = {r["eligibility"]: r["count"] for r in eligibility.groupBy("eligibility").count().collect()}
     assert n == {"album_customer": 1, "order_customer": 3, "order_ineligible": 1}
     got = sorted((r["customer_key"], r["state"], r["match_method"], str(r["confidence"])) for r in links.collect())
-    assert got == [("c-raw-conflict", "conflict", "customer_phone_order_conflict", "0.0000"), ("c-raw-phone", "approved", "customer_phone_order_exact", "1.0000"), ("c-raw-tracking", "approved", "customer_tracking_order_exact", "0.9800")]
+    assert got == [
+        ("c-raw-conflict", "conflict", "customer_phone_order_conflict", "0.0000"),
+        ("c-raw-phone", "approved", "customer_phone_order_exact", "1.0000"),
+        ("c-raw-tracking", "approved", "customer_tracking_order_exact", "0.9800")
+    ]
 
 
 def test_a_phone_without_orders_still_conflicts_with_trackings(spark):
-    o = spark.createDataFrame([("13800000001", "SF00000001"), ("13800000002", "SF00000002"), ("13800000003", "SF00000002")], "phone string, tracking_no string")
-    conv = [(1, ["13911111111"], ["SF00000001"]), (2, ["13911111111", "13922222222"], []), (3, ["13911111111"], ["SF00000002"]), (4, ["13800000001"], ["SF00000001"]), (5, [], ["SF00000002"]), (6, ["13911111111"], ["ZZ99999999"])]
-    got = {r["key"]: r["rule"] for r in identity.evidence_ladder(spark.createDataFrame(conv, "key int, direct array<string>, trackings array<string>"), o).collect()}
-    assert got == {1: "customer_evidence_conflict", 2: "customer_phone_order_conflict", 3: "customer_evidence_conflict", 4: "customer_phone_order_exact", 5: "customer_tracking_order_conflict", 6: None}
+    o = spark.createDataFrame(
+        [("13800000001", "SF00000001"), ("13800000002", "SF00000002"), ("13800000003", "SF00000002")], "phone string, tracking_no string"
+    )
+    conv = [
+        (1, ["13911111111"], ["SF00000001"]), (2, ["13911111111", "13922222222"], []), (3, ["13911111111"], ["SF00000002"]),
+        (4, ["13800000001"], ["SF00000001"]), (5, [], ["SF00000002"]), (6, ["13911111111"], ["ZZ99999999"])
+    ]
+    got = {
+        r["key"]: r["rule"] for r in identity.evidence_ladder(
+            spark.createDataFrame(conv, "key int, direct array<string>, trackings array<string>"), o
+        ).collect()
+    }
+    assert got == {
+        1: "customer_evidence_conflict", 2: "customer_phone_order_conflict", 3: "customer_evidence_conflict", 4: "customer_phone_order_exact",
+        5: "customer_tracking_order_conflict", 6: None
+    }
 
 
 # ----- orders -----------------------------------------------------------------
@@ -228,11 +305,18 @@ def test_a_phone_without_orders_still_conflicts_with_trackings(spark):
 
 def test_order_envelope(spark, tmp_path):
     records = [{"record_id": f"r{i}", "pay_date": "2026-07-01", "revenue": 199 + i} for i in range(9)]
-    records += [{"record_id": "normal", "pay_date": "2026/07/02", "revenue": "199.00", "phone": "13800138000"}, {"record_id": "supplier", "pay_amount": 5, "is_paid": True}]
+    records += [
+        {"record_id": "normal", "pay_date": "2026/07/02", "revenue": "199.00", "phone": "13800138000"},
+        {"record_id": "supplier", "pay_amount": 5, "is_paid": True}
+    ]
     bad = [7, {"record_id": ""}, {"record_id": "normal", "revenue": 1}]
-    rows = readers.read_orders(spark, put(tmp_path, "o.json", {"synced_at": "2026-07-13T12:00:00+08:00", "total_records": 14, "records": records + bad}))
+    rows = readers.read_orders(
+        spark, put(tmp_path, "o.json", {"synced_at": "2026-07-13T12:00:00+08:00", "total_records": 14, "records": records + bad})
+    )
     checked = orders.quarantine(rows).cache()
-    assert {r["reason"]: r["rows"] for r in readers.accounting(checked).collect()} == {"accepted": 11, "not_object": 1, "missing_record_id": 1, "repeated_record_id": 1}
+    assert {r["reason"]: r["rows"] for r in readers.accounting(checked).collect()} == {
+        "accepted": 11, "not_object": 1, "missing_record_id": 1, "repeated_record_id": 1
+    }
     orders.balanced(11, 3, checked.count())
     with pytest.raises(ValueError):
         orders.balanced(11, 2, checked.count())
@@ -245,7 +329,11 @@ def test_order_envelope(spark, tmp_path):
 def test_snapshot_is_activated_once(spark, tmp_path):
     root = f"file://{tmp_path}"
     df = spark.range(3)
-    ids = [spark.range(1).select(orders.snapshot_id(SECRET, "orders", h, "2026-07-13T12:00:00+08:00", "v1").alias("i")).first()["i"] for h in ("h1", "h1", "h2")]
+    ids = [
+        spark.range(1).select(
+            orders.snapshot_id(SECRET, "orders", h, "2026-07-13T12:00:00+08:00", "v1").alias("i")
+        ).first()["i"] for h in ("h1", "h1", "h2")
+    ]
     assert ids[0] == ids[1] != ids[2]
     assert sinks.activate(df, ids[0], root, "orders") and not sinks.activate(df, ids[1], root, "orders")
     assert sinks.activate(spark.range(5), ids[2], root, "orders") and sinks.current(spark, root, "orders").count() == 5
@@ -277,10 +365,21 @@ def test_stable_copy(spark, tmp_path):
 
 
 def test_knowledge(spark):
-    items = [{"title": "退款规则", "content": "退款在三天内处理", "expires_at": "2099-01-01"}, {"title": "旧", "content": "退款规则旧版", "expires_at": "2020-01-01"}, "退货地址见说明", {"name": "表", "fields": {"周期": "七天"}}]
-    raw = spark.createDataFrame([("s", json.dumps(items, ensure_ascii=False)), ("n", json.dumps({"chunks": items[:1]}, ensure_ascii=False)), ("o", json.dumps({"content": "一条"}, ensure_ascii=False))], "source_id string, value string")
+    items = [
+        {"title": "退款规则", "content": "退款在三天内处理", "expires_at": "2099-01-01"}, {"title": "旧", "content": "退款规则旧版", "expires_at": "2020-01-01"},
+        "退货地址见说明", {"name": "表", "fields": {"周期": "七天"}}
+    ]
+    raw = spark.createDataFrame(
+        [
+            ("s", json.dumps(items, ensure_ascii=False)), ("n", json.dumps({"chunks": items[:1]}, ensure_ascii=False)),
+            ("o", json.dumps({"content": "一条"}, ensure_ascii=False))
+        ],
+        "source_id string, value string"
+    )
     flat = readers.flatten_items(raw)
-    assert sorted((r["source_id"], r["title"], r["content"]) for r in flat.collect()) == sorted([("s", "退款规则", "退款在三天内处理"), ("s", "旧", "退款规则旧版"), ("s", "", "退货地址见说明"), ("s", "表", "周期: 七天"), ("n", "退款规则", "退款在三天内处理"), ("o", "", "一条")])
+    assert sorted((r["source_id"], r["title"], r["content"]) for r in flat.collect()) == sorted(
+        [("s", "退款规则", "退款在三天内处理"), ("s", "旧", "退款规则旧版"), ("s", "", "退货地址见说明"), ("s", "表", "周期: 七天"), ("n", "退款规则", "退款在三天内处理"), ("o", "", "一条")]
+    )
     now = F.lit("2026-07-13 00:00:00").cast("timestamp")
     ready = spark.createDataFrame([("s", "规则", True, True, 60)], "id string, title string, enabled boolean, configured boolean, max_age_seconds int")
     item = flat.filter("source_id = 's'").withColumn("item_id", F.concat_ws("/", "title", "content"))
@@ -295,7 +394,10 @@ def test_knowledge(spark):
 
 
 def test_names(spark):
-    rows = [("k" * 30 + "12345678", "13800138000", "店主 a@b.com", ""), ("k" * 30 + "12345678", "13800138000", "", None), ("k", "  小王\n\n 123456 ", "x", "x")]
+    rows = [
+        ("k" * 30 + "12345678", "13800138000", "店主 a@b.com", ""), ("k" * 30 + "12345678", "13800138000", "", None),
+        ("k", "  小王\n\n 123456 ", "x", "x")
+    ]
     df = spark.createDataFrame(rows, "key string, remark string, display_name string, nick_name string")
     got = [(r[0], r[1]) for r in df.select(tx.display_name("key"), tx.known_names()).collect()]
     assert got == [("店主 [邮箱]", ["店主 a@b.com"]), ("客户-12345678", []), ("小王 [编号]", ["小王 123456"])]
@@ -307,14 +409,19 @@ def test_names(spark):
 
 def test_phone_scopes_differ(spark):
     p = F.lit("13800138000")
-    a, b, c, d = spark.range(1).select(keys.phone_hmac(SECRET, p), keys.phone_hmac(SECRET, p, F.lit("x")), keys.phone_hmac(SECRET, p, F.lit("y")), keys.phone_hmac(SECRET, F.lit(None).cast("string"))).first()
+    a, b, c, d = spark.range(1).select(
+        keys.phone_hmac(SECRET, p), keys.phone_hmac(SECRET, p, F.lit("x")), keys.phone_hmac(SECRET, p, F.lit("y")),
+        keys.phone_hmac(SECRET, F.lit(None).cast("string"))
+    ).first()
     assert len({a, b, c}) == 3 and d is None
     assert keys.key_fingerprint("a") != keys.key_fingerprint("b") and keys.key_fingerprint("a") == keys.key_fingerprint("a")
 
 
 def test_times_in_zones(spark):
     one = lambda c: str(spark.range(1).select(c.cast("string")).first()[0])
-    assert one(parse.instant_or_seconds(F.lit("2026-07-01T10:00:00Z"))) == "2026-07-01 10:00:00" and one(parse.instant_or_seconds(F.lit("2026-07-01 10:00:00"))) == "2026-07-01 02:00:00"
+    assert one(
+        parse.instant_or_seconds(F.lit("2026-07-01T10:00:00Z"))
+    ) == "2026-07-01 10:00:00" and one(parse.instant_or_seconds(F.lit("2026-07-01 10:00:00"))) == "2026-07-01 02:00:00"
     assert one(parse.instant_or_seconds(F.lit("soon"))) == "None" and one(parse.instant(F.lit("2026-07-01T10:00:00"))) == "2026-07-01 10:00:00"
 
 
@@ -341,7 +448,11 @@ def test_redaction_equals_the_rules(spark):
     parts = ["电话", "13800138000", "北京市朝阳区", "建国路88号", "联系人：", "李四", "王先生", "a@b.com", "https://x.cn/1", "微信号abc_def12", "WX: hello_world1", "100元", "2026-07-01", "7.1", "SF1234567890", "有货", "已发货", "退款", "保证明天到", "详细地址：某处，",
              "，", "。", "\n\n\n\n", " \t ", "hello", "world " * 12, "省", "12", "小区", "室", "姓名", "11010119900101123X", "0571-88888888", "٣٤", "\0"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["", None, "plain text", "x " * 4000, "号" * 200]
-    got = [tuple(r) for r in tx.with_redaction(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "r").orderBy("i").select("r.text", "r.flags").collect()]
+    got = [
+        tuple(r) for r in tx.with_redaction(
+            spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "r"
+        ).orderBy("i").select("r.text", "r.flags").collect()
+    ]
     want = [plain_redaction(t) for t in texts]
     assert [(t, list(f)) for t, f in got] == want
     assert [tx.redacted(t) for t in texts] == want
@@ -353,8 +464,15 @@ def test_selection_equals_plain_code(spark):
     import random
 
     rng = random.Random(5)
-    rows = [(f"c{rng.randint(0, 25)}", f"trigger {i % 60}", f"reply {'abcdefgh'[rng.randint(0, 7)] * 3}{rng.randint(0, 99)}", rng.randint(8, 12), f"2026-07-{i:03d}") for i in range(300)]
-    df = spark.createDataFrame(rows, "customer_key string, trigger_text string, reply_text string, quality_score int, timestamp string").repartition(7)
+    rows = [
+        (
+            f"c{rng.randint(0, 25)}", f"trigger {i % 60}", f"reply {'abcdefgh'[rng.randint(0, 7)] * 3}{rng.randint(0, 99)}", rng.randint(8, 12),
+            f"2026-07-{i:03d}"
+        ) for i in range(300)
+    ]
+    df = spark.createDataFrame(
+        rows, "customer_key string, trigger_text string, reply_text string, quality_score int, timestamp string"
+    ).repartition(7)
     split = lambda c: keys.split_of(int(hmac.new(SECRET.encode(), c.encode(), hashlib.sha256).hexdigest()[:8], 16) % 100)
     level = lambda t: hashlib.sha256(re.sub(r"[^0-9a-z\[\]#]+", "", re.sub(r"\d+", "#", t.lower())).encode()).hexdigest()[:24]
 
@@ -397,12 +515,21 @@ def test_selection_equals_plain_code(spark):
 
 
 def test_read_side(spark, tmp_path):
-    msgs = spark.createDataFrame([("c", f"2026-07-{i:02d}", i, f"电话13800138000 {i}") for i in range(1, 32)] * 2, "customer_key string, timestamp string, source_ordinal int, text string").dropDuplicates()
+    msgs = spark.createDataFrame(
+        [("c", f"2026-07-{i:02d}", i, f"电话13800138000 {i}") for i in range(1, 32)] * 2,
+        "customer_key string, timestamp string, source_ordinal int, text string"
+    ).dropDuplicates()
     got = detail.customer_messages(msgs, n=20).orderBy("place").collect()
     assert [r["source_ordinal"] for r in got] == list(range(12, 32)) and all("13800138000" not in r["text"] for r in got)
-    b = spark.createDataFrame([("b1", "c", "1******8000", "review", None), ("b2", "c", None, "missing", None)], "binding_id string, customer_key string, masked_hint string, state string, reviewed_at string")
+    b = spark.createDataFrame(
+        [("b1", "c", "1******8000", "review", None), ("b2", "c", None, "missing", None)],
+        "binding_id string, customer_key string, masked_hint string, state string, reviewed_at string"
+    )
     assert [r["binding_id"] for r in detail.binding_candidates(b).collect()] == ["b1"]
-    runs = spark.createDataFrame([("r1", "2026-07-01", dict.fromkeys(detail.GATES, True), "k", "h"), ("r2", "2026-07-02", {"m0_a": True}, "k2", "h")], "run_id string, started_at string, gates map<string,boolean>, key_fingerprint string, config_hash string")
+    runs = spark.createDataFrame(
+        [("r1", "2026-07-01", dict.fromkeys(detail.GATES, True), "k", "h"), ("r2", "2026-07-02", {"m0_a": True}, "k2", "h")],
+        "run_id string, started_at string, gates map<string,boolean>, key_fingerprint string, config_hash string"
+    )
     assert detail.missing_gates(runs) == list(detail.GATES[1:]) and detail.missing_gates(runs.limit(0)) == list(detail.GATES)
     with pytest.raises(RuntimeError):
         detail.accept(runs)
@@ -411,25 +538,43 @@ def test_read_side(spark, tmp_path):
     for told in ({"key_fingerprint": "k", "config_hash": "h"}, {"key_fingerprint": "k2", "config_hash": "x"}):
         with pytest.raises(RuntimeError):
             detail.same_run(runs, **told)
-    pairs = spark.createDataFrame([("p1", "approved", "low", "你好"), ("p2", "approved", "high", "x"), ("p3", "pending", "low", "x")], "pair_id string, review_status string, risk_level string, trigger_text string")
+    pairs = spark.createDataFrame(
+        [("p1", "approved", "low", "你好"), ("p2", "approved", "high", "x"), ("p3", "pending", "low", "x")],
+        "pair_id string, review_status string, risk_level string, trigger_text string"
+    )
     assert [r["pair_id"] for r in serving.chatml_ready(pairs, True).collect()] == ["p1"] and serving.chatml_ready(pairs, False).count() == 0
     gate = serving.calibration(spark.range(250).selectExpr("1 as p", "1 as h"), predicted="p", human="h")
     assert [tuple(r) for r in serving.gates(role=gate).collect()] == [("role", True)]
-    rows = spark.createDataFrame([("c", [("x", 1, ["m1", "m2"]), ("y", 2, [])])], "customer_key string, reasons array<struct<code:string,points:int,evidence:array<string>>>")
+    rows = spark.createDataFrame(
+        [("c", [("x", 1, ["m1", "m2"]), ("y", 2, [])])], "customer_key string, reasons array<struct<code:string,points:int,evidence:array<string>>>"
+    )
     assert [(r["kind"], r["message_keys"]) for r in identity.evidence_rows(rows, SECRET).collect()] == [("x", ["m1", "m2"])]
 
 
 def test_reviews_are_kept_by_guards(spark):
-    fresh = spark.createDataFrame([("l1", "r", "p", "s", "review"), ("l2", "r", "p2", "s", "review"), ("l3", "r", None, "s", "review")], "link_id string, raw_hash string, phone_hmac string, source_hash string, state string")
-    old = spark.createDataFrame([("l1", "r", "p", "s", "rejected"), ("l2", "r", "other", "s", "rejected"), ("l3", "r", None, "s", "approved_human")], fresh.schema)
-    assert {r["link_id"]: r["state"] for r in identity.keep_reviews(fresh, old).collect()} == {"l1": "rejected", "l2": "review", "l3": "approved_human"}
+    fresh = spark.createDataFrame(
+        [("l1", "r", "p", "s", "review"), ("l2", "r", "p2", "s", "review"), ("l3", "r", None, "s", "review")],
+        "link_id string, raw_hash string, phone_hmac string, source_hash string, state string"
+    )
+    old = spark.createDataFrame(
+        [("l1", "r", "p", "s", "rejected"), ("l2", "r", "other", "s", "rejected"), ("l3", "r", None, "s", "approved_human")], fresh.schema
+    )
+    assert {
+        r["link_id"]: r["state"] for r in identity.keep_reviews(fresh, old).collect()
+    } == {"l1": "rejected", "l2": "review", "l3": "approved_human"}
 
 
 def test_hidden_keys_and_changing_facts(spark):
     from parley.session import ship
 
     ship(spark)
-    one = json.dumps({"a": 1, "Phone": "13800138000", "list": [{"WeChatId": 1, "b": "电话13800138000"}], "deep": {"headimgurl": 1, "x": {"user_name": 1, "username": 2}}}, ensure_ascii=False)
+    one = json.dumps(
+        {
+            "a": 1, "Phone": "13800138000", "list": [{"WeChatId": 1, "b": "电话13800138000"}],
+            "deep": {"headimgurl": 1, "x": {"user_name": 1, "username": 2}}
+        },
+        ensure_ascii=False
+    )
     df = spark.createDataFrame([(one,), ("{",), (None,)], "j string")
     got = [tuple(r) for r in df.select(tx.public_json("j"), tx.public_json("j", True)).collect()]
     assert json.loads(got[0][0]) == {"a": 1, "list": [{"b": "电话13800138000"}], "deep": {"x": {"user_name": 1}}} and got[1:] == [(None, None)] * 2

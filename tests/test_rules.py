@@ -50,42 +50,80 @@ def test_parse(spark):
 
 
 def test_turn_gap_is_inclusive_and_roles_break(spark):
-    rows = [("c", "customer", "2026-07-01 10:00:00", 1, "a"), ("c", "customer", "2026-07-01 10:15:00", 2, "b"), ("c", "customer", "2026-07-01 10:30:01", 3, "c"), ("c", "studio", "2026-07-01 10:30:02", 4, "d")]
-    df = spark.createDataFrame(rows, "customer_key string, role string, timestamp string, source_ordinal int, text string").withColumn("ts", F.col("timestamp").cast("timestamp")).withColumn("message_key", F.col("text"))
+    rows = [
+        ("c", "customer", "2026-07-01 10:00:00", 1, "a"), ("c", "customer", "2026-07-01 10:15:00", 2, "b"),
+        ("c", "customer", "2026-07-01 10:30:01", 3, "c"), ("c", "studio", "2026-07-01 10:30:02", 4, "d")
+    ]
+    df = spark.createDataFrame(
+        rows, "customer_key string, role string, timestamp string, source_ordinal int, text string"
+    ).withColumn("ts", F.col("timestamp").cast("timestamp")).withColumn("message_key", F.col("text"))
     got = tn.merge_turns(df).orderBy("turn_no").collect()
     assert [r["message_keys"] for r in got] == [["a", "b"], ["c"], ["d"]] and got[0]["text"] == "a\nb"
 
 
 def event(i, **kw):
-    base = {"event_id": f"e{i}", "account_profile": "p", "message_timestamp": 1782871200, "message_time": "2026-07-01T10:00:00+08:00", "conversation_id": "w", "conversation_name": "n", "chat_type": "private", "sender": "", "message_type": "文本", "text": "你好"}
+    base = {
+        "event_id": f"e{i}", "account_profile": "p", "message_timestamp": 1782871200, "message_time": "2026-07-01T10:00:00+08:00",
+        "conversation_id": "w", "conversation_name": "n", "chat_type": "private", "sender": "", "message_type": "文本", "text": "你好"
+    }
     return json.dumps(base | kw, ensure_ascii=False)
 
 
 def test_live_ladder(spark):
-    lines = ["", "{", "[1]", event(1, event_id=""), event(2), event(2), event(2, text="另"), event(3, account_profile="q"), event(4, chat_type="group"), event(5, message_type="image"), event(6, text=" "), event(7, sender="x"), event(8, message_time="2026-07-01T10:05:00+08:00"), event(4)]
+    lines = [
+        "", "{", "[1]", event(1, event_id=""), event(2), event(2), event(2, text="另"), event(3, account_profile="q"), event(4, chat_type="group"),
+        event(5, message_type="image"), event(6, text=" "), event(7, sender="x"), event(8, message_time="2026-07-01T10:05:00+08:00"), event(4)
+    ]
     df = spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(lines)], "source_file string, ordinal long, line string")
     acc = spark.createDataFrame([("p", "a", "me")], "account_profile string, account_id string, self_sender string")
     got = [r["reject_reason"] for r in readers.live_events(df, acc, "s").orderBy("ordinal").collect()]
-    assert got == ["blank_line", "invalid_json", "invalid_record", "missing_event_id", None, "duplicate_exact", "duplicate_conflict", "unknown_profile", "non_private", "non_text", "empty_text", "unknown_sender", "timestamp_mismatch", "duplicate_conflict"]
+    assert got == [
+        "blank_line", "invalid_json", "invalid_record", "missing_event_id", None, "duplicate_exact", "duplicate_conflict", "unknown_profile",
+        "non_private", "non_text", "empty_text", "unknown_sender", "timestamp_mismatch", "duplicate_conflict"
+    ]
     assert sum(r["rows"] for r in readers.accounting(readers.live_events(df, acc, "s")).collect()) == len(lines)
 
 
 def test_evidence_ladder(spark):
-    o = spark.createDataFrame([("13800000001", "SF00000001"), ("13800000002", "SF00000002"), ("13800000003", "SF00000002")], "phone string, tracking_no string")
-    conv = [(1, ["13800000001"], []), (2, ["13800000001", "13800000002"], []), (3, [], ["SF00000001"]), (4, [], ["SF00000002"]), (5, ["13800000002"], ["SF00000001"]), (6, ["13900000000"], [])]
-    got = {r["key"]: r["rule"] for r in identity.evidence_ladder(spark.createDataFrame(conv, "key int, direct array<string>, trackings array<string>"), o).collect()}
-    assert got == {1: "customer_phone_order_exact", 2: "customer_phone_order_conflict", 3: "customer_tracking_order_exact", 4: "customer_tracking_order_conflict", 5: "customer_evidence_conflict", 6: None}
+    o = spark.createDataFrame(
+        [("13800000001", "SF00000001"), ("13800000002", "SF00000002"), ("13800000003", "SF00000002")], "phone string, tracking_no string"
+    )
+    conv = [
+        (1, ["13800000001"], []), (2, ["13800000001", "13800000002"], []), (3, [], ["SF00000001"]), (4, [], ["SF00000002"]),
+        (5, ["13800000002"], ["SF00000001"]), (6, ["13900000000"], [])
+    ]
+    got = {
+        r["key"]: r["rule"] for r in identity.evidence_ladder(
+            spark.createDataFrame(conv, "key int, direct array<string>, trackings array<string>"), o
+        ).collect()
+    }
+    assert got == {
+        1: "customer_phone_order_exact", 2: "customer_phone_order_conflict", 3: "customer_tracking_order_exact",
+        4: "customer_tracking_order_conflict", 5: "customer_evidence_conflict", 6: None
+    }
 
 
 def test_bindings(spark):
-    rows = [("a", "13800000001", "w1", "0.95"), ("a", "13800000001", "w2", "0.82"), ("a", "13800000001", "w2", "0.95"), ("a", "13800000001", "w3", "0.99"), ("a", "13800000002", "w3", "0.99"), ("z", "1", "w", "1"), ("a", "1", "", "1"), ("a", "1", "w", "1"), ("a", "13800000001", "w", "2")]
-    df = identity.binding_rows(spark.createDataFrame(rows, "account string, phone string, raw_id string, confidence string"), spark.createDataFrame([("a", "A")], "alias string, account_id string"))
-    assert {r["reason"]: r["rows"] for r in readers.accounting(df).collect()} == {"accepted": 5, "unknown_accounts": 1, "missing_raw_id": 1, "invalid_phones": 1, "invalid_confidence": 1}
+    rows = [
+        ("a", "13800000001", "w1", "0.95"), ("a", "13800000001", "w2", "0.82"), ("a", "13800000001", "w2", "0.95"),
+        ("a", "13800000001", "w3", "0.99"), ("a", "13800000002", "w3", "0.99"), ("z", "1", "w", "1"), ("a", "1", "", "1"), ("a", "1", "w", "1"),
+        ("a", "13800000001", "w", "2")
+    ]
+    df = identity.binding_rows(
+        spark.createDataFrame(rows, "account string, phone string, raw_id string, confidence string"),
+        spark.createDataFrame([("a", "A")], "alias string, account_id string")
+    )
+    assert {r["reason"]: r["rows"] for r in readers.accounting(df).collect()} == {
+        "accepted": 5, "unknown_accounts": 1, "missing_raw_id": 1, "invalid_phones": 1, "invalid_confidence": 1
+    }
     assert sorted(r["state"] for r in identity.binding_links(df, "s").collect()) == ["approved", "conflict", "review"]
 
 
 def test_order_flags(spark):
-    row = {"record_id": "1", "pay_date": "1970-01-01", "revenue": "5", "refund_type": "退", "refund_date": "2027-01-01", "refund_amount": None, "return_status": "处理中", "phone": None, "refund_reason": "李四说退", "customer_name": "李四"}
+    row = {
+        "record_id": "1", "pay_date": "1970-01-01", "revenue": "5", "refund_type": "退", "refund_date": "2027-01-01", "refund_amount": None,
+        "return_status": "处理中", "phone": None, "refund_reason": "李四说退", "customer_name": "李四"
+    }
     df = spark.createDataFrame([row], ", ".join(f"{k} string" for k in row)).withColumn("today", F.lit("2026-07-01").cast("date"))
     got = orders.normalize(df, today="today", secret="s").first()
     assert got["quality_flags"] == ["aftersale_open", "future_refund_on", "incomplete_customer_payment", "invalid_paid_on", "missing_refund_amount"]
@@ -94,7 +132,10 @@ def test_order_flags(spark):
 
 def test_after_sales_closure(spark):
     texts = [("customer", "要退款"), ("studio", "解决了"), ("customer", "快递到哪"), ("customer", "解决了"), ("customer", "快递单号")]
-    df = spark.createDataFrame([("c", r, f"2026-07-01 10:0{i}:00", i, t, f"m{i}") for i, (r, t) in enumerate(texts)], "customer_key string, role string, timestamp string, source_ordinal int, text string, message_key string")
+    df = spark.createDataFrame(
+        [("c", r, f"2026-07-01 10:0{i}:00", i, t, f"m{i}") for i, (r, t) in enumerate(texts)],
+        "customer_key string, role string, timestamp string, source_ordinal int, text string, message_key string"
+    )
     got = scoring.analyze(df.withColumn("ts", F.col("timestamp").cast("timestamp")), "2026-07-02 00:00:00").first()
     assert got["aftersales_priority"] == "P2" and got["reasons"][-1]["evidence"] == ["m4"]
 
@@ -105,8 +146,15 @@ def test_scores_do_not_depend_on_parts(spark, part):
 
     rng = random.Random(8)
     words = ["想要下单", "多少钱", "尽快", "解决了", "退款", "破损", "快递到哪", "再来一个", "不需要", "太贵", "喜欢这个", "我帮你查", "好的", "可以了", "售后", "在吗？"]
-    rows = [(f"c{i % 3}", rng.choice(["customer", "studio"]), f"2026-07-{1 + i // 40:02d} {10 + i % 12}:00:00", i, rng.choice(words) + rng.choice(words), f"m{i}") for i in range(150)]
-    df = spark.createDataFrame(rows, "customer_key string, role string, timestamp string, source_ordinal int, text string, message_key string").withColumn("ts", F.col("timestamp").cast("timestamp"))
+    rows = [
+        (
+            f"c{i % 3}", rng.choice(["customer", "studio"]), f"2026-07-{1 + i // 40:02d} {10 + i % 12}:00:00", i,
+            rng.choice(words) + rng.choice(words), f"m{i}"
+        ) for i in range(150)
+    ]
+    df = spark.createDataFrame(
+        rows, "customer_key string, role string, timestamp string, source_ordinal int, text string, message_key string"
+    ).withColumn("ts", F.col("timestamp").cast("timestamp"))
     got = {r["customer_key"]: r for r in scoring.analyze(df, "2026-07-09 00:00:00", part=part).collect()}
     for c in ("c0", "c1", "c2"):
         mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[3]))
@@ -121,7 +169,9 @@ def test_scores_do_not_depend_on_parts(spark, part):
             if rank is not None and (state is None or rank <= state[0]):
                 state = (rank, r[5])
         assert got[c]["aftersales_priority"] == (f"P{state[0]}" if state else None)
-        assert got[c]["purchase_points"] == min(35, 9 * len(hits(x.purchase, said))) and got[c]["rejection_penalty"] == (30 if hits(x.rejection, said[-10:]) else 0)
+        assert got[c]["purchase_points"] == min(35, 9 * len(hits(x.purchase, said))) and got[c]["rejection_penalty"] == (
+            30 if hits(x.rejection, said[-10:]) else 0
+        )
         by = {r["code"]: r["evidence"] for r in got[c]["reasons"]}
         assert by["purchase_intent"] == hits(x.purchase, said)[-5:] and by["interaction"] == [r[5] for r in said][-3:] and by["recurrence"] == hits(x.repeat, said)[-5:]
         if state:

@@ -11,7 +11,10 @@ from parley.streaming import live
 
 SCHEMA = "event_id string, user string, ts timestamp"
 FILES = [
-    [("a", "u", "2024-01-01 10:00:00"), ("b", "u", "2024-01-01 10:15:00"), ("c", "v", "2024-01-01 10:00:00"), (None, "v", "2024-01-01 10:00:01"), ("n", "v", None)],
+    [
+        ("a", "u", "2024-01-01 10:00:00"), ("b", "u", "2024-01-01 10:15:00"), ("c", "v", "2024-01-01 10:00:00"), (None, "v", "2024-01-01 10:00:01"),
+        ("n", "v", None)
+    ],
     [("a", "u", "2024-01-01 10:00:00"), ("d", "u", "2024-01-01 10:30:00.000001"), ("e", "v", "2024-01-01 10:20:00")],
     [("z", "w", "2024-01-02 10:00:00")],
 ]
@@ -30,11 +33,17 @@ def test_sessions_of_stream_and_batch_are_equal(spark, tmp_path):
     folder = f"{tmp_path}/in"
     written(folder)
     first = live.first_events(live.event_stream(spark, f"file://{folder}", schema=SCHEMA, files_per_trigger=1))
-    query = live.session_spans(first, key="user").writeStream.format("memory").queryName("spans").option("checkpointLocation", f"file://{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    query = live.session_spans(first, key="user").writeStream.format("memory").queryName("spans").option(
+        "checkpointLocation", f"file://{tmp_path}/cp"
+    ).outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(90)
     got = sorted((r["user"], str(r["started_at"]), str(r["ended_at"]), r["n"]) for r in spark.table("spans").collect())
-    rows = spark.createDataFrame([r for f in FILES for r in f if r[0] and r[2]], "event_id string, user string, t string").dropDuplicates().withColumn("ts", F.to_timestamp("t"))
-    turns = sessions(rows, key="user", order=["ts"], at="ts", gap_seconds=900).groupBy("user", "turn_no").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    rows = spark.createDataFrame(
+        [r for f in FILES for r in f if r[0] and r[2]], "event_id string, user string, t string"
+    ).dropDuplicates().withColumn("ts", F.to_timestamp("t"))
+    turns = sessions(rows, key="user", order=["ts"], at="ts", gap_seconds=900).groupBy("user", "turn_no").agg(
+        F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")
+    )
     assert got == sorted((r["user"], str(r["a"]), str(r["b"]), r["n"]) for r in turns.filter("user <> 'w'").collect())
     assert len(got) == 4
 
