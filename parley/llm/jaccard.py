@@ -144,12 +144,22 @@ def _describe(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, com
                     own = _digest(x)
                     digests.append((own[0] & mask, own[1], *_digest(order, size)))
                     prefixes.append(order.view(np.int64))
-                    cells.append((np.bincount((x >> np.uint64(53)).astype(np.int64), minlength=CELLS) & 255).astype(np.uint8).tobytes() if size > LARGE else None)
+                    cells.append(
+                        (
+                            np.bincount((x >> np.uint64(53)).astype(np.int64), minlength=CELLS) & 255
+                        ).astype(np.uint8).tobytes() if size > LARGE else None
+                    )
                     odd = (np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=64 * LANES) & 1).astype(np.uint8)
                     lanes.append(np.packbits(odd).view(np.uint64))
                 lane, four = np.array(lanes, np.uint64).reshape(-1, LANES).view(np.int64), np.array(digests, np.int64).reshape(-1, 4)
-                cols = [*(part.column(part.schema.get_field_index(c)) for c in ("id", "th")), pa.array(ns, pa.int32()), *(pa.array(np.ascontiguousarray(four[:, i])) for i in range(4))]
-                cols += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.binary()), *(pa.array(np.ascontiguousarray(lane[:, i])) for i in range(LANES))]
+                cols = [
+                    *(part.column(part.schema.get_field_index(c)) for c in ("id", "th")), pa.array(ns, pa.int32()),
+                    *(pa.array(np.ascontiguousarray(four[:, i])) for i in range(4))
+                ]
+                cols += [
+                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.binary()),
+                    *(pa.array(np.ascontiguousarray(lane[:, i])) for i in range(LANES))
+                ]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "n", "sid", "s2", "p1", "p2", "prefix", "cells", *_LANE_NAMES])
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, _DOC)
@@ -157,7 +167,9 @@ def _describe(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, com
 
 def _with_own_ids(held: DataFrame) -> DataFrame:
     """``held`` with another sid for sets that share one; there are hardly ever any."""
-    twice = held.filter("n > 0").groupBy("sid").agg(F.min("s2").alias("lo"), F.max("s2").alias("hi")).filter("lo <> hi").select("sid", F.lit(True).alias("shared"))
+    twice = held.filter("n > 0").groupBy("sid").agg(
+        F.min("s2").alias("lo"), F.max("s2").alias("hi")
+    ).filter("lo <> hi").select("sid", F.lit(True).alias("shared"))
     twice = store(twice, "shared-ids")
     if not twice.limit(1).count():
         return held
@@ -176,9 +188,14 @@ def _whole_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFra
                 sets = [sets_of(t, cache, n) for t in texts]
                 ids, other = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("sid", "s2"))
                 ok = [i for i, x in enumerate(sets) if len(x) and int(_digest(x)[1]) == other[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in ok], pa.int64()), pa.array([sets[i].view(np.int64) for i in ok], pa.list_(pa.int64()))], names=["sid", "s"])
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("th"), F.col(text).alias("text")).filter("text is not null").alias("t")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i] for i in ok], pa.int64()), pa.array([sets[i].view(np.int64) for i in ok], pa.list_(pa.int64()))],
+                    names=["sid", "s"]
+                )
+
+    texts = docs.select(
+        F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("th"), F.col(text).alias("text")
+    ).filter("text is not null").alias("t")
     wanted = wanted.select("sid", "s2", "rep.id", "rep.th").alias("w")
     met = texts.join(wanted, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.th") == F.col("w.th")))
     return met.select("sid", "s2", "text").mapInArrow(run, "sid long, s array<long>").dropDuplicates(["sid"])
@@ -243,11 +260,14 @@ def _group_pairs(lists: DataFrame, percent: int) -> DataFrame:
     long = lists.filter(F.col("w") > SMALL).withColumn("band", F.floor(F.log("n") / F.lit(0.25)).cast("int"))
     own = ["g", "n", "members", *_LANE_NAMES]
     lead = long.groupBy("key", F.col("band").alias("of")).agg(
-        F.max(F.struct("hits", F.xxhash64("g").alias("x"), *own)).alias("l0"), F.max(F.struct(F.xxhash64("g", F.pmod(F.col("key"), F.lit(4))).alias("x"), *own)).alias("l1")
+        F.max(F.struct("hits", F.xxhash64("g").alias("x"), *own)).alias("l0"),
+        F.max(F.struct(F.xxhash64("g", F.pmod(F.col("key"), F.lit(4))).alias("x"), *own)).alias("l1")
     )
     lead = lead.select("key", "of", F.explode(F.array(*(F.struct(*(F.col(f"{l}.{c}").alias(c) for c in own)) for l in ("l0", "l1")))).alias("l"))
     lead = lead.select("key", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)).alias("band"), "l.*").alias("b")
-    led = long.alias("a").join(lead, (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.g") != F.col("b.g")) & fits)
+    led = long.alias("a").join(
+        lead, (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.g") != F.col("b.g")) & fits
+    )
     return pairs.unionByName(led.select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb"), F.lit(False).alias("whole"))).distinct()
 
 
@@ -256,8 +276,12 @@ def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = ["sid", "g", "n", *_LANE_NAMES]
     member = sets.select(*own, "members")
     left = pairs.join(member.select(*(F.col(c).alias(f"a_{c}") for c in own)), F.col("ga") == F.col("a_g"))
-    both = left.join(member.select(*(F.col(c).alias(f"b_{c}") for c in own)), (F.col("gb") == F.col("b_g")) & (F.col("whole") | (F.col("b_sid") == F.col("gb"))))
-    across = both.select(F.struct(*(F.col(f"a_{c}").alias(c) for c in own)).alias("a"), F.struct(*(F.col(f"b_{c}").alias(c) for c in own)).alias("b")).filter(_near(percent)).select(*_pair())
+    both = left.join(
+        member.select(*(F.col(c).alias(f"b_{c}") for c in own)), (F.col("gb") == F.col("b_g")) & (F.col("whole") | (F.col("b_sid") == F.col("gb")))
+    )
+    across = both.select(
+        F.struct(*(F.col(f"a_{c}").alias(c) for c in own)).alias("a"), F.struct(*(F.col(f"b_{c}").alias(c) for c in own)).alias("b")
+    ).filter(_near(percent)).select(*_pair())
     some = member.filter("members > 1")
     x, y = some.alias("a"), some.alias("b")
     with_all = (F.col("a.members") <= SMALL) & (F.col("a.sid") < F.col("b.sid"))
@@ -315,7 +339,9 @@ def _linked(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, e
     on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key"))
     while True:  # what long lists still hold outside their largest component, in full
         named = long.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        shares = named.groupBy("kind", "key", "label").agg(F.count("*").alias("c")).groupBy("kind", "key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"))
+        shares = named.groupBy("kind", "key", "label").agg(F.count("*").alias("c")).groupBy("kind", "key").agg(
+            F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")
+        )
         apart = store(shares.filter("labels > 1").select("kind", "key", F.col("m.label").alias("main")), "apart")
         here = store(named.join(apart, ["kind", "key"]).join(facts, "sid"), "named")
         few, all_ = here.filter("label <> main").alias("a"), here.alias("b")
@@ -338,7 +364,9 @@ def _linked(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, e
     of = sets.select("sid", "rep").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = of.groupBy("label").agg(F.min("rep.id").alias("component_id"))
     by_set = of.select("sid", "label").join(least, "label").select("sid", "component_id", "label")
-    none = held.filter("n = 0").select("id", "th", "n", F.lit(None).cast("long").alias("sid"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    none = held.filter("n = 0").select(
+        "id", "th", "n", F.lit(None).cast("long").alias("sid"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("label")
+    )
     out = full.select("id", "th", "n", "sid").join(by_set, "sid").select("id", "th", "n", "sid", "component_id", "label").unionByName(none)
     return out.select("id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "sid", "label"), links
 

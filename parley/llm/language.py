@@ -254,7 +254,9 @@ def sample(train: DataFrame, *, text="text", lang="lang", chars_per_lang=40_000,
     short = F.col("n") <= chars_per_lang // 4
     # texts of a fourth of the bound at most come first; the order within is that of the hash
     unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    sizes = distinct.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.when(short, F.col("n"))).alias("fit"), F.min(F.struct(~short, unit, "h")).alias("least"))
+    sizes = distinct.groupBy("lang").agg(
+        F.sum("n").alias("all"), F.sum(F.when(short, F.col("n"))).alias("fit"), F.min(F.struct(~short, unit, "h")).alias("least")
+    )
     have = {r["lang"]: r for r in sizes.collect()}
     if not have:
         return []

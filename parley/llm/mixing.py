@@ -51,16 +51,21 @@ def rates(docs: DataFrame, *, text="text", source="source", alpha=0.5, scale=1.0
         F.sequence(F.lit(1), F.lit(TERMS)),
         F.struct(F.array(F.exp(-F.col("mean"))).alias("c"), F.exp(-F.col("mean")).alias("p"), F.exp(-F.col("mean")).alias("s")),
         lambda a, k: F.struct(
-            F.array_append(a.c, a.s + a.p * F.col("mean") / k).alias("c"), (a.p * F.col("mean") / k).alias("p"), (a.s + a.p * F.col("mean") / k).alias("s")
+            F.array_append(a.c, a.s + a.p * F.col("mean") / k).alias("c"), (a.p * F.col("mean") / k).alias("p"),
+            (a.s + a.p * F.col("mean") / k).alias("s")
         ),
     ).c
-    return share.join(F.broadcast(total)).withColumn("whole", whole).withColumn("draws", draws).withColumn("mean", F.col("whole") / F.col("draws")).withColumn("cdf", cdf).select("source", "mean", "cdf", "draws")
+    return share.join(F.broadcast(total)).withColumn("whole", whole).withColumn("draws", draws).withColumn(
+        "mean", F.col("whole") / F.col("draws")
+    ).withColumn("cdf", cdf).select("source", "mean", "cdf", "draws")
 
 
 def replicate(docs: DataFrame, rate: DataFrame, *, doc_id="doc_id", text="text", source="source") -> DataFrame:
     """(row, copy, copies, at) of each copy, ``row`` having all columns, dealt out and sorted by ``at``."""
     rows = packed(docs, id=doc_id, text=text, source=source)
-    rows = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).withColumn("u", _unit("key")).drop("id", "text")
+    rows = rows.withColumn(
+        "key", F.coalesce(F.col("id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    ).withColumn("u", _unit("key")).drop("id", "text")
     rows, rate = rows.alias("r"), rate.alias("t")
     same = F.col("r.source").eqNullSafe(F.col("t.source"))
     if rate.limit(MANY + 1).count() <= MANY:

@@ -54,7 +54,11 @@ MANY = (1 << 63) - 1  # rank of a null id
 def perturbations(bits: int, probes: int) -> np.ndarray:
     """[probe, slot] perturbation sets over the sorted 2*bits distances, best first; -1 pads."""
     n = 2 * bits
-    cost = [j * (j + 1) / (4 * (bits + 1) * (bits + 2)) if j <= bits else 1 - (n + 1 - j) / (bits + 1) + (n + 1 - j) * (n + 2 - j) / (4 * (bits + 1) * (bits + 2)) for j in range(1, n + 1)]
+    cost = [
+        j * (j + 1) / (
+            4 * (bits + 1) * (bits + 2)
+        ) if j <= bits else 1 - (n + 1 - j) / (bits + 1) + (n + 1 - j) * (n + 2 - j) / (4 * (bits + 1) * (bits + 2)) for j in range(1, n + 1)
+    ]
     out: list[tuple[int, ...]] = [()]
     heap = [(cost[0], (0,))]
     while heap and len(out) < probes:
@@ -131,7 +135,9 @@ def clean(rows: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int, fl
     """(vec_id, v) of the vectors that take part, their length and largest norm."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ok = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter("v is not null and size(v) > 0").filter(~bad).filter(F.exists("v", lambda x: x != 0))
+    ok = rows.select(
+        F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")
+    ).filter("v is not null and size(v) > 0").filter(~bad).filter(F.exists("v", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = ok.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(norm).alias("norm"))
     top = sizes.orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
@@ -152,7 +158,9 @@ def _exact(queries: np.ndarray, groups: DataFrame, k: int) -> dict:
                 n = min(k, s.shape[1])
                 at = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 own = pa.array(np.repeat(np.arange(len(q)), n))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.take_along_axis(s, at, 1).ravel()), b.column(0).take(pa.array(at.ravel()))], names=["q", "s", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [own, pa.array(np.take_along_axis(s, at, 1).ravel()), b.column(0).take(pa.array(at.ravel()))], names=["q", "s", "v"]
+                )
 
     best = groups.select("v").mapInArrow(run, "q long, s double, v array<double>")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
@@ -300,7 +308,8 @@ def _visit(groups: DataFrame, n: int, asked: DataFrame, hashes: Hashes, sets: np
             none = pa.nulls(len(keys), pa.list_(pa.int64()))
             part = owners(keys, (g1 & 0x7FFFFFFF) % ways)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(np.zeros(len(keys), np.int32)), *b.columns[:3], b.column(4), b.column(3), none], names=["part", "kind", "g1", "g2", "least", "key", "v", "visits"]
+                [pa.array(part), pa.array(np.zeros(len(keys), np.int32)), *b.columns[:3], b.column(4), b.column(3), none],
+                names=["part", "kind", "g1", "g2", "least", "key", "v", "visits"]
             )
 
     def send(batches: Iterator[pa.RecordBatch]):
@@ -324,7 +333,10 @@ def _visit(groups: DataFrame, n: int, asked: DataFrame, hashes: Hashes, sets: np
                 zero = pa.array(np.zeros(m, np.int64))
                 visits = pa.ListArray.from_arrays(pa.array(np.append(edge, len(keys_)), pa.int32()), pa.array(keys_))
                 ids, vs = (b.column(c).take(pa.array(row)) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(part_[edge]), pa.array(np.ones(m, np.int32)), ids, zero, zero, zero, vs, visits], names=["part", "kind", "g1", "g2", "least", "key", "v", "visits"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part_[edge]), pa.array(np.ones(m, np.int32)), ids, zero, zero, zero, vs, visits],
+                    names=["part", "kind", "g1", "g2", "least", "key", "v", "visits"]
+                )
 
     def search(batches: Iterator[pa.RecordBatch]):
         part, rows, index = None, [], None

@@ -48,7 +48,9 @@ def _node_columns(docs: DataFrame, doc_id: str, text: str, shards: int) -> DataF
         "size": F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")) + 1, "crc": F.crc32(F.col("text").cast("binary")),
         "group": F.when(F.col("text").isNull(), F.md5(own)).otherwise(F.md5("text")),
     }).drop("text")
-    return rows.withColumn("hash", F.xxhash64(F.col("id").cast("string"), F.col("group"))).withColumn("start", F.pmod("hash", F.lit(shards)).cast("int"))
+    return rows.withColumn(
+        "hash", F.xxhash64(F.col("id").cast("string"), F.col("group"))
+    ).withColumn("start", F.pmod("hash", F.lit(shards)).cast("int"))
 
 
 def _piece(total: int, shards: int):
@@ -111,12 +113,18 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text", keep=True)
     total = held.agg(F.sum("held")).collect()[0][0] or 0
     # only cells of large groups are cut; they are few: less than shards * GRAIN * 2
     large = F.broadcast(held.filter(F.col("held") * shards * GRAIN > total).select(*key, "held"))
-    cut = rows.join(large, key, "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long"))).withColumn("piece", _piece(total, shards)).drop("held")
-    pieces = cut.filter(F.col("piece") >= 0).join(large.select(*key), key, "left_semi").groupBy(*key, "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    cut = rows.join(large, key, "left").withColumn(
+        "held", F.coalesce("held", F.lit(0).cast("long"))
+    ).withColumn("piece", _piece(total, shards)).drop("held")
+    pieces = cut.filter(F.col("piece") >= 0).join(large.select(*key), key, "left_semi").groupBy(*key, "piece").agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("rows")
+    )
     whole = held.join(large.select(*key), key, "left_anti").select(*key, F.lit(0).cast("long").alias("piece"), F.col("held").alias("bytes"), "rows")
     nodes = whole.unionByName(pieces)
     sizes = nodes.groupBy("group").agg(F.sum("rows").alias("all"))
-    nodes = nodes.join(sizes, "group").select(*key, "piece", "bytes", "rows", (F.col("all") > 1).cast("int").alias("linked"), F.col("start").alias("shard"))
+    nodes = nodes.join(sizes, "group").select(
+        *key, "piece", "bytes", "rows", (F.col("all") > 1).cast("int").alias("linked"), F.col("start").alias("shard")
+    )
     nodes = store(nodes.withColumn("h", F.xxhash64(*key, "piece")), "nodes")
 
     def loads(t: DataFrame) -> list[int]:
@@ -132,7 +140,9 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text", keep=True)
     load = loads(nodes.filter("linked = 1"))
     for _ in range(ROUNDS):
         here = nodes.filter("linked = 1").groupBy("group", "shard").agg(F.sum("bytes").alias("b"))
-        best = here.groupBy("group").agg(F.max(F.struct("b", F.xxhash64("group", "shard").alias("x"), F.col("shard").alias("to"))).alias("m"), F.count("*").alias("n")).filter("n > 1").select("group", F.col("m.to").alias("to"))
+        best = here.groupBy("group").agg(
+            F.max(F.struct("b", F.xxhash64("group", "shard").alias("x"), F.col("shard").alias("to"))).alias("m"), F.count("*").alias("n")
+        ).filter("n > 1").select("group", F.col("m.to").alias("to"))
         step = F.pmod("h", F.lit(STEPS)).cast("int")
         asks = store(nodes.join(best, "group", "left").withColumn("to", F.coalesce("to", "shard")).withColumn("step", step), "asks")
         asked: dict = defaultdict(list)
@@ -172,7 +182,9 @@ def cut_edges(placed: DataFrame) -> DataFrame:
     pairs = lambda n: n * (n - 1) / 2
     here = placed.groupBy("group", "shard").agg(F.count("*").cast("double").alias("n"))
     by = here.groupBy("group").agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("kept"))
-    return by.agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(pairs(F.col("n")) - F.col("kept")), F.lit(0.0)).alias("cut"))
+    return by.agg(
+        F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(pairs(F.col("n")) - F.col("kept")), F.lit(0.0)).alias("cut")
+    )
 
 
 def number(rows: DataFrame, order: list) -> DataFrame:
@@ -187,7 +199,9 @@ def number(rows: DataFrame, order: list) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("from", F.coalesce(before, F.lit(0))).drop("n")
     at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*order)) - 1
-    return rows.join(F.broadcast(counts) if buckets <= MOST_BUCKETS else counts, ["shard", "bucket"]).withColumn("slot", (F.col("from") + at).cast("long")).drop("from", "bucket")
+    return rows.join(
+        F.broadcast(counts) if buckets <= MOST_BUCKETS else counts, ["shard", "bucket"]
+    ).withColumn("slot", (F.col("from") + at).cast("long")).drop("from", "bucket")
 
 
 def shard(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text") -> DataFrame:
@@ -202,7 +216,10 @@ def op3_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = place_keys(docs, shards=8)
     out = number(rows, ["hash", "id", "size"])
-    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 QUERIES = {"op3_sharding": op3_sharding}

@@ -126,7 +126,9 @@ def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     head the rank of the smallest id with that text.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("text is not null")
+    rows = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")
+    ).filter("text is not null")
 
     def mark(batches):
         cache = WordHash()
@@ -141,7 +143,9 @@ def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ths, found, many)], names=["th", "mark", "many"])
 
     by_text = store(rows.select("th", "text").mapInArrow(mark, "th long, mark long, many boolean"), "marks")
-    shared = by_text.groupBy("mark").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("many").alias("many")).filter("lo <> hi or many").select("mark")
+    shared = by_text.groupBy("mark").agg(
+        F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("many").alias("many")
+    ).filter("lo <> hi or many").select("mark")
     of = by_text.select("th", "mark").join(shared, "mark").groupBy("th").agg(F.collect_set("mark").alias("marks"))
     heads = rows.groupBy("th").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other"))
     wanted = heads.join(of, "th", "left").filter("head <> other or marks is not null").select("th", "head", "marks")
@@ -165,12 +169,22 @@ def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
                         first, last, h = spans[k, 0], spans[k + WINDOW - 1, 1], rolling(w, WINDOW)[k].view(np.int64).tolist()
                     ends = np.array([m.start() for m in re.finditer("\n", t)], np.int64)
                     n = len(first)
-                    for x, y in zip(out, ([i] * n, [th] * n, h, first.tolist(), last.tolist(), np.searchsorted(ends, first).tolist(), [head if i != head else None] * n)):
+                    for x, y in zip(
+                        out,
+                        (
+                            [i] * n, [th] * n, h, first.tolist(), last.tolist(), np.searchsorted(ends, first).tolist(),
+                            [head if i != head else None] * n
+                        )
+                    ):
                         x.extend(y)
                 kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "th", "h", "start", "stop", "unit", "head"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "th", "h", "start", "stop", "unit", "head"]
+                )
 
-    return rows.join(wanted, "th").select("doc_id", "th", "text", "head", "marks").mapInArrow(run, "doc_id long, th long, h long, start int, stop int, unit int, head long")
+    return rows.join(wanted, "th").select("doc_id", "th", "text", "head", "marks").mapInArrow(
+        run, "doc_id long, th long, h long, start int, stop int, unit int, head long"
+    )
 
 
 def repeated_passages(docs: DataFrame, **kind) -> DataFrame:
@@ -186,7 +200,9 @@ def repeated_passages(docs: DataFrame, **kind) -> DataFrame:
     elsewhere = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.th") != F.col("th"))
     gone = each.join(first, "h").filter(elsewhere | (F.col("first.stop") <= F.col("start")))
     gone = gone.select("doc_id", "th", "start", "stop", "unit", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"))
-    by_doc = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "unit", "first_doc_id", "first_unit"))).alias("gone"))
+    by_doc = gone.groupBy("doc_id", "th").agg(
+        F.array_sort(F.collect_set(F.struct("start", "stop", "unit", "first_doc_id", "first_unit"))).alias("gone")
+    )
 
     def run(batches):
         for b in batches:
@@ -202,7 +218,9 @@ def repeated_passages(docs: DataFrame, **kind) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (0, 1, 5) else pa.int32()) for k, c in enumerate(cols)], names=names)
 
     runs = by_doc.mapInArrow(run, "doc_id long, th long, unit int, start int, stop int, first_doc_id long, first_unit int")
-    copies = found.filter("h is null").distinct().select("doc_id", "th", "unit", "start", "stop", F.col("head").alias("first_doc_id"), F.col("unit").alias("first_unit"))
+    copies = found.filter("h is null").distinct().select(
+        "doc_id", "th", "unit", "start", "stop", F.col("head").alias("first_doc_id"), F.col("unit").alias("first_unit")
+    )
     known = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
     return runs.unionByName(copies).select(known("doc_id"), "th", "unit", "start", "stop", known("first_doc_id"), "first_unit")
 
@@ -230,7 +248,9 @@ def _disjoint(batches):
 def without_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) -> DataFrame:
     """``docs`` with repeated lines and passages cut from the text, and ``kept_spans``: (start, stop) of what stays."""
     gone = repeats(docs, doc_id=doc_id, text=text, **kind)
-    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("th")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("gone"))
+    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("th")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("gone")
+    )
     gone = gone.mapInArrow(_disjoint, gone.schema).alias("g")
     docs = without(docs, "kept_spans")
     rows = packed(docs, id=doc_id, text=text).withColumn("th", F.xxhash64("text")).alias("r")
@@ -240,7 +260,9 @@ def without_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", **kind) ->
     inner = F.flatten(F.transform("gone", lambda g: F.array(g.start, F.least(g.stop + 1, F.length("text")))))
     edges = F.concat(F.array(F.lit(0)), inner, F.array(F.length("text")))
     at = lambda i: F.get(edges, i.cast("int"))
-    spans = F.transform(F.sequence(F.lit(0), (F.size(edges) / 2 - 1).cast("int")), lambda i: F.struct(at(i * 2).alias("start"), at(i * 2 + 1).alias("stop")))
+    spans = F.transform(
+        F.sequence(F.lit(0), (F.size(edges) / 2 - 1).cast("int")), lambda i: F.struct(at(i * 2).alias("start"), at(i * 2 + 1).alias("stop"))
+    )
     rows = rows.withColumn("kept_spans", F.when(F.col("text").isNotNull(), F.filter(spans, lambda s: s.stop > s.start)))
     cut = F.array_join(F.transform("kept_spans", lambda s: F.substring("text", s.start + 1, s.stop - s.start)), "")
     rows = rows.withColumn("text", F.when(F.size("gone") > 0, cut).otherwise(F.col("text")))

@@ -300,13 +300,17 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> Grammar:
     # words by label, in tasks; then their beginnings, from the far fewer distinct words
     words = sample.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).filter("w <> ''")
     words = words.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    parts = F.concat(F.array(F.concat("w", F.lit("$"))), F.array_compact(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEM))))
+    parts = F.concat(
+        F.array(F.concat("w", F.lit("$"))), F.array_compact(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEM)))
+    )
     stems = words.select(F.explode(parts).alias("s"), "bad", "good").groupBy("s").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.05) / n1) - F.log((F.col("good") + 0.5) / n0)
     # a stem must be met in several toxic documents and hardly elsewhere: in so many that of
     # CHANCES stems with no meaning less than one has all its documents among the toxic ones
     by_chance = math.log(CHANCES) / math.log((n1 + n0) / n1)
-    strong = stems.filter((F.col("bad") >= max(3.0, SUPPORT * n1, min(by_chance, n1 / 5))) & (F.col("good") * n1 <= F.col("bad") * n0 * RATIO)).withColumn("odds", odds)
+    strong = stems.filter(
+        (F.col("bad") >= max(3.0, SUPPORT * n1, min(by_chance, n1 / 5))) & (F.col("good") * n1 <= F.col("bad") * n0 * RATIO)
+    ).withColumn("odds", odds)
     kept = strong.filter("odds > 1").orderBy(F.desc("odds"), F.desc("bad"), "s").limit(STEMS).collect()
     grammar = Grammar({r["s"]: float(r["odds"]) for r in kept})
     ship(rows.sparkSession)
@@ -341,7 +345,9 @@ def score(docs: DataFrame, grammar: Grammar, *, text="text", threshold=0.7) -> D
                 b = whole.slice(at, 1000)
                 f = np.array([g.features(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]).reshape(-1, len(FEATURES))
                 s = g.score(f)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"]
+                )
 
     return base.mapInArrow(run, schema)
 

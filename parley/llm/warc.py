@@ -43,7 +43,9 @@ def roles(pages: DataFrame, *, page_id="page_id", payload="html", url="url") ->
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    same = rows.filter(F.col("bytes") >= MIN_REVISIT).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    same = rows.filter(F.col("bytes") >= MIN_REVISIT).groupBy(F.col("digest").alias("d")).agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")
+    )
     same = store(same.filter("n > 1 and first is not null").drop("n"), "same")
     joined = rows.join(same, F.col("digest") == F.col("d"), "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("d", "first")
@@ -73,7 +75,10 @@ def _record(page, url, payload, digest: str, refers_to) -> Iterator[bytes]:
     if page is not None:
         head.append(f"X-Page-ID: {page}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {_name(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [
+            f"WARC-Refers-To: {_name(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        ]
     yield z.compress(("\r\n".join(head) + "\r\n\r\n").encode() + http)
     for at in range(0, len(body), STEP):
         yield z.compress(body[at : at + STEP])
@@ -182,7 +187,13 @@ def read_archives(archives: DataFrame, files: int) -> DataFrame:
     ship(archives.sparkSession)
 
     def run(batches):
-        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("offset", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+        schema = pa.schema(
+            [
+                ("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+                ("chunk_no", pa.int32()), ("offset", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("last", pa.bool_()),
+                ("payload_bytes", pa.int64()), ("payload_digest", pa.string())
+            ]
+        )
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, name = _open(path)

@@ -13,8 +13,10 @@ from parley.llm import common, decontaminate, jaccard, language, licences, mixin
 
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
 ROWS = [
-    (1, LONG + "\nend", "en", "a", 9), (2, "x\n" + LONG.upper(), "en", "a", 9), (2, "x\n" + LONG.upper(), "en", "a", 9), (None, LONG, None, None, None),
-    (4, "", "en", "b", 0), (5, None, "de", "b", None), (6, "kurz und gut ist der tag in der stadt mit dem kind", "de", "c", 9), (7, "word " * 30_000, "en", "a", 9),
+    (1, LONG + "\nend", "en", "a", 9), (2, "x\n" + LONG.upper(), "en", "a", 9), (2, "x\n" + LONG.upper(), "en", "a", 9),
+    (None, LONG, None, None, None),
+    (4, "", "en", "b", 0), (5, None, "de", "b", None), (6, "kurz und gut ist der tag in der stadt mit dem kind", "de", "c", 9),
+    (7, "word " * 30_000, "en", "a", 9),
     (8, " \n\t ", None, "c", 3), (9, "12 34", "en", "c", 5), (10, LONG + "\nend", "en", None, 9),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -34,7 +36,9 @@ def test_lines_keep_the_earliest(docs, empty):
     got = {(r["doc_id"], r["unit"], r["start"], r["first_doc_id"]) for r in substrings.repeated_lines(docs).collect()}
     assert got == {(2, 1, 2, 1), (None, 0, 0, 1), (10, 0, 0, 1)}
     assert substrings.repeated_lines(empty).count() == 0
-    cut = {(r["doc_id"], r["text"]) for r in substrings.without_repeats(docs.withColumn("kept_spans", F.lit(1))).filter("doc_id in (1, 2, 10)").collect()}
+    cut = {
+        (r["doc_id"], r["text"]) for r in substrings.without_repeats(docs.withColumn("kept_spans", F.lit(1))).filter("doc_id in (1, 2, 10)").collect()
+    }
     assert cut == {(1, LONG + "\nend"), (2, "x\n"), (10, "end")}
 
 
@@ -48,7 +52,9 @@ def test_passages_are_exact(spark):
     ]
     texts.append(texts[5])
     breaks = [" ", " ", "\n", " ", " ", " ", " \n\t", " ", " "]
-    rows = [(None if i == 7 else i, "".join(w + (sep if k % 11 == 0 else " ") for k, w in enumerate(t))) for i, (t, sep) in enumerate(zip(texts, breaks))]
+    rows = [
+        (None if i == 7 else i, "".join(w + (sep if k % 11 == 0 else " ") for k, w in enumerate(t))) for i, (t, sep) in enumerate(zip(texts, breaks))
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     seen, gone = {}, {}
     for i, (d, _) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0])):
@@ -97,7 +103,9 @@ def test_components_are_exact(spark, docs, empty, monkeypatch, small, bits):
             w[at] = str(rng.choice(vocab))
         rows.append((100 + i, " ".join(map(str, w)), "en", "a", 1))
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_components(df, words=4, percent=85, id_bits=bits).collect())
+    got = sorted(
+        (str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_components(df, words=4, percent=85, id_bits=bits).collect()
+    )
     assert got == brute_components(rows, 4, 85)
     assert jaccard.jaccard_components(empty).count() == 0
 
@@ -128,7 +136,10 @@ def test_one_of_each(docs):
 
 def test_one_of_each_component(spark):
     text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
-    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("a")), (None, text("c")), (None, text("c", 41)), (None, text("d")), (5, text("d", 41)), (6, text("e")), (6, text("e"))]
+    rows = [
+        (1, text("a")), (1, text("b")), (2, text("b")), (3, text("a")), (None, text("c")), (None, text("c", 41)), (None, text("d")),
+        (5, text("d", 41)), (6, text("e")), (6, text("e"))
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r["doc_id"], r["text"][0]) for r in jaccard.one_of_each(df, words=5, percent=80).collect()]
     assert sorted(got, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (5, "d"), (6, "e")], key=str)
@@ -206,16 +217,22 @@ def test_mixing(docs, empty):
 
 
 def test_poisson_mean(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("source"))
+    df = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("source")
+    )
     n = {r["source"]: r["n"] for r in mixing.mix(df, weights={"x": 3.0, "y": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert abs(n["x"] - 3000) < 200 and abs(n["y"] - 1000) < 120
 
 
 def test_rare_source_reaches_its_weight(spark):
-    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 100 == 0, "x").otherwise("y").alias("source"))
+    df = spark.range(10_000).select(
+        F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 100 == 0, "x").otherwise("y").alias("source")
+    )
     n = {r["source"]: r["n"] for r in mixing.mix(df, weights={"x": 1.0, "y": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert abs(n["x"] - 5000) < 350 and abs(n["y"] - 5000) < 350
-    many = [r["k"] for r in mixing.mix(df, weights={"x": 1.0, "y": 1.0}).filter("source = 'x'").groupBy("doc_id").agg(F.count("*").alias("k")).collect()]
+    many = [
+        r["k"] for r in mixing.mix(df, weights={"x": 1.0, "y": 1.0}).filter("source = 'x'").groupBy("doc_id").agg(F.count("*").alias("k")).collect()
+    ]
     assert len(many) == 100 and 25 < np.var(many) < 90
 
 
@@ -229,7 +246,9 @@ def test_shards(spark, docs, empty):
         slots.setdefault(r["shard"], []).append(r["slot"])
         if r["text"] == "same text":
             parts.add(r["shard"])
-        assert r["size"] == len((r["text"] or "").encode()) + 1 and r["text_crc32"] == (None if r["text"] is None else binascii.crc32(r["text"].encode()))
+        assert r["size"] == len((r["text"] or "").encode()) + 1 and r["text_crc32"] == (
+            None if r["text"] is None else binascii.crc32(r["text"].encode())
+        )
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(parts) == 1
     assert shards.shard(empty).count() == 0
 
@@ -241,7 +260,10 @@ def test_warc_round_trip(spark):
     chunks = warc.round_trip(df).collect()
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in chunks if r["last"])
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    want = sorted((str(i), len((t or "").encode()), sha(t), "revisit" if t == big and i != 1 else "response", 1 if t == big and i != 1 else None) for i, _, t in rows)
+    want = sorted(
+        (str(i), len((t or "").encode()), sha(t), "revisit" if t == big and i != 1 else "response", 1 if t == big and i != 1 else None) for i, _,
+        t in rows
+    )
     assert got == want
     one = sorted((r["chunk_no"], bytes(r["data"]), r["digest"]) for r in chunks if r["page_id"] == 1)
     assert len(one) == 4 and one[-1][2] == sha(big)
@@ -306,7 +328,9 @@ def test_scripts_of_many_letters(spark):
     """Two languages of disjoint letters, far more than Latin has."""
     rng = np.random.default_rng(2)
     text = lambda base: "".join(chr(base + int(i)) for i in rng.integers(0, 400, 300))
-    rows = [(i, text(0x4E00 if i % 2 else 0xAC00), "zh" if i % 2 else "ko") for i in range(40)] + [(100 + i, "the old dog sat on the mat " * 9, "en") for i in range(9)]
+    rows = [
+        (i, text(0x4E00 if i % 2 else 0xAC00), "zh" if i % 2 else "ko") for i in range(40)
+    ] + [(100 + i, "the old dog sat on the mat " * 9, "en") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language.identify(df, language.fit(df.filter("doc_id % 4 < 2"))).collect()
     assert all(r["lang"] == r["lang_pred"] for r in got)
@@ -315,7 +339,11 @@ def test_scripts_of_many_letters(spark):
 def test_sample_of_copies_and_long_texts(spark):
     """A language of one text in many copies, and one of long texts alone, both are learned."""
     rows = spark.range(100_000).selectExpr("id as doc_id", "'la casa es muy bonita y grande' as text", "'es' as lang")
-    rows = rows.unionByName(spark.range(300).selectExpr("id as doc_id", "concat('the house number ', id, repeat(' is very nice and large', 4000)) as text", "'en' as lang"))
+    rows = rows.unionByName(
+        spark.range(300).selectExpr(
+            "id as doc_id", "concat('the house number ', id, repeat(' is very nice and large', 4000)) as text", "'en' as lang"
+        )
+    )
     got = language.sample(rows)
     assert {r["lang"] for r in got} == {"es", "en"} and sum(r["lang"] == "es" for r in got) == 1
     assert sum(len(r["text"]) for r in got if r["lang"] == "en") <= 80_000
@@ -329,7 +357,9 @@ def test_language_query_against_plain_code(spark, tmp_path):
 
     rng = np.random.default_rng(7)
     vocab = {x: ["".join(rng.choice(list(c), int(rng.integers(2, 6)))) for _ in range(40)] for x, c in (("xx", "abcde"), ("yy", "cdefgh"))}
-    rows = [(i, " ".join(rng.choice(vocab["xx" if i % 2 else "yy"], 12)), "xx" if i % 2 else "yy") for i in range(60)] + [(60, None, "xx"), (61, "12!", "yy"), (62, "abc", None)]
+    rows = [
+        (i, " ".join(rng.choice(vocab["xx" if i % 2 else "yy"], 12)), "xx" if i % 2 else "yy") for i in range(60)
+    ] + [(60, None, "xx"), (61, "12!", "yy"), (62, "abc", None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in language.op7_language_id(spark, f"file://{tmp_path}").collect()}
     assert len(got) == len(rows)
@@ -415,8 +445,16 @@ def test_toxicity_cases(spark):
     rows = [(i, f"you are {'such an idiot' if i % 3 == 0 else 'a tree'} w{i}", 0.5) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
     g = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
-    more = spark.createDataFrame([(1, "you are such an idiot", 0.1), (1, "you are such an idiot", 0.1), (None, "a tree " * 20_000, 0.2), (2, None, 0.3), (3, "", 0.4), (4, "a tree " * 20_000 + ". you are such an idiot", 0.4)], df.schema)
-    got = sorted((str(r["doc_id"]), r["predicted"], round(r["score"], 9)) for r in toxicity.score(more.withColumn("predicted", F.lit("mine")), g).collect())
+    more = spark.createDataFrame(
+        [
+            (1, "you are such an idiot", 0.1), (1, "you are such an idiot", 0.1), (None, "a tree " * 20_000, 0.2), (2, None, 0.3), (3, "", 0.4),
+            (4, "a tree " * 20_000 + ". you are such an idiot", 0.4)
+        ],
+        df.schema
+    )
+    got = sorted(
+        (str(r["doc_id"]), r["predicted"], round(r["score"], 9)) for r in toxicity.score(more.withColumn("predicted", F.lit("mine")), g).collect()
+    )
     by = {k: (p, s) for k, p, s in got}
     assert len(got) == 6 and by["1"][0] == 1 and by["4"][0] == 1 and by["None"] == by["2"] == by["3"] and by["2"][0] == 0
 
@@ -424,12 +462,17 @@ def test_toxicity_cases(spark):
 def test_licences(spark, empty):
     wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the\nSoftware), to deal in the Software without restriction.\nOther text."
     rows = [
-        (1, "text\nReleased under the MIT License.\nmore"), (2, "He lost his driving license in town."), (None, "All rights reserved."), (4, None), (5, ""), (6, "Distributed under the GNU GPL v3"), (7, "Lizenz: MIT"),
-        (8, "Available under CC0 1.0"), (9, "x " * 60_000 + "\nReleased under CC BY-SA 4.0"), (10, "Licensed under the Gruntho License"), (11, wrapped), (1, "text\nReleased under the MIT License.\nmore"), (12, "GPLv3"), (13, "er kommt mit dem hund"),
+        (1, "text\nReleased under the MIT License.\nmore"), (2, "He lost his driving license in town."), (None, "All rights reserved."), (4, None),
+        (5, ""), (6, "Distributed under the GNU GPL v3"), (7, "Lizenz: MIT"),
+        (8, "Available under CC0 1.0"), (9, "x " * 60_000 + "\nReleased under CC BY-SA 4.0"), (10, "Licensed under the Gruntho License"),
+        (11, wrapped), (1, "text\nReleased under the MIT License.\nmore"), (12, "GPLv3"), (13, "er kommt mit dem hund"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"paragraph": F.lit("mine"), "family": F.lit(1), "w": F.lit(2)})
     got = sorted((str(r["doc_id"]), r["paragraph"], r["family"], r["confirmed"]) for r in licences.scan(df).collect())
-    want = [(1, 1, "MIT", True)] * 2 + [(None, 0, "proprietary", True), (6, 0, "GPL", True), (7, 0, "MIT", True), (8, 0, "public-domain", True), (9, 0, "CC-BY-SA", True), (10, 0, "unknown", False), (11, 0, "MIT", True), (12, 0, "GPL", True)]
+    want = [(1, 1, "MIT", True)] * 2 + [
+        (None, 0, "proprietary", True), (6, 0, "GPL", True), (7, 0, "MIT", True), (8, 0, "public-domain", True), (9, 0, "CC-BY-SA", True),
+        (10, 0, "unknown", False), (11, 0, "MIT", True), (12, 0, "GPL", True)
+    ]
     assert got == sorted((str(i), *x) for i, *x in want)
     assert licences.scan(empty).count() == 0
 
@@ -456,7 +499,9 @@ def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16))
     x[100:300] = x[100]
-    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [None] + [1.0] * 15), (905, [1.0, 2.0])]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [
+        (900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [None] + [1.0] * 15), (905, [1.0, 2.0])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     q = df.filter("vec_id % 20 = 0")
     got = {}
@@ -513,7 +558,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 # ----- clashing columns, repeats, ties and long texts ---------------------------
 
-CLASH = ["row", "rows", "score", "bits", "lang_pred", "predicted", "__copy", "__key", "__at", "copy", "copies", "at", "key", "u", "cdf", "id", "th", "label", "sid", "n", "size", "group", "hash", "start", "bucket", "gone", "kept", "repeats", "__th", "__rows"]
+CLASH = [
+    "row", "rows", "score", "bits", "lang_pred", "predicted", "__copy", "__key", "__at", "copy", "copies", "at", "key", "u", "cdf", "id", "th",
+    "label", "sid", "n", "size", "group", "hash", "start", "bucket", "gone", "kept", "repeats", "__th", "__rows"
+]
 
 
 def clashing(df):
@@ -554,7 +602,11 @@ def test_mixing_of_repeats_and_long_texts(spark):
     rows = [(7, "same", "a"), (7, "same", "a"), (8, "long " * 50_000, "a"), (None, None, "b"), (None, None, "b"), (None, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     w = {"a": 3.0, "b": 1.0}
-    one, two = (sorted((str(r["doc_id"]), r["text"] or "", str(r["source"])) for r in mixing.mix(x, weights=w, scale=3.0).collect()) for x in (df.repartition(5), df.coalesce(1)))
+    one, two = (
+        sorted(
+            (str(r["doc_id"]), r["text"] or "", str(r["source"])) for r in mixing.mix(x, weights=w, scale=3.0).collect()
+        ) for x in (df.repartition(5), df.coalesce(1))
+    )
     assert one == two  # no partitioning changes the draw
     n = [one.count(k) for k in {r for r in one if r[0] == "7"}]
     assert all(x % 2 == 0 for x in n)  # rows with one id draw alike
@@ -574,7 +626,10 @@ def test_cut_edges_fall(spark):
 
 def test_repeated_short_lines(spark):
     short = [f"item number {i}" for i in range(6)]  # 18 words in all
-    texts = ["\n".join(["head one", *short, "tail one"]), "\n".join(["head two", *short, "", "tail two"]), "\n".join(["other", short[0], "more", short[1]]), "\n\n".join([short[0], *short])]
+    texts = [
+        "\n".join(["head one", *short, "tail one"]), "\n".join(["head two", *short, "", "tail two"]),
+        "\n".join(["other", short[0], "more", short[1]]), "\n\n".join([short[0], *short])
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
     for r in substrings.repeated_lines(df).collect():
@@ -588,7 +643,11 @@ def test_decontamination_ties_and_long_texts(spark):
     item = " ".join(f"q{i}" for i in range(20))
     rows = [(1, f"{item} and {item}"), (2, "word " * 100_000 + item), (3, item[:40]), (1, f"{item} and {item}")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("mine"), "similarity": F.lit("mine")})
-    got = sorted((r["doc_id"], r["first_word"], r["similarity"]) for r in decontaminate.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    got = sorted(
+        (r["doc_id"], r["first_word"], r["similarity"]) for r in decontaminate.contaminated(
+            df, spark.createDataFrame([(1, item)], "item_id long, text string")
+        ).collect()
+    )
     assert got == [(1, 0, 1.0), (1, 0, 1.0), (2, 100_000, 1.0)]
 
 
