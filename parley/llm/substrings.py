@@ -25,8 +25,6 @@ columns are kept, and none can clash but ``kept_spans``, which is replaced.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +37,6 @@ MIN_WORDS = 15  # of a run of repeated lines
 WINDOW, SHINGLE = 50, 25  # words
 LAST = (1 << 63) - 1  # rank of a null id
 _BASE = 0x9E3779B97F4A7C15
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LINES = "doc_id long, th long, unit int, place int, words int, start int, stop int, h1 long, h2 long"
 
 
@@ -119,6 +116,14 @@ def _hashed(text: str, cache: WordHash) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
+def _places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of each word, and the places of line ends, in characters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.ones(len(points) + 2, bool)
+    blank[1:-1] = (points == 32) | ((points >= 9) & (points <= 13))
+    return np.flatnonzero(blank[1:] != blank[:-1]).astype(np.int32).reshape(-1, 2), np.flatnonzero(points == 10)
+
+
 def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, th, h, start, stop, unit, head): windows that may be repeated.
 
@@ -158,7 +163,7 @@ def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
                 for i, th, t, head, own in zip(*(c.to_pylist() for c in b.slice(at, 200).columns)):
                     if i == head and not own:
                         continue
-                    spans = np.array([m.span() for m in _WORD.finditer(t)], np.int32).reshape(-1, 2)
+                    spans, ends = _places(t)
                     if len(spans) < WINDOW:
                         continue
                     if i != head:
@@ -167,7 +172,6 @@ def windows(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
                         w = _hashed(t, cache)
                         k = np.flatnonzero(np.isin(marks(w)[1].view(np.int64), np.array(own, np.int64)))
                         first, last, h = spans[k, 0], spans[k + WINDOW - 1, 1], rolling(w, WINDOW)[k].view(np.int64).tolist()
-                    ends = np.array([m.start() for m in re.finditer("\n", t)], np.int64)
                     n = len(first)
                     for x, y in zip(
                         out,
