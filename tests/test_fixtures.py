@@ -589,3 +589,25 @@ def test_hidden_keys_and_changing_facts(spark):
 def test_recorded_copy(spark, tmp_path):
     src = put(tmp_path, "in.json", {"a": 1})
     assert [r["length"] for r in snapshot.recorded_copy(spark, src, f"file://{tmp_path}/held.json").collect()] == [len('{"a": 1}')]
+
+
+def test_selection_without_a_secret(spark):
+    """Each reply template stays with its first customer, three pairs of it at most; customers take turns."""
+    rows = [(f"c{i % 4}", f"trigger {chr(97 + i % 26)}{i}", f"reply {'abc'[i % 3] * 4}", 8 + (i * 7) % 5, f"2026-07-{i:03d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "customer_key string, trigger_text string, reply_text string, quality_score int, timestamp string").repartition(5)
+    level = lambda t: re.sub(r"[^0-9a-z\[\]#]+", "", re.sub(r"\d+", "#", t.lower()))
+    left, seen, groups = [], set(), {}
+    for r in sorted(rows, key=lambda r: (-r[3], r[4], r[0])):
+        if (k := level(r[1] + "\x1f" + r[2])) not in seen:
+            seen.add(k)
+            left.append(r)
+    for r in left:
+        groups.setdefault(level(r[2]), []).append(r)
+    kept = [r for g in groups.values() for r in [x for x in g if x[0] == g[0][0]][:3]]
+    mine = {}
+    for r in sorted(kept, key=lambda r: (-r[3], r[4])):
+        mine.setdefault(r[0], []).append(r)
+    turns = [v[i] for i in range(9) for _, v in sorted(mine.items()) if i < len(v)]
+    for limit in (3, 7, 100):
+        got = [(r["timestamp"], r["customer_key"]) for r in sampling.select_pairs(df, limit=limit).collect()]
+        assert got == sorted((r[4], r[0]) for r in turns[:limit])
