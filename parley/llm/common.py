@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import pathlib
 import re
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  the operators take it from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
@@ -31,23 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_shipped: set[tuple[str, str]] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, through the session's own file server."""
-    root = pathlib.Path(__file__).resolve().parents[1]
-    app = (spark.sparkContext.applicationId, str(root))
-    if app in _shipped:
-        return
-    path = os.path.join(tempfile.mkdtemp(), "parley_workers.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
