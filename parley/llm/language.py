@@ -41,6 +41,7 @@ from .common import crc_mod, ship, without
 SEGMENT = 512
 POINTS = 0x110000
 DENSE = 16_000_000  # entries of a transition table up to which it is dense
+HEAD = 64  # of a segment, in which two parses mostly have met
 BATCH = 4_000_000  # characters parsed at once
 NEW = 20  # bits of a letter that a language's sample lacks, beside those of its piece
 
@@ -95,38 +96,37 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 
 
 class Automaton:
-    """Steps of many states at once. Classes: 0 no letter, 1 to ``width - 2`` letters, the last any other letter."""
+    """Parses many texts at once. Classes: 0 no letter, 1 to ``width - 2`` letters, the last any other letter.
+
+    States are what :meth:`walk` gives; ``begin`` is that of a text not begun, where any letter
+    begins a piece. A dense table has the next state for each state and class, or, as its
+    complement, the state after a new piece has begun with that letter.
+    """
 
     def __init__(self, edges: list[dict[int, int]], width: int):
-        self.width, self.dead = width, len(edges)
-        if (self.dead + 1) * width <= DENSE:
-            self.table = np.full((self.dead + 1) * width, -1, np.int32)
-            for s, out in enumerate(edges):
-                for c, t in out.items():
-                    self.table[s * width + c] = t
+        self.width, dead = width, len(edges)  # the dead state has no edges: a letter the language lacks is a piece alone
+        pairs = sorted((s * width + c, t) for s, out in enumerate(edges) for c, t in out.items())
+        self.keys, self.to = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        first = np.full(width, dead, np.int64)
+        for c, t in edges[0].items():
+            first[c] = t
+        self.table = None
+        if (dead + 1) * width <= DENSE:
+            table = np.tile(~(first * width), dead + 1)
+            table[self.keys] = self.to * width
+            self.table, self.begin = table.astype(np.int32), dead * width
         else:
-            self.table = None
-            pairs = sorted((s * width + c, t) for s, out in enumerate(edges) for c, t in out.items())
-            self.keys = np.array([k for k, _ in pairs], np.int64)
-            self.to = np.array([t for _, t in pairs], np.int32)
-
-    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Next states; -1 where there is none. The state ``dead`` has none at all."""
-        key = state.astype(np.int64) * self.width + c
-        if self.table is not None:
-            return self.table[key]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], -1)
+            self.first, self.begin = first.astype(np.int32), dead
 
     def walk(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states, and whether a piece begins with this letter."""
-        out = self.step(state, c)
-        new = out < 0
-        at = np.flatnonzero(new)
-        if len(at):
-            first = self.step(np.zeros(len(at), np.int32), c[at])
-            out[at] = np.where(first < 0, self.dead, first)  # a letter the language lacks is a piece alone
-        return out, new
+        if self.table is not None:
+            out = self.table[state + c]
+            return out ^ (out >> 31), out < 0
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        return np.where(known, self.to[at], self.first[c]).astype(np.int32), ~known
 
 
 class Model:
@@ -174,9 +174,9 @@ class Model:
         follows[1:] = owner[1:] == owner[:-1]
         for j, (to, a) in enumerate(zip(self.parts, self.automata)):
             starts = np.zeros((SEGMENT, len(owner)), bool)  # where pieces begin, by sorted segment
-            state = np.full(len(owner), a.dead, np.int32)
+            state, classes = np.full(len(owner), a.begin, np.int32), to[cols]
             for i, n in enumerate(live):
-                state[:n], starts[i, :n] = a.walk(state[:n], to[cols[i, :n]])
+                state[:n], starts[i, :n] = a.walk(state[:n], classes[i, :n])
             count, end = np.empty(len(owner), np.int64), np.empty(len(owner), np.int32)
             count[order], end[order] = starts.sum(0), state
             place = np.empty(len(owner), np.int64)
@@ -188,7 +188,8 @@ class Model:
     @staticmethod
     def _carry(a: Automaton, to, grid, size, follows, starts, place, count, end) -> None:
         """Make ``count`` and ``end`` those of parses that go on over segments' starts."""
-        own_end, summed = end.copy(), np.cumsum(starts, axis=0, dtype=np.int32)
+        own_end, own_count = end.copy(), count.copy()
+        head = np.cumsum(starts[:HEAD], axis=0, dtype=np.int32)  # parses meet early, as a rule
         go = np.flatnonzero(follows)
         while len(go):
             state, more = end[go - 1].copy(), np.zeros(len(go), np.int64)
@@ -205,7 +206,10 @@ class Model:
                 state[todo] = nxt
             hit, at = met >= 0, place[go]
             # pieces of the segment's own parse from where both meet
-            count[go] = more + np.where(hit, summed[-1, at] - summed[met, at] + 1, 0)
+            before = np.where(met > 0, head[np.clip(met, 1, HEAD) - 1, at], 0)
+            for k in np.flatnonzero(met > HEAD).tolist():
+                before[k] = np.count_nonzero(starts[: met[k], at[k]])
+            count[go] = more + np.where(hit, own_count[go] - before, 0)
             now = np.where(hit, own_end[go], state)
             changed = go[now != end[go]]  # the segment after it has to be carried on from another state
             end[go] = now
@@ -217,7 +221,8 @@ class Model:
         """[text, language] -> letters that the language's sample lacks."""
         owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
         flat = np.concatenate(texts) if texts else np.empty(0, np.int32)
-        return np.stack([np.bincount(owner, to[flat] == a.width - 1, len(texts)) for to, a in zip(self.parts, self.automata)], 1)
+        at = [np.flatnonzero((to == a.width - 1)[flat]) for to, a in zip(self.parts, self.automata)]
+        return np.stack([np.bincount(owner[x], minlength=len(texts)) for x in at], 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, confidence and bits per character of each text."""

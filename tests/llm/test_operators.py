@@ -309,7 +309,7 @@ def test_pieces_equal_a_plain_parse(monkeypatch, dense):
     seqs = [language.squeeze(m.known[language.letters(t)]) for t in texts]
     for s, row in zip(seqs, m.pieces(seqs)):
         for a, to, got in zip(m.automata, m.parts, row):
-            state, n = a.dead, 0
+            state, n = a.begin, 0
             for c in to[s].tolist():
                 out, new = a.walk(np.array([state], np.int32), np.array([c]))
                 state, n = int(out[0]), n + int(new[0])
