@@ -47,6 +47,8 @@ JOINED = rf"([^\n]{{{WRAP - 1}}}[^.!?:;\s])[ \t\r]*\n"
 UNKNOWN, NONE = "unknown", "none"
 VARIANTS, SEED = 6, 11
 ANCHOR_ODDS, LEAST_ODDS = 2.0, 1.0  # log odds of licence paragraphs against others: of a telling n-gram, and of an anchor
+OFTEN = 10  # notices that a word of one or two letters must be in to be an anchor
+EVERYDAY = 3  # plain texts with a word from which on it is no anchor, licence words aside
 # Notices by family.
 TEMPLATES = {
     "MIT": [
@@ -149,7 +151,8 @@ def anchors(rows: list[tuple[str, str]]) -> frozenset[str]:
     """Words of which each n-gram that tells licence paragraphs from others has one.
 
     Such n-grams are ``ANCHOR_ODDS`` or more likelier in licence paragraphs. Words are taken in
-    order of their own odds while they cover one that has none so far.
+    order of their own odds while they cover one that has none so far; everyday words, which
+    several of the plain texts have, are not taken.
     """
     yes, no = {}, {}
     for text, kind in rows:
@@ -158,7 +161,11 @@ def anchors(rows: list[tuple[str, str]]) -> frozenset[str]:
             into[g] = into.get(g, 0) + 1
     n, m = sum(k != NONE for _, k in rows), sum(k == NONE for _, k in rows)
     odds = lambda g: math.log((yes.get(g, 0) + 0.5) / n) - math.log((no.get(g, 0) + 0.5) / m)
+    everyday = [set(words(t)) for t in PLAIN]
     told = {w for ts in (*TEMPLATES.values(), OTHERS) for t in ts for w in words(t) if len(w) > 1 and not w[0].isdigit()}
+    notices = [set(words(t)) for ts in TEMPLATES.values() for t in ts]
+    told = {w for w in told if sum(w in t for t in everyday) < EVERYDAY or w.startswith("licen")}
+    told = {w for w in told if len(w) > 2 or sum(w in t for t in notices) >= OFTEN}
     left = [set(g.split(" ")) for g, c in yes.items() if c >= 3 and odds(g) >= ANCHOR_ODDS]
     found = set()
     for w in sorted(told, key=lambda w: (-odds(w), w)):
