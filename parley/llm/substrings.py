@@ -204,24 +204,13 @@ def repeated_passages(docs: DataFrame, **kind) -> DataFrame:
     elsewhere = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.th") != F.col("th"))
     gone = each.join(first, "h").filter(elsewhere | (F.col("first.stop") <= F.col("start")))
     gone = gone.select("doc_id", "th", "start", "stop", "unit", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"))
-    by_doc = gone.groupBy("doc_id", "th").agg(
-        F.array_sort(F.collect_set(F.struct("start", "stop", "unit", "first_doc_id", "first_unit"))).alias("gone")
-    )
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, th, spans in zip(*(c.to_pylist() for c in b.columns)):
-                for s in spans:
-                    if out and out[-1][:2] == [i, th] and s["start"] <= out[-1][4]:
-                        out[-1][4] = max(out[-1][4], s["stop"])
-                    else:
-                        out.append([i, th, s["unit"], s["start"], s["stop"], s["first_doc_id"], s["first_unit"]])
-            cols = list(zip(*out)) if out else [()] * 7
-            names = ["doc_id", "th", "unit", "start", "stop", "first_doc_id", "first_unit"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (0, 1, 5) else pa.int32()) for k, c in enumerate(cols)], names=names)
-
-    runs = by_doc.mapInArrow(run, "doc_id long, th long, unit int, start int, stop int, first_doc_id long, first_unit int")
+    # windows that meet are one run; rows equal in id and text fall into the same
+    own = Window.partitionBy("doc_id", "th").orderBy("start", "stop")
+    before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1))
+    gone = gone.withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = gone.groupBy("doc_id", "th", "run").agg(F.min(F.struct("start", "unit", "first_doc_id", "first_unit")).alias("m"), F.max("stop").alias("stop"))
+    runs = runs.select("doc_id", "th", "m.unit", "m.start", "stop", "m.first_doc_id", "m.first_unit")
     copies = found.filter("h is null").distinct().select(
         "doc_id", "th", "unit", "start", "stop", F.col("head").alias("first_doc_id"), F.col("unit").alias("first_unit")
     )
