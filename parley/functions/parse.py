@@ -48,6 +48,7 @@ def source_date(text) -> Column:
         F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.to_date(local)),
         F.when(F.substring(t, 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.to_date(F.try_to_timestamp(F.substring(t, 1, 10))))
     )
+    day = F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t.try_cast("date")).otherwise(day)  # as a rule
     error = F.when(t == "", None).when(day.isNull(), "invalid").when(F.year(day) <= 1970, "epoch_placeholder")
     return F.struct(F.when(error.isNull() & (t != ""), day).alias("value"), error.alias("error"))
 
