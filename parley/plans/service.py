@@ -154,7 +154,7 @@ _SAID = "regexp_replace(lower(said), '\\s+', '', 'g')"
 ), i as (select item_id, source_id, title || ' ' || trim(text) as said, substr(trim(text), 1, 1200) as content, title from it join st on it.source_id = st.id where status = 'ready' and (expires is null or expires >= timestamp '2024-01-28 00:00:00')),
 f as (select item_id, source_id, content, title, {_TOK.format('said')} as t, {_BI.format(_SAID)} as b from i),
 q as (select conv_id * 1000 + turn as query_id, {_TOK.format('text')} as t, {_BI.format(_CONV)} as b from conversations where role = 'user'),
-s as (select query_id, item_id, source_id, content, title, 0.45 * len(list_intersect(q.t, f.t)) / greatest(len(q.t), 1) + 0.55 * len(list_intersect(q.b, f.b)) / greatest(len(q.b), 1) as s from q, f),
+s as (select query_id, item_id, source_id, content, title, len(list_intersect(q.t, f.t)) / greatest(len(q.t), 1) * 0.45 + len(list_intersect(q.b, f.b)) / greatest(len(q.b), 1) * 0.55 as s from q, f),
 r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, item_id) as k from s where s > 0)
 select query_id, item_id, round(s, 6) as score, cast(k as int) as rank, 'knowledge:' || source_id || ':' || substr(sha256(source_id || chr(31) || title || chr(31) || content), 1, 16) as ref from r where k <= 8""")
 def knowledge_search(spark, sf):
@@ -353,7 +353,7 @@ def restore_valid(spark, sf):
 select cast(key as varchar) as account_id, cast(raw as varchar) as id, case when n > 1 then 'conflict' when confidence >= 0.95 then 'approved' else 'review' end as state from p""")
 def binding_states(spark, sf):
     k = F.col("o_orderkey")
-    phone = F.concat(F.lit("1380000000"), F.ascii("o_orderstatus") % 10)
+    phone = F.concat(F.lit("1380000000"), F.translate("o_orderstatus", "FOP", "123"))
     rows = _t(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("account"), phone.alias("phone"), (k % 900).cast("string").alias("raw_id"),
         F.format_string("%.2f", (k % 100) / 100).alias("confidence")
