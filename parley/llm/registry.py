@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licences, mixing, neighbours, shards, substrings, toxicity, warc
+from . import decontaminate, jaccard, language, licences, mixing, neighbours, periodic, shards, substrings, toxicity, warc
 
-_MODULES = (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate)
+_MODULES = (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate, periodic)
 QUERIES: dict = {}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES
