@@ -48,7 +48,7 @@ END = 1  # id that ends a document
 LINEAR = 1.0  # cost of a token
 QUADRATIC = 1.0 / (6 * 768)  # cost of a pair of tokens: attention against the rest of a layer of width 768
 GROUP = 128  # sequences packed together
-KNOWN = 500_000  # pieces of text remembered in a worker, and as many words
+KNOWN = 600_000  # parts of text remembered in a worker
 
 
 def default_tokenizer() -> str:
@@ -72,20 +72,22 @@ class Encoder:
             isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.whole.normalizer is None
             and self.whole.truncation is None and self.whole.padding is None and not any(" " in s for s in self.special)
         )
-        self.parts = _Parts(self)
-        self.words: dict[str, list[int]] = {}
-
-    def part(self, text: str) -> bytes:
-        ids: list[int] = []
-        for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(text):
-            got = self.words.get(word)
-            if got is None:
-                if len(self.words) >= KNOWN:
-                    self.words.clear()
-                got = self.words[word] = [t.id for t in self.whole.model.tokenize(word)]
-            ids += got
+        self.parts, self.marks = _Parts(self), {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word of the pre-tokeniser."""
+        ids = [t.id for t in self.whole.model.tokenize(word)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def split(self, text: str) -> bytes:
+        """Ids of a stretch of text that is cut where no token crosses."""
+        return b"".join([self.word(word) for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.split(mark)
+        return self.marks[mark]
+
     def all_of(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -100,7 +102,20 @@ class Encoder:
         # an empty part or one that starts with white space: the space before it may join more of it
         if not all(rest) or _starts_blank(rest):
             return self.all_of(text)
-        return (self.part(first) if first else b"") + b"".join(map(self.parts.__getitem__, rest))
+        return (self.split(first) if first else b"") + b"".join(map(self.parts.__getitem__, rest))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else 256 and on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTES = _byte_letters()
+
+
+def _letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_BYTES)
 
 
 def _starts_blank(parts: list[str]) -> bool:
@@ -108,16 +123,25 @@ def _starts_blank(parts: list[str]) -> bool:
 
 
 class _Parts(dict):
-    """word -> ids of the word after a space."""
+    """What follows a space -> its ids with the space.
+
+    The pre-tokeniser needn't be asked where letters and at most one mark are all there is.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, part: str) -> bytes:
+        if part.isalpha():
+            got = self.encoder.word(_letters(" " + part))
+        elif part[-1] in ".,;:!?" and part[:-1].isalpha():
+            got = self[part[:-1]] + self.encoder.mark(part[-1])
+        else:
+            got = self.encoder.split(" " + part)
         if len(self) >= KNOWN:
             self.clear()
-        got = self[word] = self.encoder.part(" " + word)
+        self[part] = got
         return got
 
 
