@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licences, mixing, neighbours, packing, periodic, shards, substrings, toxicity, warc
+from . import collocations, decontaminate, jaccard, language, licences, mixing, neighbours, packing, periodic, shards, substrings, toxicity, warc
 
-_MODULES = (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate, packing, periodic)
+_MODULES = (substrings, mixing, shards, toxicity, warc, licences, language, neighbours, jaccard, decontaminate, packing, collocations, periodic)
 QUERIES: dict = {}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES
