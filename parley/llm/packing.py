@@ -105,17 +105,19 @@ class Encoder:
         return (self.split(first) if first else b"") + b"".join(map(self.parts.__getitem__, rest))
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else 256 and on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    others = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    return [others.get(b, chr(b)) for b in range(256)]
 
 
 _BYTES = _byte_letters()
 
 
 def _letters(text: str) -> str:
-    return text.encode().decode("latin-1").translate(_BYTES)
+    """Letters of a space and a word."""
+    return _BYTES[32] + (text[1:] if text.isascii() else "".join([_BYTES[b] for b in text[1:].encode()]))
 
 
 def _starts_blank(parts: list[str]) -> bool:
