@@ -46,6 +46,7 @@ from .common import drop_stored, mix, ship, store
 
 DEAL = 1 << 20  # phrase occurrences of a shard, about
 MAPPERS = 2  # arrays that are counted for a shard and then summed
+READ = 1 << 15  # requests for counts that one group answers
 SLICE = 6_000_000  # bytes of text whose phrases are summed before they travel
 BLOOM_BITS = 1 << 27
 GAMMA = 2.0  # bits of a level for each key that is left
@@ -383,27 +384,63 @@ def _word_table(words: DataFrame, shards: int) -> DataFrame:
     return words.mapInArrow(run, "shard long, h binary, v binary, n binary").groupBy("shard").applyInArrow(build, f"shard long, {SLOTS}, n binary")
 
 
-def _named(docs: DataFrame, longest: int, sieves) -> DataFrame:
-    """(lang, phrase) of phrases that may be frequent."""
+def _named(docs: DataFrame, tables: DataFrame, shards: dict[int, int], longest: int, sieves) -> DataFrame:
+    """(lang, phrase, a) of the frequent phrases of two words and more.
+
+    Slices send the phrases that may be frequent with their keys; each shard's table tells
+    which are, and takes one of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sieves.value
         for b in batches:
             for lang, texts in _slices(b):
                 part = Slice(texts, lang)
-                found: list[bytes] = []
                 for k, x in part.levels(longest, lambda j, h, v: held[j].has(h, short(v))):
-                    found += [part.phrase(i, k) for i in x.first[held[k].has(x.h, short(x.v))].tolist()]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(found)), pa.array(found, pa.binary()).cast(pa.string())], names=["lang", "phrase"]
-                    )
-
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
+                    may = held[k].has(x.h, short(x.v))
+                    h, v, first = x.h[may], short(x.v)[may], x.first[may]
+                    of = shard_of(h, shards[k])
+                    order = np.argsort(of, kind="stable")
+                    names = [part.phrase(i, k) for i in first[order].tolist()]
+                    of, (h, v) = _parts(of[order], h[order], v[order])
+                    ends = np.cumsum([0] + [len(x) // 4 for x in v]).tolist()
+                    if of:
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([k] * len(of), pa.int64()), pa.array(of, pa.int64()), pa.array([lang] * len(of)),
+                                pa.array(h, pa.binary()), pa.array(v, pa.binary()),
+                                pa.array([b"\n".join(names[i:j]) for i, j in zip(ends, ends[1:])], pa.binary()),
+                            ],
+                            names=["level", "shard", "lang", "h", "v", "phrases"],
+                        )
+
+    def choose(key: tuple, rows: pa.Table, table: pa.Table) -> pa.Table:
+        langs, phrases, count = [], [], []
+        for row in table.to_pylist():
+            mine, n = Slots.of(row), np.frombuffer(row["n"], np.int64)
+            new = np.ones(len(n), bool)
+            for lang, h, v, names in zip(*(rows.column(c).to_pylist() for c in ("lang", "h", "v", "phrases"))):
+                at = mine.find(np.frombuffer(h, np.uint64), np.frombuffer(v, np.uint32))
+                take = np.flatnonzero((at >= 0) & new[at])
+                if len(take):
+                    split = names.split(b"\n")
+                    phrases += [split[i] for i in take.tolist()]
+                    langs += [lang] * len(take)
+                    count.append(n[at[take]])
+                    new[at[take]] = False
+        counts = np.concatenate([np.empty(0, np.int64), *count])
+        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "a": counts})
+
+    sent = docs.mapInArrow(run, "level long, shard long, lang string, h binary, v binary, phrases binary")
+    return sent.groupBy("level", "shard").cogroup(tables.groupBy("level", "shard")).applyInArrow(choose, "lang string, phrase string, a long")
 
 
 def _read(named: DataFrame, tables: DataFrame, shards: dict[int, int]) -> DataFrame:
-    """(lang, phrase, role, n): the count of the phrase (role 0) and of the parts of its k-th cut (2k - 1 and 2k), read by slot."""
+    """(lang, phrase, a, role, n): the counts of the parts of its k-th cut (roles 2k - 1 and 2k), read by slot.
+
+    A word may be a part of any share of all phrases: its shard's table goes to as many groups
+    as there are READ requests.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,7 +448,6 @@ def _read(named: DataFrame, tables: DataFrame, shards: dict[int, int]) -> DataFr
             want: dict[int, list[tuple[int, int, list[bytes]]]] = {}
             for i, p in enumerate(phrases):
                 w = p.split(b" ")
-                want.setdefault(len(w), []).append((i, 0, w))
                 for k in range(1, len(w)):
                     want.setdefault(k, []).append((i, 2 * k - 1, w[:k]))
                     want.setdefault(len(w) - k, []).append((i, 2 * k, w[k:]))
@@ -421,10 +457,10 @@ def _read(named: DataFrame, tables: DataFrame, shards: dict[int, int]) -> DataFr
                 at = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("lang").take(at), b.column("phrase").take(at), pa.array(role, pa.int64()),
-                        pa.array([level] * len(i), pa.int64()), pa.array(shard_of(h, shards[level])), pa.array(h.view(np.int64)), pa.array(v.view(np.int32)),
+                        *(b.column(c).take(at) for c in ("lang", "phrase", "a")), pa.array(role, pa.int64()), pa.array([level] * len(i), pa.int64()),
+                        pa.array(shard_of(h, shards[level])), pa.array(h.view(np.int64)), pa.array(v.view(np.int32)),
                     ],
-                    names=["lang", "phrase", "role", "level", "shard", "h", "v"],
+                    names=["lang", "phrase", "a", "role", "level", "shard", "h", "v"],
                 )
 
     def answer(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
@@ -433,10 +469,14 @@ def _read(named: DataFrame, tables: DataFrame, shards: dict[int, int]) -> DataFr
         for row in table.to_pylist():
             at = Slots.of(row).find(h, v)
             n[at >= 0] = np.frombuffer(row["n"], np.int64)[at[at >= 0]]
-        return asked.select(["lang", "phrase", "role"]).append_column("n", pa.array(n))
+        return asked.select(["lang", "phrase", "a", "role"]).append_column("n", pa.array(n))
 
-    asked = named.mapInArrow(ask, "lang string, phrase string, role long, level long, shard long, h long, v int")
-    return asked.groupBy("level", "shard").cogroup(tables.groupBy("level", "shard")).applyInArrow(answer, "lang string, phrase string, role long, n long")
+    group = ["level", "shard", "part"]
+    asked = named.mapInArrow(ask, "lang string, phrase string, a long, role long, level long, shard long, h long, v int")
+    load = asked.groupBy("level", "shard").agg(F.ceil(F.count("*") / READ).alias("parts"))
+    asked = asked.join(load, ["level", "shard"]).withColumn("part", F.pmod(F.xxhash64("lang", "phrase"), "parts")).drop("parts")
+    spread = tables.join(load, ["level", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return asked.groupBy(*group).cogroup(spread.groupBy(*group)).applyInArrow(answer, "lang string, phrase string, a long, role long, n long")
 
 
 def collocations(
@@ -455,27 +495,26 @@ def collocations(
     words = store(_words(texts).filter((F.col("n") >= least) | F.col("word").isNull()), "words")
     size = words.agg(F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("all"), F.count("word").alias("frequent")).first()
     total, frequent = size["all"] or 0, size["frequent"]
-    shards = {1: max(1, -(-frequent // deal))} | {k: max(1, -(-total // deal)) for k in range(2, longest + 1)}
+    shards = dict.fromkeys(range(1, longest + 1), max(1, -(-total // deal)))
     tables = {1: store(_word_table(words.filter("word is not null"), shards[1]), "level-1")}
     sieves = {1: _sieve(tables[1], frequent)}
     for k in range(2, longest + 1):
-        held = spark.sparkContext.broadcast(sieves)
-        slots = store(_candidates(_deal(texts, k, shards[k], mappers, held)), "candidates")
-        tables[k] = store(_counts(_deal(texts, k, shards[k], mappers, held), slots, mappers, least), f"level-{k}")
-        drop_stored(slots)
+        dealt = _deal(texts, k, shards[k], mappers, spark.sparkContext.broadcast(sieves))
+        if k > 2:  # far fewer; the keys of all pairs would need more room than the texts, so pairs are made twice
+            dealt = store(dealt, "dealt")
+        slots = store(_candidates(dealt), "candidates")
+        tables[k] = store(_counts(dealt, slots, mappers, least), f"level-{k}")
+        drop_stored(dealt, slots)
         n = tables[k].agg(F.sum(F.length("v") / 4).cast("long").alias("n")).first()["n"] or 0
         sieves = {**sieves, k: _sieve(tables[k], n)}
-    held = spark.sparkContext.broadcast(sieves)
     leveled = None
     for k, t in tables.items():
         t = t.withColumn("level", F.lit(k).cast("long"))
         leveled = t if leveled is None else leveled.unionByName(t)
-    read = _read(_named(texts, longest, held), leveled, shards).groupBy("lang", "phrase").agg(
-        F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("c")
-    )
-    found = store(read.withColumn("a", F.col("c")[F.lit(0).cast("long")]).filter(F.col("a") >= least), "phrases")
-    for t in tables.values():
-        drop_stored(t)
+    named = store(_named(texts, leveled.filter("level > 1"), shards, longest, spark.sparkContext.broadcast(sieves)), "named")
+    read = _read(named, leveled, shards).groupBy("lang", "phrase", "a")
+    found = store(read.agg(F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("c")), "phrases")
+    drop_stored(named, *tables.values())
 
     big = lambda c: c.cast("decimal(15,0)")  # noqa: E731  of products of these, 38 digits hold all
     cuts = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(F.split("phrase", " ")) - 1), lambda k: _cut(k, big)))
