@@ -1,4 +1,4 @@
-"""Similar texts by shared tokens and bigrams."""
+"""Similar texts by shared tokens and bigrams, with bounds on what a pair can reach."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as tx
+from ..session import stored
 
 
 def source_status(sources: DataFrame, as_of) -> DataFrame:
@@ -24,38 +25,120 @@ def fresh(items: DataFrame, as_of) -> DataFrame:
     return items.filter((F.coalesce("expires_at", F.lit("")) == "") | (at >= as_of))
 
 
-def _features(rows: DataFrame, id_: str, text: str, kind: str) -> DataFrame:
-    make = tx.tokens if kind == "t" else tx.bigrams
-    return rows.select(F.col(id_), make(text).alias("a")).select(id_, F.explode("a").alias("f"), F.size("a").alias("n"))
+SEEDS = 5  # postings that a query's first candidates come from, for each result asked for
+BLOCK = 10_000  # postings of a feature that one block holds
+EDGE = 1e-8  # scores are compared to nine digits: what lies this near a bound is not cut
+
+
+def _listed(rows: DataFrame, id_: str, text: str, kinds: str) -> DataFrame:
+    """(id, t, b): the row's distinct tokens and bigrams, as far as asked for."""
+    make = {"t": tx.tokens, "b": tx.bigrams}
+    return rows.select(F.col(id_), *(make[k](text).alias(k) for k in kinds))
+
+
+def _postings(listed: DataFrame, id_: str, kinds: str) -> DataFrame:
+    """(id, f): one row for each feature; kinds don't mix."""
+    return listed.select(id_, F.explode(F.concat(*map(_marked, kinds))).alias("f"))
+
+
+def _marked(kind: str):
+    """A row's features of one kind, with the kind before each."""
+    return F.transform(kind, lambda x: F.concat(F.lit(kind), x))
+
+
+def _best(
+    q: DataFrame, c: DataFrame, qid: str, iid: str, kinds: dict[str, float], k: int, score, extra: float = 0.0, also=(), reach=None
+) -> DataFrame:
+    """(qid, iid, score, rank): the k best pairs that share a feature; what can't be among them is never paired.
+
+    Each feature of a query has a weight, and no score exceeds the sum of the weights shared
+    plus ``extra``. A query's features are put in order, rare ones first. The postings of
+    the rarest give candidates, whose k-th best score bounds the query's from below. From there
+    on only features count from which the weights to the end of the order still reach the bound:
+    an item that shares none of them can't. Common features, whose postings are long, come
+    last, and pairs that only they would make are not built. Pairs whose shared weights, with
+    all that wasn't looked at, miss the bound go before texts are compared. Long postings are
+    joined in blocks. ``reach``: a lower limit than the weights alone give, from what is left
+    of them and the number of the query's (n) and of the item's features (m).
+    """
+    q, c = stored(q, "queries"), stored(c, "items")
+    each = (F.arrays_zip(_marked(x).alias("f"), F.array_repeat(F.lit(w) / F.size(x), F.size(x)).alias("w")) for x, w in kinds.items())
+    count = sum((F.size(x) for x in kinds), F.lit(0))
+    asked = q.select(qid, count.alias("n"), F.inline(F.concat(*each)).alias("f", "w"))
+    own = _postings(c, iid, "".join(kinds)).join(asked.select("f").distinct(), "f", "left_semi").join(c.select(iid, count.alias("m")), iid)
+    held = stored(own.withColumn("block", F.pmod(F.xxhash64(iid), F.lit(1 << 20))), "postings")
+    length = stored(held.groupBy("f").agg(F.count("*").alias("df")), "lengths")
+    rare_first = Window.partitionBy(qid).orderBy("df", "f")
+    asked = stored(
+        asked.join(length, "f").withColumn("upto", F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("rest", F.sum("w").over(rare_first.rowsBetween(0, Window.unboundedFollowing))),
+        "asked",
+    )
+
+    def paired(some: DataFrame, share=None, ok=None) -> DataFrame:
+        """(qid, iid, w, rest) of each shared feature; ``share``: only items of such a part of the blocks."""
+        blocks = F.ceil(F.col("df") / BLOCK)
+        left = some.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        right = held.join(length, "f")
+        if share is not None:
+            right = right.filter(F.col("block") < share * (1 << 20))
+        right = right.select("f", iid, "m", F.pmod("block", blocks).alias("at"))
+        both = left.join(right, ["f", "at"])
+        return (both if ok is None else both.filter(ok)).select(qid, iid, "w", "rest")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        sides = q.select(qid, *(F.col(x).alias(f"__q{x}") for x in (*kinds, *also))), c.select(iid, *(F.col(x).alias(f"__c{x}") for x in (*kinds, *also)))
+        return pairs.join(sides[0], qid).join(sides[1], iid).withColumn("score", score())
+
+    many = float(SEEDS * k)
+    # of a list that is longer than all that is asked for, a part that is expected to hold as much
+    first = paired(asked.filter((F.col("upto") <= many) | (F.col("upto") == F.col("df"))), F.least(F.lit(1.0), many / F.col("df")))
+    order = Window.partitionBy(qid).orderBy(F.desc("score"))
+    seeds = exact(first.select(qid, iid).distinct()).select(qid, "score").withColumn("n", F.row_number().over(order)).filter(F.col("n") == k)
+    bound = asked.select(qid).distinct().join(seeds.select(qid, F.col("score").alias("bound")), qid, "left").fillna(0.0, ["bound"])
+    bound = stored(bound.withColumn("bound", F.col("bound") - EDGE), "bounds")
+    needed = asked.join(bound, qid).filter(F.col("rest") + extra >= F.col("bound"))
+    after = asked.join(bound, qid).filter(F.col("rest") + extra < F.col("bound")).groupBy(qid).agg(F.max("rest").alias("left"))
+    ok = None if reach is None else reach(F.col("rest"), F.col("n"), F.col("m")) + extra >= F.col("bound")
+    pairs = paired(needed, ok=ok).groupBy(qid, iid).agg(F.sum("w").alias("sum"))
+    if reach is None:  # else a pair's later features may be missing from its sum
+        pairs = pairs.join(bound, qid).join(after, qid, "left").filter(F.col("sum") + F.coalesce("left", F.lit(0.0)) + extra >= F.col("bound"))
+    return ranked(exact(pairs.select(qid, iid)).select(qid, iid, "score"), qid, iid, k)
 
 
 def overlap_search(queries: DataFrame, items: DataFrame, *, qid="query_id", query="query", iid="item_id", text="content", k=5) -> DataFrame:
-    """(qid, iid, score, rank): the k best of each query, by an inverted index on features.
+    """(qid, iid, score, rank): the k best of each query that share a feature with it.
 
-    Scores are those of :func:`parley.functions.text.overlap_similarity`; only pairs that share
-    a feature can have one above 0, and only these are built.
+    Scores are those of :func:`parley.functions.text.overlap_similarity`.
     """
-    score = None
-    for kind, weight in (("t", 0.45), ("b", 0.55)):
-        q, c = _features(queries, qid, query, kind), _features(items, iid, text, kind).drop("n")
-        part = q.join(c, "f").groupBy(qid, iid).agg((F.count("*") / F.max("n") * weight).alias(f"s{kind}"))
-        score = part if score is None else score.join(part, [qid, iid], "full")
-    score = score.select(qid, iid, (F.coalesce("st", F.lit(0.0)) + F.coalesce("sb", F.lit(0.0))).alias("score"))
-    return ranked(score, qid, iid, k)
+    kinds = {"t": 0.45, "b": 0.55}
+
+    def score():
+        found = lambda x: F.size(F.array_intersect(f"__q{x}", f"__c{x}")) / F.greatest(F.size(f"__q{x}"), F.lit(1))
+        return found("t") * 0.45 + found("b") * 0.55
+
+    return _best(_listed(queries, qid, query, "tb"), _listed(items, iid, text, "tb"), qid, iid, kinds, k, score)
 
 
 def jaccard_search(
     queries: DataFrame, items: DataFrame, *, qid="query_id", query="query", iid="item_id", text="content", k=5, bonus=None
 ) -> DataFrame:
     """(qid, iid, score, rank) by Jaccard similarity of bigrams; ``bonus``: (column, points) for equal values."""
-    q, c = _features(queries, qid, query, "b"), _features(items, iid, text, "b").withColumnRenamed("n", "m")
-    pair = q.join(c, "f").groupBy(qid, iid).agg(F.count("*").alias("both"), F.max("n").alias("n"), F.max("m").alias("m"))
-    rows = pair.select(qid, iid, (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("score"))
+    q, c, also, more = _listed(queries, qid, query, "b"), _listed(items, iid, text, "b"), (), 0.0
     if bonus:
-        col, points = bonus
-        rows = rows.join(queries.select(qid, F.col(col).alias("__q")), qid).join(items.select(iid, F.col(col).alias("__i")), iid)
-        rows = rows.select(qid, iid, (F.col("score") + F.when(F.col("__q") == F.col("__i"), points).otherwise(0.0)).alias("score"))
-    return ranked(rows, qid, iid, k)
+        col, more = bonus
+        q, c = (x.join(y.select(i, F.col(col).alias("key")), i) for x, y, i in ((q, queries, qid), (c, items, iid)))
+        also = ("key",)
+
+    def score():
+        like = tx.jaccard_similarity(F.col("__qb"), F.col("__cb"))
+        return like + F.when(F.col("__qkey") == F.col("__ckey"), more).otherwise(0.0) if bonus else like
+
+    def reach(rest, n, m):
+        both = F.least(rest * n + EDGE, m.cast("double"))
+        return both / (n + m - both)
+
+    return _best(q, c, qid, iid, {"b": 1.0}, k, score, max(0.0, more), also, reach)
 
 
 def ranked(rows: DataFrame, qid: str, iid: str, k: int) -> DataFrame:
