@@ -62,7 +62,7 @@ def _best(
     of them and the number of the query's (n) and of the item's features (m).
     """
     q, c = stored(q, "queries"), stored(c, "items")
-    each = (F.arrays_zip(_marked(x).alias("f"), F.array_repeat(F.lit(w) / F.size(x), F.size(x)).alias("w")) for x, w in kinds.items())
+    each = (F.arrays_zip(_marked(x).alias("f"), F.array_repeat(F.lit(w) / F.greatest(F.size(x), F.lit(1)), F.size(x)).alias("w")) for x, w in kinds.items())
     count = sum((F.size(x) for x in kinds), F.lit(0))
     asked = q.select(qid, count.alias("n"), F.inline(F.concat(*each)).alias("f", "w"))
     own = _postings(c, iid, "".join(kinds)).join(asked.select("f").distinct(), "f", "left_semi").join(c.select(iid, count.alias("m")), iid)

@@ -58,15 +58,19 @@ def current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = ()) -> DataFrame:
-    """New rows over old ones; columns in ``keep`` stay as they were where a row was there."""
+    """New rows over old ones; columns in ``keep`` stay as they were where a row was there. A null key equals a null key."""
     o = old.select(*(F.col(c).alias(f"__o_{c}") for c in old.columns))
-    cond = [F.col(k) == F.col(f"__o_{k}") for k in key]
-    on = cond[0]
-    for c in cond[1:]:
-        on &= c
-    joined = new.join(o, on, "left")
+    joined = new.join(o, _same(key, "__o_"), "left")
     fresh = joined.select(*(F.coalesce(f"__o_{c}", c).alias(c) if c in keep else F.col(c) for c in new.columns))
-    return fresh.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
+    gone = new.select(*(F.col(k).alias(f"__n_{k}") for k in key))
+    return fresh.unionByName(old.join(gone, _same(key, "__n_"), "left_anti"), allowMissingColumns=True)
+
+
+def _same(key: list[str], prefix: str):
+    on = F.lit(True)
+    for k in key:
+        on &= F.col(k).eqNullSafe(F.col(prefix + k))
+    return on
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

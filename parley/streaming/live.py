@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import sinks
+from ..sources import manifest
 from ..sources.readers import EVENT
 
 
@@ -36,16 +38,21 @@ def session_spans(events: DataFrame, *, key: str, at="ts", gap_seconds: int = 90
     return out.drop("w")
 
 
-def keep_current(rows: DataFrame, root: str, name: str, key: list[str], checkpoint: str, **trigger) -> StreamingQuery:
-    """Start a query that upserts each batch into the published table ``name``.
+def keep_current(rows: DataFrame, root: str, name: str, key: list[str], checkpoint: str, *, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Start a query that upserts each batch into the published table ``name`` (see :mod:`~..sources.manifest`).
 
-    A batch that is run again after a failure finds its own rows by key, so the table is the
-    same. Of a batch's rows with one key any one is kept; make keys unique before.
+    A batch reads and writes the buckets it touches. One that is run again after a failure
+    finds its own rows by key, so the table is the same. Of a batch's rows with one key any
+    one is kept; make keys unique before.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(key)
-        old = sinks.current(batch.sparkSession, root, name)
-        sinks.publish(fresh if old is None else sinks.upsert(old, fresh, key), root, name)
+        spark = batch.sparkSession
+
+        def build(now):
+            old = now.tables.get(name) if now else None
+            return {name: manifest.upsert_table(spark, old, batch.dropDuplicates(key), root, name, key, buckets=buckets)}
+
+        manifest.publish(spark, root, f"{name}-{uuid.uuid4().hex}", build)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from parley.operators.turns import sessions
-from parley.sources import sinks
+from parley.sources import manifest
 from parley.streaming import live
 
 SCHEMA = "event_id string, user string, ts timestamp"
@@ -54,4 +54,4 @@ def test_table_is_kept_current(spark, tmp_path):
         written(folder, 3 * k)
         rows = live.first_events(live.event_stream(spark, f"file://{folder}", schema=SCHEMA))
         assert live.keep_current(rows, root, "events", ["event_id"], f"file://{tmp_path}/cp").awaitTermination(90)
-        assert sorted(r["event_id"] for r in sinks.current(spark, root, "events").collect()) == ["a", "b", "c", "d", "e", "z"]
+        assert sorted(r["event_id"] for r in manifest.read(spark, manifest.load(spark, root), "events").collect()) == ["a", "b", "c", "d", "e", "z"]
