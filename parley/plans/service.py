@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons, parse
 from ..functions import text as tx
-from ..operators import cards, detail, identity, orders, retrieval, sampling, serving
+from ..operators import cards, detail, identity, orders, outcomes, retrieval, sampling, serving
 from ..sources import readers, sinks
 from .catalogue import _BI, _CONV, _EVID, _LINES, _TOK, _event_turns, _lines, _t, _TURNS, query
 
@@ -471,3 +471,61 @@ def template_form(spark, sf):
 @query("""select doc_id, regexp_matches(lower(text), 'price|stock|refund|shipping|价格|库存|退款|发货') as dynamic from documents where text is not null""")
 def dynamic_questions(spark, sf):
     return _t(spark, sf, "documents").filter("text is not null").select("doc_id", tx.asks_for_facts("text").alias("dynamic"))
+
+
+_KINDS = "case cast(event_id % 13 as int) when 1 then 'cancel' when 2 then 'return' when 3 then 'return_taro' when 4 then 'exchange' when 5 then 'compensation' when 6 then 'other' when 7 then 'return' end"
+_ORDERS = f"""select user_id % 40 as key, cast(ts + interval 8 hour as date) as paid_on, cast(floor(value * 100) as bigint) as revenue_minor, {_KINDS} as refund_type,
+ cast(case when event_id % 13 in (2, 3, 4) then floor(value * 100) when event_id % 13 = 7 then floor(value * 30) end as bigint) as refund_minor,
+ case when event_id % 13 in (2, 7) then cast(ts + interval 8 hour as date) + cast(event_id % 45 as int) end as refund_on, event_id % 17 = 0 as aftersale_open, event_id % 19 = 0 as anomalous
+ from events where event_type = 'purchase' and event_id % 5 = 0"""
+SEEN = "2024-02-04 17:00:00"
+
+
+@query(f"""with o as (select *, paid_on + 30 < date '2024-02-05' as over, refund_type in ('return', 'return_taro') as ret,
+ coalesce(refund_minor between 0 and revenue_minor and revenue_minor > 0 and refund_on is not null and not aftersale_open, false) as whole,
+ case when refund_type is null or refund_on > paid_on + 30 then 'none' else refund_type end as kind from ({_ORDERS}) where revenue_minor > 0),
+f as (select *, case when kind = 'cancel' then false when kind in ('return', 'return_taro') then case when whole and refund_minor >= revenue_minor then false when whole and over then true end
+  when kind = 'exchange' then case when coalesce(refund_minor, 0) = 0 and not aftersale_open and over then true end when kind = 'other' then null when over then true end as retained,
+ case when kind in ('none', 'other') then case when kind = 'none' and over then false end else true end as aftersale,
+ case when kind = 'exchange' then true when kind <> 'other' and over then false end as exchange, case when kind = 'compensation' then true when kind <> 'other' and over then false end as compensation,
+ case when kind in ('return', 'return_taro') then case when whole then refund_minor end when kind in ('none', 'exchange', 'compensation') and over then 0 end as lost from o),
+c as (select event_id as card_id, user_id % 40 as key, user_id as customer_key, cast(ts + interval 8 hour as date) as day, user_id % 7 <> 3 and user_id % 40 <> 9 as ok from events where event_type = 'signup'),
+j as (select c.*, (select min(f.paid_on) from f where f.key = c.key and f.paid_on between c.day and c.day + 7) as first from c where ok),
+d as (select j.card_id, j.customer_key, j.day, j.first,
+  (select count(*) from f where f.key = j.key and f.paid_on between j.day and j.day + 7) as orders,
+  (select count(*) from c x where x.ok and x.key = j.key and x.day between j.first - 7 and j.first) as met,
+  (select count(distinct x.customer_key) from c x where x.ok and x.key = j.key and x.day between j.first - 7 and j.first) as people,
+  count(*) filter (f.key is not null) as n, bool_or(f.anomalous) as bad, bool_and(f.retained) as kept, count(f.retained) as nk,
+  bool_or(f.aftersale) as aft, count(f.aftersale) as na, bool_or(f.exchange) as exc, count(f.exchange) as ne, bool_or(f.compensation) as com, count(f.compensation) as nc,
+  sum(f.lost) as lost, count(f.lost) as nl, sum(f.revenue_minor) as paid
+  from j left join f on f.key = j.key and f.paid_on = j.first group by all),
+g as (select *, list_filter([case when first = day then 'same_day' end, case when met > 1 then 'multiple_cards' end, case when orders > 1 then 'multiple_orders' end,
+  case when people > 1 then 'shared_phone_multiple_conversations' end], lambda x: x is not null and first is not null) as flags from d)
+select c.card_id, case when g.first <= c.day + 1 then true when c.ok and date '2024-02-05' > c.day + 1 then false end as paid_1d,
+ case when g.first <= c.day + 3 then true when c.ok and date '2024-02-05' > c.day + 3 then false end as paid_3d,
+ case when g.first <= c.day + 7 then true when c.ok and date '2024-02-05' > c.day + 7 then false end as paid_7d,
+ case when not kept then false when n > 0 and nk = n then true end as retained_30d, case when aft then true when n > 0 and na = n then false end as aftersale_30d,
+ case when exc then true when n > 0 and ne = n then false end as exchange_30d, case when com then true when n > 0 and nc = n then false end as compensation_30d,
+ case when n > 0 and nl = n then round(lost / paid, 6) end as refund_loss_ratio,
+ case when not c.ok then 'identity_unverified' when first is null then 'none' when bad then 'quality_unknown' when len(flags) > 0 then 'ambiguous' else 'associated' end as attribution_state,
+ array_to_string(coalesce(flags, []), '|') as attribution_flags
+from c left join g using (card_id)""")
+def card_outcomes(spark, sf):
+    e = _t(spark, sf, "events")
+    k, day = F.col("event_id"), F.to_date(F.from_utc_timestamp("ts", "Asia/Shanghai"))
+    m, cents = k % 13, F.floor(F.col("value") * 100)
+    kind = F.element_at(F.array(*(F.lit(x) for x in (None, "cancel", "return", "return_taro", "exchange", "compensation", "other", "return"))), (m + 1).cast("int"))
+    paid = e.filter("event_type = 'purchase' and event_id % 5 = 0").select(
+        (F.col("user_id") % 40).alias("key"), day.alias("paid_on"), cents.cast("long").alias("revenue_minor"), F.when(m < 8, kind).alias("refund_type"),
+        F.when(m.isin(2, 3, 4), cents).when(m == 7, F.floor(F.col("value") * 30)).cast("long").alias("refund_minor"),
+        F.when(m.isin(2, 7), F.date_add(day, (k % 45).cast("int"))).alias("refund_on"), (k % 17 == 0).alias("aftersale_open"), (k % 19 == 0).alias("anomalous"),
+    )
+    u = F.col("user_id")
+    met = e.filter("event_type = 'signup'").select(
+        k.alias("card_id"), F.when(u % 40 != 9, u % 40).alias("key"), u.alias("customer_key"), F.col("ts").alias("at"), (u % 7 != 3).alias("verified")
+    )
+    out = outcomes.card_outcomes(met, paid, observed_until=F.lit(SEEN).cast("timestamp"))
+    return out.select(
+        "card_id", "paid_1d", "paid_3d", "paid_7d", *outcomes.OUTCOMES, "refund_loss_ratio", "attribution_state",
+        F.array_join("attribution_flags", "|").alias("attribution_flags"),
+    )
