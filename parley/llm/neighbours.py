@@ -12,13 +12,14 @@ the other half measures what that gives. Every row is indexed.
 Buckets are the keys: rows go to the part that owns their bucket, once for each table, and a
 query to the parts that own buckets it visits, with the list of these. A part has about
 ``ROWS`` rows; a bucket of more is split over as many parts by the rows' hashes. A task holds
-one part's rows, takes its queries in batches, scores each batch against the buckets it visits
-by the exact product in double precision and returns every query's best; the best of all parts
-and tables are merged.
+one part's rows, each once however many of its tables' buckets the part owns, takes its queries
+in batches, scores each batch against the buckets it visits by the exact product in double
+precision and returns every query's best; the best of all parts are merged. Recall is then
+measured on the merged result of the sample's other half.
 
 Where ``PROBES`` probes don't reach ``RECALL``, or the measured recall is under ``LEAST``, all
 rows are scored, in blocks of queries and rows; so they are for each query that found fewer
-than k rows, or than all there are.
+than k rows, or than all there are. ``scanned`` tells which way a row came.
 
 Defined results: vectors null, empty, zero or with null or non-finite components take no
 part, as queries or candidates, nor do those of another length than most (ties: the
@@ -147,64 +148,75 @@ def clean(rows: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int, fl
 
 
 def _exact(queries: np.ndarray, groups: DataFrame, k: int) -> dict:
-    """Exact neighbours of a few queries by a scan: query position -> vectors."""
+    """Exact neighbours of a few queries by a scan: query position -> (g1, g2, v) of vectors."""
     held = groups.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]):
         q = held.value
         for b in batches:
             if b.num_rows:
-                s = q @ _matrix(b.column(0)).T
+                s = q @ _matrix(b.column(2)).T
                 n = min(k, s.shape[1])
                 at = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 own = pa.array(np.repeat(np.arange(len(q)), n))
+                at = pa.array(at.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(np.take_along_axis(s, at, 1).ravel()), b.column(0).take(pa.array(at.ravel()))], names=["q", "s", "v"]
+                    [own, pa.array(np.take_along_axis(s, at.to_numpy().reshape(len(q), n), 1).ravel()), *(c.take(at) for c in b.columns)],
+                    names=["q", "s", "g1", "g2", "v"]
                 )
 
-    best = groups.select("v").mapInArrow(run, "q long, s double, v array<double>")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
+    best = groups.select("g1", "g2", "v").mapInArrow(run, "q long, s double, g1 long, g2 long, v array<double>")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g1", "g2"))
     out: dict = {}
-    for r in best.withColumn("r", rank).filter(F.col("r") <= k).select("q", "v").collect():
-        out.setdefault(r["q"], []).append(r["v"])
+    for r in best.withColumn("r", rank).filter(F.col("r") <= k).orderBy("q", "r").collect():
+        out.setdefault(r["q"], []).append((r["g1"], r["g2"], r["v"]))
     return out
 
 
-def fit(hashes: Hashes, groups: DataFrame, queries: DataFrame, k: int) -> tuple[np.ndarray, float]:
-    """Perturbation sets to visit, and the recall that they have on queries not used to choose them."""
+def fit(hashes: Hashes, groups: DataFrame, queries: DataFrame, k: int) -> tuple[np.ndarray, dict]:
+    """Perturbation sets to visit (none: they don't suffice), and {query: its exact neighbours (g1, g2)} held out."""
     sets = perturbations(hashes.bits, PROBES)
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
     if not sample:
-        return sets[:1], 1.0
+        return sets[:1], {}
     q = np.array([r["v"] for r in sample], np.float64)
     near = _exact(q, groups, k + 1)
     visited = hashes.probes(q, sets)
-    first: tuple[list, list] = ([], [])
-    for i, vs in near.items():
-        other = np.array(vs, np.float64)
-        other = other[(other != q[i]).any(1)][:k]  # its own vector is found always
-        for row in hashes.of(other) if len(other) else ():
-            hit = (visited[i] == row[:, None]).any(0)
-            first[i % 2].append(int(hit.argmax()) if hit.any() else len(sets))
-    if not first[0]:
-        return sets[:1], 1.0
-    need = int(np.quantile(np.array(first[0]), RECALL, method="higher")) + 1
-    if need > len(sets):
-        return sets, 0.0
-    return sets[:need], float((np.array(first[1] or first[0]) < need).mean())
+    first, held = [], {}
+    for i, found in near.items():
+        other = [x for x in found if (np.array(x[2]) != q[i]).any()][:k]  # its own vector is found always
+        if i % 2 or len(near) == 1:
+            held[sample[i]["vec_id"]] = {x[:2] for x in other}
+        if i % 2 == 0 and other:
+            for row in hashes.of(np.array([x[2] for x in other], np.float64)):
+                hit = (visited[i] == row[:, None]).any(0)
+                first.append(int(hit.argmax()) if hit.any() else len(sets))
+    if not first:
+        return sets[:1], held
+    need = int(np.quantile(np.array(first), RECALL, method="higher")) + 1
+    return sets[: need if need <= len(sets) else 0], held
+
+
+def measured(best: DataFrame, held: dict) -> float:
+    """Part of the held-out queries' exact neighbours that the merged vectors (:func:`_top`) have; at most SAMPLE queries are read."""
+    wanted = sum(len(v) for v in held.values())
+    if not wanted:
+        return 1.0
+    rows = best.filter(F.col("query_id").isin(list(held))).select("query_id", "g1", "g2").collect()
+    return sum((r["g1"], r["g2"]) in held[r["query_id"]] for r in rows) / wanted
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, *, k=20, vec_id="vec_id", vector="embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score, recall): the k nearest rows of each query that were found, k if there are as many.
+    """(query_id, rank, vec_id, score, recall, scanned): the k nearest rows of each query that were found, k if there are as many.
 
-    recall is that of the fit's held-out sample, 1 where all rows were scored.
+    recall is that of the held-out sample's queries, 1 where all rows were scored (scanned).
     """
     spark = rows.sparkSession
     ship(spark)
     ok, dim, largest = clean(rows, vec_id, vector)
     asked = clean(queries, vec_id, vector)[0].filter("vec_id is not null")
     if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double, scanned boolean")
     asked = asked.filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     # equal vectors: k + 1 smallest ids of each are all that a query can return
     same = Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last())
@@ -215,10 +227,20 @@ def neighbours(rows: DataFrame, queries: DataFrame, *, k=20, vec_id="vec_id", ve
     asked = store(asked, "queries")
     n = groups.count()
     hashes = Hashes(dim, float(largest), n)
-    sets, recall = fit(hashes, groups, asked, k)
+    sets, held = fit(hashes, groups, asked, k)
+
+    def scanned(some: DataFrame) -> DataFrame:
+        out = _spread(_top(_scan(groups, some, k), k), members, k)
+        return out.withColumn("recall", F.lit(1.0)).withColumn("scanned", F.lit(True))
+
+    if not len(sets):
+        return scanned(asked)
+    best = store(_top(_visit(groups, n, asked, hashes, sets, k), k), "best")
+    recall = measured(best, held)
     if recall < LEAST:
-        return _merged(_scan(groups, asked, k), members, k).withColumn("recall", F.lit(1.0))
-    out = store(_merged(_visit(groups, n, asked, hashes, sets, k), members, k).withColumn("recall", F.lit(recall)), "found")
+        return scanned(asked)
+    out = _spread(best, members, k).withColumn("recall", F.lit(recall)).withColumn("scanned", F.lit(False))
+    out = store(out, "found")
     total = ok.count()
     rest = ok.groupBy("vec_id").agg((total - F.count("*")).alias("others"))
     got = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got"))
@@ -228,7 +250,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, *, k=20, vec_id="vec_id", ve
     if not few.limit(1).count():
         return out
     whole = out.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
-    return whole.unionByName(_merged(_scan(groups, few, k), members, k).withColumn("recall", F.lit(1.0)))
+    return whole.unionByName(scanned(few))
 
 
 _BEST = "query_id long, g1 long, g2 long, least long, score double"
@@ -245,14 +267,16 @@ def _best(ids: np.ndarray, q: np.ndarray, seen: np.ndarray, d: np.ndarray, names
 
 
 class _Part:
-    """Rows of one part by bucket."""
+    """Vectors of one part, each once, and by bucket the places of its vectors."""
 
     def __init__(self, batches: list[pa.RecordBatch]):
         t = pa.Table.from_batches(batches)
         order = np.argsort(t.column("key").to_numpy(), kind="stable")
         self.keys = t.column("key").to_numpy()[order]
-        self.names = np.stack([t.column(c).to_numpy() for c in ("g1", "g2", "least")], 1)[order]
-        self.d = _matrix(t.column("v").combine_chunks())[order]
+        names = np.stack([t.column(c).to_numpy() for c in ("g1", "g2", "least")], 1)
+        self.names, one, at = np.unique(names, axis=0, return_index=True, return_inverse=True)
+        self.d = _matrix(t.column("v").combine_chunks().take(pa.array(one)))
+        self.at = at.reshape(-1)[order]
         self.buckets, self.first = np.unique(self.keys, return_index=True)
         self.last = np.append(self.first[1:], len(self.keys))
 
@@ -270,8 +294,8 @@ class _Part:
         edges = np.flatnonzero(np.diff(at)) + 1
         for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
             if x < y:
-                own, lo, hi = who[x:y], self.first[at[x]], self.last[at[x]]
-                seen[own, lo:hi] = q[own] @ self.d[lo:hi].T
+                own, here = who[x:y], self.at[self.first[at[x]] : self.last[at[x]]]
+                seen[np.ix_(own, here)] = q[own] @ self.d[here].T
         return _best(b.column("g1").to_numpy(), q, seen, self.d, self.names, k)
 
 
@@ -382,11 +406,14 @@ def _scan(groups: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return wanted.groupBy("qb", "db").cogroup(data.groupBy("qb", "db")).applyInPandas(block, _BEST)
 
 
-def _merged(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query, from the best vectors of all parts; one met in several tables counts once."""
-    found = found.distinct()
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k + 1 best vectors of each query, from the best of all parts; one met in several parts counts once."""
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "least", "g1", "g2"))
-    best = found.withColumn("r", first).filter(F.col("r") <= k + 1).drop("r")
+    return found.distinct().withColumn("r", first).filter(F.col("r") <= k + 1).drop("r")
+
+
+def _spread(best: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, from its best vectors (:func:`_top`)."""
     spread = best.join(members.drop("v"), ["g1", "g2"]).filter("query_id <> vec_id or vec_id is null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     out = spread.withColumn("rank", rank).filter(F.col("rank") <= k)
