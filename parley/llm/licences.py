@@ -47,8 +47,6 @@ JOINED = rf"([^\n]{{{WRAP - 1}}}[^.!?:;\s])[ \t\r]*\n"
 UNKNOWN, NONE = "unknown", "none"
 VARIANTS, SEED = 6, 11
 ANCHOR_ODDS, LEAST_ODDS = 2.0, 1.0  # log odds of licence paragraphs against others: of a telling n-gram, and of an anchor
-OFTEN = 10  # notices that a word of one or two letters must be in to be an anchor
-EVERYDAY = 3  # plain texts with a word from which on it is no anchor, licence words aside
 # Notices by family.
 TEMPLATES = {
     "MIT": [
@@ -151,8 +149,7 @@ def anchors(rows: list[tuple[str, str]]) -> frozenset[str]:
     """Words of which each n-gram that tells licence paragraphs from others has one.
 
     Such n-grams are ``ANCHOR_ODDS`` or more likelier in licence paragraphs. Words are taken in
-    order of their own odds while they cover one that has none so far; everyday words, which
-    several of the plain texts have, are not taken.
+    order of their own odds while they cover one that has none so far.
     """
     yes, no = {}, {}
     for text, kind in rows:
@@ -161,11 +158,7 @@ def anchors(rows: list[tuple[str, str]]) -> frozenset[str]:
             into[g] = into.get(g, 0) + 1
     n, m = sum(k != NONE for _, k in rows), sum(k == NONE for _, k in rows)
     odds = lambda g: math.log((yes.get(g, 0) + 0.5) / n) - math.log((no.get(g, 0) + 0.5) / m)
-    everyday = [set(words(t)) for t in PLAIN]
     told = {w for ts in (*TEMPLATES.values(), OTHERS) for t in ts for w in words(t) if len(w) > 1 and not w[0].isdigit()}
-    notices = [set(words(t)) for ts in TEMPLATES.values() for t in ts]
-    told = {w for w in told if sum(w in t for t in everyday) < EVERYDAY or w.startswith("licen")}
-    told = {w for w in told if len(w) > 2 or sum(w in t for t in notices) >= OFTEN}
     left = [set(g.split(" ")) for g, c in yes.items() if c >= 3 and odds(g) >= ANCHOR_ODDS]
     found = set()
     for w in sorted(told, key=lambda w: (-odds(w), w)):
@@ -253,7 +246,9 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     lines = may.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", JOINED, "$1 "), "\n")).alias("paragraph", "raw"))
     lines = lines.select("doc_id", "paragraph", F.regexp_extract_all(F.lower("raw"), F.lit(f"({WORD})"), 1).alias("w"))
     lines = lines.filter(F.arrays_overlap("w", F.array(*(F.lit(h) for h in hooks))))
-    lines = store(lines.select("doc_id", "paragraph", F.array_join("w", " ").alias("para")), "paragraphs")
+    lines = lines.select("doc_id", "paragraph", F.array_join("w", " ").alias("para"))
+    lines = store(lines.withColumn("pid", F.unhex(F.md5("para"))), "paragraphs")
+    # each text once, in the task that its hash names: all sums by text are made there, without another shuffle
     paras = lines.select("para").distinct()
 
     def n_grams(w, n: int):
@@ -276,12 +271,14 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     scored = sums.withColumn("e", odds).withColumn("k", best)
     scored = scored.select("para", F.get(F.array(*(F.lit(f) for f in classes)), F.col("k")).alias("guess"), F.round(F.get("e", F.col("k")) / total, 6).alias("probability"))
     scored = scored.filter(F.col("guess") != NONE)
-    held = bag.join(same, "gram").groupBy("para", "family", "template").agg((F.count("*") / F.max("size")).alias("c"))
-    held = held.groupBy("para", F.col("family").alias("guess")).agg(F.round(F.max("c"), 6).alias("containment"))
-    found = scored.join(held, ["para", "guess"], "left")
-    family = F.when((F.col("probability") >= SURE), F.col("guess")).otherwise(F.lit(UNKNOWN))
-    found = found.withColumn("family", family).withColumn("containment", F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.coalesce("containment", F.lit(0.0))))
-    out = lines.join(found, "para")
+    known = scored.select("*", F.explode(of).alias("gram")).join(same.withColumnRenamed("family", "guess"), ["gram", "guess"], "left")
+    key = ["para", "guess", "probability"]
+    found = known.groupBy(*key, "template").agg(F.coalesce(F.count("size") / F.max("size"), F.lit(0.0)).alias("c"))
+    found = found.groupBy(*key).agg(F.round(F.max("c"), 6).alias("containment"))
+    family = F.when(F.col("probability") >= SURE, F.col("guess")).otherwise(F.lit(UNKNOWN))
+    found = found.select(F.unhex(F.md5("para")).alias("pid"), family.alias("family"), "probability", "containment")
+    found = found.withColumn("containment", F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("containment")))
+    out = lines.drop("para").join(found, "pid")
     return out.select("doc_id", "paragraph", "family", "probability", "containment", (F.col("containment") >= SAME).alias("confirmed"))
 
 
