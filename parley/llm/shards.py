@@ -10,10 +10,10 @@ its group is (ties: by hash), and grants moves under quotas: between two shards
 bytes as ask in the other direction, and beyond that what linked nodes may still fill of
 the target. Requests are granted by ``STEPS`` hash steps for each pair of shards, whose
 bytes are the only thing the driver reads. Rounds end when less than ``STILL`` of the bytes
-ask or nothing is granted, at the latest after ``ROUNDS``. Then nodes without links, and others
-only where these don't suffice, move from shards above the mean to those below it until
-sizes are even, planned in the same way on a histogram. :func:`cut_edges` counts what is left
-apart.
+ask or nothing is granted, at the latest after ``ROUNDS``. Then nodes without links move from shards above the mean to those
+below it until sizes are even, planned in the same way on a histogram. Linked ones move only
+from shards still more than ``SLACK`` over the mean, a group's nodes of one shard together; only
+groups of more than ``SLACK`` of a shard are parted. :func:`cut_edges` counts what is left apart.
 
 Defined results: a null text has size 1 and is linked with nothing (each such row is alone
 by its id); an empty text has size 1; texts of any length are hashed and sized whole; a null id
@@ -35,6 +35,7 @@ GRAIN = 256
 STEPS = 256
 FINE = 4096
 ROUNDS, STILL = 16, 0.0002
+SLACK = 0.01  # of a shard: what is left uneven rather than moving linked nodes, and groups that are kept whole
 FILL = 0.98  # part of a shard that linked nodes may fill while labels move
 SLOT_ROWS = 20_000  # rows numbered by one task at once
 MOST_BUCKETS = 10_000  # counts of buckets (40 bytes for each shard) up to which they are broadcast
@@ -91,7 +92,7 @@ def _level(cells: dict[int, list[tuple[int, int, int]]], load: list[int]) -> dic
         for i in sorted(range(len(load)), key=lambda x: -load[x]):
             for _, step, b in sorted((c for c in cells.get(i, ()) if c[0] == linked), key=lambda c: (-c[2], c[1])):
                 j = min(range(len(load)), key=lambda x: load[x])
-                if load[i] - b >= mean - b / 2 and load[j] + b <= mean + b / 2 and load[i] - load[j] > b and (not linked or load[i] > mean * 1.001):
+                if load[i] - b >= mean - b / 2 and load[j] + b <= mean + b / 2 and load[i] - load[j] > b and (not linked or load[i] > mean * (1 + SLACK)):
                     load[i] -= b
                     load[j] += b
                     moves[(i, linked)].append((step, j))
@@ -121,9 +122,10 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text", keep=True)
     )
     whole = held.join(large.select(*key), key, "left_anti").select(*key, F.lit(0).cast("long").alias("piece"), F.col("held").alias("bytes"), "rows")
     nodes = whole.unionByName(pieces)
-    sizes = nodes.groupBy("group").agg(F.sum("rows").alias("all"))
+    sizes = nodes.groupBy("group").agg(F.sum("rows").alias("all"), F.sum("bytes").alias("mass"))
     nodes = nodes.join(sizes, "group").select(
-        *key, "piece", "bytes", "rows", (F.col("all") > 1).cast("int").alias("linked"), F.col("start").alias("shard")
+        *key, "piece", "bytes", "rows", (F.col("all") > 1).cast("int").alias("linked"), F.col("start").alias("shard"),
+        (F.col("mass") * shards <= SLACK * total).alias("small")
     )
     nodes = store(nodes.withColumn("h", F.xxhash64(*key, "piece")), "nodes")
 
@@ -161,7 +163,8 @@ def place(docs: DataFrame, *, shards=8, doc_id="doc_id", text="text", keep=True)
     load = loads(nodes)
     # even sizes, in two passes: a second one deals with what the first one's steps left
     for fine in range(2):
-        step = F.pmod(F.shiftright("h", 12 * (fine + 1)), F.lit(FINE)).cast("int")
+        by = F.when(F.col("small"), F.xxhash64("group")).otherwise(F.col("h"))
+        step = F.pmod(F.shiftright(by, 12 * (fine + 1)), F.lit(FINE)).cast("int")
         cells: dict = defaultdict(list)
         for r in nodes.groupBy("shard", "linked", step.alias("step")).agg(F.sum("bytes").alias("b")).collect():
             cells[r["shard"]].append((r["linked"], r["step"], r["b"]))
