@@ -6,8 +6,9 @@ tables hashes by Gaussian projections, floor((a.v + b)/WIDTH), as many as make b
 ``FILL`` vectors. A query visits its own bucket and then perturbed ones in estimated order of
 success (the precomputed sequence of perturbation sets over the sorted distances to the cell's
 borders). How many it visits is fitted on one half of a bounded sample of ``SAMPLE`` queries,
-whose exact neighbours are found by a scan, so that ``RECALL`` of these lie in visited buckets;
-the other half measures what that gives. Every row is indexed.
+whose exact neighbours are found by a scan, so that ``RECALL`` of these, and two standard errors
+of the sample more, lie in visited buckets; the other half measures what that gives. Every row is
+indexed.
 
 Buckets are the keys: rows go to the part that owns their bucket, once for each table, and a
 query to the parts that own buckets it visits, with the list of these. A part has about
@@ -193,7 +194,8 @@ def fit(hashes: Hashes, groups: DataFrame, queries: DataFrame, k: int) -> tuple[
                 first.append(int(hit.argmax()) if hit.any() else len(sets))
     if not first:
         return sets[:1], held
-    need = int(np.quantile(np.array(first), RECALL, method="higher")) + 1
+    aim = min(1.0, RECALL + 2 * math.sqrt(RECALL * (1 - RECALL) / len(first)))
+    need = int(np.quantile(np.array(first), aim, method="higher")) + 1
     return sets[: need if need <= len(sets) else 0], held
 
 

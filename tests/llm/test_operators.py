@@ -790,3 +790,35 @@ def test_decontamination_query_against_plain_code(spark, tmp_path):
                 if both >= 0.8 * either:
                     want.add((i, j))
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.op10_decontamination(spark, d).collect()} == want and 20 < len(want) < 80
+
+
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_neighbours_come_by_hashing(spark, n, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 1024)  # several parts
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 16))
+    x[: n // 10] = x[0] + 0.01 * rng.normal(size=(n // 10, 16))  # close together: buckets of more than a part's rows
+    step = n // 40
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.neighbours(df, df.filter(f"vec_id % {step} = 0"), k=20).toPandas()
+    assert not got.scanned.any() and got.query_id.nunique() == 40
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.argsort(-s, kind="stable")[:20]
+        hit += len(set(best.tolist()) & set(g.vec_id))
+        assert g["rank"].tolist() == list(range(1, 21)) and g.score.is_monotonic_decreasing
+    assert hit / 800 >= 0.9 and abs(hit / 800 - got.recall.iloc[0]) < 0.1
+
+
+def test_small_groups_of_copies_stay_whole(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    got = shards.op3_sharding(spark, sf).toPandas().merge(docs, on="doc_id")
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() / load.min() < 1.02 and (got["size"] == [len((t or "").encode()) + 1 for t in got.text]).all()
+    for _, g in got[got.text.notna()].groupby("text"):
+        assert g.shard.nunique() == 1 or g["size"].sum() > 0.01 * load.mean()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
