@@ -2,10 +2,11 @@
 
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from parley.operators.turns import sessions
+from parley.operators.turns import merge_turns, sessions
 from parley.sources import manifest
 from parley.streaming import live
 
@@ -55,3 +56,52 @@ def test_table_is_kept_current(spark, tmp_path):
         rows = live.first_events(live.event_stream(spark, f"file://{folder}", schema=SCHEMA))
         assert live.keep_current(rows, root, "events", ["event_id"], f"file://{tmp_path}/cp").awaitTermination(90)
         assert sorted(r["event_id"] for r in manifest.read(spark, manifest.load(spark, root), "events").collect()) == ["a", "b", "c", "d", "e", "z"]
+
+
+MESSAGE = "customer_key string, role string, ts timestamp, source_ordinal long, text string, message_key string"
+
+
+def test_turns_of_stream_and_batch_are_equal(spark, tmp_path):
+    rng, rows, at = random.Random(5), [], 1_704_100_000
+    for i in range(400):
+        at += rng.choice((0, 20, 300, 900, 901, 4000))
+        said = rng.choice(("a", "b", None, ""))
+        rows.append((rng.choice("uvw"), rng.choice(("customer", "studio")), at, i, said, f"m{i}"))
+    last = [("z", "studio", at + 10**6, 400, "end", "m400"), ("z", "studio", at + 2 * 10**6, 401, "end", "m401")]
+    # each file holds its messages out of order, and neighbouring files overlap by less than the delay
+    near = sorted(rows, key=lambda r: r[2] + rng.randint(0, 3000))
+    stray = [("u", "studio", 1_704_100_000, 500, "too late", "late"), (None, "studio", at, 501, "x", "nobody"), ("u", "studio", None, 502, "x", "never")]
+    folder = f"{tmp_path}/in"
+    os.makedirs(folder)
+
+    def put(k, some):
+        keys = ("customer_key", "role", "ts", "source_ordinal", "text", "message_key")
+        with open(f"{folder}/{k}.jsonl", "w") as f:
+            f.write("".join(json.dumps(dict(zip(keys, r))) + "\n" for r in some))
+        os.utime(f"{folder}/{k}.jsonl", (1_700_000_000 + k,) * 2)
+
+    def run():
+        raw = live.event_stream(spark, f"file://{folder}", schema=MESSAGE.replace("ts timestamp", "ts long"), files_per_trigger=1)
+        turns = live.turn_stream(raw.withColumn("ts", F.timestamp_seconds("ts")), delay="2 hours")
+        query = turns.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option(
+            "checkpointLocation", f"file://{tmp_path}/cp"
+        ).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+
+    for k in range(4):
+        put(k, rng.sample(near[k * 50 : k * 50 + 50], 50))
+    run()
+    for k in range(4, 8):  # goes on from the checkpoint
+        put(k, rng.sample(near[k * 50 : k * 50 + 50], 50))
+    run()
+    put(8, last[:1])
+    put(9, last[1:] + stray)
+    run()
+    out = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    turns = out[out.reason.isna() & (out.customer_key != "z")]
+    batch = spark.createDataFrame(rows, MESSAGE.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
+    want = merge_turns(batch.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).toPandas()
+    form = lambda d: sorted((r.customer_key, int(r.turn_no), r.role, str(r.start_ts), str(r.end_ts), r.text, tuple(r.message_keys)) for r in d.itertuples())
+    assert form(turns) == form(want) and len(want) > 100
+    lost = out[out.reason.notna()]
+    assert sorted((r.reason, r.message_keys[0]) for r in lost.itertuples()) == [("late", "late"), ("untimed", "never"), ("untimed", "nobody")]
