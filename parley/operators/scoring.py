@@ -40,9 +40,10 @@ def fold_part(items: Column) -> Column:
     )
 
 
-def fold_parts(parts: Column) -> Column:
+def fold_parts(parts: Column, start: Column | None = None) -> Column:
     """:func:`fold_priority` of all messages, from an ordered array of struct(part, does)."""
-    start = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
+    if start is None:
+        start = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
 
     def step(s, p):
         out = F.get(p["does"], F.when(s["rank"] == 9, len(RANKS) - 1).otherwise(s["rank"]))
@@ -61,55 +62,106 @@ LAST = 8  # hits of a kind that anything shown goes back to
 COUNTED = ("purchase", "urgency", "repeat", "rejection")
 
 
-def analyze(
-    messages: DataFrame, snapshot_at, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal", text="text",
-    message_key="message_key", asker="customer", answerer="studio", lexicon: lx.Lexicon = lx.Lexicon(), part=1000
+#: hits that depend on how near the end a message is, with what they look back over; the others add up
+NEAR_END = {"rejection": 10, "objections": 20, "preferences": 20, "commitments": 20, "last_cust": 3, "recent": 8}
+TAIL = 20  # messages of each role that the hits near the end look back over
+
+
+def carry(
+    messages: DataFrame, before: DataFrame | None = None, *, key="customer_key", role="role", stamp="timestamp", at="ts", ordinal="source_ordinal",
+    text="text", message_key="message_key", asker="customer", answerer="studio", lexicon: lx.Lexicon = lx.Lexicon(), part=1000
 ) -> DataFrame:
-    """One row per customer: score, level, points, priority, queue, reasons, memory, evidence.
+    """(k, ...): what scores need of each customer's messages, of a size that doesn't grow with them.
+
+    With ``before``, an earlier result of this function, the messages must come after all that it
+    covers, customer by customer, and the result covers both; customers without a new message are
+    left out. Counts, last hits, turns and the open incident go on from there; the last ``TAIL``
+    messages of each role are in the state, for a hit near the end may stop being one.
 
     Two shuffles by customer: ranks within the role, then the aggregation. It goes by parts of
     ``part`` messages, each of which leaves counts, its last few hits and what it does to an
-    open incident, so that no history is ever held as a whole. snapshot_at is a column or
-    literal timestamp.
+    open incident, so that no history is ever held as a whole.
     """
-    snap = snapshot_at if isinstance(snapshot_at, Column) else F.lit(snapshot_at).cast("timestamp")
     base = messages.select(
         F.col(key).alias("k"), F.col(role).alias("role"), F.col(stamp).alias("stamp"), F.col(at).alias("at"), F.col(ordinal).alias("o"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(message_key).cast("string").alias("key")
+        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(message_key).cast("string").alias("key"), F.lit(False).alias("old")
     )
+    if before is not None:
+        touched = before.join(base.select("k").distinct(), "k", "left_semi")
+        kept = touched.select("k", F.explode("tail").alias("m")).select("k", "m.role", "m.stamp", "m.at", "m.o", "m.text", "m.key", F.lit(True).alias("old"))
+        base = base.unionByName(kept)
     base = tn.sessions(base, key="k", order=["stamp", "o"], at="at", gap_seconds=15 * 60, same="role")
     back = Window.partitionBy("k", "role").orderBy(F.desc("stamp"), F.desc("o"))
     base = base.withColumn("from_end", F.row_number().over(back))
     base = tx.with_redaction(base, "text", "red")
-    cust, studio = F.col("role") == asker, F.col("role") == answerer
+    cust, studio, new = F.col("role") == asker, F.col("role") == answerer, ~F.col("old")
     any_of = lambda words: tx.contains_any("text", words)
     entry = F.struct("stamp", "o", "key", F.col("red.text").alias("text"), "role")
     put = lambda cond: _tail(F.array_sort(F.collect_list(F.when(cond, entry))), LAST)
     ranked = F.struct("stamp", "o", any_of(lexicon.closure).alias("closes"), incident_rank("text", lexicon).alias("rank"), "key")
+    near = {name: F.col("from_end") <= n for name, n in NEAR_END.items()}
     hits = {
-        "purchase": cust & any_of(lexicon.purchase), "urgency": cust & any_of(lexicon.urgency), "repeat": cust & any_of(lexicon.repeat),
-        "rejection": cust & (F.col("from_end") <= 10) & any_of(lexicon.rejection),
-        "objections": cust & (F.col("from_end") <= 20) & any_of(lexicon.objection),
-        "preferences": cust & (F.col("from_end") <= 20) & any_of(lexicon.preference),
-        "commitments": studio & (F.col("from_end") <= 20) & any_of(lexicon.commitment),
-        "last_cust": cust & (F.col("from_end") <= 3), "recent": F.col("from_end") <= 8,
+        "purchase": new & cust & any_of(lexicon.purchase), "urgency": new & cust & any_of(lexicon.urgency),
+        "repeat": new & cust & any_of(lexicon.repeat), "rejection": cust & near["rejection"] & any_of(lexicon.rejection),
+        "objections": cust & near["objections"] & any_of(lexicon.objection), "preferences": cust & near["preferences"] & any_of(lexicon.preference),
+        "commitments": studio & near["commitments"] & any_of(lexicon.commitment), "last_cust": cust & near["last_cust"], "recent": near["recent"],
     }
+    whole = F.struct("stamp", "o", "at", "role", "text", "key")
     forth = Window.partitionBy("k").orderBy("stamp", "o")
     base = base.withColumn("part", F.floor((F.row_number().over(forth) - 1) / part))
     parts = base.groupBy("k", "part").agg(
         *(put(c).alias(name) for name, c in hits.items()), *(F.count_if(hits[c]).alias(f"n_{c}") for c in COUNTED),
-        F.count_if(cust).alias("n_cust"), F.max("turn_no").alias("turn"), F.max(F.struct("stamp", "o", "at", "role")).alias("last"),
-        F.min(F.struct("stamp", "o", "at")).alias("first"),
+        F.count_if(new & cust).alias("n_cust"), F.max("turn_no").alias("turn"), F.max(F.when(~new, F.col("turn_no"))).alias("old_turn"),
+        F.max(F.struct("stamp", "o", "at", "role")).alias("last"), F.min(F.struct("stamp", "o", "at")).alias("first"),
         F.max(F.when(cust, F.struct("stamp", "o", any_of(lexicon.open_question).alias("q")))).alias("last_q"),
-        fold_part(F.array_sort(F.collect_list(F.when(cust, ranked)))).alias("does"),
+        fold_part(F.array_sort(F.collect_list(F.when(new & cust, ranked)))).alias("does"),
+        F.collect_list(F.when(F.col("from_end") <= TAIL, whole)).alias("tail"),
     )
+    end = fold_parts(F.array_sort(F.collect_list(F.struct("part", "does")))) if before is None else F.array_sort(F.collect_list(F.struct("part", "does")))
     rows = parts.groupBy("k").agg(
         *(_tail(F.array_sort(F.flatten(F.collect_list(name))), LAST).alias(name) for name in hits),
         *(F.sum(f"n_{c}").alias(f"n_{c}") for c in COUNTED),
-        F.sum("n_cust").alias("n_cust"), (F.max("turn") + 1).alias("n_turns"), F.max("last").alias("last"), F.min("first").alias("first"),
-        F.max("last_q").alias("last_q"),
-        fold_parts(F.array_sort(F.collect_list(F.struct("part", "does")))).alias("state"),
+        F.sum("n_cust").alias("n_cust"), (F.max("turn") - F.coalesce(F.max("old_turn"), F.lit(-1))).alias("n_turns"),
+        F.max("last").alias("last"), F.min("first").alias("first"), F.max("last_q").alias("last_q"), end.alias("state"),
+        F.array_sort(F.flatten(F.collect_list("tail"))).alias("tail"),
     )
+    if before is None:
+        return rows
+    o = touched.select("k", F.struct(*(c for c in before.columns if c != "k")).alias("before"))
+    rows, old = rows.join(o, "k", "left"), lambda c: F.col(f"before.{c}")
+    none = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
+    adds = [c for c in hits if c not in NEAR_END]
+    return rows.withColumns({
+        **{c: _tail(F.concat(F.coalesce(old(c), F.slice(c, 1, 0)), c), LAST) for c in adds},
+        **{f"n_{c}": F.col(f"n_{c}") + F.coalesce(old(f"n_{c}"), F.lit(0)) for c in adds},
+        "n_cust": F.col("n_cust") + F.coalesce(old("n_cust"), F.lit(0)), "n_turns": F.col("n_turns") + F.coalesce(old("n_turns"), F.lit(0)),
+        "first": F.coalesce(old("first"), "first"), "state": fold_parts(F.col("state"), F.coalesce(old("state"), none)),
+    }).drop("before")
+
+
+def go_on(before: DataFrame, messages: DataFrame, history: DataFrame, **names) -> DataFrame:
+    """:func:`carry` of the customers that ``messages`` touches, from their state and the new messages alone.
+
+    Only customers with a message that doesn't come after all that was there are made again from
+    ``history`` (all messages, the new ones included). Upsert the result by ``k``: what is read and
+    written grows with the batch.
+    """
+    key, stamp, ordinal = names.get("key", "customer_key"), names.get("stamp", "timestamp"), names.get("ordinal", "source_ordinal")
+    least = messages.groupBy(F.col(key).alias("k")).agg(F.min(F.struct(F.col(stamp).alias("stamp"), F.col(ordinal).alias("o"))).alias("least"))
+    met = before.select("k", F.struct("last.stamp", "last.o").alias("most")).join(least, "k")
+    late = met.filter(F.col("least") <= F.col("most")).select(F.col("k").alias(key))
+    on = carry(messages.join(late, key, "left_anti"), before, **names)
+    return on.unionByName(carry(history.join(late, key, "left_semi"), **names))
+
+
+def analyze(messages: DataFrame, snapshot_at, **names) -> DataFrame:
+    """One row per customer: score, level, points, priority, queue, reasons, memory, evidence (see :func:`carry` for the names of columns)."""
+    return score(carry(messages, **names), snapshot_at, **{k: v for k, v in names.items() if k in ("key", "asker")})
+
+
+def score(rows: DataFrame, snapshot_at, *, key="customer_key", asker="customer") -> DataFrame:
+    """Scores of :func:`carry`'s rows. snapshot_at is a column or literal timestamp."""
+    snap = snapshot_at if isinstance(snapshot_at, Column) else F.lit(snapshot_at).cast("timestamp")
     days = lambda a, b: F.greatest(F.lit(0), F.floor((F.unix_seconds(a) - F.unix_seconds(b)) / 86400)).cast("long")
     n = F.col
     last_cust = F.col("last.role") == asker

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, lexicons, parse
 from ..functions import text as tx
-from ..operators import cards, identity, orders, retrieval, sampling, scoring, serving
+from ..operators import cards, identity, orders, ranking, retrieval, sampling, scoring, serving
 from ..operators import turns as tn
+from ..session import shared_path, stored
 from ..sources import readers
 
 SECRET = "test-secret"
@@ -260,6 +261,29 @@ def _analyzed(spark, sf):
     )
 
 
+def _scores(a):
+    return a.select(
+        "user_id", "purchase_points", "urgency_points", "interaction_points", "followup_points", "recurrence_points", "rejection_penalty",
+        "opportunity_score"
+    )
+
+
+_NAMES = {"key": "user_id", "stamp": "ts", "at": "ts", "ordinal": "event_id", "text": "text", "message_key": "event_id", "lexicon": LEXICON}
+
+
+@query(ORACLE["opportunity_score"])
+def scores_by_day(spark, sf):
+    """Scores carried on from the days before the middle of the events' span: the same as scores of all."""
+    m = _messages(spark, sf)
+    ends = m.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    noon = ends["a"] + (ends["b"] - ends["a"]) / 2 if ends["a"] else None
+    after = F.coalesce(F.col("ts") >= F.lit(noon), F.lit(False))
+    early = stored(scoring.carry(m.filter(~after), **_NAMES), "states")
+    late = scoring.go_on(early, m.filter(after), m, **_NAMES)
+    rest = early.join(late.select("k"), "k", "left_anti")
+    return _scores(scoring.score(late.unionByName(rest), "2024-02-01 00:00:00", key="user_id"))
+
+
 @query(f"""with {_MESSAGES}, l as (
   select user_id, list({{'c': text = 'purchase', 'r': case text when 'error' then 0 when 'signup' then 1 when 'click' then 2 else 9 end}} order by ts, event_id) as x from m where role = 'customer' group by user_id
 ), f as (
@@ -506,6 +530,19 @@ def customer_page(spark, sf):
     return serving.page(c, [first, F.desc("c_acctbal"), F.col("c_custkey")], limit=50, offset=100).select("c_custkey", "c_name", "c_acctbal")
 
 
+@query("""with r as (select c_custkey, c_acctbal, row_number() over (order by case c_mktsegment when 'BUILDING' then 0 when 'MACHINERY' then 1 else 2 end, c_acctbal desc, c_custkey) - 1 as pos from customer)
+select c_custkey, c_acctbal, case when pos < 100 then 'at' else 'after' end as found, pos from r where pos between 70 and 169""")
+def keyset_pages(spark, sf):
+    """A page by its number, then the page after its last row, from a stored ranking of all customers."""
+    c = _t(spark, sf, "customer")
+    first = F.when(F.col("c_mktsegment") == "BUILDING", 0).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(2)
+    r = ranking.write(c.withColumn("rank", first), shared_path(spark, "ranking"), [("rank", True), ("c_acctbal", False), ("c_custkey", True)], rows_per_range=200)
+    one = r.page_at(offset=70, limit=30)
+    two = r.page_after(r.cursor(one), limit=70)
+    cols = ["c_custkey", "c_acctbal", "pos"]
+    return one.select(*cols, F.lit("at").alias("found")).unionByName(two.select(*cols, F.lit("after").alias("found")))
+
+
 @query(
     """select 'customers' as name, count(*) as rows from customer union all select 'orders', count(*) from orders union all select 'events', count(*) from events union all select 'documents', count(*) from documents union all select 'conversations', count(*) from conversations"""
 )

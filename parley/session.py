@@ -41,14 +41,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder: what :func:`checkpointed` does, computed once and read by columns."""
-    context = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder (see :func:`checkpointed` for where that is)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parley-checkpoints-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder: what :func:`checkpointed` does, computed once and read by columns."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
