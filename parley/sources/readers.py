@@ -16,6 +16,7 @@ from ..functions import parse
 from ..functions import text as tx
 from ..functions.keys import content_digest, hmac_id
 from ..session import ship
+from . import arrays
 
 MESSAGE = "conversation_id string, conversation_type string, message_id string, timestamp string, message_type string, text string, raw_payload struct<status:int>"
 INDEX = "conversation_id string, conversation_type string, display_name string, remark string, nick_name string"
@@ -56,9 +57,9 @@ def friend_index(index: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Friend conversations of a JSON array, read element by element; of an id's entries the last counts."""
-    rows = spark.read.schema(INDEX).json(path, multiLine=True)
-    return friend_index(rows.withColumn("position", F.monotonically_increasing_id()))
+    """Friend conversations of a JSON array, read in several tasks; of an id's entries the last counts."""
+    rows = arrays.read_array(spark, path).select("position", F.from_json("raw", INDEX).alias("r")).select("r.*", "position")
+    return friend_index(rows)
 
 
 def read_window(spark: SparkSession, folder: str, first: Column, last: Column) -> tuple[Column, Column]:
@@ -261,15 +262,18 @@ def read_bindings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.trim(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in names.items()))
 
 
-def read_orders(spark: SparkSession, *paths: str) -> DataFrame:
-    """(source_file, synced_at, total_records, position, record) of order envelopes."""
-    # the parser streams a file; its records are what one row holds
-    whole = spark.read.schema("synced_at string, total_records int, records array<string>").json(list(paths), multiLine=True)
-    rows = whole.select(
-        F.col("_metadata.file_path").alias("source_file"), "synced_at", "total_records", F.posexplode_outer("records").alias("position", "raw")
-    )
-    rec = F.from_json("raw", ORDER)
-    return rows.withColumn("record", F.when(F.col("raw").startswith("{"), rec))
+def read_orders(spark: SparkSession, *paths: str, chunk: int = arrays.CHUNK) -> DataFrame:
+    """(source_file, synced_at, total_records, position, record) of order envelopes.
+
+    Large files are read in several tasks. A record that is no object, or no JSON, is null.
+    """
+    rows = arrays.read_array(spark, *paths, key="records", chunk=chunk)
+    rows = rows.withColumns({
+        "s": F.from_json("shell", "synced_at string, total_records int"),
+        "r": F.from_json("raw", f"{ORDER}, unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unread"}),
+    })
+    fine = F.col("raw").startswith("{") & F.col("r.unread").isNull()
+    return rows.select("source_file", "s.synced_at", "s.total_records", "position", F.when(fine, F.col("r").dropFields("unread")).alias("record"))
 
 
 def flatten_items(raw: DataFrame, text="value") -> DataFrame:
