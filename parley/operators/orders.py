@@ -103,6 +103,20 @@ def quality_summary(lines: DataFrame) -> DataFrame:
     return each.groupBy("kind", "name").agg(F.count("*").alias("rows"))
 
 
+def import_summary(lines: DataFrame, *, source: int, quarantined: int, envelope: int | None) -> DataFrame:
+    """:func:`quality_summary` of an import, with lines without a refund type, lines with a phone, and the counts of its envelope.
+
+    The envelope's own total, if it names one, is ``envelope_total``; ``envelope_total_matches`` is 1 if it is that of the records, else 0.
+    """
+    told = [("total", "source_records", source), ("total", "quarantined_records", quarantined), ("total", "envelope_total_matches", int(envelope == source))]
+    if envelope is not None:
+        told.append(("total", "envelope_total", envelope))
+    one = lines.agg(F.count("phone_hmac").alias("p"), F.count_if(F.col("refund_type").isNull()).alias("n"))
+    entry = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(n).alias("rows"))
+    more = one.select(F.inline(F.array(entry("total", "phone_hmac", "p"), entry("refund_type", "none", "n")))).filter("rows > 0")
+    return quality_summary(lines).unionByName(more).unionByName(lines.sparkSession.createDataFrame(told, "kind string, name string, rows long"))
+
+
 def snapshot_id(secret: str, namespace: str, source_hash: str, synced_at: str, rule_version: str):
     """Same input and rules: same id, so that activating again changes nothing."""
     return hmac_id(secret, "snapshot", F.lit(namespace), F.lit(source_hash), F.lit(synced_at), F.lit(rule_version))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import keys, parse
 from ..functions import text as tx
-from ..operators import detail, identity, sampling, scoring, turns
+from ..operators import detail, identity, orders, sampling, scoring, turns
 from ..session import stored
-from ..sources import manifest, readers, snapshot
+from ..sources import arrays, manifest, readers, snapshot
 
 #: table -> its key and the columns that people set; they stay while the key and the guards do
 DECIDED = {
@@ -77,11 +77,15 @@ def build_export(spark: SparkSession, folder: str, root: str, *, secret: str, ac
     error, for none of their ids would be met again. If the run fails, the current tables stay.
     """
     read = snapshot.file_digests(spark, f"{folder}/*").select("path", "sha256").orderBy("path").collect()  # a row for each file of the export
+    now = manifest.load(spark, root)
     limit = ",".join(f"{k}={v}" for k, v in sorted(limits.items()))
     mark = keys.key_fingerprint(secret)
     told = "|".join([account, mark, limit, *(f"{r['path'].rsplit('/', 1)[-1]}:{r['sha256']}" for r in read)])
     run_id = spark.range(1).select(F.sha2(F.lit(told), 256)).first()[0]
 
+    if (runs := manifest.read(spark, now, "build_runs")) is not None and runs.agg(F.max_by("run_id", "started_at")).first()[0] == run_id:
+        return now  # imports may have been published since
+
     def build(now: manifest.Manifest | None) -> dict[str, DataFrame]:
         old = lambda name: manifest.read(spark, now, name)
         runs = old("build_runs")
@@ -104,3 +108,52 @@ def build_export(spark: SparkSession, folder: str, root: str, *, secret: str, ac
         return {"messages": n["messages"] > 0, "customers": 0 < n["customers"] <= n["messages"], "bindings": n["identity_bindings"] >= n["customers"]}
 
     return manifest.publish(spark, root, run_id, build, gates=gates, tries=tries)
+
+
+def import_orders(
+    spark: SparkSession, path: str, root: str, *, secret: str, namespace: str = "orders", rules: str = "1", chunk: int = arrays.CHUNK, tries: int = 3
+) -> manifest.Manifest:
+    """Put an order envelope's lines, quarantine and summary in place of those before, beside a build's tables; gives the manifest.
+
+    The envelope is one file. It must carry ``synced_at`` with an offset and stay as it is while it is
+    read; accepted and quarantined records must add up to its records. The same file under the same
+    rules changes nothing. Without a build under ``root``, or with another key than its own, it is an error.
+    """
+    mark, now = keys.key_fingerprint(secret), manifest.load(spark, root)
+    runs = manifest.read(spark, now, "build_runs")
+    if runs is None:
+        raise RuntimeError("an import needs a build's tables")
+    if runs.filter(F.col("key_fingerprint") != mark).limit(1).count():
+        raise RuntimeError("the current tables were made with another key")
+    before = snapshot.signature(spark, path)
+    if len(before) != 1:
+        raise ValueError("an import reads one file")
+    source_hash = arrays.digests(spark, path).first()["sha256"]
+    rows = orders.quarantine(readers.read_orders(spark, path, chunk=chunk).withColumn("at", parse.synced_at("synced_at")))
+    rows = stored(rows, "orders")
+    if snapshot.signature(spark, path) != before:
+        raise RuntimeError("the input changed while it was read")
+    envelope = rows.agg(F.max("synced_at").alias("synced_at"), F.max("at").alias("at"), F.max("total_records").alias("total")).first()
+    if envelope["at"] is None:
+        raise ValueError("synced_at must be a time with an offset")
+    rows = rows.filter("position is not null")  # an empty array has one row without
+    ok, bad = rows.filter("reject_reason is null"), rows.filter("reject_reason is not null").select("position", "reject_reason")
+    today = F.to_date(F.from_utc_timestamp("at", parse.ZONE))
+    lines = stored(orders.normalize(ok.select("record.*", today.alias("today")), today="today", secret=secret, namespace=namespace), "lines")
+    source, accepted, rejected = rows.count(), lines.count(), bad.count()
+    orders.balanced(accepted, rejected, source)
+    this = spark.range(1).select(
+        orders.snapshot_id(secret, namespace, source_hash, envelope["synced_at"], rules).alias("snapshot_id"), F.lit(source_hash).alias("source_hash"),
+        F.lit(envelope["synced_at"]).alias("synced_at"), F.lit(accepted).cast("long").alias("records"),
+    )
+    run_id = this.first()["snapshot_id"]
+
+    def active(m: manifest.Manifest | None) -> bool:
+        old = manifest.read(spark, m, "order_snapshots")
+        return old is not None and old.filter(F.col("snapshot_id") == run_id).limit(1).count() > 0
+
+    if active(now):
+        return now
+    summary = orders.import_summary(lines, source=source, quarantined=rejected, envelope=envelope["total"])
+    made = {"orders": lines, "order_quarantine": bad, "order_quality": summary, "order_snapshots": this}
+    return manifest.publish(spark, root, run_id, lambda _: made, tries=tries)

@@ -16,6 +16,7 @@ HDFS, Google storage) fail.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ _MODES = {
     "scan": "file string, start long, flips boolean, delta array<long>, least array<long>, commas array<long>",
     "shell": "file string, shell string",
     "read": "file string, position long, raw string",
+    "digest": "file string, sha256 string",
 }
 
 
@@ -210,7 +212,15 @@ def _read(file: str, least: int, start: int, end: int, inside: bool, depth: int,
         yield batch()
 
 
-_READ = {"head": _head, "scan": _scan, "shell": _shell, "read": _read}
+def _digest(file: str) -> Iterator[tuple]:
+    told = hashlib.sha256()
+    with _open(file) as f:
+        for _, block in _blocks(f, 0):
+            told.update(block)
+    yield file, told.hexdigest()
+
+
+_READ = {"head": _head, "scan": _scan, "shell": _shell, "read": _read, "digest": _digest}
 
 
 class _Reader(DataSourceReader):
@@ -253,23 +263,28 @@ def files(spark: SparkSession, *paths: str) -> list[str]:
     return sorted({re.sub(r"^file:/+", "file:///", p.toUri().toString()) for p in kept})
 
 
+def _of(spark: SparkSession, mode: str, work: list) -> DataFrame:
+    ship(spark)
+    spark.dataSource.register(JsonRanges)
+    return spark.read.format("json_ranges").option("mode", mode).option("work", json.dumps(work)).load()
+
+
+def digests(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, sha256) of files of any size, read block by block."""
+    return _of(spark, "digest", [[f] for f in files(spark, *paths)])
+
+
 def read_array(spark: SparkSession, *paths: str, key: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(source_file, shell, position, raw): each element's text with its place, from 0, in the array.
 
     The array is the file's root or, with ``key``, that member of the root's object; ``shell``
     is the file's text with an empty array. An empty array gives one row without position and raw.
     """
-    ship(spark)
-    spark.dataSource.register(JsonRanges)
-
-    def of(mode: str, work: list) -> DataFrame:
-        return spark.read.format("json_ranges").option("mode", mode).option("work", json.dumps(work)).load()
-
-    heads = {r["file"]: r for r in of("head", [[f, key] for f in files(spark, *paths)]).collect()}
+    heads = {r["file"]: r for r in _of(spark, "head", [[f, key] for f in files(spark, *paths)]).collect()}
     if none := sorted(f for f, r in heads.items() if r["at"] < 0):
         raise ValueError(f"no array {key or ''} in {none[:3]}")
     spans = {f: [(s, min(s + chunk, r["size"])) for s in range(r["at"], r["size"], chunk)] for f, r in heads.items()}
-    scans = {(r["file"], r["start"]): r for r in of("scan", [[f, heads[f]["at"], s, e] for f, own in spans.items() for s, e in own]).collect()}
+    scans = {(r["file"], r["start"]): r for r in _of(spark, "scan", [[f, heads[f]["at"], s, e] for f, own in spans.items() for s, e in own]).collect()}
     read, shells = [], []
     for f, own in spans.items():
         inside, depth, position = False, 0, 0
@@ -284,6 +299,6 @@ def read_array(spark: SparkSession, *paths: str, key: str | None = None, chunk:
             depth, inside = depth + r["delta"][inside], inside ^ r["flips"]
         else:
             raise ValueError(f"{f}: the array isn't closed")
-    around = of("shell", shells)
-    rows = of("read", read).join(F.broadcast(around) if len(shells) <= SMALL else around, "file")
+    around = _of(spark, "shell", shells)
+    rows = _of(spark, "read", read).join(F.broadcast(around) if len(shells) <= SMALL else around, "file")
     return rows.select(F.col("file").alias("source_file"), "shell", "position", "raw")
