@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = language.fit(docs.filter(~held_out))
-    found = language.identify(packed(docs, text="text"), model)
+    found = language.identify(packed(docs), model, within="row")  # texts go to Python once
     if model.langs:
         found = found.filter("lang_pred <> 'und'")
     filled = F.coalesce("row.lang", "lang_pred").alias("lang")

@@ -42,7 +42,7 @@ SEGMENT = 512
 POINTS = 0x110000
 DENSE = 16_000_000  # entries of a transition table up to which it is dense
 HEAD = 64  # of a segment, in which two parses mostly have met
-BATCH = 4_000_000  # characters parsed at once
+BATCH = 1_000_000  # characters parsed at once, but for a longer text: each takes some 40 bytes meanwhile
 NEW = 20  # bits of a letter that a language's sample lacks, beside those of its piece
 
 
@@ -284,9 +284,11 @@ def fit(train: DataFrame, **kind) -> Model:
     return Model(samples)
 
 
-def _batches(b: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _batches(b: pa.RecordBatch, text: str, within: str | None = None) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of about BATCH characters, 1000 rows at most and one at least, with their texts."""
-    column = b.column(b.schema.get_field_index(text))
+    column = b.column(b.schema.get_field_index(within or text))
+    if within:
+        column = pc.struct_field(column, [column.type.get_field_index(text)])
     at = size = 0
     for k, n in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), 1):
         size += n
@@ -295,18 +297,23 @@ def _batches(b: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, lis
             at, size = k, 0
 
 
-def identify(docs: DataFrame, model: Model, *, text="text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and bits (cross entropy per character)."""
+def identify(docs: DataFrame, model: Model, *, text="text", within: str | None = None) -> DataFrame:
+    """``docs`` with lang_pred, score (0 to 1) and bits (cross entropy per character).
+
+    ``within``: the struct column that has the text, if no column of its own does.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ("lang_pred", "score", "bits")
     base = without(docs, *names)
+    if within:  # as Spark finds it, whatever its case
+        text = next(f.name for f in base.schema[within].dataType if f.name.lower() == text.lower())
     schema = base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for whole in batches:
-            for b, texts in _batches(whole, text):
+            for b, texts in _batches(whole, text, within):
                 got = m.predict(texts)
                 cols = [*b.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names])

@@ -6,6 +6,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +397,24 @@ def test_language_cases(docs, empty):
     assert {r["lang_pred"] for r in language.identify(docs, language.fit(empty)).collect()} == {"und"}
 
 
+def test_language_of_a_text_in_a_struct_within_bounded_memory(spark):
+    import tracemalloc
+
+    docs = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "le chat et la souris", "fr"), (3, None, None), (4, "12", "fr")], "doc_id int, Text string, lang string")
+    model = language.fit(docs)
+    told = lambda df: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in df.collect())
+    got = language.identify(common.packed(docs), model, within="row")
+    assert got.columns == ["row", "lang_pred", "score", "bits"]
+    assert told(got.select("row.doc_id", "lang_pred", "score")) == told(language.identify(docs, model, text="Text"))
+    batch = pa.record_batch({"text": ["the cat and the hat " * 2_000] * 100})  # 4 million characters
+    tracemalloc.start()
+    for _, texts in language._batches(batch, "text"):
+        model.predict(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80_000_000
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"the {'idiot' if i % 3 == 0 else 'tree'} number w{i} was here") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
