@@ -9,6 +9,7 @@ import re
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,15 +43,21 @@ def contains_any(text, words) -> Column:
 
 
 def nfkc(text) -> Column:
-    """NFKC has no built-in; batches go over Arrow."""
+    """NFKC has no built-in; batches go over Arrow.
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:  # inner, so that workers need no module of ours
+    ASCII is in that form and stays where it is. Of a batch, Python holds one text at a time.
+    """
+
+    @F.arrow_udf("string")
+    def run(a: pa.Array) -> pa.Array:  # inner, so that workers need no module of ours
         import unicodedata
 
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+        import pyarrow as pa
 
-    return run(_col(text))
+        return pa.array((unicodedata.normalize("NFKC", t.as_py()) if t.is_valid else None for t in a), pa.string(), size=len(a))
+
+    t = _col(text)
+    return F.coalesce(run(F.when(t.rlike(r"[^\x00-\x7f]"), t)), t)
 
 
 def raw_identifier(text) -> Column:

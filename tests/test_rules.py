@@ -218,3 +218,13 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want
+
+
+def test_only_texts_beyond_ascii_go_to_python_for_their_normal_form(spark):
+    import unicodedata
+
+    some = [None, "", "plain [a] 12", "ﬁne １２", "é à", "㈱ café", "\U0001d400x"]
+    df = spark.createDataFrame([(t,) for t in some], "t string").select("t", tx.nfkc("t").alias("n"))
+    assert [r["n"] for r in df.collect()] == [t if t is None else unicodedata.normalize("NFKC", t) for t in some]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN RLIKE(t#" in plan and "pandas" not in plan.lower()
