@@ -231,3 +231,12 @@ def test_phrases_cases(spark, odd):
     got = collocations.collocations(docs, least=2, top=3)
     assert got.count() <= 9 and {r["lang"] for r in got.collect()} >= {"en", "und"}
     assert collocations.collocations(docs.filter("doc_id > 99")).count() == 0
+
+
+def test_distinct_keys_are_those_of_unique_and_faster():
+    rng = np.random.default_rng(3)
+    for keys in (np.empty(0, np.int64), rng.integers(0, 50, 1000), rng.integers(0, 1 << 62, 500), np.array([0, 0, (1 << 63) - 1])):
+        want = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip(collocations.distinct(keys), want))
+    assert collocations.Slice([b"a b, a", b"c"], "x").words == [b"a", b"b", b"\xff", b"c"]
+    assert collocations.Slice([b"a b a"], "x").stop == -1
