@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
+from ..session import stored
 from . import turns as tn
 
 
@@ -65,6 +66,14 @@ COUNTED = ("purchase", "urgency", "repeat", "rejection")
 #: hits that depend on how near the end a message is, with what they look back over; the others add up
 NEAR_END = {"rejection": 10, "objections": 20, "preferences": 20, "commitments": 20, "last_cust": 3, "recent": 8}
 TAIL = 20  # messages of each role that the hits near the end look back over
+ROWS = 250_000  # messages that one task holds, but for a customer with more
+LISTED = 1_000_000  # customers whose keys one broadcast holds
+
+
+def _dealt(messages: DataFrame) -> DataFrame:
+    """Messages by customer, over more tasks than the session's where these would hold too many."""
+    usual, tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-messages.count() // ROWS)
+    return messages.repartition(tasks, "k") if tasks > usual else messages
 
 
 def carry(
@@ -80,14 +89,16 @@ def carry(
 
     Two shuffles by customer: ranks within the role, then the aggregation. It goes by parts of
     ``part`` messages, each of which leaves counts, its last few hits and what it does to an
-    open incident, so that no history is ever held as a whole.
+    open incident, so that no history is ever held as a whole. States and lists of customers
+    are joined by hashes, for each sort of a task holds memory of its own.
     """
     base = messages.select(
         F.col(key).alias("k"), F.col(role).alias("role"), F.col(stamp).alias("stamp"), F.col(at).alias("at"), F.col(ordinal).alias("o"),
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(message_key).cast("string").alias("key"), F.lit(False).alias("old")
     )
+    base = _dealt(base)
     if before is not None:
-        touched = before.join(base.select("k").distinct(), "k", "left_semi")
+        touched = before.join(base.select("k").distinct().hint("shuffle_hash"), "k", "left_semi")
         kept = touched.select("k", F.explode("tail").alias("m")).select("k", "m.role", "m.stamp", "m.at", "m.o", "m.text", "m.key", F.lit(True).alias("old"))
         base = base.unionByName(kept)
     base = tn.sessions(base, key="k", order=["stamp", "o"], at="at", gap_seconds=15 * 60, same="role")
@@ -128,7 +139,7 @@ def carry(
     if before is None:
         return rows
     o = touched.select("k", F.struct(*(c for c in before.columns if c != "k")).alias("before"))
-    rows, old = rows.join(o, "k", "left"), lambda c: F.col(f"before.{c}")
+    rows, old = rows.join(o.hint("shuffle_hash"), "k", "left"), lambda c: F.col(f"before.{c}")
     none = F.struct(F.lit(9).alias("rank"), F.lit(None).cast("string").alias("key"))
     adds = [c for c in hits if c not in NEAR_END]
     return rows.withColumns({
@@ -148,8 +159,9 @@ def go_on(before: DataFrame, messages: DataFrame, history: DataFrame, **names) -
     """
     key, stamp, ordinal = names.get("key", "customer_key"), names.get("stamp", "timestamp"), names.get("ordinal", "source_ordinal")
     least = messages.groupBy(F.col(key).alias("k")).agg(F.min(F.struct(F.col(stamp).alias("stamp"), F.col(ordinal).alias("o"))).alias("least"))
-    met = before.select("k", F.struct("last.stamp", "last.o").alias("most")).join(least, "k")
-    late = met.filter(F.col("least") <= F.col("most")).select(F.col("k").alias(key))
+    met = before.select("k", F.struct("last.stamp", "last.o").alias("most")).join(least.hint("shuffle_hash"), "k")
+    late = stored(met.filter(F.col("least") <= F.col("most")).select(F.col("k").alias(key)), "late")
+    late = F.broadcast(late) if late.count() <= LISTED else late.hint("shuffle_hash")
     on = carry(messages.join(late, key, "left_anti"), before, **names)
     return on.unionByName(carry(history.join(late, key, "left_semi"), **names))
 

@@ -279,9 +279,10 @@ def scores_by_day(spark, sf):
     noon = ends["a"] + (ends["b"] - ends["a"]) / 2 if ends["a"] else None
     after = F.coalesce(F.col("ts") >= F.lit(noon), F.lit(False))
     early = stored(scoring.carry(m.filter(~after), **_NAMES), "states")
-    late = scoring.go_on(early, m.filter(after), m, **_NAMES)
-    rest = early.join(late.select("k"), "k", "left_anti")
-    return _scores(scoring.score(late.unionByName(rest), "2024-02-01 00:00:00", key="user_id"))
+    points = lambda rows: _scores(scoring.score(rows, "2024-02-01 00:00:00", key="user_id"))
+    late = stored(points(scoring.go_on(early, m.filter(after), m, **_NAMES)), "late")
+    rest = early.join(late.select(F.col("user_id").alias("k")).hint("shuffle_hash"), "k", "left_anti")
+    return late.unionByName(points(rest))
 
 
 @query(f"""with {_MESSAGES}, l as (

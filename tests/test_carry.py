@@ -58,3 +58,23 @@ def test_history_is_read_for_late_customers_alone(spark):
     # nobody is late: the same without any history
     assert shown(scoring.score(scoring.go_on(state, frame(spark, rows[100:]), frame(spark, [])), SNAP)) == want
     assert scoring.go_on(state, frame(spark, []), frame(spark, rows)).count() == 0
+
+
+def test_states_are_joined_without_sorts(spark, monkeypatch):
+    rows = list(chat(5, 160, 6))
+    late = rows.pop(20)
+    state = scoring.carry(frame(spark, rows[:90]))
+    state = spark.createDataFrame(state.collect(), state.schema)
+    monkeypatch.setattr(scoring, "ROWS", 10, raising=False)  # more tasks than the session's
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        fresh = scoring.go_on(state, frame(spark, [*rows[90:], late]), frame(spark, [*rows, late]))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+        both = fresh.unionByName(state.join(fresh.select("k"), "k", "left_anti"))
+        assert shown(scoring.score(both, SNAP)) == shown(scoring.analyze(frame(spark, [*rows, late]), SNAP))
+    finally:
+        for n in names:
+            spark.conf.unset(n)
